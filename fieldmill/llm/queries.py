@@ -3,12 +3,39 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from fieldmill.llm.density import box_clusters, describe_clusters, vector_clusters
+from fieldmill.llm.neighbours import as_pairs, cosine_neighbours, position_neighbours
 from fieldmill.llm.spans import shared_intervals, shared_passages, shared_share
 from fieldmill.llm.tokenizer import encode_corpus
 from fieldmill.session import load
 
 
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    feature = as_pairs(cosine_neighbours(load(spark, root, "features"), "gid", "f", dim=32, k=5, min_sim=0.96))
+    place = as_pairs(position_neighbours(load(spark, root, "gaussians"), "gid", "scene_id", ["x", "y", "z"], k=5, radius=0.12))
+    return feature.select(F.lit("feature").alias("space"), "*").union(place.select(F.lit("xyz").alias("space"), "*"))
+
+
+def _gaussian_clusters(spark: SparkSession, root: str) -> DataFrame:
+    return vector_clusters(load(spark, root, "features"), "gid", "f", dim=32, min_sim=0.96, min_size=5)
+
+
+def _run_clusters(spark: SparkSession, root: str) -> DataFrame:
+    columns = ["num_clusters", "cluster_confidence_mean"]
+    return box_clusters(load(spark, root, "ablation_runs"), "run_id", "suite_id", columns, [3, 0.02], min_size=3)
+
+
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    both = _gaussian_clusters(spark, root).select(F.lit("gaussian").alias("entity"), "root_id", "member_id")
+    return both.union(_run_clusters(spark, root).select(F.lit("run").alias("entity"), "root_id", "member_id"))
+
+
+def p5_clusters(spark: SparkSession, root: str) -> DataFrame:
+    return describe_clusters(_gaussian_clusters(spark, root), load(spark, root, "features"), "gid", "f", dim=32)
+
+
 def p6_ids(spark: SparkSession, root: str) -> DataFrame:
     return encode_corpus(load(spark, root, "documents"), "doc_id", "text")
 
@@ -25,5 +52,8 @@ def p8_passages(spark: SparkSession, root: str) -> DataFrame:
     return shared_passages(load(spark, root, "documents"), "doc_id", "text", min_len=200)
 
 
-QUERIES = {"p6_ids": p6_ids, "p8_found": p8_found, "p8_share": p8_share, "p8_passages": p8_passages}
+QUERIES = {
+    "p2_found": p2_found, "p5_found": p5_found, "p5_clusters": p5_clusters,
+    "p6_ids": p6_ids, "p8_found": p8_found, "p8_share": p8_share, "p8_passages": p8_passages,
+}
 SQL: dict[str, str] = {}
