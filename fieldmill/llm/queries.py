@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmill.llm.density import box_clusters, describe_clusters, vector_clusters
+from fieldmill.llm.mixing import mix_shards, mix_shares, mix_sources
 from fieldmill.llm.neighbours import as_pairs, cosine_neighbours, position_neighbours
 from fieldmill.llm.spans import shared_intervals, shared_passages, shared_share
 from fieldmill.llm.tokenizer import encode_corpus
@@ -40,6 +41,22 @@ def p6_ids(spark: SparkSession, root: str) -> DataFrame:
     return encode_corpus(load(spark, root, "documents"), "doc_id", "text")
 
 
+def _mix(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    return mix_sources(load(spark, root, "documents"), load(spark, root, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, root: str) -> DataFrame:
+    return _mix(spark, root)[0]
+
+
+def p7_shares(spark: SparkSession, root: str) -> DataFrame:
+    return mix_shares(*_mix(spark, root))
+
+
+def p7_shards(spark: SparkSession, root: str) -> DataFrame:
+    return mix_shards(_mix(spark, root)[0])
+
+
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return shared_intervals(load(spark, root, "documents"), "doc_id", "text", min_len=200)
 
@@ -54,6 +71,7 @@ def p8_passages(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found, "p5_found": p5_found, "p5_clusters": p5_clusters,
-    "p6_ids": p6_ids, "p8_found": p8_found, "p8_share": p8_share, "p8_passages": p8_passages,
+    "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_shards": p7_shards,
+    "p8_found": p8_found, "p8_share": p8_share, "p8_passages": p8_passages,
 }
 SQL: dict[str, str] = {}
