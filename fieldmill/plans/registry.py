@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("fieldmill.plans.pipeline_queries",)
 
 
 def collect(modules: tuple[str, ...] = MODULES) -> tuple[dict[str, Query], dict[str, str]]:
