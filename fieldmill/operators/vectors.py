@@ -66,8 +66,8 @@ def score_centres(df: DataFrame, key: str, vec: str, labels: list, matrix: np.nd
                 at = [i for i, v in enumerate(vectors) if v is not None and len(v) == matrix.shape[1] and None not in v]
                 if not at or not len(labels):
                     continue
-                scores = np.round(np.array([vectors[i] for i in at]) @ matrix.T, 9)
-                order = np.argsort(-scores, axis=1, kind="stable")[:, :most]
+                scores = np.array([vectors[i] for i in at]) @ matrix.T
+                order = np.argsort(-np.round(scores, 9), axis=1, kind="stable")[:, :most]
                 width = order.shape[1]
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None):
 
 
 P, M, R, C, V = (f"WITH {x} " for x in (B.POINTS, B.MASKS, B.RUNS, B.CAMERAS, B.VECTORS))
-_N = "CASE WHEN NOT isnan(r.{0}) THEN r.{0} END"
+_N = "CASE WHEN isfinite(r.{0}) THEN r.{0} END"
 
 
 def _mean(c):
@@ -63,7 +63,7 @@ def a2(s, d):
     return ag.parsed_means(e, ["event_type"], ["k"], "user_id").select("event_type", "n", F.round("k", 6).alias("k"))
 
 
-@query("a3_conditional_means", R + "SELECT scene_id, sum(masks)::BIGINT AS masks, round(coalesce(avg(CASE WHEN NOT isnan(iou) THEN iou END) FILTER (masks > 1000), 0), 6) AS iou FROM r GROUP BY scene_id")
+@query("a3_conditional_means", R + "SELECT scene_id, sum(masks)::BIGINT AS masks, round(coalesce(avg(CASE WHEN isfinite(iou) THEN iou END) FILTER (masks > 1000), 0), 6) AS iou FROM r GROUP BY scene_id")
 def a3(s, d):
     iou = ag.mean_or_zero(F.when(F.col("masks") > 1000, ag.known(F.col("iou"))))
     return B.runs(s, d).groupBy("scene_id").agg(F.sum("masks").cast("bigint").alias("masks"), F.round(iou, 6).alias("iou"))
@@ -151,10 +151,10 @@ def a27(s, d):
     return load(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.max(F.struct("ts", "event_id")).event_id.alias("latest"))
 
 
-@query("a28_quantile_clamp", M + ", q AS (SELECT scene_id, quantile_cont(scale, 0.75) AS b FROM m GROUP BY 1) SELECT mask_key, round(least(scale, b), 4) AS scale FROM m JOIN q USING (scene_id)")
+@query("a28_quantile_clamp", M + ", q AS (SELECT scene_id, quantile_cont(scale, 0.75) AS b FROM m GROUP BY 1) SELECT mask_key, round(least(scale, b), 9) AS scale FROM m JOIN q USING (scene_id)")
 def a28(s, d):
     m = B.masks(s, d)
-    return m.join(ag.quantiles(m, "scale", [0.75], ["scene_id"]), "scene_id").select("mask_key", F.round(F.least("scale", "q75"), 4).alias("scale"))
+    return m.join(ag.quantiles(m, "scale", [0.75], ["scene_id"]), "scene_id").select("mask_key", F.round(F.least("scale", "q75"), 9).alias("scale"))
 
 
 @query("a29_ema", "SELECT user_id, round(list_reduce(list_prepend(0.0, list(value ORDER BY ts, event_id)), lambda a, x: a * 0.6 + x * (1 - 0.6)), 6) AS ema FROM events WHERE value IS NOT NULL GROUP BY user_id")
@@ -175,7 +175,7 @@ def w2(s, d):
     return ag.ecdf(B.masks(s, d), "scale", per=["scene_id"]).select("mask_key", F.round(ag.probit_of(F.col("cdf")), 6).alias("z"))
 
 
-_SCALES = R + ", q AS (SELECT label, (run_id % 3) * 0.25 + 0.25 AS scale, max(CASE WHEN NOT isnan(iou) THEN iou END) AS iou, max(CASE WHEN NOT isnan(conf) THEN conf END) AS conf FROM r GROUP BY ALL)"
+_SCALES = R + ", q AS (SELECT label, (run_id % 3) * 0.25 + 0.25 AS scale, max(CASE WHEN isfinite(iou) THEN iou END) AS iou, max(CASE WHEN isfinite(conf) THEN conf END) AS conf FROM r GROUP BY ALL)"
 
 
 def _by_scale(s, d):
@@ -188,7 +188,7 @@ def w4(s, d):
     return ag.winner(_by_scale(s, d), ["iou"], ["label"], ["scale"]).select("scale", "label")
 
 
-@query("w5_nulls_first", R + ", a AS (SELECT run_id, CASE WHEN NOT isnan(iou) THEN iou END AS iou FROM r) SELECT run_id, row_number() OVER (ORDER BY iou DESC NULLS FIRST, run_id) AS place FROM a QUALIFY place <= 50")
+@query("w5_nulls_first", R + ", a AS (SELECT run_id, CASE WHEN isfinite(iou) THEN iou END AS iou FROM r) SELECT run_id, row_number() OVER (ORDER BY iou DESC NULLS FIRST, run_id) AS place FROM a QUALIFY place <= 50")
 def w5(s, d):
     top = B.runs(s, d).select("run_id", ag.known(F.col("iou")).alias("iou")).orderBy(F.desc_nulls_first("iou"), "run_id").limit(50)
     return top.select("run_id", F.row_number().over(Window.orderBy(F.desc_nulls_first("iou"), "run_id")).cast("bigint").alias("place"))
