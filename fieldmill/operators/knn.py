@@ -27,7 +27,7 @@ def _cell_width(refs: DataFrame, q: list[str], extent: float, k: int) -> float:
 def knn_join(queries: DataFrame, refs: DataFrame, k: int, key: str, axes: list[str], group: str, exclude_self: bool = True) -> DataFrame:
     """``grp``, ``src``, ``dst``, ``rank``, ``dist``: the ``k`` nearest ``refs`` of each query in its group (ties: smaller id), exactly.
 
-    Self is excluded by id, so a duplicate of a point is its neighbour at distance 0. Fewer than k in a group: all of them. Null ids,
+    Self is excluded by id (then queries must be among the refs), so a duplicate of a point is its neighbour at distance 0. Fewer than k in a group: all of them. Null ids,
     groups or coordinates take no part. Each round joins queries with the 3^d cells around theirs; a query whose k-th distance is within
     the cell width can't have a nearer one outside and is settled, the others go on with cells twice (then four times) as wide.
     """
@@ -41,6 +41,7 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, key: str, axes: list[s
         return left.select("grp", "src", F.col("src").alias("dst"), F.lit(0).alias("rank"), F.lit(0.0).alias("dist")).limit(0)
     extent = max(spans)
     width, step, done = _cell_width(right, q, extent, k), 2, []
+    everyone = right.groupBy("grp").agg((F.count("*") - int(exclude_self)).alias("others"))
     cells = [f"c{i}" for i in range(len(axes))]
     while True:
         around = left
@@ -56,7 +57,9 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, key: str, axes: list[s
         if width > extent:
             done.append(best)
             break
-        settled = best.groupBy("src").agg(F.count("*").alias("n"), F.max("d2").alias("far")).filter((F.col("n") == k) & (F.col("far") <= width * width)).select("src")
+        found = best.groupBy("grp", "src").agg(F.count("*").alias("n"), F.max("d2").alias("far")).join(everyone, "grp")
+        proven = (F.col("n") == k) & (F.col("far") <= width * width) | (F.col("n") >= F.col("others"))
+        settled = found.filter(proven).select("src")
         done.append(best.join(settled, "src", "left_semi").select(best.columns))
         left = cut(left.join(settled, "src", "left_anti"), "knn")
         if left.isEmpty():
