@@ -87,7 +87,10 @@ def plan_mix(blocks: DataFrame, targets: DataFrame, block_tokens: int) -> DataFr
     known = known.withColumn("share", F.when(there, F.col("weight")) / F.sum(F.when(there, F.col("weight"))).over(mix))
     size = F.min(F.col("max_repeats") * F.col("tokens") / F.col("share")).over(mix)
     known = known.withColumn("size", size)
-    slots = F.least(F.round(F.col("share") * F.col("size") / F.lit(block_tokens)), F.col("max_repeats") * F.col("blocks"))
+    wished = F.col("share") * F.col("size")
+    full = F.floor(wished / F.col("tokens") + 1e-9)  # whole rounds over the source, whose last block is shorter
+    slots = full * F.col("blocks") + F.round(F.greatest(wished - full * F.col("tokens"), F.lit(0.0)) / F.lit(block_tokens))
+    slots = F.least(slots, F.col("max_repeats") * F.col("blocks"))
     known = known.withColumn("slots", F.coalesce(slots, F.lit(0)).cast("bigint"))
     before = mix.orderBy("source").rowsBetween(Window.unboundedPreceding, -1)
     return known.withColumn("first", F.coalesce(F.sum("slots").over(before), F.lit(0))).withColumn("all", F.sum("slots").over(mix))
@@ -154,7 +157,7 @@ def mix_shares(records: DataFrame, plan: DataFrame, id_col: str = "doc_id") -> D
     actual = used.groupBy("mix_id", "source").agg(F.sum("t").alias("t"), F.sum("n").alias("n"), F.max("n").alias("most"))
     joined = plan.select("mix_id", "source", "target", "max_repeats").join(actual, ["mix_id", "source"], "left")
     tokens = F.coalesce("t", F.lit(0))
-    share = tokens / F.sum(tokens).over(Window.partitionBy("mix_id"))
+    share = F.try_divide(tokens, F.sum(tokens).over(Window.partitionBy("mix_id")))
     return joined.select(
         "mix_id", "source", F.round("target", 6).alias("target_share"), F.round(F.coalesce(share, F.lit(0.0)), 6).alias("actual_share"),
         tokens.alias("tokens"), F.coalesce("n", F.lit(0)).alias("records"), F.coalesce("most", F.lit(0)).alias("most_repeats"), "max_repeats",
