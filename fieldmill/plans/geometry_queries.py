@@ -225,7 +225,7 @@ def z11(s, d):
     return _splats(s, d).withColumn("w", w).groupBy("scene_id").agg(F.max(F.struct("w", (-F.col("gid")).alias("n"))).alias("b")).select("scene_id", (-F.col("b.n")).alias("gid"))
 
 
-@query("z14_box_corners", "SELECT i, ((i & 1) * 2 - 1) * 0.5 + 1 AS x, (((i >> 1) & 1) * 2 - 1) * 0.25 AS y, (((i >> 2) & 1) * 2 - 1) * 0.125 AS z FROM range(8) t(i)")
+@query("z14_box_corners", "SELECT i, (((i & 1) * 2 - 1) * 0.5 + 1)::DOUBLE AS x, ((((i >> 1) & 1) * 2 - 1) * 0.25)::DOUBLE AS y, ((((i >> 2) & 1) * 2 - 1) * 0.125)::DOUBLE AS z FROM range(8) t(i)")
 def z14(s, d):
     sign = lambda b: (F.shiftright("id", b).bitwiseAND(F.lit(1)) * 2 - 1).cast("double")
     return s.range(8).select(F.col("id").alias("i"), (sign(0) * 0.5 + 1).alias("x"), (sign(1) * 0.25).alias("y"), (sign(2) * 0.125).alias("z"))
