@@ -133,6 +133,14 @@ def laplacian_energy(knn: DataFrame, features: DataFrame, key: str, vec: str, fi
     return rows.groupBy("grp").agg(F.avg("e").alias("energy"))
 
 
+def contact_scores(near: DataFrame, residue: DataFrame, core: DataFrame) -> DataFrame:
+    """``component``, ``target``, ``t``, ``sp``, ``contact``: edges from residue rows (src, component) to core rows (src, label) of each
+    label, their mean spatial term, and their share among the component's edges to core rows."""
+    ends = core.select(F.col("src").alias("dst"), F.col("label").alias("target"))
+    totals = near.join(residue, "src").join(ends, "dst").groupBy("component", "target").agg(F.count("*").alias("t"), F.avg("spatial").alias("sp"))
+    return totals.withColumn("contact", F.col("t") / F.sum("t").over(Window.partitionBy("component")))
+
+
 def refine_labels(points: DataFrame, knn: DataFrame, key: str, vec: str, min_size: int = 128, min_conf: float = 0.6, min_score: float = 0.15, min_margin: float = 0.05) -> DataFrame:
     """Labels after residue refinement (grp, key, label, conf): components of each label on the neighbour graph; the largest is its core.
     Others that are small or unsure go to the core label they touch best, by contact, centre likeness and closeness, or become -1.
@@ -148,13 +156,10 @@ def refine_labels(points: DataFrame, knn: DataFrame, key: str, vec: str, min_siz
     kinds = sizes.withColumn("core", rank == 1).withColumn("residue", ~F.col("core") & ((F.col("n") < min_size) | (F.col("c") < min_conf)))
     rows = parts.join(kinds.select("grp", "label", "component", "core", "residue"), ["grp", "label", "component"], "left")
     rows = rows.withColumn("core", F.coalesce("core", F.lit(False))).withColumn("residue", F.coalesce("residue", F.lit(False)))
-    core = rows.filter("core").select(F.col("src").alias("dst"), F.col("label").alias("target"))
-    contacts = spatial_terms(knn).join(rows.filter("residue").select("src", "component"), "src").join(core, "dst")
-    totals = contacts.groupBy("component", "target").agg(F.count("*").alias("t"), F.avg("spatial").alias("sp"))
-    contact = F.col("t") / F.sum("t").over(Window.partitionBy("component"))
+    totals = contact_scores(spatial_terms(knn), rows.filter("residue").select("src", "component"), rows.filter("core").select("src", "label"))
     centres = group_means(rows.filter("core"), ["grp", "label"], "u").select("grp", F.col("label").alias("target"), F.col("centre").alias("cc"))
     own = group_means(rows.filter("residue"), ["grp", "component"], "u").select("grp", "component", F.col("centre").alias("rc"))
-    scored = totals.withColumn("contact", contact).join(own, "component").join(centres, ["grp", "target"])
+    scored = totals.join(own, "component").join(centres, ["grp", "target"])
     like = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (dot("rc", "cc") + 1) * 0.5))
     scored = scored.withColumn("score", F.round(0.45 * F.col("contact") + 0.35 * like + 0.2 * F.col("sp"), 9))
     order = Window.partitionBy("component").orderBy(F.desc("score"), "target")
@@ -166,3 +171,38 @@ def refine_labels(points: DataFrame, knn: DataFrame, key: str, vec: str, min_siz
         F.when(F.col("residue"), F.coalesce("target", F.lit(-1))).otherwise(F.col("label")).alias("label"),
         F.when(F.col("residue"), F.coalesce("score", F.lit(0.0))).otherwise(F.col("conf")).alias("conf"),
     )
+
+
+def initial_splats(points: DataFrame, knn: DataFrame, key: str, colours: list[str], rest: int = 45) -> DataFrame:
+    """Splat columns of a plain point cloud: scales from the distance to the three nearest, opacity 0.1, no rotation, base colours."""
+    from fieldmill.functions.geometry import colour_base
+    from fieldmill.operators.knn import mean_square_distance
+
+    d2 = mean_square_distance(knn).select(F.col("src").alias(key), "d2")
+    scale = F.log(F.sqrt(F.greatest(F.coalesce("d2", F.lit(1e-7)), F.lit(1e-7))))
+    dc = F.array(*(colour_base(F.col(c) / 255) for c in colours))
+    return points.join(d2, key, "left").select(key, dc.alias("f_dc"), F.array_repeat(F.lit(0.0), rest).alias("f_rest"), F.array_repeat(scale, 3).alias("scale"), F.array(*map(F.lit, (1.0, 0.0, 0.0, 0.0))).alias("rot"), F.log(F.lit(0.1 / 0.9)).alias("opacity"))
+
+
+def multi_resolution(smoothed: list[tuple[DataFrame, float]]) -> DataFrame:
+    """Weighted sum of several smoothings (src, smoothed) of the same points."""
+    out = smoothed[0][0].select("src", F.transform("smoothed", lambda x: x * smoothed[0][1]).alias("smoothed"))
+    for df, w in smoothed[1:]:
+        out = out.join(df.select("src", F.col("smoothed").alias("_more")), "src").select("src", F.zip_with("smoothed", "_more", lambda a, b: a + b * w).alias("smoothed"))
+    return out
+
+
+def jaccard_pairs(df: DataFrame, item: str, member: str) -> DataFrame:
+    """``a`` < ``b``, ``distance``: Jaccard distance of items that share a member, by an inverted index; all other pairs are at 1."""
+    rows = df.select(item, member).distinct()
+    sizes = rows.groupBy(item).agg(F.count("*").alias("n"))
+    a, b = rows.select(member, F.col(item).alias("a")), rows.select(member, F.col(item).alias("b"))
+    both = a.join(b, member).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("c"))
+    both = both.join(sizes.select(F.col(item).alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col(item).alias("b"), F.col("n").alias("nb")), "b")
+    return both.select("a", "b", (1 - F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("distance"))
+
+
+def label_codes(labels: DataFrame, label: str, width: int = 32) -> DataFrame:
+    """``code``: +-1 values of a label from bits of its hash, the same at every run."""
+    bit = lambda i: F.pmod(F.xxhash64(F.col(label), i), F.lit(2)).cast("double") * 2 - 1
+    return labels.select(label, F.transform(F.sequence(F.lit(0), F.lit(width - 1)), bit).alias("code"))

@@ -311,3 +311,119 @@ def x5(s, d):
     most = F.floor((1 - F.col("gid") % 10 / 10) * 64)
     gated = F.transform("e", lambda x, i: F.when(i < most, x).otherwise(0.0))
     return B.vectors(s, d).select("gid", F.round(F.aggregate(gated, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@query("j6_knn_sample", f", rf AS (SELECT * FROM p WHERE conf > 0.5), x AS (SELECT a.gid AS src, b.gid AS dst, {_D2} AS d2 FROM p a JOIN rf b USING (scene_id)) SELECT src, dst FROM x QUALIFY row_number() OVER (PARTITION BY src ORDER BY d2, dst) <= 4")
+def j6(s, d):
+    p = B.points(s, d)
+    return kn.knn_join(p, p.filter("conf > 0.5"), 4, "gid", ["x", "y", "z"], "scene_id", exclude_self=False).select("src", "dst")
+
+
+_CONTACT = ", rs AS (SELECT gid AS src, label AS component FROM p WHERE conf < 0.4), k AS (SELECT gid AS dst, label AS target FROM p WHERE conf >= 0.4), t AS (SELECT component, target, count(*) AS t, avg(spatial) AS sp FROM sp JOIN rs USING (src) JOIN k USING (dst) GROUP BY ALL)"
+
+
+def _contacts(s, d):
+    p = B.points(s, d)
+    low = p.filter("conf < 0.4").select(F.col("gid").alias("src"), F.col("label").alias("component"))
+    return g.contact_scores(g.spatial_terms(near(s, d)), low, p.filter("conf >= 0.4").select(F.col("gid").alias("src"), "label"))
+
+
+@query("j11_contacts", _CONTACT + "SELECT component, target, t FROM t")
+def j11(s, d):
+    return _contacts(s, d).select("component", "target", "t")
+
+
+@query("a15_contact_ratio", _CONTACT + "SELECT component, target, round(t / sum(t) OVER (PARTITION BY component), 6) AS contact, round(sp, 6) AS spatial FROM t")
+def a15(s, d):
+    return _contacts(s, d).select("component", "target", F.round("contact", 6).alias("contact"), F.round("sp", 6).alias("spatial"))
+
+
+@query("x4_falloff", "SELECT src, dst, round(spatial, 6) AS w FROM sp")
+def x4(s, d):
+    return g.spatial_terms(near(s, d)).select("src", "dst", F.round("spatial", 6).alias("w"))
+
+
+@query("x3_feature_affinity", "SELECT src, dst, round(exp((greatest(-1, least(1, list_dot_product(a.u, b.u))) - 1) / 0.2), 6) AS w, round(greatest(-1, least(1, list_dot_product(a.u, b.u))), 6) AS cosine FROM kn JOIN u a ON a.gid = src JOIN u b ON b.gid = dst")
+def x3(s, d):
+    f = features(s, d).select("gid", vc.normalise("v").alias("u"))
+    pairs = near(s, d).join(f.select(F.col("gid").alias("src"), F.col("u").alias("a")), "src").join(f.select(F.col("gid").alias("dst"), F.col("u").alias("b")), "dst")
+    cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), vc.dot("a", "b")))
+    return pairs.select("src", "dst", F.round(F.exp((cosine - 1) / 0.2), 6).alias("w"), F.round(cosine, 6).alias("cosine"))
+
+
+@query("e4_multi_resolution", ", x AS (SELECT k, src, i, avg(v) AS v FROM (SELECT k, e.src, generate_subscripts(u, 1) AS i, unnest(u) AS v FROM (SELECT 2 AS k, src, dst FROM kn WHERE rank <= 2 UNION ALL SELECT 2, gid, gid FROM p UNION ALL SELECT 6, src, dst FROM kn WHERE rank <= 6 UNION ALL SELECT 6, gid, gid FROM p) e JOIN u ON u.gid = e.dst) GROUP BY ALL) SELECT src, i - 1 AS i, round(sum(v * CASE k WHEN 2 THEN 0.7 ELSE 0.3 END), 6) AS v FROM x GROUP BY ALL")
+def e4(s, d):
+    n, f = near(s, d), features(s, d)
+    out = g.multi_resolution([(g.smooth(n, f, "gid", "v", 2), 0.7), (g.smooth(n, f, "gid", "v", 6), 0.3)])
+    return out.select("src", F.posexplode("smoothed").alias("i", "v")).select("src", F.col("i").cast("bigint").alias("i"), F.round("v", 6).alias("v"))
+
+
+@query("f24_initial_splats", ", e AS (SELECT src, avg(dist * dist) AS d2 FROM kn WHERE rank <= 3 GROUP BY 1) SELECT gid, round(ln(sqrt(greatest(coalesce(d2, 1e-7), 1e-7))), 6) AS scale, round((gid % 256 / 255.0 - 0.5) / 0.28209479177387814, 6) AS red FROM p LEFT JOIN e ON e.src = gid")
+def f24(s, d):
+    p = B.points(s, d).withColumn("red", F.col("gid") % 256)
+    out = g.initial_splats(p, near(s, d), "gid", ["red", "red", "red"])
+    return out.select("gid", F.round(F.col("scale")[0], 6).alias("scale"), F.round(F.col("f_dc")[0], 6).alias("red"))
+
+
+@query("z13_seed_part", ", sd AS (SELECT scene_id, min(gid) AS seed FROM p GROUP BY 1), pt AS (SELECT seed, list(gid ORDER BY gid) AS m FROM co JOIN p USING (gid) JOIN sd USING (scene_id) WHERE component = (SELECT component FROM co c2 WHERE c2.gid = seed) GROUP BY seed) SELECT seed, len(m) AS members, len(m)::VARCHAR || ':' || sha256(array_to_string(m, ',')) AS fingerprint FROM pt")
+def z13(s, d):
+    from fieldmill.operators.labels import fingerprints
+
+    parts = _parts(s, d)
+    seeds = B.points(s, d).groupBy("scene_id").agg(F.min("gid").alias("seed"))
+    chosen = parts.join(seeds.select(F.col("seed").alias("gid"), "seed"), "gid").select("component", "seed")
+    return fingerprints(parts.join(chosen, "component"), ["seed"], "gid")
+
+
+@query("z1_active_group")
+def z1(s, d):
+    """Filter parts, unite them, clip them to their box, split off residue, and take a preview over the labels."""
+    from fieldmill.operators import aggregates as ag
+    from fieldmill.operators import filters as fl
+
+    p = B.points(s, d).filter("label between 1 and 4")
+    chosen = fl.part_filter(p, F.col("conf"), 0.2, F.coalesce(F.col("opacity") < 0, F.lit(False))).dropDuplicates(["gid"])
+    mean, axes = vc.principal_axes(chosen.withColumn("v", F.array("x", "y", "z")), "v", 3, 3)
+    offset = [F.col(c) - float(m) for c, m in zip("xyz", mean)]
+    local = [F.abs(sum(o * float(a) for o, a in zip(offset, axis))) for axis in axes]
+    extent = chosen.agg(*(F.percentile(v, F.lit(0.98)) for v in local)).first()
+    clipped = fl.keep_or_all(chosen, fl.inside_box(offset, axes.tolist(), [float(e or 0) for e in extent]))
+    edges = g.adaptive_edges(near(s, d)).join(clipped.select(F.col("gid").alias("a")), "a").join(clipped.select(F.col("gid").alias("b")), "b")
+    shown = g.split_residue(g.components_of(clipped, "gid", edges.select("a", "b")), "scene_id", 3).filter("visible")
+    return ag.stratified_sample(shown.select("gid", "label"), "label", "gid", 500)
+
+
+# Masks as sets, codes and prompts
+
+
+@vquery("x2_cosine", "SELECT gid, round(greatest(-1, least(1, list_dot_product(e, c))), 6) AS cosine FROM v JOIN ce USING (label)")
+def x2(s, d):
+    v = B.vectors(s, d)
+    both = v.join(vc.group_means(v, ["label"], "e"), "label")
+    return both.select("gid", F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), vc.dot("e", "centre"))), 6).alias("cosine"))
+
+
+@vquery("x9_templates", ", t AS (SELECT 'a photo of ' || n_name AS text FROM nation UNION ALL SELECT 'the ' || n_name || ' part' FROM nation) SELECT text FROM t")
+def x9(s, d):
+    templates = F.array(F.lit("a photo of {}"), F.lit("the {} part"))
+    return load(s, d, "nation").select(F.explode(F.transform(templates, lambda t: F.replace(t, F.lit("{}"), F.col("n_name")))).alias("text"))
+
+
+@vquery("l8_codes", "SELECT DISTINCT label, label AS decoded FROM v")
+def l8(s, d):
+    labels = B.vectors(s, d).select("label").distinct()
+    coded = g.label_codes(labels, "label")
+    return vc.nearest_centre(coded.withColumnRenamed("label", "k"), "k", "code", coded, "label", "code").select(F.col("k").alias("label"), F.col("label").alias("decoded"))
+
+
+@vquery("x28_palette", "SELECT gid, label * 25 AS red FROM v")
+def x28(s, d):
+    v = B.vectors(s, d)
+    colours = v.select("label").distinct().withColumn("red", F.col("label") * 25)
+    return v.join(colours, "label", "left").select("gid", F.coalesce("red", F.lit(0)).alias("red"))
+
+
+@vquery("g19_cluster_map", ", a1 AS (SELECT gid, ce.label AS k FROM v, ce QUALIFY row_number() OVER (PARTITION BY gid ORDER BY round(list_dot_product(e, c), 9) DESC, ce.label) = 1) SELECT gid, k * 25 AS colour FROM a1")
+def g19(s, d):
+    v = B.vectors(s, d)
+    return vc.nearest_centre(v, "gid", "e", vc.group_means(v, ["label"], "e"), "label", "centre").select("gid", (F.col("label") * 25).alias("colour"))

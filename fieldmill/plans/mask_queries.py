@@ -167,3 +167,27 @@ def w8(s, d):
     pix = pixels(s, d)
     scores = pix.select("view_id", "mask_id").distinct().withColumn("score", F.col("mask_id") * 37 % 11)
     return mk.matrix_suppress(scores, mk.mask_pairs(pix), 0.2, 0.5)
+
+
+@query("j14_jaccard", ", it AS (SELECT DISTINCT view_id || '/' || mask_id AS item, view_id || '/' || y || '/' || x AS member FROM pix), n AS (SELECT item, count(*) AS n FROM it GROUP BY 1), c AS (SELECT a.item AS a, b.item AS b, count(*) AS c FROM it a JOIN it b USING (member) WHERE a.item < b.item GROUP BY ALL) SELECT a, b, round(1 - c / (u.n + v.n - c), 6) AS distance FROM c JOIN n u ON u.item = a JOIN n v ON v.item = b")
+def j14(s, d):
+    from fieldmill.operators.graph import jaccard_pairs
+
+    items = pixels(s, d).select(F.concat_ws("/", "view_id", "mask_id").alias("item"), F.concat_ws("/", "view_id", "y", "x").alias("member"))
+    return jaccard_pairs(items, "item", "member").select("a", "b", F.round("distance", 6).alias("distance"))
+
+
+@query("x10_pixel_scores", ", s AS (SELECT view_id, mask_id, (mask_id * 37 % 11) / 10 AS score, area FROM ar) SELECT view_id, y, x, round(sum(score * area) / sum(area), 6) AS score FROM pix JOIN s USING (view_id, mask_id) GROUP BY view_id, y, x")
+def x10(s, d):
+    pix = pixels(s, d)
+    scored = pix.groupBy("view_id", "mask_id").agg(F.count("*").alias("area")).withColumn("score", F.col("mask_id") * 37 % 11 / 10)
+    return pix.join(scored, ["view_id", "mask_id"]).groupBy("view_id", "y", "x").agg(F.round(F.sum(F.col("score") * F.col("area")) / F.sum("area"), 6).alias("score"))
+
+
+@query("z12_patch_vote", ", s AS (SELECT view_id, mask_id % 4 AS label, sum(exp(-((y - 13) * (y - 13) + (x - 13) * (x - 13)) / 50)) AS s FROM pix GROUP BY ALL) SELECT view_id, label, round(s / greatest(sum(s) OVER (PARTITION BY view_id), 1e-6), 6) AS share FROM s QUALIFY row_number() OVER (PARTITION BY view_id ORDER BY round(s, 9) DESC, label) = 1")
+def z12(s, d):
+    from fieldmill.operators.vectors import vote
+
+    d2 = (F.col("y") - 13) * (F.col("y") - 13) + (F.col("x") - 13) * (F.col("x") - 13)
+    voted = pixels(s, d).select("view_id", (F.col("mask_id") % 4).alias("label"), F.exp(-d2 / 50).alias("w"))
+    return vote(voted, ["view_id"], "label", "w").select("view_id", "label", F.round("share", 6).alias("share"))

@@ -200,10 +200,10 @@ def w6(s, d):
     return v.withColumn("place", F.when(F.col("variant") == "base", 0).when(F.col("variant") == "sh0", 1).when(F.col("variant") == "mesh", 2).otherwise(99))
 
 
-@query("w9_focus_limit", P + "SELECT gid FROM p WHERE scene_id = 9 ORDER BY label = 2 DESC, round(pow(x - 8, 2) + pow(y, 2) + pow(z, 2), 9), gid LIMIT 100")
+@query("w9_focus_limit", P + "SELECT gid FROM p ORDER BY label = 2 DESC, round(pow(x - 8, 2) + pow(y, 2) + pow(z, 2), 9), gid LIMIT 100")
 def w9(s, d):
     d2 = F.round(F.pow(F.col("x") - 8, F.lit(2)) + F.pow("y", F.lit(2)) + F.pow("z", F.lit(2)), 9)
-    return B.points(s, d).filter("scene_id = 9").orderBy(F.desc(F.col("label") == 2), d2, "gid").limit(100).select("gid")
+    return B.points(s, d).orderBy(F.desc(F.col("label") == 2), d2, "gid").limit(100).select("gid")
 
 
 @query("w10_margin", P + ", v AS (SELECT scene_id, label, round(sum(conf), 6) AS s FROM p GROUP BY ALL) SELECT scene_id, label, round(s - lead_s, 6) AS margin FROM (SELECT *, row_number() OVER w AS k, lead(s) OVER w AS lead_s FROM v WINDOW w AS (PARTITION BY scene_id ORDER BY s DESC, label)) WHERE k = 1")

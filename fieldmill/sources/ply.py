@@ -56,42 +56,56 @@ def read_header(path: str) -> Header:
 
 @dataclass
 class Rows(InputPartition):
+    path: str
     start: int
     stop: int
+    first: int
 
 
 class PlyReader(DataSourceReader):
+    """A file, or the files ``*.ply`` of a directory (all of one layout) as one table; ``row`` counts through them."""
+
     def __init__(self, options: dict) -> None:
-        self.path, self.element, self.rows = options["path"], options.get("element", "vertex"), int(options.get("rows", 1_000_000))
-        self.header = read_header(self.path)
-        self.fields = next((p for n, _, p in self.header.elements if n == self.element), [])
-        self.count = next((c for n, c, _ in self.header.elements if n == self.element), 0)
-        lists = [f for n, _, p in self.header.elements for f in p if f[2]]
-        own = any(f[2] for f in self.fields)
-        if own or lists and self.header.elements[0][0] != self.element:
-            raise ValueError("an element with lists, or behind lists, is read with read_faces")
+        self.element, self.rows = options.get("element", "vertex"), int(options.get("rows", 1_000_000))
+        place = Path(options["path"])
+        self.files = [(str(f), read_header(str(f))) for f in (sorted(place.glob("*.ply")) if place.is_dir() else [place])]
+        if not self.files:
+            raise ValueError(f"no PLY file in {place}")
+        self.fields = next((p for n, _, p in self.files[0][1].elements if n == self.element), [])
+        for name, header in self.files:
+            order = [n for n, _, _ in header.elements]
+            before = header.elements[: order.index(self.element) + 1] if self.element in order else []
+            if any(f[2] for _, _, p in before for f in p):
+                raise ValueError("an element with lists, or behind lists, is read with read_faces")
+            if before and before[-1][2] != self.fields:
+                raise ValueError(f"{name} has another layout")
 
     def partitions(self) -> list[Rows]:
-        return [Rows(a, min(a + self.rows, self.count)) for a in range(0, self.count, self.rows)] or [Rows(0, 0)]
+        out, first = [], 0
+        for name, header in self.files:
+            count = next((c for n, c, _ in header.elements if n == self.element), 0)
+            out += [Rows(name, a, min(a + self.rows, count), first + a) for a in range(0, count, self.rows)]
+            first += count
+        return out or [Rows(self.files[0][0], 0, 0, 0)]
 
     def read(self, part: Rows) -> Iterator[pa.RecordBatch]:
-        kinds = np.dtype([(n, self.header.order + TYPES[t][0]) for n, t, _ in self.fields])
-        before = [(c, p) for n, c, p in self.header.elements]
-        before = before[: [n for n, _, _ in self.header.elements].index(self.element)]
-        with open(self.path, "rb") as f:
-            if self.header.order:
+        header = dict(self.files)[part.path]
+        kinds = np.dtype([(n, header.order + TYPES[t][0]) for n, t, _ in self.fields])
+        before = [(c, p) for n, c, p in header.elements[: [n for n, _, _ in header.elements].index(self.element)]]
+        with open(part.path, "rb") as f:
+            if header.order:
                 skip = sum(c * sum(np.dtype(TYPES[t][0]).itemsize for _, t, _ in p) for c, p in before)
-                f.seek(self.header.size + skip + part.start * kinds.itemsize)
+                f.seek(header.size + skip + part.start * kinds.itemsize)
                 data = np.frombuffer(f.read((part.stop - part.start) * kinds.itemsize), dtype=kinds)
             else:
-                f.seek(self.header.size)
+                f.seek(header.size)
                 for _ in range(sum(c for c, _ in before) + part.start):
                     f.readline()
                 lines = [tuple(f.readline().split()) for _ in range(part.stop - part.start)]
                 data = np.array([tuple(float(v) for v in x) for x in lines], dtype=kinds)
         wanted = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "float": pa.float32(), "double": pa.float64()}
         arrays = [pa.array(np.ascontiguousarray(data[n]).astype(data[n].dtype.newbyteorder("="))).cast(wanted[TYPES[t][1]]) for n, t, _ in self.fields]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(part.start, part.start + len(data))), *arrays], ["row", *(n for n, _, _ in self.fields)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(part.first, part.first + len(data))), *arrays], ["row", *(n for n, _, _ in self.fields)])
 
 
 class PlyWriter(DataSourceWriter):
