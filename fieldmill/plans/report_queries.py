@@ -50,7 +50,7 @@ def w3(s, d):
     return ag.winner(_stage(s, d), ["iou", "conn", "conf"], ["label"])
 
 
-@query("p7w_next_stage", _STAGE + ", w AS (SELECT label FROM a ORDER BY iou DESC, conn DESC, conf DESC, label LIMIT 1) SELECT scene_id, CASE (SELECT label FROM w) WHEN 'base' THEN 0 WHEN 'sh0' THEN 1 WHEN 'mesh' THEN 2 ELSE 3 END AS mode FROM scene_catalog")
+@query("pv7_next_stage", _STAGE + ", w AS (SELECT label FROM a ORDER BY iou DESC, conn DESC, conf DESC, label LIMIT 1) SELECT scene_id, CASE (SELECT label FROM w) WHEN 'base' THEN 0 WHEN 'sh0' THEN 1 WHEN 'mesh' THEN 2 ELSE 3 END AS mode FROM scene_catalog")
 def p7w(s, d):
     best = ag.winner(_stage(s, d), ["iou", "conn", "conf"], ["label"]).select("label")  # one row
     mode = F.when(F.col("label") == "base", 0).when(F.col("label") == "sh0", 1).when(F.col("label") == "mesh", 2).otherwise(3)
@@ -271,40 +271,40 @@ def _wide(s, d):
     return ag.wide_scales(_by_scale(s, d), ["label"], "scale", ["iou", "conf"], _ALL)
 
 
-@query("p1_pivot_scales", _SCALES + f"SELECT label, {_PIV} FROM q GROUP BY label")
+@query("pv1_pivot_scales", _SCALES + f"SELECT label, {_PIV} FROM q GROUP BY label")
 def pv1(s, d):
     return _wide(s, d)
 
 
-@query("p4_unpivot_scales", _SCALES + "SELECT label, scale::DOUBLE AS scale, iou, conf FROM q WHERE iou IS NOT NULL OR conf IS NOT NULL")
+@query("pv4_unpivot_scales", _SCALES + "SELECT label, scale::DOUBLE AS scale, iou, conf FROM q WHERE iou IS NOT NULL OR conf IS NOT NULL")
 def pv4(s, d):
     return ag.long_scales(_wide(s, d), ["label"], ["iou", "conf"], _ALL)
 
 
-@query("p3_scale_columns", _SCALES + f"SELECT label, scale_0p50_iou, scale_0p50_conf FROM (SELECT label, {_PIV} FROM q GROUP BY label)")
+@query("pv3_scale_columns", _SCALES + f"SELECT label, scale_0p50_iou, scale_0p50_conf FROM (SELECT label, {_PIV} FROM q GROUP BY label)")
 def pv3(s, d):
     wide = _wide(s, d)
     return wide.select("label", *(c for c in wide.columns if c.startswith("scale_0p50_")))
 
 
-@query("p5_scales", _SCALES + "SELECT DISTINCT scale::DOUBLE AS scale FROM q")
+@query("pv5_scales", _SCALES + "SELECT DISTINCT scale::DOUBLE AS scale FROM q")
 def pv5(s, d):
     return _by_scale(s, d).select("scale").distinct()
 
 
-@query("p6_expand_jobs", "SELECT stage, scene_name, variant FROM (VALUES ('A', 'base'), ('A', 'sh0'), ('B', 'mesh')) t(stage, variant), scene_catalog")
+@query("pv6_expand_jobs", "SELECT stage, scene_name, variant FROM (VALUES ('A', 'base'), ('A', 'sh0'), ('B', 'mesh')) t(stage, variant), scene_catalog")
 def pv6(s, d):
     variants = F.array(*(F.struct(F.lit(a).alias("stage"), F.lit(b).alias("variant")) for a, b in (("A", "base"), ("A", "sh0"), ("B", "mesh"))))
     return load(s, d, "scene_catalog").select("scene_name", F.explode(variants).alias("v")).select("v.stage", "scene_name", "v.variant")
 
 
-@query("p8_retry_ladder", "SELECT level, CASE WHEN level >= 1 THEN 512 ELSE 768 END AS rays, CASE WHEN level >= 2 THEN 8000 ELSE 12000 END AS sample FROM range(0, 4) t(level)")
+@query("pv8_retry_ladder", "SELECT level, CASE WHEN level >= 1 THEN 512 ELSE 768 END AS rays, CASE WHEN level >= 2 THEN 8000 ELSE 12000 END AS sample FROM range(0, 4) t(level)")
 def pv8(s, d):
     ladder = F.map_concat(F.create_map(F.lit("rays"), F.when(F.col("id") >= 1, 512).otherwise(768)), F.create_map(F.lit("sample"), F.when(F.col("id") >= 2, 8000).otherwise(12000)))
     return s.range(4).withColumn("m", ladder).select(F.col("id").alias("level"), F.col("m")["rays"].alias("rays"), F.col("m")["sample"].alias("sample"))
 
 
-@query("p9_validators", C + "SELECT 'width' AS rule, uid FROM c WHERE width < 900 UNION ALL SELECT 'angle', uid FROM c WHERE fovx <= fovy UNION ALL SELECT 'camera', uid FROM c WHERE camera_id IS NULL")
+@query("pv9_validators", C + "SELECT 'width' AS rule, uid FROM c WHERE width < 900 UNION ALL SELECT 'angle', uid FROM c WHERE fovx <= fovy UNION ALL SELECT 'camera', uid FROM c WHERE camera_id IS NULL")
 def pv9(s, d):
     c = B.cameras(s, d)
     rules = {"width": "width < 900", "angle": "fovx <= fovy", "camera": "camera_id is null"}
