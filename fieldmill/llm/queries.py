@@ -74,4 +74,29 @@ QUERIES = {
     "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_shards": p7_shards,
     "p8_found": p8_found, "p8_share": p8_share, "p8_passages": p8_passages,
 }
-SQL: dict[str, str] = {}
+_UNIT = """f AS (SELECT DISTINCT gid, f::DOUBLE[] AS f FROM features WHERE len(f) = 32 AND len(list_filter(f, lambda v: v IS NULL OR NOT isfinite(v))) = 0 AND len(list_filter(f, lambda v: v <> 0)) > 0),
+ u AS (SELECT gid, list_transform(f, lambda v: v / sqrt(list_dot_product(f, f))) AS u FROM f),
+ s AS (SELECT a.gid AS a, b.gid AS b, round(list_dot_product(a.u, b.u), 6) AS s FROM u a JOIN u b ON a.gid <> b.gid WHERE round(list_dot_product(a.u, b.u), 6) >= 0.96)"""
+
+_WINDOWS = """d AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 200), w AS (SELECT doc_id, i, substring(text, i + 1, 200) AS t FROM (SELECT doc_id, text, unnest(range(length(text) - 199)) AS i FROM d)),
+ k AS (SELECT t FROM w GROUP BY t HAVING min(doc_id) < max(doc_id)), h AS (SELECT doc_id, i FROM w SEMI JOIN k USING (t)),
+ o AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS n FROM h), g AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM o),
+ r AS (SELECT doc_id, min(i)::INT AS span_start, (max(i) + 200)::INT AS span_end FROM g GROUP BY doc_id, g)"""
+
+SQL: dict[str, str] = {
+    "p2_found": f"""WITH {_UNIT}, n AS (SELECT 'feature' AS space, a, b FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5),
+ p AS (SELECT DISTINCT gid, scene_id, x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z FROM gaussians WHERE isfinite(x) AND isfinite(y) AND isfinite(z)),
+ e AS (SELECT a.gid AS a, b.gid AS b, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)), 6) AS d FROM p a JOIN p b ON a.scene_id = b.scene_id AND a.gid <> b.gid),
+ m AS (SELECT 'xyz' AS space, a, b FROM e WHERE d <= 0.12 QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) <= 5)
+ SELECT DISTINCT space, least(a, b) AS gid_a, greatest(a, b) AS gid_b FROM (FROM n UNION ALL FROM m)""",
+    "p5_found": f"""WITH RECURSIVE {_UNIT}, c(node, root) AS (SELECT gid, gid FROM u UNION SELECT s.b, c.root FROM c JOIN s ON s.a = c.node),
+ g AS (SELECT node, min(root) AS root FROM c GROUP BY node),
+ q AS (SELECT DISTINCT run_id, suite_id, num_clusters AS n, cluster_confidence_mean AS k FROM ablation_runs WHERE num_clusters IS NOT NULL AND isfinite(cluster_confidence_mean)),
+ l AS (SELECT a.run_id AS a, b.run_id AS b FROM q a JOIN q b ON a.suite_id = b.suite_id AND abs(a.n - b.n) <= 3 AND abs(a.k - b.k) <= 0.02 + 1e-9),
+ t(node, root) AS (SELECT run_id, run_id FROM q UNION SELECT l.b, t.root FROM t JOIN l ON l.a = t.node), h AS (SELECT node, min(root) AS root FROM t GROUP BY node)
+ SELECT 'gaussian' AS entity, root AS root_id, node AS member_id FROM (SELECT *, count(*) OVER (PARTITION BY root) AS z FROM g) WHERE z >= 5 AND node <> root
+ UNION ALL SELECT 'run', root, node FROM (SELECT *, count(*) OVER (PARTITION BY root) AS z FROM h) WHERE z >= 3 AND node <> root""",
+    "p8_found": f"WITH {_WINDOWS} SELECT * FROM r",
+    "p8_share": f"""WITH {_WINDOWS}, x AS (SELECT doc_id, sum(span_end - span_start)::BIGINT AS c, count(*) AS n FROM r GROUP BY doc_id), y AS (SELECT doc_id, max(coalesce(length(text), 0)) AS n_chars FROM documents GROUP BY doc_id)
+ SELECT doc_id, n_chars, coalesce(c, 0) AS shared_chars, coalesce(n, 0) AS spans, round(CASE WHEN n_chars > 0 THEN coalesce(c, 0) / n_chars ELSE 0 END, 6) AS share FROM y LEFT JOIN x USING (doc_id)""",
+}
