@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,12 +17,20 @@ def squared(a: list[str], b: list[str]) -> Column:
     return sum((g * g for g in gaps[1:]), gaps[0] * gaps[0])
 
 
-def _cell_width(refs: DataFrame, q: list[str], extent: float, k: int) -> float:
-    """The widest of twelve halvings of the extent at which an occupied cell holds about k points or fewer."""
-    widths = [max(extent, 1e-9) / 2**i for i in range(1, 13)]
-    cells = [F.approx_count_distinct(F.xxhash64("grp", *(F.floor(F.col(c) / w) for c in q))).alias(str(i)) for i, w in enumerate(widths)]
-    row = refs.agg(F.count("*").alias("n"), *cells).first()
-    return next((w for i, w in enumerate(widths) if row["n"] <= max(2.0, k) * row[str(i)]), widths[-1])
+def _cell_width(refs: DataFrame, q: list[str], extent: float, k: int, rows: int = 20_000) -> float:
+    """The widest halving of the extent at which no cell should hold more than about 4 k points, by a bounded sample of hashed ids."""
+    total = refs.count()
+    share = min(1 << 20, int(1.05 * rows / max(total, 1) * (1 << 20)) + 1)
+    table = refs.filter(F.pmod(F.xxhash64("dst"), F.lit(1 << 20)) < share).select(F.xxhash64("grp").alias("g"), *q).limit(rows).toArrow()
+    data = np.stack([table.column(c).to_numpy() for c in q], axis=1)
+    group = table.column("g").to_numpy()
+    scale = total / max(len(data), 1)
+    for i in range(1, 21):
+        width = max(extent, 1e-9) / 2**i
+        cells = np.concatenate([group[:, None], np.floor(data / width).astype(np.int64)], axis=1)
+        if not len(cells) or np.unique(cells, axis=0, return_counts=True)[1].max() * scale <= max(4 * k, 32):
+            break
+    return width
 
 
 def knn_join(queries: DataFrame, refs: DataFrame, k: int, key: str, axes: list[str], group: str, exclude_self: bool = True) -> DataFrame:
@@ -40,8 +49,11 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, key: str, axes: list[s
     if spans[0] is None:
         return left.select("grp", "src", F.col("src").alias("dst"), F.lit(0).alias("rank"), F.lit(0.0).alias("dist")).limit(0)
     extent = max(spans)
+    everyone = cut(right.groupBy("grp").agg((F.count("*") - int(exclude_self)).alias("others")), "knn")
+    # Of points at one place only the k + 1 smallest ids can be anyone's neighbours, so a place with very many stays a small cell.
+    same = F.row_number().over(Window.partitionBy("grp", *q).orderBy("dst"))
+    right = cut(right.withColumn("same", same).filter(F.col("same") <= k + 1).drop("same"), "knn")
     width, step, done = _cell_width(right, q, extent, k), 2, []
-    everyone = right.groupBy("grp").agg((F.count("*") - int(exclude_self)).alias("others"))
     cells = [f"c{i}" for i in range(len(axes))]
     while True:
         around = left
