@@ -7,13 +7,15 @@ centres, propagation, merging) runs over all rows.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldmill.operators import graph as g
 from fieldmill.operators import knn as kn
 from fieldmill.operators import vectors as vc
 from fieldmill.operators.labels import dense_labels
+from fieldmill.session import cut, partitions
 
 #: Greatest sample: 20 000 rows of 32 doubles are 5 MB.
 MOST_SAMPLE = 20_000
@@ -24,6 +26,21 @@ def hash_sample(df: DataFrame, key: str, rows: int, seed: str = "0") -> DataFram
     return df.orderBy(F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))), key).limit(min(rows, MOST_SAMPLE))
 
 
+def group_sample(df: DataFrame, key: str, group: str, rows: int, seed: str = "0") -> DataFrame:
+    """Up to ``rows`` rows of each group, by the order of ``hash_sample``.
+
+    Rows whose hash is far beyond their group's share are dropped before the sort, so a hot group is not one task's sort.
+    """
+    rows = min(rows, MOST_SAMPLE)
+    sizes = df.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n"))
+    hashed = df.withColumn("_h", F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))))
+    near = hashed.join(F.broadcast(sizes), F.col(group).eqNullSafe(F.col("_g")))
+    place = F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") / 2**32
+    near = near.filter(place * F.col("_n") <= rows + 10 * rows**0.5 + 100).repartition(partitions(df.sparkSession), group)
+    rank = F.row_number().over(Window.partitionBy(group).orderBy("_h", key))
+    return near.withColumn("_rank", rank).filter(F.col("_rank") <= rows).select(df.columns)
+
+
 def merge_small(df: DataFrame, key: str, vec: str, label: str, least: int) -> DataFrame:
     """Clusters under ``least`` rows join the large one of most similar centre (none large: all become 0); labels are renumbered."""
     counts = df.groupBy(label).agg(F.count("*").alias("n"))
@@ -38,6 +55,12 @@ def merge_small(df: DataFrame, key: str, vec: str, label: str, least: int) -> Da
     return dense_labels(moved, "_l", "label", keep_negative=False).select(key, F.col("label").cast("bigint").alias("label"))
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Unit rows of a column of equally wide vectors."""
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-6)
+
+
 def density_hierarchy(x: np.ndarray, min_size: int = 10, epsilon: float = 0.0) -> np.ndarray:
     """HDBSCAN labels of a matrix (-1: noise): mutual-reachability spanning tree, condensed tree, excess of mass, epsilon merge.
 
@@ -47,19 +70,35 @@ def density_hierarchy(x: np.ndarray, min_size: int = 10, epsilon: float = 0.0) -
     if n < max(2, 2 * min_size):
         return np.full(n, -1)
     square = (x * x).sum(axis=1)
-    row = lambda i: np.sqrt(np.maximum(square + square[i] - 2 * (x @ x[i]), 0))
     near = min(min_size, n) - 1
-    core = np.array([np.partition(row(i), near)[near] for i in range(n)])
-    best, source, inside = np.full(n, np.inf), np.zeros(n, dtype=np.int64), np.zeros(n, bool)
-    at, tree = 0, []
+    core = np.empty(n)
+    for i in range(0, n, 64):
+        gaps = (-2 * x[i : i + 64]) @ x.T
+        gaps += square
+        gaps += square[i : i + 64, None]
+        gaps.partition(near, axis=1)
+        core[i : i + 64] = np.maximum(gaps[:, near], 0)
+    # Squared distances to the points still outside; the arrays are packed whenever half of them are inside.
+    out, px, ps, pc = np.arange(n), x, square.copy(), core.copy()
+    best, source = np.full(n, np.inf), np.zeros(n, dtype=np.int64)
+    at, tree, spent = 0, [], 1
+    pc[0] = np.inf
     for _ in range(n - 1):
-        inside[at] = True
-        reach = np.maximum(np.maximum(row(at), core), core[at])
-        closer = ~inside & (reach < best)
+        reach = px @ (-2 * x[at])
+        reach += ps
+        reach += square[at]
+        np.maximum(reach, pc, out=reach)
+        np.maximum(reach, core[at], out=reach)
+        closer = reach < best
         best[closer], source[closer] = reach[closer], at
-        nxt = int(np.where(inside, np.inf, best).argmin())
-        tree.append((best[nxt], source[nxt], nxt))
-        at = nxt
+        k = int(best.argmin())
+        nxt = int(out[k])
+        tree.append((float(np.sqrt(best[k])), int(source[k]), nxt))
+        best[k] = pc[k] = np.inf
+        at, spent = nxt, spent + 1
+        if 2 * spent > len(out):
+            kept = np.flatnonzero(pc < np.inf)
+            out, px, ps, pc, best, source, spent = out[kept], px[kept], ps[kept], pc[kept], best[kept], source[kept], 0
     tree.sort()
     parent = list(range(2 * n - 1))
     size, kids, height = [1] * n + [0] * (n - 1), {}, {}
@@ -92,7 +131,7 @@ def density_hierarchy(x: np.ndarray, min_size: int = 10, epsilon: float = 0.0) -
     birth[0] = 0.0
     while stack:
         node, c, born = stack.pop()
-        points[c], stability[c], children[c] = members(node), 0.0, []
+        points[c], stability[c], children[c] = node, 0.0, []
         while True:
             if node < n:
                 break
@@ -128,8 +167,8 @@ def density_hierarchy(x: np.ndarray, min_size: int = 10, epsilon: float = 0.0) -
             raised.add(c)
         final = [c for c in raised if not any(a in raised for a in _ancestors(c, up))]
     labels = np.full(n, -1)
-    for label, c in enumerate(sorted(final, key=lambda c: min(points[c]))):
-        labels[points[c]] = label
+    for label, found in enumerate(sorted((members(points[c]) for c in final), key=min)):
+        labels[found] = label
     return labels
 
 
@@ -152,22 +191,49 @@ def jaccard_distances(members: list[set]) -> np.ndarray:
     return out
 
 
-def density_clusters(df: DataFrame, key: str, vec: str, sample_rows: int = MOST_SAMPLE, min_size: int = 10, epsilon: float = 0.01) -> DataFrame:
+def density_clusters(df: DataFrame, key: str, vec: str, sample_rows: int = MOST_SAMPLE, min_size: int = 10, epsilon: float = 0.01, group: str | None = None) -> DataFrame:
     """``key``, ``label``, ``conf`` of all rows: density clusters of a sample, then every row to the nearest cluster mean (noise too).
 
+    Vectors are equally wide. With ``group`` each group has a sample and clusters of its own (labels go on from group to group); a group is one task's hierarchy.
     No cluster found: all -1 with confidence 0. Confidence is the cosine, moved to 0..1. Null vectors have no label.
     """
-    known = df.filter(F.col(vec).isNotNull()).select(key, vc.normalise(vec).alias("u"))
-    rows = hash_sample(known, key, sample_rows).orderBy(key).collect()
-    labels = density_hierarchy(np.array([r["u"] for r in rows]).reshape(len(rows), -1), min_size, epsilon)
-    found = sorted(set(labels[labels >= 0].tolist()))
-    if not found:
-        return known.select(key, F.lit(-1).cast("bigint").alias("label"), F.lit(0.0).alias("conf"))
-    x = np.array([r["u"] for r in rows])
-    centres = np.stack([x[labels == k].mean(axis=0) for k in found])
-    centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-6)
-    scored = vc.score_centres(known, key, "u", [int(k) for k in found], centres)
-    return scored.select(key, "label", ((F.col("score") + 1) / 2).alias("conf"))
+    spark = df.sparkSession
+    known = df.filter(F.col(vec).isNotNull()).select(key, (F.col(group).cast("bigint") if group else F.lit(0).cast("bigint")).alias("grp"), F.col(vec).alias("u"))
+    known = cut(known, "vectors")
+
+    def means(table: pa.Table) -> pa.Table:
+        table = table.sort_by(key)
+        x = _matrix(table.column("u").combine_chunks())
+        labels = density_hierarchy(x, min_size, epsilon)
+        found = np.unique(labels[labels >= 0])
+        centres = [x[labels == k].mean(axis=0) for k in found]
+        centres = [c / max(np.linalg.norm(c), 1e-6) for c in centres]
+        grp = table.column("grp").combine_chunks().take(pa.array(np.zeros(len(found), dtype=np.int64)))
+        return pa.table({"grp": grp, "label": pa.array(found, pa.int64()), "centre": pa.array([c.tolist() for c in centres], pa.list_(pa.float64()))})
+
+    sample = group_sample(known, key, "grp", sample_rows).repartition(partitions(spark), "grp")
+    rows = sample.groupBy("grp").applyInArrow(means, "grp bigint, label bigint, centre array<double>").collect()
+    rows.sort(key=lambda r: (r["grp"] is not None, r["grp"], r["label"]))
+    first, matrices = {}, {}
+    for i, r in enumerate(rows):
+        first.setdefault(r["grp"], i)
+        matrices.setdefault(r["grp"], []).append(r["centre"])
+    matrices = {g: np.array(m) for g, m in matrices.items()}
+    kind = known.schema[key].dataType.simpleString()
+
+    def nearest(batches):
+        for batch in batches:
+            for part in (batch.slice(i, 4096) for i in range(0, len(batch), 4096)):
+                groups, vectors = np.array(part.column(1).to_pylist(), dtype=object), _matrix(part.column(2))
+                label, conf = np.full(len(part), -1, dtype=np.int64), np.zeros(len(part))
+                for g in set(groups.tolist()) & set(matrices):
+                    at = np.flatnonzero(np.equal(groups, g))
+                    scores = vectors[at] @ matrices[g].T
+                    best = np.round(scores, 9).argmax(axis=1)
+                    label[at], conf[at] = first[g] + best, (scores[np.arange(len(at)), best] + 1) / 2
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(label), pa.array(conf)], [key, "label", "conf"])
+
+    return known.mapInArrow(nearest, f"`{key}` {kind}, label bigint, conf double")
 
 
 def _fiedler(w: np.ndarray) -> np.ndarray | None:

@@ -43,9 +43,9 @@ def st2(s, d):
 
 @query("g15_density_clusters")
 def g15(s, d):
-    f = load(s, d, "features").filter(F.size("f") == 32).select("gid", F.col("f").cast("array<double>").alias("f")).distinct()
+    f = load(s, d, "features").filter(F.size("f") == 32).select("gid", "scene_id", "f").distinct()
     usable = f.filter(F.forall("f", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("f", lambda x: x != 0))
-    return cl.density_clusters(usable, "gid", "f", sample_rows=2000).select("gid", "label", F.round("conf", 6).alias("conf"))
+    return cl.density_clusters(usable, "gid", "f", group="scene_id").select("gid", "label", F.round("conf", 6).alias("conf"))
 
 
 @query("g13_cut_clusters")

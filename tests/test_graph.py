@@ -87,6 +87,29 @@ def test_density_clusters_cover_all_rows(spark):
     assert len(got) == 90 and all(got[i] == got[i % 3] for i in range(90)) and len(set(got.values())) == 3
 
 
+def test_density_clusters_of_every_scene_are_found(spark):
+    # 240 groups of 12 in four scenes: a sample of 2 000 pooled rows leaves most of them under 10 rows.
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(240, 32))
+    made = [(i, i % 240 % 4, (centres[i % 240] + r.normal(size=32) * 0.02).tolist()) for i in range(2880)]
+    df = spark.createDataFrame(made, "gid bigint, s int, v array<double>")
+    got = {x["gid"]: (x["label"], x["conf"]) for x in cl.density_clusters(df, "gid", "v", group="s").collect()}
+    assert len(got) == 2880 and {v[0] for v in got.values()} == set(range(240))
+    assert all(got[i][0] == got[i % 240][0] and got[i][1] > 0.9 for i in got)
+    few = cl.group_sample(df, "gid", "s", 100)
+    assert [x["count"] for x in few.groupBy("s").count().collect()] == [100] * 4
+
+
+def test_density_query_finds_small_groups(spark, tmp_path):
+    from fieldmill.plans.io_queries import g15
+
+    r = np.random.default_rng(6)
+    centres = r.normal(size=(400, 32))
+    made = [(i, i % 400 % 5, (centres[i % 400] + r.normal(size=32) * 0.02).tolist()) for i in range(4800)]
+    spark.createDataFrame(made, "gid bigint, scene_id int, f array<float>").write.parquet(f"{tmp_path}/features.parquet")
+    assert g15(spark, str(tmp_path)).select("label").distinct().count() == 400
+
+
 def test_local_scale_never_falls_below_the_group_median(spark):
     _, df = cloud(spark, 40)
     near = kn.knn_join(df, df, 4, "gid", ["x", "y", "z"], "s")
