@@ -1,7 +1,7 @@
 """Clustering of a bounded sample and its extension to all rows: density hierarchy, normalised cuts, merging of small clusters.
 
-The sample size is a parameter with a documented bound; it goes through the driver as one matrix. Everything after the sample (nearest
-centres, propagation, merging) runs over all rows.
+The sample size is a parameter with a documented bound; each group's (scene's) sample is clustered in one task. Everything after the
+sample (nearest centres, propagation, merging) runs over all rows.
 """
 
 from __future__ import annotations
@@ -41,6 +41,19 @@ def group_sample(df: DataFrame, key: str, group: str, rows: int, seed: str = "0"
     return near.withColumn("_rank", rank).filter(F.col("_rank") <= rows).select(df.columns)
 
 
+def merge_small_within(df: DataFrame, key: str, group: str, vec: str, label: str, least: int) -> DataFrame:
+    """``merge_small`` in each group by itself (none large in a group: it becomes one cluster); labels go on from group to group."""
+    counts = df.groupBy(group, label).agg(F.count("*").alias("n"))
+    centres = cut(vc.group_means(df, [group, label], vec).join(counts, [group, label]), "centres")
+    large = centres.filter(F.col("n") >= least).select(group, F.col(label).alias("_target"), F.col("centre").alias("_to"))
+    pairs = centres.filter(F.col("n") < least).join(large, group, "left")
+    rank = F.row_number().over(Window.partitionBy(group, label).orderBy(F.desc(F.round(vc.dot("centre", "_to"), 9)), "_target"))
+    moved = pairs.withColumn("_k", rank).filter("_k = 1").select(group, label, F.coalesce("_target", F.lit(0)).alias("_l"))
+    named = moved.union(centres.filter(F.col("n") >= least).select(group, label, F.col(label).alias("_l")))
+    dense = named.withColumn("_new", (F.dense_rank().over(Window.orderBy(group, "_l")) - 1).cast("bigint")).select(group, label, "_new")
+    return df.select(key, group, label).join(F.broadcast(dense), [group, label]).select(key, group, F.col("_new").alias("label"))
+
+
 def merge_small(df: DataFrame, key: str, vec: str, label: str, least: int) -> DataFrame:
     """Clusters under ``least`` rows join the large one of most similar centre (none large: all become 0); labels are renumbered."""
     counts = df.groupBy(label).agg(F.count("*").alias("n"))
@@ -236,52 +249,108 @@ def density_clusters(df: DataFrame, key: str, vec: str, sample_rows: int = MOST_
     return known.mapInArrow(nearest, f"`{key}` {kind}, label bigint, conf double")
 
 
-def _fiedler(w: np.ndarray) -> np.ndarray | None:
-    degree = w.sum(axis=1)
+#: A weighted graph: number of nodes, both ends and weight of each edge (both ways).
+Graph = tuple[int, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _graph(w: np.ndarray | Graph) -> Graph:
+    if isinstance(w, tuple):
+        return w
+    i, j = np.nonzero(w)
+    return len(w), i, j, w[i, j]
+
+
+def _part(graph: Graph, nodes: np.ndarray) -> Graph:
+    n, i, j, w = graph
+    place = np.full(n, -1)
+    place[nodes] = np.arange(len(nodes))
+    kept = (place[i] >= 0) & (place[j] >= 0)
+    return len(nodes), place[i[kept]], place[j[kept]], w[kept]
+
+
+def _leading(apply, first: np.ndarray, tol: float = 1e-8, width: int = 64, keep: int = 8, rounds: int = 150) -> np.ndarray | None:
+    """The leading eigenvector of a symmetric map besides the known ``first``: Lanczos with restarts from its ``keep`` best directions.
+
+    Not within 1e-3 (the reference's tolerance) after all rounds: None.
+    """
+    n = len(first)
+    q, a = np.zeros((width + 1, n)), np.zeros((width, n))
+    start = np.random.default_rng(0).normal(size=n)  # has a share of every direction, smooth ones too
+    start -= first * (first @ start)
+    q[0], have = start / np.linalg.norm(start), 0
+    for _ in range(rounds):
+        m, closed = width, False
+        for k in range(have, width):
+            a[k] = apply(q[k])
+            a[k] -= first * (first @ a[k])
+            rest = a[k].copy()
+            for _ in range(2):
+                rest -= first * (first @ rest)
+                rest -= (q[: k + 1] @ rest) @ q[: k + 1]
+            length = np.linalg.norm(rest)
+            if length < 1e-12:
+                m, closed = k + 1, True
+                break
+            q[k + 1] = rest / length
+        t = q[:m] @ a[:m].T
+        values, s = np.linalg.eigh((t + t.T) / 2)
+        best = s[:, -1] @ q[:m]
+        error = np.linalg.norm(s[:, -1] @ a[:m] - values[-1] * best)
+        if closed or error <= tol:
+            return best
+        top = s[:, -keep:].T
+        q[:keep], a[:keep], q[keep] = top @ q[:m], top @ a[:m], q[m]
+        have = keep
+    return best if error <= 1e-3 else None
+
+
+def _fiedler(graph: Graph) -> np.ndarray | None:
+    n, i, j, w = graph
+    degree = np.bincount(i, weights=w, minlength=n)
     if (degree > 1e-8).sum() < 2:
         return None
     d = 1 / np.sqrt(np.maximum(degree, 1e-8))
+    scaled = w * d[i] * d[j]
     try:
-        if len(w) <= 2000:
-            vector = np.linalg.eigh(np.eye(len(w)) - d[:, None] * w * d)[1][:, 1]
-        else:  # power iteration on the shifted matrix, without its known first vector
+        if n <= 256:
+            dense = np.eye(n)
+            np.subtract.at(dense, (i, j), scaled)
+            vector = np.linalg.eigh(dense)[1][:, 1]
+        else:  # the shifted matrix, on its edges only
             first = np.sqrt(np.maximum(degree, 1e-8))
-            first /= np.linalg.norm(first)
-            vector = np.cos(np.arange(len(w)) * 1.7)
-            for _ in range(300):
-                vector = vector + d * (w @ (d * vector))
-                vector -= first * (first @ vector)
-                vector /= np.linalg.norm(vector)
+            vector = _leading(lambda x: x + np.bincount(i, weights=scaled * x[j], minlength=n), first / np.linalg.norm(first))
     except np.linalg.LinAlgError:
         return None
+    if vector is None:
+        return None
     lead = np.flatnonzero(np.abs(vector) > 1e-12)
     return vector * np.sign(vector[lead[0]]) if len(lead) else vector
 
 
-def _components(w: np.ndarray) -> np.ndarray:
-    label = np.full(len(w), -1)
-    for start in range(len(w)):
-        if label[start] < 0:
-            stack = [start]
-            label[start] = start
-            while stack:
-                for j in np.flatnonzero((w[stack.pop()] > 0) & (label < 0)):
-                    label[j] = start
-                    stack.append(int(j))
-    return label
+def _components(graph: Graph) -> np.ndarray:
+    n, i, j, w = graph
+    i, j = i[w > 0], j[w > 0]
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, i, label[j])
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
 
 
-def propose_cut(w: np.ndarray, min_size: int, limit: float) -> tuple[float, np.ndarray] | None:
-    """(score, left side) of the best split of a weight matrix, or None: components first, else the second eigenvector at its quartiles and 0."""
-    n = len(w)
+def propose_cut(w: np.ndarray | Graph, min_size: int, limit: float) -> tuple[float, np.ndarray] | None:
+    """(score, left side) of the best split of a weight matrix or graph, or None: components first, else the second eigenvector at its quartiles and 0."""
+    graph = n, i, j, w = _graph(w)
     if n < max(2 * min_size, 4):
         return None
-    label = _components(w)
+    label = _components(graph)
     names, sizes = np.unique(label, return_counts=True)
     if len(names) > 1:
         left = label == names[sizes.argmax()]
         return (0.0, left) if min(left.sum(), n - left.sum()) >= min_size else None
-    vector = _fiedler(w)
+    vector = _fiedler(graph)
     if vector is None:
         return None
     best = None
@@ -289,44 +358,56 @@ def propose_cut(w: np.ndarray, min_size: int, limit: float) -> tuple[float, np.n
         left = vector <= threshold
         if min(left.sum(), n - left.sum()) < min_size:
             continue
-        a, b, cut = w[left].sum(), w[~left].sum(), w[left][:, ~left].sum()
-        if a > 1e-8 and b > 1e-8 and (best is None or cut / a + cut / b < best[0]):
-            best = (cut / a + cut / b, left)
+        a, b, across = w[left[i]].sum(), w[~left[i]].sum(), w[left[i] & ~left[j]].sum()
+        if a > 1e-8 and b > 1e-8 and (best is None or across / a + across / b < best[0]):
+            best = (across / a + across / b, left)
     return best if best and best[0] <= limit else None
 
 
-def recursive_cut(w: np.ndarray, max_clusters: int = 24, min_size: int = 128, limit: float = 0.12) -> np.ndarray:
+def recursive_cut(w: np.ndarray | Graph, max_clusters: int = 24, min_size: int = 128, limit: float = 0.12) -> np.ndarray:
     """Labels by repeatedly taking the best proposed cut; larger clusters get smaller labels. Proposals are kept until their cluster is cut."""
-    clusters: list[tuple[np.ndarray, tuple | None]] = [(np.arange(len(w)), propose_cut(w, min_size, limit))]
+    graph = _graph(w)
+    clusters: list[tuple[np.ndarray, tuple | None]] = [(np.arange(graph[0]), propose_cut(graph, min_size, limit))]
     while len(clusters) < max_clusters:
         open_ones = [(p[0], i) for i, (_, p) in enumerate(clusters) if p]
         if not open_ones:
             break
         nodes, (_, left) = clusters.pop(min(open_ones)[1])
         for part in (nodes[left], nodes[~left]):
-            clusters.append((part, propose_cut(w[np.ix_(part, part)], min_size, limit)))
-    labels = np.full(len(w), -1)
+            clusters.append((part, propose_cut(_part(graph, part), min_size, limit)))
+    labels = np.full(graph[0], -1)
     for i, (nodes, _) in enumerate(sorted(clusters, key=lambda c: (-len(c[0]), c[0][0] if len(c[0]) else -1))):
         labels[nodes] = i
     return labels
 
 
-def cut_clusters(points: DataFrame, key: str, axes: list[str], vec: str, sample_rows: int = 2000, k: int = 16, max_clusters: int = 24, min_size: int = 128, limit: float = 0.12, min_all: int = 128) -> DataFrame:
-    """``key``, ``label``, ``conf`` of all rows: affinity graph of a sample, recursive normalised cuts, small ones merged, labels propagated
-    to all rows by neighbour votes, small ones merged again. ``sample_rows`` bounds the dense matrix on the driver."""
-    one = points.withColumn("_one", F.lit(0))
-    sample = hash_sample(one, key, sample_rows).select(key, "_one", *axes, vec)
-    near = kn.knn_join(sample, sample, k, key, axes, "_one")
-    edges = g.affinity_edges(near, sample, key, vec).collect()
-    ids = sorted({r[key] for r in sample.select(key).collect()})
-    place = {v: i for i, v in enumerate(ids)}
-    w = np.zeros((len(ids), len(ids)))
-    for e in edges:
-        w[place[e["src"]], place[e["dst"]]] = e["w"]
-    labels = recursive_cut(w, max_clusters, min_size, limit)
-    named = points.sparkSession.createDataFrame([(i, int(x)) for i, x in zip(ids, labels)], f"`{key}` bigint, label bigint")
-    merged = merge_small(sample.join(named, key), key, vec, "label", min_size)
-    refs = sample.join(merged, key)
-    votes = g.propagate(kn.knn_join(one, refs, k, key, axes, "_one", exclude_self=False), one, refs, key, vec, "label").withColumnRenamed("src", key)
-    final = merge_small(points.select(key, vec).join(votes.select(key, "label"), key), key, vec, "label", min_all)
-    return final.join(votes.select(key, F.col("share").alias("conf")), key)
+def cut_clusters(points: DataFrame, key: str, group: str, axes: list[str], vec: str, sample_rows: int = MOST_SAMPLE, k: int = 16, max_clusters: int = 24, min_size: int = 128, limit: float = 0.12) -> DataFrame:
+    """``key``, ``label``, ``conf`` of all rows, each group (scene) by itself: affinity graph of a sample, recursive normalised cuts, small
+    clusters merged, labels propagated to all rows by neighbour votes, small ones merged again. Labels go on from group to group.
+
+    A group's graph is cut in one task, on its edges (``sample_rows`` times 2 k at most). Rows with a null group or coordinate have no label.
+    """
+    spark = points.sparkSession
+    known = cut(points.select(F.col(key).cast("bigint").alias(key), F.col(group).cast("bigint").alias("grp"), *axes, vc.normalise(vec).alias("u")), "points")
+    sample = cut(group_sample(known, key, "grp", sample_rows), "sample")
+    near = cut(kn.knn_join(sample, sample, k, key, axes, "grp"), "near")
+    edges = g.affinity_edges(near, sample, key, "u").join(sample.select(F.col(key).alias("src"), "grp"), "src")
+
+    def cuts(nodes: pa.Table, links: pa.Table) -> pa.Table:
+        ids = np.sort(nodes.column(key).to_numpy())
+        i, j = (np.searchsorted(ids, links.column(c).to_numpy()) for c in ("src", "dst"))
+        order = np.lexsort((j, i))
+        labels = recursive_cut((len(ids), i[order], j[order], links.column("w").to_numpy()[order]), max_clusters, min_size, limit)
+        grp = pa.array(np.full(len(ids), nodes.column("grp")[0].as_py() if len(ids) else 0, dtype=np.int64))
+        return pa.table({"grp": grp, key: pa.array(ids), "label": pa.array(labels, pa.int64())})
+
+    tasks = partitions(spark)
+    nodes = sample.select("grp", key).repartition(tasks, "grp").groupBy("grp")
+    links = edges.select("grp", "src", "dst", "w").repartition(tasks, "grp").groupBy("grp")
+    named = cut(nodes.cogroup(links).applyInArrow(cuts, f"grp bigint, `{key}` bigint, label bigint"), "cuts")
+    merged = merge_small_within(sample.join(named.select(key, "label"), key), key, "grp", "u", "label", min_size)
+    refs = cut(sample.join(merged.select(key, "label"), key), "refs")
+    near = cut(kn.knn_join(known, refs, k, key, axes, "grp", exclude_self=False), "near")
+    votes = cut(g.propagate(near, known, refs, key, "u", "label").withColumnRenamed("src", key).select(key, "label", "share"), "votes")
+    final = merge_small_within(known.join(votes.select(key, "label"), key), key, "grp", "u", "label", min_size)
+    return final.join(votes.select(key, F.col("share").alias("conf")), key).select(key, "label", "conf")

@@ -51,8 +51,8 @@ def g15(s, d):
 @query("g13_cut_clusters")
 def g13(s, d):
     raw = load(s, d, "gaussians").filter(B.finite("x", "y", "z"))
-    p = raw.select("gid", *(F.col(c).cast("double").alias(c) for c in "xyz"), F.col("f_dc").cast("array<double>").alias("v")).distinct()
-    return cl.cut_clusters(p, "gid", ["x", "y", "z"], "v", sample_rows=1000, min_size=30, min_all=30).select("gid", "label")
+    p = raw.select("gid", "scene_id", *(F.col(c).cast("double").alias(c) for c in "xyz"), F.col("f_dc").cast("array<double>").alias("v")).distinct()
+    return cl.cut_clusters(p, "gid", "scene_id", ["x", "y", "z"], "v").select("gid", "label")
 
 
 @query("g17_sample", f"WITH {B.POINTS} SELECT gid FROM p ORDER BY md5('0' || gid::VARCHAR), gid LIMIT 500")

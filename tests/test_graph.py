@@ -79,6 +79,35 @@ def test_cuts_separate_planted_blocks():
     assert cl.propose_cut(apart, 5, 0.1)[0] == 0.0 and cl.propose_cut(apart, 11, 0.1) is None
 
 
+def test_sparse_cuts_equal_dense_ones():
+    r = np.random.default_rng(7)
+    x = np.sort(r.uniform(0, 20, 700))
+    w = np.exp(-((x[:, None] - x) ** 2) * 4) * (np.abs(x[:, None] - x) < 1)
+    np.fill_diagonal(w, 0)
+    d = 1 / np.sqrt(w.sum(axis=1))
+    values, vectors = np.linalg.eigh(np.eye(700) - d[:, None] * w * d)
+    found = cl._fiedler(cl._graph(w))
+    assert abs(abs(found @ vectors[:, 1]) - 1) < 1e-6
+
+
+def test_cut_query_cuts_each_scene(spark, tmp_path):
+    # Three scenes at one place, two blocks of 200 points each; and one scene under the least cluster size.
+    r = np.random.default_rng(8)
+    made = []
+    for scene in range(3):
+        for block in range(2):
+            for _ in range(200):
+                x, y, z = (r.normal(size=3) + [40 * block, 0, 0]).tolist()
+                made.append((len(made), scene, x, y, z, [1.0, float(block), float(scene)]))
+    made += [(1200 + i, 3, *r.normal(size=3).tolist(), [1.0, 0.0, 0.0]) for i in range(40)]
+    spark.createDataFrame(made, "gid bigint, scene_id int, x float, y float, z float, f_dc array<float>").write.parquet(f"{tmp_path}/gaussians.parquet")
+    from fieldmill.plans.io_queries import g13
+
+    got = {x["gid"]: x["label"] for x in g13(spark, str(tmp_path)).collect()}
+    assert len(got) == 1240 and set(got.values()) == set(range(7))
+    assert all(got[i] == got[i // 200 * 200] for i in range(1200)) and all(got[1200 + i] == got[1200] for i in range(40))
+
+
 def test_density_clusters_cover_all_rows(spark):
     r = np.random.default_rng(4)
     made = [(i, (np.eye(3)[i % 3] + r.normal(size=3) * 0.02).tolist()) for i in range(90)] + [(90, None)]
