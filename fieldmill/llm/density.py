@@ -213,3 +213,23 @@ def describe_clusters(clusters: DataFrame, df: DataFrame, id_col: str, vec_col:
     best = scored.withColumn("rank", rank).filter(F.col("rank") <= typical)
     grouped = best.groupBy("root_id").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("rank", "member_id"))).alias("t"))
     return grouped.select("root_id", "size", F.col("t.member_id").alias("typical")).repartition(partitions(spark), "root_id")
+
+
+def describe_boxes(clusters: DataFrame, df: DataFrame, id_col: str, group_col: str, columns: list[str], reach: list[float], typical: int = 3) -> DataFrame:
+    """``describe_clusters`` for the clusters of ``box_clusters``: the members closest to the mean of the columns, each scaled by its reach.
+
+    The sum of squared distances to all members is least at the member closest to their mean, so the first one is the medoid.
+    """
+    everyone = clusters.select("root_id", "member_id", "size").union(clusters.select("root_id", F.col("root_id").alias("member_id"), "size").distinct())
+    scaled = [(F.col(c).cast("double") / r).alias(f"x{i}") for i, (c, r) in enumerate(zip(columns, reach))]
+    known = df.select(F.col(id_col).cast("bigint").alias("member_id"), F.col(group_col).alias("grp"), *scaled)
+    for i in range(len(columns)):
+        known = known.filter(F.col(f"x{i}").isNotNull() & ~F.isnan(f"x{i}"))
+    known = known.filter("grp is not null").drop("grp")
+    joined = cut(everyone.join(known, "member_id").dropDuplicates(["root_id", "member_id"]), "members")
+    means = joined.groupBy("root_id").agg(*(F.avg(f"x{i}").alias(f"m{i}") for i in range(len(columns))))
+    gap = sum(((F.col(f"x{i}") - F.col(f"m{i}")) * (F.col(f"x{i}") - F.col(f"m{i}")) for i in range(len(columns))), F.lit(0.0))
+    rank = F.row_number().over(Window.partitionBy("root_id").orderBy(F.round(gap, 9), "member_id"))
+    best = joined.join(means, "root_id").withColumn("rank", rank).filter(F.col("rank") <= typical)
+    grouped = best.groupBy("root_id").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("rank", "member_id"))).alias("t"))
+    return grouped.select("root_id", "size", F.col("t.member_id").alias("typical"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmill.llm.density import box_clusters, describe_clusters, vector_clusters
+from fieldmill.llm.density import box_clusters, describe_boxes, describe_clusters, vector_clusters
 from fieldmill.llm.mixing import mix_shards, mix_shares, mix_sources
 from fieldmill.llm.neighbours import as_pairs, cosine_neighbours, position_neighbours
 from fieldmill.llm.spans import shared_intervals, shared_passages, shared_share
@@ -23,9 +23,11 @@ def _gaussian_clusters(spark: SparkSession, root: str) -> DataFrame:
     return vector_clusters(load(spark, root, "features"), "gid", "f", dim=32, min_sim=0.96, min_size=5)
 
 
+_RUN = ("run_id", "suite_id", ["num_clusters", "cluster_confidence_mean"], [3, 0.02])
+
+
 def _run_clusters(spark: SparkSession, root: str) -> DataFrame:
-    columns = ["num_clusters", "cluster_confidence_mean"]
-    return box_clusters(load(spark, root, "ablation_runs"), "run_id", "suite_id", columns, [3, 0.02], min_size=3)
+    return box_clusters(load(spark, root, "ablation_runs"), *_RUN, min_size=3)
 
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
@@ -34,7 +36,9 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p5_clusters(spark: SparkSession, root: str) -> DataFrame:
-    return describe_clusters(_gaussian_clusters(spark, root), load(spark, root, "features"), "gid", "f", dim=32)
+    vectors = describe_clusters(_gaussian_clusters(spark, root), load(spark, root, "features"), "gid", "f", dim=32)
+    runs = describe_boxes(_run_clusters(spark, root), load(spark, root, "ablation_runs"), *_RUN)
+    return vectors.select(F.lit("gaussian").alias("entity"), "*").union(runs.select(F.lit("run").alias("entity"), "*"))
 
 
 def p6_ids(spark: SparkSession, root: str) -> DataFrame:

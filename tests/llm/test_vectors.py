@@ -119,6 +119,25 @@ def test_descriptions(spark):
     assert [r["size"] for r in got] == [6] * len(got) and all(len(r["typical"]) == 3 for r in got)
 
 
+def test_run_clusters_are_described(spark, data):
+    from fieldmill.llm import queries
+
+    members = {}
+    for r in queries.p5_found(spark, data).collect():
+        members.setdefault((r["entity"], r["root_id"]), {r["root_id"]}).add(r["member_id"])
+    got = queries.p5_clusters(spark, data).collect()
+    assert {(r["entity"], r["root_id"]): r["size"] for r in got} == {k: len(v) for k, v in members.items()}
+    rows = spark.read.parquet(f"{data}/ablation_runs.parquet").collect()
+    place = {r["run_id"]: np.array([(r["num_clusters"] or 0) / 3, (r["cluster_confidence_mean"] or 0) / 0.02]) for r in rows}
+    runs = [r for r in got if r["entity"] == "run"]
+    assert runs
+    for r in runs:
+        own = sorted(members["run", r["root_id"]])
+        assert set(r["typical"]) <= set(own) and len(r["typical"]) == 3
+        cost = {a: sum(((place[a] - place[b]) ** 2).sum() for b in own) for a in own}
+        assert cost[r["typical"][0]] <= min(cost.values()) + 1e-6
+
+
 def test_border_points_do_not_join_clusters():
     near = [(np.array([0, 0, 0, 1, 1, 2, 2, 3, 3, 3, 4, 4, 5, 5, 2, 3]), np.array([0, 1, 2, 0, 1, 0, 2, 3, 4, 5, 3, 4, 3, 5, 3, 2]))]
     ids, root = density.local_clusters(np.arange(6), iter(near), 3)
