@@ -147,8 +147,13 @@ def s30(s, d):
     from fieldmill.sources.colmap import hull_points
 
     p = B.points(s, d)
-    low, high = p.agg(F.min("x"), F.max("x")).first()
-    return hull_points(s, p, 1000).agg(F.count("*").cast("int").alias("n"), F.bool_and(F.col("x").between(low, high)).alias("inside"))
+    box = p.agg(*(f(c).alias(f"{n}_{c}") for c in "xyz" for n, f in (("low", F.min), ("high", F.max)))).first()
+    inside = F.lit(True)
+    for c in "xyz":
+        inside = inside & F.coalesce(F.col(c).between(box[f"low_{c}"], box[f"high_{c}"]), F.lit(False))
+    for c in ("red", "green", "blue"):
+        inside = inside & F.coalesce(F.col(c).between(0, 255), F.lit(False))
+    return hull_points(s, p, 1000).agg(F.count("*").cast("int").alias("n"), F.bool_and(inside).alias("inside"))
 
 
 @query("g20_jaccard_clusters")

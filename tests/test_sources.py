@@ -100,3 +100,15 @@ def test_catalog(tmp_path):
         catalog.source_kind(str(tmp_path))
     (tmp_path / "transforms.json").write_text("{}")
     assert catalog.source_kind(str(tmp_path)) == "per_frame"
+
+
+def test_hull_query_checks_every_axis_and_colour(spark, data, monkeypatch):
+    from fieldmill.plans.io_queries import s30
+    from fieldmill.sources import colmap
+
+    assert tuple(s30(spark, data).first()) == (1000, True)
+    drawn = colmap.hull_points
+    assert drawn(spark, spark.createDataFrame([(0.0, 1.0, 2.0), (1.0, 3.0, 5.0)], "x double, y double, z double"), 100_000).count() == 100_000
+    for column in ("y", "z", "red", "green", "blue"):
+        monkeypatch.setattr(colmap, "hull_points", lambda *a, c=column: drawn(*a).withColumn(c, F.lit(10_000_000)))
+        assert not s30(spark, data).first()["inside"]
