@@ -7,6 +7,7 @@ and the files' footers give the key ranges of the store's manifest.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,20 @@ from pyspark.sql import functions as F
 
 from fieldmill.session import scratch_path
 
-#: A JSON object without inner objects; braces inside strings don't count.
-FLAT_OBJECT = r'\{(?:[^{}"]|"(?:[^"\\]|\\.)*")*\}'
+def objects_in(body: str, keys: list[str]) -> list[str]:
+    """The text of each complete JSON object of ``body`` that has all ``keys``, inner objects included in it; others are looked into."""
+    decode, found, at = json.JSONDecoder().raw_decode, [], body.find("{")
+    while at >= 0:
+        end = at + 1
+        try:
+            value, stop = decode(body, at)
+            if all(value.get(k) is not None for k in keys):
+                found.append(body[at:stop])
+                end = stop
+        except (ValueError, RecursionError):
+            pass
+        at = body.find("{", end)
+    return found
 
 
 def extract_records(files: DataFrame, body: str, keys: dict[str, str], keep: tuple[str, ...] = ()) -> DataFrame:
@@ -25,7 +38,9 @@ def extract_records(files: DataFrame, body: str, keys: dict[str, str], keep: tup
     line, in an array or in any mixture; records of one body keep their number. A torn object ends where the next one begins.
     """
     schema = ", ".join(f"`{k}` {t}" for k, t in keys.items())
-    found = files.select(*keep, F.explode(F.regexp_extract_all(F.col(body), F.lit(FLAT_OBJECT), F.lit(0))).alias("record"))
+    names = list(keys)
+    scan = F.udf(lambda text: objects_in(text, names) if text else [], "array<string>")
+    found = files.select(*keep, F.explode(scan(F.col(body))).alias("record"))
     parsed = found.withColumn("_key", F.from_json("record", schema))
     for k in keys:
         parsed = parsed.filter(F.col(f"_key.{k}").isNotNull())

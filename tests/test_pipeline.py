@@ -28,6 +28,12 @@ def test_records_of_every_shape(spark):
     assert rows(found.select("kind", "uid", "idx")) == [("masks", u, i) for u, i in ((1, 0), (1, 1), (2, 0), (2, 1), (3, 0), (4, 0))]
 
 
+def test_records_with_inner_objects(spark):
+    bodies = ['{"uid":1,"idx":0,"box":{"x":1,"at":{"y":2}}}\n{"uid":1,"idx":1}', '[{"meta":{"a":[{}]},"uid":2,"idx":0}]', '{"rows":[{"uid":3,"idx":0}]}', '{"uid":4,"idx":0,"box":{"x":1}\n{"uid":5,"idx":0}']
+    found = smallfiles.extract_records(files(spark, bodies), "body", {"uid": "bigint", "idx": "int"}, ("kind",))
+    assert rows(found.select("kind", "uid", "idx")) == [("masks", u, i) for u, i in ((1, 0), (1, 1), (2, 0), (3, 0), (5, 0))]
+
+
 def test_store_holds_each_record_once_and_sorted(spark, tmp_path):
     bodies = ['{"uid":%d,"idx":%d,"area":%d}' % (i % 50, i % 3, i) for i in range(600)]
     path, manifest = smallfiles.consolidate_files(files(spark, bodies), path=f"file://{tmp_path}/store", target_bytes=2000)
