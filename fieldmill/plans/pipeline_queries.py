@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldmill.operators import drift, references, smallfiles
@@ -11,12 +11,26 @@ from fieldmill.session import cut, load
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
     path, _ = smallfiles.consolidate_files(load(spark, root, "aux_files"))
-    return spark.read.parquet(path).select("kind", "uid", "idx")
+    return smallfiles.read_store(spark, path).select("kind", "uid", "idx")
+
+
+def _manifest(spark: SparkSession, root: str) -> DataFrame:
+    return smallfiles.consolidate_files(load(spark, root, "aux_files"), target_bytes=1 << 20, run_bytes=8 << 20, range_bytes=8 << 20)[1]
 
 
 def p1_manifest(spark: SparkSession, root: str) -> DataFrame:
-    _, files = smallfiles.consolidate_files(load(spark, root, "aux_files"), target_bytes=1 << 20)
-    return files.select(F.col("rows"), F.col("first_key"), F.col("last_key"))
+    return _manifest(spark, root).select("rows", "first_key", "last_key")
+
+
+def p1_ranges(spark: SparkSession, root: str) -> DataFrame:
+    """The manifest summed up for each kind: records, least and greatest key, and how many files overlap the one before."""
+    before = Window.partitionBy("first_key.kind").orderBy("first_key")
+    files = _manifest(spark, root).withColumn("over", (F.col("first_key") <= F.lag("last_key").over(before)).cast("int"))
+    mixed = (F.col("first_key.kind") != F.col("last_key.kind")).cast("int")
+    return files.groupBy(F.col("first_key.kind").alias("kind")).agg(
+        F.sum("rows").alias("rows"), F.min("first_key.uid").alias("first_uid"), F.max("last_key.uid").alias("last_uid"),
+        F.coalesce(F.sum("over"), F.lit(0)).cast("bigint").alias("overlaps"), F.sum(mixed).cast("bigint").alias("mixed"),
+    )
 
 
 def _drift(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -64,7 +78,7 @@ def p4_report(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_manifest": p1_manifest, "p3_found": p3_found, "p3_table": p3_table, "p3_failed_casts": p3_failed_casts,
+    "p1_found": p1_found, "p1_manifest": p1_manifest, "p1_ranges": p1_ranges, "p3_found": p3_found, "p3_table": p3_table, "p3_failed_casts": p3_failed_casts,
     "p4_found": p4_found, "p4_report": p4_report,
 }
 
@@ -94,6 +108,10 @@ SQL = {
     "p1_found": r"""
 WITH o AS (SELECT kind, unnest(regexp_extract_all(body, '\{(?:[^{}"]|"(?:[^"\\]|\\.)*")*\}')) AS r FROM aux_files)
 SELECT DISTINCT kind, (r->>'uid')::BIGINT AS uid, (r->>'idx')::INT AS idx FROM o WHERE json_valid(r) AND r->>'uid' IS NOT NULL AND r->>'idx' IS NOT NULL""",
+    "p1_ranges": """WITH r AS (SELECT kind, unnest(json_extract(CASE WHEN ltrim(body, ' \n\r\t' || chr(65279)) LIKE '[%' THEN body END, '$[*]')) AS r FROM aux_files WHERE json_valid(body)
+ UNION ALL SELECT kind, trim(x, ' ,[]' || chr(13) || chr(9) || chr(65279)) FROM (SELECT kind, unnest(string_split(body, chr(10))) AS x FROM aux_files) WHERE json_valid(trim(x, ' ,[]' || chr(13) || chr(9) || chr(65279)))),
+ k AS (SELECT DISTINCT kind, (r->>'uid')::BIGINT AS uid, (r->>'idx')::INT AS idx FROM r WHERE r->>'uid' IS NOT NULL AND r->>'idx' IS NOT NULL)
+ SELECT kind, count(*) AS rows, min(uid) AS first_uid, max(uid) AS last_uid, 0::BIGINT AS overlaps, 0::BIGINT AS mixed FROM k GROUP BY kind""",
     "p4_found": _P4 + "SELECT * FROM found WHERE state IS NOT NULL",
     "p4_report": _P4 + "SELECT ref_table, ref_field, state, period, count(*) AS refs FROM found WHERE state IS NOT NULL GROUP BY ALL",
 }

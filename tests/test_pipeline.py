@@ -34,22 +34,80 @@ def test_records_with_inner_objects(spark):
     assert rows(found.select("kind", "uid", "idx")) == [("masks", u, i) for u, i in ((1, 0), (1, 1), (2, 0), (3, 0), (5, 0))]
 
 
+@pytest.mark.parametrize("inner", ["[" + "1," * 500_000 + "1]", '"' + "x{" * 500_000 + '"', '{"a":{"b":[' + ",".join('{"c":1}' for _ in range(100_000)) + "]}}"])
+def test_records_of_a_megabyte(spark, inner):
+    bodies = ['{"uid":1,"idx":0,"f":%s}\n{"uid":1,"idx":1}' % inner]
+    found = smallfiles.extract_records(files(spark, bodies), "body", {"uid": "bigint", "idx": "int"}, ("kind",))
+    assert rows(found.select("kind", "uid", "idx", F.length("record"))) == [("masks", 1, 0, len(bodies[0]) - 18), ("masks", 1, 1, 17)]
+
+
+def test_records_deeper_than_the_decoder(spark):
+    deep = '{"uid":1,"idx":0,"d":%s,"e":2}' % ("[" * 200_000 + "]" * 200_000)
+    assert [v["idx"] for v, _ in smallfiles.objects_in(deep + '{"uid":1,"idx":5}', ["uid", "idx"])] == [0, 5]
+    assert [v["idx"] for v, _ in smallfiles.objects_in(deep[:-9] + '\n{"uid":1,"idx":5}', ["uid", "idx"])] == [5]
+
+
+def test_keys_that_do_not_fit(spark):
+    bodies = ['{"uid":"1","idx":0}{"uid":1.0,"idx":2}{"uid":true,"idx":1}{"uid":1,"idx":3000000000}{"uid":1,"idx":1.5}']
+    found = smallfiles.extract_records(files(spark, bodies), "body", {"uid": "bigint", "idx": "int"}, ("kind",))
+    assert rows(found.select("uid", "idx")) == [(1, 2)]
+
+
+SMALL = {"run_bytes": 1500, "range_bytes": 4000}
+
+
 def test_store_holds_each_record_once_and_sorted(spark, tmp_path):
-    bodies = ['{"uid":%d,"idx":%d,"area":%d}' % (i % 50, i % 3, i) for i in range(600)]
-    path, manifest = smallfiles.consolidate_files(files(spark, bodies), path=f"file://{tmp_path}/store", target_bytes=2000)
-    store = spark.read.parquet(path)
-    assert rows(store.select("uid", "idx")) == sorted({(i % 50, i % 3) for i in range(600)})
+    bodies = ['{"uid":%d,"idx":%d,"area":%d}' % (i % 25, i % 3, i) for i in range(600)]
+    path, manifest = smallfiles.consolidate_files(files(spark, bodies).repartition(7), path=f"file://{tmp_path}/store", target_bytes=2000, fan_in=3, **SMALL)
+    store = smallfiles.read_store(spark, path)
+    assert rows(store.select("uid", "idx")) == sorted({(i % 25, i % 3) for i in range(600)})
+    first = {}
+    for i, body in enumerate(bodies):  # odd numbers arrive first; of equal arrivals the least text stays
+        first[i % 25, i % 3] = min(first.get((i % 25, i % 3), (2, "")), (1 - i % 2, body))
+    assert all(first[r["uid"], r["idx"]][1] == r["record"] for r in store.collect())
     parts = sorted(manifest.collect(), key=lambda r: r["first_key"])
     assert len(parts) > 1 and sum(r["rows"] for r in parts) == store.count()
     assert all(a["last_key"] < b["first_key"] for a, b in zip(parts, parts[1:]))
 
 
-def test_consolidation_keeps_duplicates_and_takes_an_empty_table(spark, tmp_path):
+@pytest.mark.parametrize("hot", [0.0, 0.4])
+def test_merge_keeps_duplicates_and_cuts_a_hot_key(spark, tmp_path, hot):
+    import random
+
+    r = random.Random(int(hot * 10))
+    made = [(None if r.random() < 0.1 else ("hot" if r.random() < hot else f"k{r.randrange(40):02d}"), r.randrange(5), "v" * r.randrange(9)) for _ in range(4000)]
+    df = spark.createDataFrame(made, "k string, n int, v string")
+    out = smallfiles.consolidate(df.repartition(5), ["k", "n"], f"file://{tmp_path}/s", target_bytes=4000, run_bytes=20_000, range_bytes=10_000, fan_in=4)
+    store = smallfiles.read_store(spark, f"file://{tmp_path}/s")
+    key = lambda x: (x[0] is not None, x[0] or "", x[1], x[2])
+    assert sorted(map(tuple, store.collect()), key=key) == sorted(made, key=key)
+    assert sum(x["rows"] for x in out.collect()) == 4000
+    if hot:
+        assert sum(x["first_key"]["k"] == "hot" == x["last_key"]["k"] for x in out.collect()) > 1
+
+
+def test_a_store_takes_more_records_and_updates_its_ranges(spark, tmp_path):
+    path = f"file://{tmp_path}/s"
+    df = spark.range(5000).select(F.col("id").alias("k"), F.lit("x").alias("v"))
+    one = smallfiles.consolidate(df, ["k"], path, target_bytes=3000, run_bytes=40_000, range_bytes=40_000).collect()
+    two = smallfiles.consolidate(df.filter("k between 1000 and 1100"), ["k"], path, target_bytes=3000, run_bytes=40_000, range_bytes=40_000).collect()
+    assert smallfiles.read_store(spark, path).count() == 5101 == sum(r["rows"] for r in two)
+    untouched = {r["file"] for r in one if r["last_key"]["k"] < 1000 or r["first_key"]["k"] > 1100}
+    assert untouched and untouched <= {r["file"] for r in two} and len({r["file"] for r in one} - {r["file"] for r in two}) >= 1
+    keys = sorted((r["first_key"]["k"], r["last_key"]["k"]) for r in two)
+    assert all(a[1] <= b[0] for a, b in zip(keys, keys[1:]))
+    smallfiles.consolidate(df.limit(0), ["k"], path)
+    assert smallfiles.read_store(spark, path).count() == 5101
+
+
+def test_consolidation_of_odd_tables(spark, tmp_path):
     twice = spark.createDataFrame([("a", 1), ("a", 1), ("b", None)], "k string, v int")
     smallfiles.consolidate(twice, ["k", "v"], f"file://{tmp_path}/d")
-    assert spark.read.parquet(f"file://{tmp_path}/d").count() == 3
+    assert smallfiles.read_store(spark, f"file://{tmp_path}/d").count() == 3
     empty = smallfiles.consolidate(twice.limit(0), ["k", "v"], f"file://{tmp_path}/e")
-    assert empty.count() == 0 and spark.read.parquet(f"file://{tmp_path}/e").count() == 0
+    assert empty.count() == 0 and smallfiles.read_store(spark, f"file://{tmp_path}/e").count() == 0
+    with pytest.raises(ValueError):
+        smallfiles.consolidate(twice.withColumn("x", F.lit(1.5)), ["x"], f"file://{tmp_path}/f")
 
 
 def changes(spark, bodies, stream="s"):
