@@ -1,13 +1,15 @@
 """Clusters of mutually similar records: density clustering over overlapping spatial cells.
 
-Vectors are reduced to their leading principal axes (learned on a bounded sample); cuts at the medians of these axes make the cells, and
-a vector within a margin of a cut lies in the cells on both sides. Each cell is clustered on its own, with the full vectors. Clusters of
-different cells that share a core point are the same cluster: the links between their least members are merged as connected components.
+Vectors are reduced to their leading principal axes (learned on a bounded sample); cuts at sparse places of these axes make the cells, and
+a vector within a margin of a cut lies in the cells on both sides. Cells too large by exact counts are divided further. Each cell is
+clustered on its own, with the full vectors: points with enough similar ones are core, similar core points are one cluster, others join
+the core beside them. Clusters of different cells that share a core point are the same cluster: the links between their least members
+are merged as connected components.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,176 +17,197 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldmill.llm import codes as C
-from fieldmill.llm.neighbours import _INDEX, _index_batch, _without_copies
+from fieldmill.llm.neighbours import _INDEX, Reader, _index_batch
 from fieldmill.operators.components import connected_components
 from fieldmill.session import cut, partitions
 
-_LINK = "id bigint, root bigint"
-_LINKS = [pa.int64(), pa.int64()]
+_LINK = "id bigint, root bigint, core boolean"
+_LINKS = [pa.int64(), pa.int64(), pa.bool_()]
+_LINK_NAMES = ["id", "root", "core"]
 
+#: Cells of the similarity matrix of a cell that are held at once.
+_BLOCK = 4_000_000
 
-def local_clusters(ids: np.ndarray, near: Iterator[tuple[np.ndarray, np.ndarray]], min_core: int) -> tuple[np.ndarray, np.ndarray]:
-    """(id, least id of its local cluster) of all points of a cell in a cluster of two or more; ``near`` gives the similar places.
 
-    Points with ``min_core`` similar ones (itself included) are core and join clusters; others take the least core point beside them.
+def _join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``label`` (each point's root) after the roots ``a`` and ``b`` are joined, pair by pair, under the least."""
+    up = np.arange(len(label))
+    while len(a):
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        np.minimum.at(up, high, low)
+        while not (up == up[up]).all():
+            up = up[up]
+        a, b = up[a], up[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+    return up[label]
+
+
+def local_clusters(ids: np.ndarray, similar: Callable[[int, int], np.ndarray], min_core: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, least id of its local cluster, whether core) of the points of a cell that are in a cluster, without the roots themselves.
+
+    ``similar(s, e)`` is the boolean matrix of rows s to e against all; it is made a block at a time and never kept, so a cell of n points
+    costs memory in proportion to n. Points with ``min_core`` similar ones (itself included) are core and join clusters; others join the
+    core point beside them whose cluster has the least root. ``ids`` are in order.
     """
-    found = list(near)
-    i, j = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
-    core = np.bincount(i, minlength=len(ids)) >= min_core
-    label = np.where(core, np.arange(len(ids)), len(ids))
-    both = core[i] & core[j]
-    a, b = i[both], j[both]
-    start = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else np.zeros(0, int)
-    who = a[start]
-    while len(who):
-        best = np.minimum.reduceat(label[b], start)
-        new = label.copy()
-        np.minimum.at(new, label[who], best)
-        new[who] = np.minimum(new[who], best)
-        new[who] = new[new[who]]
-        if (new == label).all():
-            break
-        label = new
-    edge = ~core[i] & core[j]
-    np.minimum.at(label, i[edge], label[j[edge]])
-    keep = (label < len(ids)) & (label != np.arange(len(ids)))
-    return ids[keep], ids[label[keep]]
+    n = len(ids)
+    step = max(1, _BLOCK // n)
+    whole = similar(0, n) if step >= n else None
+    block = (lambda s: whole) if whole is not None else (lambda s: similar(s, min(n, s + step)))
+    core = np.concatenate([block(s).sum(axis=1) for s in range(0, n, step)]) >= min_core
+    label = np.arange(n)
+    edge = np.zeros(n, bool)
+    for s in range(0, n, step):
+        near = block(s) & core
+        mine = core[s : s + step]
+        i, j = np.nonzero(near[mine] & (label[s : s + step][mine][:, None] > label) if n > 1 else near[mine])
+        if len(i):
+            pairs = np.unique(label[np.flatnonzero(mine) + s][i] * n + label[j])
+            label = _join_labels(label, pairs // n, pairs % n)
+        edge[s : s + step] = ~mine & near.any(axis=1)
+    joined = np.where(core, label, n)
+    for s in sorted({i // step * step for i in np.flatnonzero(edge).tolist()}):
+        at = np.flatnonzero(edge[s : s + step])
+        joined[s + at] = np.where(block(s)[at] & core, label, n).min(axis=1)
+    keep = (joined < n) & (joined != np.arange(n))
+    return ids[keep], ids[joined[keep]], core[keep]
 
 
 def _merged(links: DataFrame, min_size: int) -> DataFrame:
-    """Links (id, local root) to root_id, member_id, size of the clusters of at least ``min_size``."""
-    links = cut(links.distinct(), "links")
+    """Links (id, local root, core) to root_id, member_id, size of the clusters of at least ``min_size``. Only core points merge clusters."""
+    every = cut(links.groupBy("id", "root").agg(F.max("core").alias("core")), "links")
+    links = every.filter("core").select("id", "root")
     own = links.groupBy("id").agg(F.min("root").alias("root"))
     joined = links.join(own.withColumnRenamed("root", "least"), "id").filter("root <> least").select("root", "least").distinct()
-    chained = own.filter("root <> id").join(links.select(F.col("root").alias("id")).distinct(), "id", "left_semi")
+    chained = own.join(every.select(F.col("root").alias("id")).distinct(), "id", "left_semi")
     merged = connected_components(joined.union(chained.select(F.col("id").alias("root"), F.col("root").alias("least"))), "root", "least")
-    roots = own.join(merged.select(F.col("node").alias("root"), "component"), "root", "left")
-    named = roots.select(F.coalesce("component", "root").alias("root_id"), F.col("id").alias("member_id"))
+    names = merged.select(F.col("node").alias("root"), "component")
+    named = own.join(names, "root", "left").select(F.coalesce("component", "root").alias("root_id"), F.col("id").alias("member_id"))
     # Least members of local clusters that another one took in are members too, without a link of their own.
     taken = merged.select(F.col("component").alias("root_id"), F.col("node").alias("member_id"))
-    members = cut(named.union(taken).filter("root_id <> member_id").distinct(), "members")
+    cores = own.select("id").union(every.select("root")).distinct()
+    border = every.filter("not core").join(cores, "id", "left_anti").join(names, "root", "left")
+    border = border.groupBy("id").agg(F.min(F.coalesce("component", "root")).alias("root_id")).select("root_id", F.col("id").alias("member_id"))
+    # The root of a cluster is its least member, which a border point may be.
+    grouped = named.union(taken).union(border)
+    least = grouped.groupBy("root_id").agg(F.least(F.min("member_id"), F.first("root_id")).alias("least"))
+    both = grouped.union(grouped.select("root_id", F.col("root_id").alias("member_id"))).join(least, "root_id")
+    members = cut(both.select(F.col("least").alias("root_id"), "member_id").filter("root_id <> member_id").distinct(), "members")
     sizes = members.groupBy("root_id").agg((F.count("*") + 1).alias("size")).filter(F.col("size") >= min_size)
     return members.join(sizes, "root_id")
 
 
 def vector_clusters(
-    df: DataFrame, id_col: str, vec_col: str, dim: int, min_sim: float = 0.96, min_size: int = 5, min_core: int = 2,
+    df: DataFrame, id_col: str, vec_col: str, dim: int, min_sim: float = 0.96, min_size: int = 5, min_core: int = 5,
     cell_rows: int = 768, margin: float = 0.6, sample_rows: int = 20_000, hot_rows: int = 16_384,
 ) -> DataFrame:
-    """``root_id``, ``member_id``, ``size``: each member but the root (the least id) of every cluster of at least ``min_size`` vectors that
-    are linked by a cosine of ``min_sim`` or more (in double, rounded to 6 decimals).
+    """``root_id``, ``member_id``, ``size``: each member but the root (the least id) of every density cluster of at least ``min_size``
+    vectors; two are similar from a cosine of ``min_sim`` up (in double, rounded to 6 decimals).
 
     Usable vectors are ``dim`` finite numbers, not all zero; others and null ids are in no cluster. Rows repeated under an id count once;
     bit-identical vectors are linked without being compared in pairs. An empty table gives no rows. ``min_core`` is the number of similar
-    points (itself included) that makes a core point; as clusters are taken by their size after merging, two suffices. ``margin``: the
-    overlap on each side of a cut, as a multiple of the typical difference of a projection between vectors just ``min_sim`` alike.
+    points (itself included) that makes a core point; a point beside the cores of several clusters goes to the one of least root.
+    ``margin``: the overlap on each side of a cut, as a multiple of the typical difference of a projection between vectors just
+    ``min_sim`` alike. Cells above ``hot_rows`` rows are divided; those that can't be, as their rows are all alike, are laid out in blocks
+    around a ball of mutually similar rows.
     """
     total = df.count()
     rows = C.usable_vectors(C.fixed_sample(df, id_col, sample_rows, total, vec_col).column(0).combine_chunks(), dim)[1]
     sample = C.unit(rows) if len(rows) else rows.astype(np.float64)
     bits = int(np.clip(round(np.log2(max(total, 1) / cell_rows)), 1, dim))
-    reduction = C.learn_rotation(sample, bits, quantise=False)
     width = margin * np.sqrt(2 * max(0.0, 1 - min_sim) / dim)
-    hot = C.hot_keys(C.mix(C.codes_of(reduction.project(sample))), len(sample), total, hot_rows)
+    reduction = C.learn_rotation(sample, bits, quantise=False, width=width)
     limit = round(min_sim, 6) - 5e-7
 
+    def base(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rows, code = C.both_sides(reduction.project(u), width)
+        return rows, C.mix(code)
+
+    reader = Reader(lambda column: C.usable_vectors(column, dim), min_core - 1)
+    index = C.BucketIndex(base, 1, width, cell_rows)
+
+    def points(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        ids, values, _, kept, _, _ = reader.read(batch)
+        return ids[kept], C.unit(values[kept]) if len(kept) else np.zeros((0, dim))
+
+    source = df.select(F.col(id_col).cast("bigint").alias("id"), vec_col).filter("id is not null")
+    index.refine(source, points, dim, hot_rows, lambda: reader.look(source, hot_rows // 4), least=min_sim)
+
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, values = C.usable_vectors(batch.column(1), dim)
-            ids = batch.column(0).to_numpy(zero_copy_only=False)[at]
-            if not len(at):
-                continue
-            kept, rest, rep = _without_copies(ids, values, np.zeros((len(ids), 0)), 1)
-            r, c = C.probes(reduction.project(C.unit(values[kept])), width, all_flips=True)
-            r, keys = C.in_blocks(r, C.mix(c), ids[kept], hot)
-            yield _index_batch(ids, values, kept, rest, rep, r, keys)
+            ids, values, _, kept, rest, rep = reader.read(batch)
+            if len(ids):
+                r, keys = index.places(C.unit(values[kept]) if len(kept) else np.zeros((0, dim)), ids[kept])
+                yield _index_batch(ids, values, kept, rest, rep, r, keys)
 
     def kernel(key: int, ids: np.ndarray, values: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         u = C.unit(values)
         small = u.astype(np.float32)
-        step = max(1, 4_000_000 // len(ids))
 
-        def near() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for s in range(0, len(ids), step):
-                sim = small[s : s + step] @ small.T
-                i, j = np.nonzero(sim >= np.float32(limit - 1e-5))
-                close = sim[i, j] < np.float32(limit + 1e-5)
-                i = i + s
-                at = np.flatnonzero(close)
-                good = np.ones(len(i), bool)
-                good[at] = np.einsum("ij,ij->i", u[i[at]], u[j[at]]) >= limit
-                yield i[good], j[good]
+        def similar(s: int, e: int) -> np.ndarray:
+            sim = small[s:e] @ small.T
+            good = sim >= np.float32(limit)
+            i, j = np.nonzero(np.abs(sim - np.float32(limit)) < 1e-5)  # too close to call in single precision
+            good[i, j] = np.einsum("ij,ij->i", u[i + s], u[j]) >= limit
+            return good
 
-        yield local_clusters(ids, near(), min_core)
+        yield local_clusters(ids, similar, min_core)
 
-    index = df.select(F.col(id_col).cast("bigint").alias("id"), vec_col).filter("id is not null").mapInArrow(build, _INDEX)
-    return _merged(C.by_bucket(index, kernel, "<f4", dim, ["id", "root"], _LINKS, _LINK), min_size)
+    built = source.mapInArrow(build, _INDEX)
+    links = C.by_bucket(built, kernel, "<f4", dim, _LINK_NAMES, _LINKS, _LINK, C.task_count(df, 2 * total, 4 * dim + 24))
+    return _merged(links.select("id", "root", F.coalesce("core", F.lit(True)).alias("core")), min_size)
 
 
 def box_clusters(
-    df: DataFrame, id_col: str, group_col: str, columns: list[str], reach: list[float], min_size: int = 3, min_core: int = 2,
-    cells: float = 4.0, sample_rows: int = 20_000, hot_rows: int = 16_384,
+    df: DataFrame, id_col: str, group_col: str, columns: list[str], reach: list[float], min_size: int = 3, min_core: int = 3,
+    cells: float = 4.0, hot_rows: int = 16_384,
 ) -> DataFrame:
     """As ``vector_clusters`` for a few numbers within a group: two records are similar if they differ by at most ``reach`` in each column.
 
-    Cells are ``cells`` reaches wide and overlap by half a reach on each side, so no similar pair is separated. Rows with a null or NaN
-    column, id or group are in no cluster.
+    Cells are ``cells`` reaches wide (one, where rows are dense) and overlap by half a reach on each side, so no similar pair is separated.
+    Rows with a null or NaN column, id or group are in no cluster.
     """
     dim = len(columns)
     vector = F.array(*(F.col(c).cast("double") for c in columns)).alias("v")
-    narrow = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(group_col).cast("bigint").alias("g"), vector)
+    narrow = df.select(F.col(id_col).cast("bigint").alias("id"), vector, F.col(group_col).cast("bigint").alias("g"))
     for c in range(dim):
-        narrow = narrow.filter(F.col("v")[c].isNotNull() & ~F.isnan(F.col("v")[c]))
+        narrow = narrow.filter(F.col("v")[c].isNotNull() & ~F.isnan(F.col("v")[c]) & (F.abs(F.col("v")[c]) < float("inf")))
     narrow = narrow.filter("id is not null and g is not null")
     total = narrow.count()
     slack = np.array(reach) + 1e-9
 
-    def places(x: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        y = x / (slack * cells)
-        cell = np.floor(y)
-        part, edge = y - cell, 0.5 * (1 + 1e-6) / cells
-        rows, codes = np.arange(len(x)), cell.astype(np.int64)
-        for j in range(dim):
-            low, high = part[rows, j] <= edge, part[rows, j] >= 1 - edge
-            below, above = codes[low], codes[high]
-            below[:, j] -= 1
-            above[:, j] += 1
-            rows, codes = np.concatenate([rows, rows[low], rows[high]]), np.concatenate([codes, below, above])
-        return rows, C.mix(group[rows], *codes.T)
-
-    def matrix(column: pa.Array) -> np.ndarray:
-        return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-
-    table = C.fixed_sample(narrow, "id", sample_rows, total, "g", "v")
-    sampled = places(matrix(table.column(1).combine_chunks()), table.column(0).to_numpy())[1]
-    hot = C.hot_keys(sampled, table.num_rows, total, hot_rows)
+    def usable(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        values = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) + 0.0
+        return np.arange(len(values)), values
+
+    reader = Reader(usable, min_core - 1, group=2)
+    index = C.GridIndex(cells)
+
+    def points(batch: pa.RecordBatch) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        ids, values, group, kept, _, _ = reader.read(batch)
+        return ids[kept], (values[kept] / slack, group[kept])
+
+    index.refine(narrow, points, hot_rows, lambda: reader.look(narrow, hot_rows // 4))
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
-            ids, group = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            values = matrix(batch.column(2)) + 0.0
-            kept, rest, rep = _without_copies(ids, values, group[:, None], 1)
-            r, keys = places(values[kept], group[kept])
-            r, keys = C.in_blocks(r, keys, ids[kept], hot)
-            yield _index_batch(ids, values, kept, rest, rep, r, keys)
+            ids, values, group, kept, rest, rep = reader.read(batch)
+            if len(ids):
+                r, keys = index.places((values[kept] / slack, group[kept]), ids[kept])
+                yield _index_batch(ids, values, kept, rest, rep, r, keys)
 
     def kernel(key: int, ids: np.ndarray, values: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        step = max(1, 2_000_000 // len(ids))
-
-        def near() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for s in range(0, len(ids), step):
-                good = np.ones((len(ids[s : s + step]), len(ids)), bool)
-                for j in range(dim):
-                    good &= np.abs(values[s : s + step, None, j] - values[None, :, j]) <= slack[j]
-                i, j = np.nonzero(good)
-                yield i + s, j
+        def similar(s: int, e: int) -> np.ndarray:
+            good = np.ones((e - s, len(ids)), bool)
+            for j in range(dim):
+                good &= np.abs(values[s:e, None, j] - values[None, :, j]) <= slack[j]
+            return good
 
-        yield local_clusters(ids, near(), min_core)
+        yield local_clusters(ids, similar, min_core)
 
-    index = narrow.mapInArrow(build, _INDEX)
-    return _merged(C.by_bucket(index, kernel, "<f8", dim, ["id", "root"], _LINKS, _LINK), min_size)
+    built = narrow.mapInArrow(build, _INDEX)
+    links = C.by_bucket(built, kernel, "<f8", dim, _LINK_NAMES, _LINKS, _LINK, C.task_count(df, 2 * total, 8 * dim + 24))
+    return _merged(links.select("id", "root", F.coalesce("core", F.lit(True)).alias("core")), min_size)
 
 
 def describe_clusters(clusters: DataFrame, df: DataFrame, id_col: str, vec_col: str, dim: int, typical: int = 3) -> DataFrame:

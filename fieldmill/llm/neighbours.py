@@ -1,12 +1,13 @@
 """Most similar vectors for every vector, by multi-index hashing.
 
-A rotation learned on a bounded sample gives each vector a binary code; the code is split into substrings, each of which is one index. A
-vector is stored under its substrings and probes the neighbouring values whose differing bit is unsure, so codes within a Hamming
-radius meet in at least one index (pigeonhole); what meets is reranked with the float vectors, exactly. Positions use the same
-machinery with thermometer codes of rotated coordinates: there the probed margin is half the radius, so no pair within it is missed.
-
-Of vectors that are bit for bit alike, only the k + 1 smallest ids of an Arrow batch enter the index: others can't be anyone's k best,
-and their own best are those of the last one kept. Buckets that the sample shows to be hot are worked off in pairs of blocks.
+Rotations learned on a bounded sample give each vector a binary code of ``tables`` substrings; each substring is one index, and a vector
+is stored under all of them. Two codes that differ in fewer than ``tables`` bits agree in at least one substring (pigeonhole), so looking
+the substrings up retrieves every code within a Hamming radius of ``tables`` - 1; what meets is reranked with the float vectors, exactly.
+Positions use the cell numbers of rotated coordinates as their code and probe the values within half the radius: no pair is missed.
+
+Of vectors that are bit for bit alike, only the k + 1 least ids of an Arrow batch (of a content with very many copies: of the table) enter
+the index: others can't be anyone's k best, and their own best are those of the last one kept. Buckets too large by exact counts are
+divided by further bits (``codes.BucketIndex``).
 """
 
 from __future__ import annotations
@@ -27,10 +28,11 @@ _FOUND = "a bigint, b bigint, cost int"
 _TYPES = [pa.int64(), pa.int64(), pa.int32()]
 
 
-def _without_copies(ids: np.ndarray, values: np.ndarray, extra: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places kept for the index; places of the copies beyond k + 1; for each of these the kept id whose neighbours are also its own."""
-    raw = np.concatenate([values.view(np.int32).reshape(len(values), -1), extra.astype(np.int32).reshape(len(values), -1)], axis=1)
-    content = C.mix(*raw.T) if len(raw) else np.zeros(0, np.int64)
+def _without_copies(ids: np.ndarray, content: np.ndarray, raw: np.ndarray, k: int, heavy: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places kept for the index; places of the copies beyond k + 1; for each of these the kept id whose neighbours are also its own.
+
+    ``content``: digests of the rows of ``raw``. ``heavy``: contents with very many copies (sorted) and the k + 1 ids kept of each.
+    """
     order = np.lexsort((ids, content))
     new = np.append(True, (content[order][1:] != content[order][:-1]) | (raw[order][1:] != raw[order][:-1]).any(axis=1)) if len(raw) else np.zeros(0, bool)
     fresh = new | np.append(True, ids[order][1:] != ids[order][:-1]) if len(raw) else new
@@ -39,7 +41,42 @@ def _without_copies(ids: np.ndarray, values: np.ndarray, extra: np.ndarray, k: i
     rank = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
     head = np.repeat(start, np.diff(np.append(start, len(order))))
     rest = rank > k
-    return order[~rest], order[rest], ids[order[head[rest] + k]]
+    rep = ids[order[np.minimum(head + k, len(order) - 1)]] if len(order) else ids
+    if heavy is not None and len(heavy[0]):
+        hit, at = C.find(content[order], heavy[0])
+        rest[hit] = ~(heavy[1][at] == ids[order[hit]][:, None]).any(axis=1)
+        rep = rep.copy()
+        rep[hit] = heavy[1][at, k]
+    return order[~rest], order[rest], rep[rest]
+
+
+class Reader:
+    """Ids, values and copies of a batch (id, vector[, group]); ``heavy`` is filled by ``look``, once there are hot buckets."""
+
+    def __init__(self, usable, k: int, places: int = 1, group: int | None = None):
+        self.usable, self.k, self.at, self.group = usable, k, places, group
+        self.heavy: tuple[np.ndarray, np.ndarray] | None = None
+
+    def _content(self, batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        at, values = self.usable(batch.column(self.at))
+        ids = batch.column(0).to_numpy(zero_copy_only=False)[at]
+        group = batch.column(self.group).to_numpy(zero_copy_only=False)[at] if self.group is not None else None
+        raw = np.ascontiguousarray(values).view(np.int32).reshape(len(values), -1)
+        if group is not None:
+            raw = np.concatenate([raw, np.ascontiguousarray(group, dtype=np.int64).view(np.int32).reshape(len(group), -1)], axis=1)
+        return ids, values, group, raw, C.content_of(raw)
+
+    def read(self, batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        """ids, values, group, kept, rest, rep."""
+        ids, values, group, raw, content = self._content(batch)
+        return ids, values, group, *_without_copies(ids, content, raw, self.k, self.heavy)
+
+    def look(self, df: DataFrame, least: int) -> None:
+        def contents(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+            found = self._content(batch)
+            return found[0], found[4]
+
+        self.heavy = C.heavy_contents(df, contents, self.k + 1, least)
 
 
 def _index_batch(ids: np.ndarray, values: np.ndarray, kept: np.ndarray, rest: np.ndarray, rep: np.ndarray, rows: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
@@ -84,48 +121,55 @@ def _finish(found: DataFrame, k: int) -> DataFrame:
 
 
 def cosine_neighbours(
-    df: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 5, min_sim: float = 0.96, tables: int = 2,
-    bucket_rows: int = 512, margin: float = 0.5, sample_rows: int = 20_000, hot_rows: int = 16_384,
+    df: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 5, min_sim: float = 0.96, tables: int = 4,
+    bucket_rows: int = 256, sample_rows: int = 20_000, hot_rows: int = 16_384,
 ) -> DataFrame:
     """``a``, ``b``, ``similarity``: for every usable vector its ``k`` best others of at least ``min_sim`` (cosine in double, rounded to 6
     decimals; ties: smaller id first), with a small loss.
 
     Usable are ``dim`` finite numbers, not all zero; others, and rows with a null id, have no neighbours and are nobody's. Rows repeated
-    under an id count once. An empty table gives no rows. ``margin``: probed distance from a cut, as a multiple of the typical difference
-    of a projection between vectors just ``min_sim`` alike. ``sample_rows`` bounds the rows that the rotation is learned on.
+    under an id count once. An empty table gives no rows. A pair is compared if its codes, of ``tables`` times log2(rows / ``bucket_rows``)
+    bits, differ in fewer than ``tables`` of them (or in more, all outside one substring). ``sample_rows`` bounds the rows that the
+    rotations are learned on. Buckets above ``hot_rows`` are divided.
     """
     total = df.count()
     rows = C.usable_vectors(C.fixed_sample(df, id_col, sample_rows, total, vec_col).column(0).combine_chunks(), dim)[1]
     sample = C.unit(rows) if len(rows) else rows.astype(np.float64)
-    bits = int(np.clip(round(np.log2(max(total, 1) / bucket_rows)), 1, max(1, dim // tables)))
-    rotation = C.learn_rotation(sample, bits * tables)
-    width = margin * np.sqrt(2 * max(0.0, 1 - min_sim) / dim)
-    parts = [slice(t * bits, (t + 1) * bits) for t in range(tables)]
-    y = rotation.project(sample)
-    hot = C.hot_keys(np.concatenate([C.mix(t, C.codes_of(y[:, p])) for t, p in enumerate(parts)]), len(sample), total, hot_rows)
+    bits = int(np.clip(round(np.log2(max(total, 1) / bucket_rows)), 1, dim))
+    each = min(tables, max(1, dim // bits))  # substrings that one rotation gives
+    turns = [C.learn_rotation(sample, bits * min(each, tables - t), seed=7 + t) for t in range(0, tables, each)]
     limit = -int(round(min_sim * 1e6))
 
+    def substrings(u: np.ndarray) -> list[np.ndarray]:
+        y = np.concatenate([t.project(u) for t in turns], axis=1)
+        return [C.mix(t, C.codes_of(y[:, t * bits : (t + 1) * bits])) for t in range(tables)]
+
+    def base(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.tile(np.arange(len(u)), tables), np.concatenate(substrings(u))
+
+    reader = Reader(lambda column: C.usable_vectors(column, dim), k)
+    index = C.BucketIndex(base, tables, 0.0, bucket_rows)
+
+    def points(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        ids, values, _, kept, _, _ = reader.read(batch)
+        return ids[kept], C.unit(values[kept]) if len(kept) else np.zeros((0, dim))
+
+    source = df.select(F.col(id_col).cast("bigint").alias("id"), vec_col).filter("id is not null")
+    index.refine(source, points, dim, hot_rows, lambda: reader.look(source, hot_rows // 4))
+
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, values = C.usable_vectors(batch.column(1), dim)
-            ids = batch.column(0).to_numpy(zero_copy_only=False)[at]
-            if not len(at):
-                continue
-            kept, rest, rep = _without_copies(ids, values, np.zeros((len(ids), 0)), k)
-            y = rotation.project(C.unit(values[kept]))
-            rows, keys = [], []
-            for t, p in enumerate(parts):
-                r, c = C.probes(y[:, p], width, all_flips=False)
-                rows.append(r)
-                keys.append(C.mix(t, c))
-            r, key = C.in_blocks(np.concatenate(rows), np.concatenate(keys), ids[kept], hot)
-            yield _index_batch(ids, values, kept, rest, rep, r, key)
+            ids, values, _, kept, rest, rep = reader.read(batch)
+            if len(ids):
+                r, keys = index.places(C.unit(values[kept]) if len(kept) else np.zeros((0, dim)), ids[kept])
+                yield _index_batch(ids, values, kept, rest, rep, r, keys)
 
     def kernel(key: int, ids: np.ndarray, values: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         u = C.unit(values)
-        small = (u * np.float64(1)).astype(np.float32)
-        code = [C.codes_of(x) for x in (rotation.project(u)[:, p] for p in parts)]
-        own = [C.mix(t, c) for t, c in enumerate(code)]
+        small = u.astype(np.float32)
+        own = substrings(u)
+        here = [t for t in range(tables) if (own[t] == key).all()]
+        earlier = own[: here[0]] if here else []
         step = max(1, 4_000_000 // len(ids))
         for s in range(0, len(ids), step):
             cost = (small[s : s + step] @ small.T) * np.float32(-1e6)
@@ -133,16 +177,13 @@ def cosine_neighbours(
             i, j = _best(cost, limit, k)
             i = i + s
             a, b, c = _ranked(i, j, np.rint(np.einsum("ij,ij->i", u[i], u[j]) * -1e6).astype(np.int64), ids, limit, k)
-            # A pair whose own codes agree in an index is reported there only, in the first such index.
-            seen, here = np.zeros(len(a), bool), np.zeros(len(a), bool)
-            for x in [] if hot else own:
-                both = x[a] == x[b]
-                here |= both & ~seen & (x[a] == key)
-                seen |= both & ~here
+            seen = np.zeros(len(a), bool)  # a pair is reported in the first index in which its substrings agree
+            for x in earlier:
+                seen |= x[a] == x[b]
             yield ids[a[~seen]], ids[b[~seen]], c[~seen]
 
-    index = df.select(F.col(id_col).cast("bigint").alias("id"), vec_col).filter("id is not null").mapInArrow(build, _INDEX)
-    found = C.by_bucket(index, kernel, "<f4", dim, ["a", "b", "cost"], _TYPES, _FOUND)
+    built = source.mapInArrow(build, _INDEX)
+    found = C.by_bucket(built, kernel, "<f4", dim, ["a", "b", "cost"], _TYPES, _FOUND, C.task_count(df, tables * total, 4 * dim + 24))
     return _finish(found, k).select("a", "b", (F.col("cost") / F.lit(-1e6)).alias("similarity"))
 
 
@@ -154,48 +195,39 @@ def position_neighbours(
     double, rounded to 6 decimals; ties: smaller id first); none is missed.
 
     Usable are finite numbers on all axes; others, and rows whose id or group is null, have no neighbours. Rows repeated under an id
-    count once. The code of a position is the thermometer code of its cell (``cells`` radii wide) on each rotated axis, and the probes
-    are all cells within half a radius.
+    count once. The code of a position is that of its cell (``cells`` radii wide, one where the rows are dense) on each rotated axis, and
+    the probes are all cells within half a radius.
     """
     total = df.count()
     dim = len(axes)
     vector = F.array(*(F.col(c).cast("float") for c in axes)).alias("v")
-    narrow = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(group_col).cast("bigint").alias("g"), vector).filter("id is not null and g is not null")
-    table = C.fixed_sample(narrow, "id", sample_rows, total, "g", "v")
-    at, sample = C.usable_vectors(table.column(1).combine_chunks(), dim, nonzero=False)
+    narrow = df.select(F.col(id_col).cast("bigint").alias("id"), vector, F.col(group_col).cast("bigint").alias("g")).filter("id is not null and g is not null")
+    sample = C.usable_vectors(C.fixed_sample(narrow, "id", sample_rows, total, "v").column(0).combine_chunks(), dim, nonzero=False)[1]
     rotation = C.learn_rotation(sample.astype(np.float64), dim, quantise=False)
-    wide = cells * radius
     limit = int(round(radius * 1e6))
 
-    def places(x: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        y = rotation.project(x.astype(np.float64)) / wide
-        cell = np.floor(y)
-        part, edge = y - cell, 0.5 * (1 + 1e-6) / cells
-        rows, codes = np.arange(len(x)), cell.astype(np.int64)
-        for j in range(dim):
-            low, high = part[rows, j] <= edge, part[rows, j] >= 1 - edge
-            below, above = codes[low], codes[high]
-            below[:, j] -= 1
-            above[:, j] += 1
-            rows = np.concatenate([rows, rows[low], rows[high]])
-            codes = np.concatenate([codes, below, above])
-        return rows, C.mix(group[rows], *codes.T)
-
-    _, sampled = places(sample, table.column(0).to_numpy()[at])
-    hot = C.hot_keys(sampled, len(sample), total, hot_rows)
+    def usable(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        at, values = C.usable_vectors(column, dim, nonzero=False)
+        return at, values + np.float32(0)  # no negative zero
+
+    reader = Reader(usable, k, group=2)
+    index = C.GridIndex(cells)
+
+    def scaled(values: np.ndarray) -> np.ndarray:
+        return rotation.project(values.astype(np.float64)) / radius
+
+    def points(batch: pa.RecordBatch) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        ids, values, group, kept, _, _ = reader.read(batch)
+        return ids[kept], (scaled(values[kept]), group[kept])
+
+    index.refine(narrow, points, hot_rows, lambda: reader.look(narrow, hot_rows // 4))
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, values = C.usable_vectors(batch.column(2), dim, nonzero=False)
-            ids = batch.column(0).to_numpy(zero_copy_only=False)[at]
-            group = batch.column(1).to_numpy(zero_copy_only=False)[at]
-            if not len(at):
-                continue
-            values = values + np.float32(0)  # no negative zero
-            kept, rest, rep = _without_copies(ids, values, group[:, None], k)
-            rows, keys = places(values[kept], group[kept])
-            rows, keys = C.in_blocks(rows, keys, ids[kept], hot)
-            yield _index_batch(ids, values, kept, rest, rep, rows, keys)
+            ids, values, group, kept, rest, rep = reader.read(batch)
+            if len(ids):
+                rows, keys = index.places((scaled(values[kept]), group[kept]), ids[kept])
+                yield _index_batch(ids, values, kept, rest, rep, rows, keys)
 
     def kernel(key: int, ids: np.ndarray, values: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         x = values.astype(np.float64)
@@ -211,11 +243,48 @@ def position_neighbours(
             a, b, c = _ranked(i, j, np.rint(np.sqrt(((x[i] - x[j]) ** 2).sum(axis=1)) * 1e6).astype(np.int64), ids, limit, k)
             yield ids[a], ids[b], c
 
-    index = narrow.mapInArrow(build, _INDEX)
-    found = C.by_bucket(index, kernel, "<f4", dim, ["a", "b", "cost"], _TYPES, _FOUND)
+    built = narrow.mapInArrow(build, _INDEX)
+    found = C.by_bucket(built, kernel, "<f4", dim, ["a", "b", "cost"], _TYPES, _FOUND, C.task_count(df, 2 * total, 4 * dim + 24))
     return _finish(found, k).select("a", "b", (F.col("cost") / F.lit(1e6)).alias("distance"))
 
 
+def neighbour_recall(df: DataFrame, found: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 5, min_sim: float = 0.96, every: int = 100) -> DataFrame:
+    """One row: how many of the true ``k`` best partners, found by comparing every row whose id is divisible by ``every`` with all rows,
+    ``found`` (a, b) has: queries, pairs, hits, recall (1 without pairs).
+
+    The queries are the stated query set; they are broadcast in blocks of a documented size, each a scan of the table.
+    """
+    usable = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("v")).filter("id is not null")
+    asked = cut(usable.filter(F.col("id") % every == 0).dropDuplicates(["id"]), "queries")
+    pieces = max(1, -(-asked.count() // 16_384))
+    parts = []
+    for piece in range(pieces):
+        table = asked.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(pieces)) == piece).toArrow()
+        at, values = C.usable_vectors(table.column(1).combine_chunks(), dim)
+        ask, q = table.column(0).to_numpy()[at], C.unit(values) if len(at) else np.zeros((0, dim))
+
+        def run(batches: Iterable[pa.RecordBatch], ask=ask, q=q) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at, values = C.usable_vectors(batch.column(1), dim)
+                ids = batch.column(0).to_numpy(zero_copy_only=False)[at]
+                u = C.unit(values) if len(at) else np.zeros((0, dim))
+                for s in range(0, len(ids), 1024):
+                    sim = np.rint((u[s : s + 1024] @ q.T) * 1e6)
+                    i, j = np.nonzero(sim >= round(min_sim * 1e6))
+                    other = ids[s + i] != ask[j]
+                    i, j = i[other], j[other]
+                    yield pa.RecordBatch.from_arrays([pa.array(ask[j]), pa.array(ids[s + i]), pa.array(-sim[i, j].astype(np.int32))], ["a", "b", "cost"])
+
+        parts.append(usable.mapInArrow(run, _FOUND))
+    pairs = parts[0]
+    for part in parts[1:]:
+        pairs = pairs.union(part)
+    best = pairs.distinct().groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct("cost", "b"))), 1, k).alias("x")).select("a", F.explode("x.b").alias("b"))
+    hit = best.join(found.select("a", "b", F.lit(1).alias("hit")).distinct(), ["a", "b"], "left")
+    total = hit.agg(F.count_distinct("a").alias("queries"), F.count("*").alias("pairs"), F.coalesce(F.sum("hit"), F.lit(0)).alias("hits"))
+    return total.select("queries", "pairs", "hits", F.when(F.col("pairs") > 0, F.col("hits") / F.col("pairs")).otherwise(1.0).alias("recall"))
+
+
 def as_pairs(neighbours: DataFrame) -> DataFrame:
     """Unordered pairs gid_a < gid_b in which one is among the other's best."""
     return neighbours.select(F.least("a", "b").alias("gid_a"), F.greatest("a", "b").alias("gid_b")).distinct()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldmill.llm.density import box_clusters, describe_boxes, describe_clusters, vector_clusters
 from fieldmill.llm.mixing import mix_shards, mix_shares, mix_sources
-from fieldmill.llm.neighbours import as_pairs, cosine_neighbours, position_neighbours
+from fieldmill.llm.neighbours import as_pairs, cosine_neighbours, neighbour_recall, position_neighbours
 from fieldmill.llm.spans import shared_intervals, shared_passages, shared_share
 from fieldmill.llm.tokenizer import encode_corpus
 from fieldmill.session import load
@@ -19,6 +19,12 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return feature.select(F.lit("feature").alias("space"), "*").union(place.select(F.lit("xyz").alias("space"), "*"))
 
 
+def p2_recall(spark: SparkSession, root: str) -> DataFrame:
+    """Every vector whose id is divisible by 100 against all rows: its true best partners and how many of them the index finds."""
+    features = load(spark, root, "features")
+    return neighbour_recall(features, cosine_neighbours(features, "gid", "f", dim=32, k=5, min_sim=0.96), "gid", "f", dim=32, k=5, min_sim=0.96)
+
+
 def _gaussian_clusters(spark: SparkSession, root: str) -> DataFrame:
     return vector_clusters(load(spark, root, "features"), "gid", "f", dim=32, min_sim=0.96, min_size=5)
 
@@ -74,7 +80,7 @@ def p8_passages(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {
-    "p2_found": p2_found, "p5_found": p5_found, "p5_clusters": p5_clusters,
+    "p2_found": p2_found, "p2_recall": p2_recall, "p5_found": p5_found, "p5_clusters": p5_clusters,
     "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_shards": p7_shards,
     "p8_found": p8_found, "p8_share": p8_share, "p8_passages": p8_passages,
 }

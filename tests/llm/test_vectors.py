@@ -91,19 +91,20 @@ def components(near):
 @pytest.mark.parametrize("options", [{}, {"cell_rows": 16}, {"hot_rows": 20, "cell_rows": 64}])
 def test_clusters_equal_linked_components(spark, options):
     x = np.concatenate([planted(5, 25, 7), np.repeat(planted(6, 1, 1), 40, axis=0)]).astype(np.float32)
-    got = {tuple(r) for r in density.vector_clusters(table(spark, x), "gid", "f", 8, **options).select("root_id", "member_id").collect()}
+    got = {tuple(r) for r in density.vector_clusters(table(spark, x), "gid", "f", 8, min_core=2, **options).select("root_id", "member_id").collect()}
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
     label = components(np.round(u @ u.T, 6) >= 0.96)
     want = {(a, i) for i, a in enumerate(label) if a != i and label.count(a) >= 5}
     assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want)
 
 
-def test_boxes_equal_linked_components(spark):
+@pytest.mark.parametrize("hot", [16_384, 12])
+def test_boxes_equal_linked_components(spark, hot):
     r = np.random.default_rng(7)
     made = [(i, i % 3, int(r.integers(0, 40)), float(np.round(r.uniform(0, 0.4), 3))) for i in range(200)]
     odd = [(900, 0, None, 0.1), (901, 0, 3, None), (902, 0, 3, NAN), (903, None, 3, 0.1), (made[0][0], *made[0][1:])]
     df = spark.createDataFrame(made + odd, "run_id bigint, suite_id bigint, n int, c double").repartition(2)
-    got = {tuple(v) for v in density.box_clusters(df, "run_id", "suite_id", ["n", "c"], [3, 0.02]).select("root_id", "member_id").collect()}
+    got = {tuple(v) for v in density.box_clusters(df, "run_id", "suite_id", ["n", "c"], [3, 0.02], min_core=2, hot_rows=hot).select("root_id", "member_id").collect()}
     a = np.array([m[1:] for m in made])
     near = (a[:, None, 0] == a[None, :, 0]) & (abs(a[:, None, 1] - a[None, :, 1]) <= 3) & (abs(a[:, None, 2] - a[None, :, 2]) <= 0.02 + 1e-9)
     label = components(near)
@@ -138,12 +139,102 @@ def test_run_clusters_are_described(spark, data):
         assert cost[r["typical"][0]] <= min(cost.values()) + 1e-6
 
 
+def local(near, min_core):
+    return density.local_clusters(np.arange(len(near)), lambda s, e: near[s:e], min_core)
+
+
 def test_border_points_do_not_join_clusters():
-    near = [(np.array([0, 0, 0, 1, 1, 2, 2, 3, 3, 3, 4, 4, 5, 5, 2, 3]), np.array([0, 1, 2, 0, 1, 0, 2, 3, 4, 5, 3, 4, 3, 5, 3, 2]))]
-    ids, root = density.local_clusters(np.arange(6), iter(near), 3)
-    assert dict(zip(ids.tolist(), root.tolist())) == {1: 0, 2: 0, 3: 0, 4: 0, 5: 0}
-    far = [(np.array([0, 0, 0, 1, 1, 2, 2]), np.array([0, 1, 2, 0, 1, 0, 2]))]
-    assert len(density.local_clusters(np.arange(3), iter(far), 9)[0]) == 0
+    near = np.eye(6, dtype=bool)
+    for a, b in ((0, 1), (0, 2), (2, 3), (3, 4), (3, 5)):
+        near[a, b] = near[b, a] = True
+    ids, root, core = local(near, 3)
+    assert dict(zip(ids.tolist(), zip(root.tolist(), core.tolist()))) == {1: (0, False), 2: (0, True), 3: (0, True), 4: (0, False), 5: (0, False)}
+    assert len(local(near, 9)[0]) == 0
+
+
+def dbscan(near, min_core):
+    core = near.sum(axis=1) >= min_core
+    label = components(near & core[:, None] & core[None, :] | np.eye(len(near), dtype=bool))
+    out = {}
+    for i in range(len(near)):
+        beside = [label[j] for j in np.flatnonzero(near[i] & core)]
+        if beside:
+            out[i] = label[i] if core[i] else min(beside)
+    members = {}
+    for i, c in out.items():
+        members.setdefault(c, []).append(i)
+    return members
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_local_clusters_equal_brute_force(monkeypatch, seed):
+    r = np.random.default_rng(seed)
+    x = r.uniform(0, 1, (120, 2))
+    near = ((x[:, None] - x) ** 2).sum(axis=2) <= 0.006
+    monkeypatch.setattr(density, "_BLOCK", [4_000_000, 500, 1300, 7000][seed])
+    ids, root, core = local(near, 4)
+    got = {}
+    for i, c in zip(ids.tolist(), root.tolist()):
+        got.setdefault(c, {c}).add(i)
+    want = {c: set(m) for c, m in dbscan(near, 4).items()}
+    # Roots are the least core points here; the least member of all may be a border point.
+    assert sorted(map(sorted, got.values())) == sorted(sorted(m) for m in want.values() if len(m) > 1)
+    assert all(core[ids == i] for i in ids if near[i].sum() >= 4)
+
+
+@pytest.mark.parametrize("options", [{}, {"cell_rows": 32}, {"hot_rows": 40, "cell_rows": 64}])
+def test_chains_of_sparse_points_are_no_cluster(spark, options):
+    r = np.random.default_rng(9)
+    turn = np.linspace(0, 1.5, 12)
+    chain = np.stack([np.cos(turn), np.sin(turn), *[np.zeros(12)] * 6], axis=1)  # each like its neighbours only
+    x = np.concatenate([chain, planted(10, 12, 9), r.normal(size=(60, 8))]).astype(np.float32)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    want = {(min(m), i) for m in dbscan(np.round(u @ u.T, 6) >= 0.96, 5).values() for i in m if i != min(m) and len(m) >= 5}
+    got = {tuple(v) for v in density.vector_clusters(table(spark, x), "gid", "f", 8, **options).select("root_id", "member_id").collect()}
+    assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want)
+
+
+@pytest.mark.parametrize("hot", [60, 200])
+def test_a_third_of_all_rows_in_one_ball(spark, hot):
+    r = np.random.default_rng(11)
+    ball = np.eye(8)[0] + r.normal(size=(400, 8)) * 0.02  # mutually similar, no two equal
+    edge = np.eye(8)[0] + np.eye(8)[1] * 0.3 + r.normal(size=(20, 8)) * 0.01  # beside the ball's far side only
+    x = np.concatenate([planted(12, 60, 8), ball, edge]).astype(np.float32)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    want = {(min(m), i) for m in dbscan(np.round(u @ u.T, 6) >= 0.96, 5).values() for i in m if i != min(m) and len(m) >= 5}
+    got = {tuple(v) for v in density.vector_clusters(table(spark, x), "gid", "f", 8, hot_rows=hot, cell_rows=32).select("root_id", "member_id").collect()}
+    assert len(got & want) >= 0.98 * len(want) and len(got - want) <= 0.02 * len(want)
+
+
+def test_a_dense_cell_needs_little_memory():
+    import tracemalloc
+
+    r = np.random.default_rng(12)
+    u = codes.unit((np.ones(32) + r.normal(size=(16_384, 32)) * 0.02).astype(np.float32)).astype(np.float32)
+    tracemalloc.start()
+    ids, root, core = density.local_clusters(np.arange(len(u)), lambda s, e: u[s:e] @ u.T >= 0.96, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(ids) == len(u) - 1 and not root.any() and core.all() and peak < 300e6
+
+
+def test_neighbours_in_hot_buckets_that_are_no_copies(spark):
+    r = np.random.default_rng(13)
+    pairs = np.repeat(np.eye(8)[0] + r.normal(size=(150, 8)) * 0.05, 2, axis=0)
+    x = pairs + r.normal(size=pairs.shape) * 0.001
+    got = {tuple(v) for v in neighbours.as_pairs(neighbours.cosine_neighbours(table(spark, x), "gid", "f", 8, k=1, bucket_rows=32, hot_rows=64)).collect()}
+    want = brute(x, list(range(len(x))), 1, 0.96)
+    assert len(got & want) >= 0.9 * len(want)
+
+
+def test_recall_is_counted_against_all_rows(spark):
+    x = planted(14, 10, 6)
+    df = table(spark, x)
+    found = neighbours.cosine_neighbours(df, "gid", "f", 8)
+    full = neighbours.neighbour_recall(df, found, "gid", "f", 8, every=5).first()
+    assert full["queries"] == 12 and full["pairs"] > 40 and full["recall"] > 0.95
+    part = neighbours.neighbour_recall(df, found.filter("b % 2 = 0"), "gid", "f", 8, every=5).first()
+    assert part["hits"] == found.filter("a % 5 = 0 and b % 2 = 0").count() and part["pairs"] == full["pairs"]
 
 
 def test_usable_vectors_and_probes():
@@ -151,5 +242,5 @@ def test_usable_vectors_and_probes():
 
     at, values = codes.usable_vectors(pa.array([[1.0, 2.0], None, [0.0, 0.0], [1.0], [None, 1.0], [NAN, 1.0]], pa.list_(pa.float32())), 2)
     assert at.tolist() == [0] and values.tolist() == [[1.0, 2.0]]
-    rows, found = codes.probes(np.array([[0.01, 0.5], [0.5, 0.5]]), 0.1, all_flips=True)
+    rows, found = codes.both_sides(np.array([[0.01, 0.5], [0.5, 0.5]]), 0.1)
     assert sorted(zip(rows.tolist(), found.tolist())) == [(0, 2), (0, 3), (1, 3)]
