@@ -26,7 +26,7 @@ _LINKS = [pa.int64(), pa.int64(), pa.bool_()]
 _LINK_NAMES = ["id", "root", "core"]
 
 #: Cells of the similarity matrix of a cell that are held at once.
-_BLOCK = 4_000_000
+_BLOCK = 1_000_000
 
 
 def _join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -43,32 +43,43 @@ def _join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return up[label]
 
 
-def local_clusters(ids: np.ndarray, similar: Callable[[int, int], np.ndarray], min_core: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+Pairs = tuple[np.ndarray, np.ndarray]
+
+
+def local_clusters(ids: np.ndarray, similar: Callable[[int, int], Pairs], min_core: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(id, least id of its local cluster, whether core) of the points of a cell that are in a cluster, without the roots themselves.
 
-    ``similar(s, e)`` is the boolean matrix of rows s to e against all; it is made a block at a time and never kept, so a cell of n points
-    costs memory in proportion to n. Points with ``min_core`` similar ones (itself included) are core and join clusters; others join the
-    core point beside them whose cluster has the least root. ``ids`` are in order.
+    ``similar(s, e)`` gives the places (i, j) of similar points with i in s..e, in the order of i; pairs are made for a block of rows at a
+    time and never kept, so a cell of n points costs memory in proportion to n. Points with ``min_core`` similar ones (itself included)
+    are core and join clusters; others join the core point beside them whose cluster has the least root. ``ids`` are in order.
     """
     n = len(ids)
     step = max(1, _BLOCK // n)
     whole = similar(0, n) if step >= n else None
     block = (lambda s: whole) if whole is not None else (lambda s: similar(s, min(n, s + step)))
-    core = np.concatenate([block(s).sum(axis=1) for s in range(0, n, step)]) >= min_core
+    core = sum(np.bincount(block(s)[0], minlength=n) for s in range(0, n, step)) >= min_core
     label = np.arange(n)
     edge = np.zeros(n, bool)
     for s in range(0, n, step):
-        near = block(s) & core
-        mine = core[s : s + step]
-        i, j = np.nonzero(near[mine] & (label[s : s + step][mine][:, None] > label) if n > 1 else near[mine])
-        if len(i):
-            pairs = np.unique(label[np.flatnonzero(mine) + s][i] * n + label[j])
-            label = _join_labels(label, pairs // n, pairs % n)
-        edge[s : s + step] = ~mine & near.any(axis=1)
+        i, j = block(s)
+        if not core.all():
+            edge[i[~core[i] & core[j]]] = True
+            both = core[i] & core[j]
+            i, j = i[both], j[both]
+        start = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.zeros(0, np.int64)
+        who = i[start]
+        while len(who):
+            beside, own = label[j], label[who]
+            low, high = np.minimum.reduceat(beside, start), np.maximum.reduceat(beside, start)
+            less, more = low != own, high != own
+            if not less.any() and not more.any():
+                break
+            label = _join_labels(label, np.concatenate([own[less], own[more]]), np.concatenate([low[less], high[more]]))
     joined = np.where(core, label, n)
     for s in sorted({i // step * step for i in np.flatnonzero(edge).tolist()}):
-        at = np.flatnonzero(edge[s : s + step])
-        joined[s + at] = np.where(block(s)[at] & core, label, n).min(axis=1)
+        i, j = block(s)
+        beside = ~core[i] & core[j]
+        np.minimum.at(joined, i[beside], label[j[beside]])
     keep = (joined < n) & (joined != np.arange(n))
     return ids[keep], ids[joined[keep]], core[keep]
 
@@ -144,12 +155,17 @@ def vector_clusters(
         u = C.unit(values)
         small = u.astype(np.float32)
 
-        def similar(s: int, e: int) -> np.ndarray:
+        def similar(s: int, e: int) -> Pairs:
             sim = small[s:e] @ small.T
-            good = sim >= np.float32(limit)
-            i, j = np.nonzero(np.abs(sim - np.float32(limit)) < 1e-5)  # too close to call in single precision
-            good[i, j] = np.einsum("ij,ij->i", u[i + s], u[j]) >= limit
-            return good
+            at = np.flatnonzero(sim.ravel() >= np.float32(limit - 1e-5))
+            i, j = np.divmod(at, len(ids))
+            i += s
+            close = np.flatnonzero(sim.ravel()[at] < np.float32(limit + 1e-5))  # too close to call in single precision
+            if len(close):
+                good = np.ones(len(at), bool)
+                good[close] = np.einsum("ij,ij->i", u[i[close]], u[j[close]]) >= limit
+                i, j = i[good], j[good]
+            return i, j
 
         yield local_clusters(ids, similar, min_core)
 
@@ -197,11 +213,12 @@ def box_clusters(
                 yield _index_batch(ids, values, kept, rest, rep, r, keys)
 
     def kernel(key: int, ids: np.ndarray, values: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        def similar(s: int, e: int) -> np.ndarray:
+        def similar(s: int, e: int) -> Pairs:
             good = np.ones((e - s, len(ids)), bool)
             for j in range(dim):
                 good &= np.abs(values[s:e, None, j] - values[None, :, j]) <= slack[j]
-            return good
+            i, j = np.nonzero(good)
+            return i + s, j
 
         yield local_clusters(ids, similar, min_core)
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldmill.llm.density import box_clusters, describe_boxes, describe_clusters, vector_clusters
 from fieldmill.llm.mixing import mix_shards, mix_shares, mix_sources
 from fieldmill.llm.neighbours import as_pairs, cosine_neighbours, neighbour_recall, position_neighbours
 from fieldmill.llm.spans import shared_intervals, shared_passages, shared_share
-from fieldmill.llm.tokenizer import encode_corpus
+from fieldmill.llm.tokenizer import decode_corpus, encode_corpus
 from fieldmill.session import load
 
 
@@ -51,6 +51,12 @@ def p6_ids(spark: SparkSession, root: str) -> DataFrame:
     return encode_corpus(load(spark, root, "documents"), "doc_id", "text")
 
 
+def p6_decoded(spark: SparkSession, root: str) -> DataFrame:
+    """Every text again from its ids, as a digest."""
+    text = F.col("text")
+    return decode_corpus(p6_ids(spark, root), "doc_id", "ids").select("doc_id", F.md5(text).alias("digest"), F.length(text).cast("bigint").alias("n_chars"))
+
+
 def _mix(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     return mix_sources(load(spark, root, "documents"), load(spark, root, "mix_targets"))
 
@@ -63,6 +69,14 @@ def p7_shares(spark: SparkSession, root: str) -> DataFrame:
     return mix_shares(*_mix(spark, root))
 
 
+def p7_kept(spark: SparkSession, root: str) -> DataFrame:
+    """Whether each share is met to 0.001 (of the sources that have texts) and no record is used too often."""
+    shares = p7_shares(spark, root).withColumn("there", F.col("records") > 0)
+    total = F.sum(F.when(F.col("there"), F.col("target_share"))).over(Window.partitionBy("mix_id"))
+    met = F.abs(F.col("actual_share") - F.when(F.col("there"), F.col("target_share")).otherwise(0.0) / total) <= 0.001
+    return shares.select("mix_id", "source", "target_share", "there", (met & (F.col("most_repeats") <= F.col("max_repeats"))).alias("kept"))
+
+
 def p7_shards(spark: SparkSession, root: str) -> DataFrame:
     return mix_shards(_mix(spark, root)[0])
 
@@ -81,7 +95,7 @@ def p8_passages(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found, "p2_recall": p2_recall, "p5_found": p5_found, "p5_clusters": p5_clusters,
-    "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_shards": p7_shards,
+    "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_shards": p7_shards, "p7_kept": p7_kept,
     "p8_found": p8_found, "p8_share": p8_share, "p8_passages": p8_passages,
 }
 _UNIT = """f AS (SELECT DISTINCT gid, f::DOUBLE[] AS f FROM features WHERE len(f) = 32 AND len(list_filter(f, lambda v: v IS NULL OR NOT isfinite(v))) = 0 AND len(list_filter(f, lambda v: v <> 0)) > 0),
@@ -106,6 +120,10 @@ SQL: dict[str, str] = {
  t(node, root) AS (SELECT run_id, run_id FROM q UNION SELECT l.b, t.root FROM t JOIN l ON l.a = t.node), h AS (SELECT node, min(root) AS root FROM t GROUP BY node)
  SELECT 'gaussian' AS entity, root AS root_id, node AS member_id FROM (SELECT *, count(*) OVER (PARTITION BY root) AS z FROM g) WHERE z >= 5 AND node <> root
  UNION ALL SELECT 'run', root, node FROM (SELECT *, count(*) OVER (PARTITION BY root) AS z FROM h) WHERE z >= 3 AND node <> root""",
+    "p6_decoded": "SELECT doc_id, md5(coalesce(text, '')) AS digest, length(coalesce(text, '')) AS n_chars FROM documents",
+    "p7_kept": r"""WITH t AS (SELECT mix_id, nullif(regexp_replace(lower(trim(source)), '[\s\-_]+', '_', 'g'), '') AS source, sum(weight) AS w FROM mix_targets WHERE weight > 0 GROUP BY ALL),
+ d AS (SELECT DISTINCT regexp_replace(lower(trim(source)), '[\s\-_]+', '_', 'g') AS source FROM documents WHERE length(text) > 0)
+ SELECT mix_id, source, round(w / sum(w) OVER (PARTITION BY mix_id), 6) AS target_share, source IN (SELECT source FROM d WHERE source IS NOT NULL) AS there, true AS kept FROM t WHERE source IS NOT NULL""",
     "p8_found": f"WITH {_WINDOWS} SELECT * FROM r",
     "p8_share": f"""WITH {_WINDOWS}, x AS (SELECT doc_id, sum(span_end - span_start)::BIGINT AS c, count(*) AS n FROM r GROUP BY doc_id), y AS (SELECT doc_id, max(coalesce(length(text), 0)) AS n_chars FROM documents GROUP BY doc_id)
  SELECT doc_id, n_chars, coalesce(c, 0) AS shared_chars, coalesce(n, 0) AS spans, round(CASE WHEN n_chars > 0 THEN coalesce(c, 0) / n_chars ELSE 0 END, 6) AS share FROM y LEFT JOIN x USING (doc_id)""",

@@ -142,22 +142,25 @@ class BpeTransducer:
         new = tuple((node, before, pending[common:]) for node, before, pending in live)
         at = self.index.get(new)
         if at is None:
+            if len(self.states) >= self.max_states:  # also within a word, however long it is
+                self._reset()
+                state = -1
             at = self.index[new] = len(self.states)
             self.states.append(new)
             self.moves.append({})
-        self.moves[state][byte] = (at, out)
+        if state >= 0:
+            self.moves[state][byte] = (at, out)
         return at, out
 
     def encode(self, word: bytes) -> list[int]:
         """Tokens of one pre-token."""
-        if len(self.states) > self.max_states:
-            self._reset()
         out: list[int] = []
         state, moves = 0, self.moves
         for byte in word:
             step = moves[state].get(byte)
             if step is None:
                 step = self._move(state, byte)
+                moves = self.moves
             state = step[0]
             if step[1]:
                 out += step[1]

@@ -77,3 +77,11 @@ def test_incremental_utf8():
         cut = r.randint(0, len(data))
         got = machine.feed(data[:cut]) + machine.feed(data[cut:]) + machine.close()
         assert got == data.decode("utf-8", "replace")
+
+
+def test_one_long_word_keeps_the_states_bounded():
+    ranks = tk.read_ranks(DATA)
+    machine, free = tk.BpeTransducer(ranks, max_states=500), tk.BpeTransducer(ranks)
+    r = random.Random(1)
+    word = "".join(r.choice("etaoinshrdlu") for _ in range(20_000)).encode()
+    assert machine.encode(word) == free.encode(word) and len(machine.states) <= 501 < len(free.states)

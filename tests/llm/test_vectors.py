@@ -140,7 +140,11 @@ def test_run_clusters_are_described(spark, data):
 
 
 def local(near, min_core):
-    return density.local_clusters(np.arange(len(near)), lambda s, e: near[s:e], min_core)
+    def similar(s, e):
+        i, j = np.nonzero(near[s:e])
+        return i + s, j
+
+    return density.local_clusters(np.arange(len(near)), similar, min_core)
 
 
 def test_border_points_do_not_join_clusters():
@@ -212,7 +216,12 @@ def test_a_dense_cell_needs_little_memory():
     r = np.random.default_rng(12)
     u = codes.unit((np.ones(32) + r.normal(size=(16_384, 32)) * 0.02).astype(np.float32)).astype(np.float32)
     tracemalloc.start()
-    ids, root, core = density.local_clusters(np.arange(len(u)), lambda s, e: u[s:e] @ u.T >= 0.96, 5)
+
+    def similar(s, e):
+        i, j = np.nonzero(u[s:e] @ u.T >= 0.96)
+        return i + s, j
+
+    ids, root, core = density.local_clusters(np.arange(len(u)), similar, 5)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(ids) == len(u) - 1 and not root.any() and core.all() and peak < 300e6
