@@ -150,20 +150,19 @@ def hot_buckets(df: DataFrame, read: Callable[[pa.RecordBatch], tuple], places:
 
 class GridIndex:
     """The cells of points (coordinates in units of the reach, beside their group): the numbers of a cell on each axis are its code, of
-    which a point also probes the values that half a reach leads to, so two points within a reach share a cell. Cells with more rows than
-    wanted, by exact counts, are divided into cells one reach wide in the same way; what is still too large is worked off in pairs of
+    which a point also probes the values that ``probe`` reaches lead to. From half a reach on, two points within a reach share a cell; from a
+    whole one on, the cell that a point lies in has all points within its reach. Cells with more rows than wanted, by exact counts, are divided into cells of twice the probe in the same way; what is still too large is worked off in pairs of
     blocks."""
 
-    def __init__(self, cells: float):
-        self.cells = cells
+    def __init__(self, cells: float, probe: float = 0.5):
+        self.cells, self.probe = cells, probe
         self.fine = np.zeros(0, np.int64)
         self.pairs: dict[int, int] = {}
 
-    @staticmethod
-    def _around(y: np.ndarray, cells: float) -> tuple[np.ndarray, np.ndarray]:
+    def _around(self, y: np.ndarray, cells: float) -> tuple[np.ndarray, np.ndarray]:
         y = y / cells
         cell = np.floor(y)
-        part, edge = y - cell, 0.5 * (1 + 1e-6) / cells
+        part, edge = y - cell, self.probe * (1 + 1e-6) / cells
         rows, codes = np.arange(len(y)), cell.astype(np.int64)
         for j in range(y.shape[1]):
             low, high = part[rows, j] <= edge, part[rows, j] >= 1 - edge
@@ -179,7 +178,7 @@ class GridIndex:
         keys = mix(group[rows], *codes.T)
         hit, _ = find(keys, self.fine)
         if hit.any():
-            at, codes = self._around(y[rows[hit]], 1.0)
+            at, codes = self._around(y[rows[hit]], 2 * self.probe)
             rows, keys = np.concatenate([rows[~hit], rows[hit][at]]), np.concatenate([keys[~hit], mix(keys[hit][at], *codes.T, 7)])
         return (rows, keys) if ids is None else in_blocks(rows, keys, ids, self.pairs)
 

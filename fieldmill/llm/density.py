@@ -180,7 +180,7 @@ def box_clusters(
 ) -> DataFrame:
     """As ``vector_clusters`` for a few numbers within a group: two records are similar if they differ by at most ``reach`` in each column.
 
-    Cells are ``cells`` reaches wide (one, where rows are dense) and overlap by half a reach on each side, so no similar pair is separated.
+    Cells are ``cells`` reaches wide (two, where rows are dense) and overlap by a reach on each side, so a point's neighbours all lie in its cell.
     Rows with a null or NaN column, id or group are in no cluster.
     """
     dim = len(columns)
@@ -197,7 +197,7 @@ def box_clusters(
         return np.arange(len(values)), values
 
     reader = Reader(usable, min_core - 1, group=2)
-    index = C.GridIndex(cells)
+    index = C.GridIndex(cells, probe=1.0)  # so each point's neighbours are counted in full
 
     def points(batch: pa.RecordBatch) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
         ids, values, group, kept, _, _ = reader.read(batch)
