@@ -7,8 +7,11 @@ suffixes mostly share their anchor; such a run is one row, about two rows for ev
 only are dropped before any text moves. The rest become subtrees: the suffixes of a key, sorted, in which neighbours that agree on
 ``min_len`` characters lie below one deep internal node. A node with two records or more makes its characters shared.
 
-Equal contexts are joined into one before they are sorted, and a key with very many contexts is split further by the key's length, so
-no task holds an unbounded group; texts of any length are cut into overlapping pieces, never shortened.
+Equal contexts are joined into one before they are sorted. A key with more contexts than fit one subtree is partitioned again by longer
+prefixes: its suffixes are halved by how far before the anchor they begin, all suffixes of a half have more characters around the anchor
+in common, and these extend the key; keys that then belong to one record only are dropped. At the last step the key is the whole piece of
+``min_len`` characters, whose equal contexts are one row, so every group becomes small, whatever a third of all records share. Texts of any
+length are cut into overlapping pieces, never shortened.
 """
 
 from __future__ import annotations
@@ -22,6 +25,9 @@ from pyspark.sql import functions as F
 
 from fieldmill.session import cut, partitions
 
+#: Bytes of contexts that one task sorts.
+_TASK_BYTES = 16 << 20
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BATCH = 1_500_000
 _PIECE = 4_000_000
@@ -169,6 +175,42 @@ def _deep_nodes(rows: list[tuple], min_len: int) -> Iterator[tuple[bytes, int, i
         yield digest, start, last + min_len
 
 
+def _extended(contexts: DataFrame, min_len: int) -> DataFrame:
+    """Contexts of heavy keys under longer ones: the suffixes lo..hi characters before the anchor in two halves, each context cut to what
+    the suffixes of its half reach, the key extended by the characters that all of them have; keys of one record are dropped."""
+    middle = F.expr("(lo + hi) div 2")
+    halves = F.array(F.struct(F.col("lo").alias("l"), middle.alias("r")), F.struct(middle.alias("l"), F.col("hi").alias("r")))
+    size = F.length("context")
+    rows = contexts.withColumn("half", F.explode(halves)).select("doc", "start", "h", "anchor", "context", F.col("half.l").alias("lo"), F.col("half.r").alias("hi"))
+    rows = rows.filter("lo < hi and anchor >= lo").filter(F.col("anchor") - (size - min_len) < F.col("hi"))
+    begin = F.greatest(F.lit(0), F.col("anchor") - (F.col("hi") - 1))
+    end = F.least(size, F.col("anchor") - F.col("lo") + min_len)
+    core = F.substring(F.col("context"), F.col("anchor") - F.col("lo") + 1, F.lit(min_len + 1) - F.col("hi") + F.col("lo"))
+    cutout = rows.select(
+        "doc", (F.col("start") + begin).alias("start"), F.xxhash64("h", "lo", "hi", core).alias("h"), (F.col("anchor") - begin).alias("anchor"),
+        F.substring(F.col("context"), begin + 1, end - begin).alias("context"), "lo", "hi",
+    ).withColumn("digest", F.unhex(F.md5("context")))
+    cutout = cut(cutout, "contexts")
+    keys = cutout.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("h")
+    return cutout.join(keys, "h", "left_semi").select("doc", "start", "h", "anchor", "context", "lo", "hi", "digest")
+
+
+def _light(contexts: DataFrame, min_len: int, split_above: int) -> DataFrame:
+    """All contexts under keys of at most ``split_above`` distinct ones."""
+    done = []
+    while True:
+        crowded = contexts.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > split_above).select("h")
+        heavy = contexts.join(crowded, "h", "left_semi").groupBy("h", "digest").agg(F.lit(1)).groupBy("h").agg(F.count("*").alias("n"))
+        heavy = cut(heavy.filter(F.col("n") > split_above).select("h"), "heavy")
+        if heavy.isEmpty():
+            break
+        done.append(contexts.join(heavy, "h", "left_anti").select(contexts.columns))
+        contexts = cut(_extended(contexts.join(heavy, "h", "left_semi"), min_len), "contexts")
+    for part in done:
+        contexts = contexts.union(part)
+    return contexts
+
+
 def shared_intervals(
     df: DataFrame, id_col: str, text_col: str, min_len: int = 200, gram: int = 64, split_above: int = 4096
 ) -> DataFrame:
@@ -184,19 +226,14 @@ def shared_intervals(
     kind = df.schema[id_col].dataType.simpleString()
     runs = cut(suffix_runs(df, id_col, text_col, min_len, gram), "runs")
     keys = runs.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("h")
-    contexts = _contexts(runs.join(keys, "h", "left_semi"), df, id_col, text_col, min_len).withColumn("digest", F.unhex(F.md5("context")))
-    contexts = cut(contexts, "contexts")
-    distinct = contexts.groupBy("digest").agg(
-        F.first("h").alias("h"), F.first("anchor").alias("anchor"), F.first("context").alias("context"),
-        F.min("doc").alias("a"), F.max("doc").alias("b"),
-    )
-    heavy = contexts.groupBy("h").count().filter(F.col("count") > split_above).select("h", F.lit(True).alias("heavy"))
-    width = min_len - gram + 1
-    low = F.explode(F.when(F.col("heavy"), F.sequence(F.lit(0), F.lit(width - 1), F.lit(8))).otherwise(F.array(F.lit(0))))
-    placed = distinct.join(heavy, "h", "left").select("*", low.alias("low"))
-    placed = placed.withColumn("high", F.when(F.col("heavy"), F.col("low") + 8).otherwise(F.lit(width)))
-    wanted = ["h", "low", "high", "digest", "anchor", "context", "a", "b"]
-    placed = placed.select(wanted).repartition(partitions(spark), "h", "low").sortWithinPartitions("h", "low")
+    contexts = _contexts(runs.join(keys, "h", "left_semi"), df, id_col, text_col, min_len)
+    whole = contexts.withColumns({"lo": F.lit(0), "hi": F.lit(min_len - gram + 1), "digest": F.unhex(F.md5("context"))})
+    contexts = cut(whole.select("doc", "start", "h", "anchor", "context", "lo", "hi", "digest"), "contexts")
+    tasks = max(partitions(spark), -(-contexts.count() * 3 * min_len // _TASK_BYTES))
+    contexts = _light(contexts, min_len, split_above)
+    placed = contexts.groupBy("h", "lo", "hi", "anchor", "digest").agg(F.first("context").alias("context"), F.min("doc").alias("a"), F.max("doc").alias("b"))
+    wanted = ["h", "lo", "hi", "digest", "anchor", "context", "a", "b"]
+    placed = placed.select(wanted).repartition(tasks, "h").sortWithinPartitions("h", "lo")
 
     def subtrees(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +255,7 @@ def shared_intervals(
         if rows:
             yield from out(rows)
 
-    found = placed.mapInArrow(subtrees, "digest binary, s int, e int")
+    found = placed.mapInArrow(subtrees, "digest binary, s int, e int").distinct()
     spans = contexts.select("digest", "doc", "start").join(found, "digest")
     spans = spans.select("doc", (F.col("start") + F.col("s")).alias("s"), (F.col("start") + F.col("e")).alias("e"))
     order = Window.partitionBy("doc").orderBy("s", "e")

@@ -68,3 +68,20 @@ def test_share_and_passages(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert spans.shared_intervals(df, "doc_id", "text").count() == 0
+
+
+def test_a_key_that_very_many_contexts_share(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(3)
+    noise = lambda k: "".join(r.choices("abcdefghijklmnop", k=k))
+    core = noise(24)
+    docs = [(i, noise(30) + core + noise(30)) for i in range(6000)]
+    docs += [(10_000 + i, docs[i][1][5:70]) for i in range(0, 600, 3)]  # 65 characters, all shared with one other record
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
+    got = {tuple(x) for x in spans.shared_intervals(df, "doc_id", "text", min_len=60, gram=16, split_above=64).collect()}
+    assert got == {(i, 5, 70) for i in range(0, 600, 3)} | {(10_000 + i, 0, 65) for i in range(0, 600, 3)}
+    rows = spans._contexts(spans.suffix_runs(df, "doc_id", "text", 60, 16), df, "doc_id", "text", 60)
+    rows = rows.withColumns({"lo": F.lit(0), "hi": F.lit(45), "digest": F.unhex(F.md5("context"))}).select("doc", "start", "h", "anchor", "context", "lo", "hi", "digest")
+    most = lambda x: x.groupBy("h").agg(F.count_distinct("digest").alias("n")).agg(F.max("n")).first()[0]
+    assert most(rows) > 500 and most(spans._light(rows, 60, 64)) <= 64
