@@ -54,6 +54,12 @@ def p3_failed_casts(spark: SparkSession, root: str) -> DataFrame:
     return drift.failed_casts(*drift.typed_values(fields, changes))
 
 
+def p3_statistics(spark: SparkSession, root: str) -> DataFrame:
+    """The statistics by file summed up for each stream: leaf paths of each type, in how many files and rows."""
+    fields = drift.read_fields(drift.single_files(load(spark, root, "result_files")))
+    return drift.drift_statistics(fields).filter("path not like '%.%'").select("stream_id", "path", "type", "files", "rows")
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     cameras, images, masks, files = (load(spark, root, t) for t in ("cameras", "images", "masks", "aux_files"))
     named = cameras.withColumn("stem", references.stem(F.col("image_name")))
@@ -78,7 +84,7 @@ def p4_report(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_manifest": p1_manifest, "p1_ranges": p1_ranges, "p3_found": p3_found, "p3_table": p3_table, "p3_failed_casts": p3_failed_casts,
+    "p1_found": p1_found, "p1_manifest": p1_manifest, "p1_ranges": p1_ranges, "p3_found": p3_found, "p3_table": p3_table, "p3_statistics": p3_statistics, "p3_failed_casts": p3_failed_casts,
     "p4_found": p4_found, "p4_report": p4_report,
 }
 
@@ -112,6 +118,10 @@ SELECT DISTINCT kind, (r->>'uid')::BIGINT AS uid, (r->>'idx')::INT AS idx FROM o
  UNION ALL SELECT kind, trim(x, ' ,[]' || chr(13) || chr(9) || chr(65279)) FROM (SELECT kind, unnest(string_split(body, chr(10))) AS x FROM aux_files) WHERE json_valid(trim(x, ' ,[]' || chr(13) || chr(9) || chr(65279)))),
  k AS (SELECT DISTINCT kind, (r->>'uid')::BIGINT AS uid, (r->>'idx')::INT AS idx FROM r WHERE r->>'uid' IS NOT NULL AND r->>'idx' IS NOT NULL)
  SELECT kind, count(*) AS rows, min(uid) AS first_uid, max(uid) AS last_uid, 0::BIGINT AS overlaps, 0::BIGINT AS mixed FROM k GROUP BY kind""",
+    "p3_statistics": """WITH f AS (SELECT DISTINCT file_id, stream_id, body FROM result_files WHERE json_valid(body) AND json_type(body) = 'OBJECT'),
+ k AS (SELECT stream_id, k, json_type(body, '$."' || k || '"') AS t, body->>('$."' || k || '"') AS v, body FROM (SELECT *, unnest(json_keys(body)) AS k FROM f))
+ SELECT stream_id, k AS path, CASE WHEN t IN ('UBIGINT', 'BIGINT', 'HUGEINT') THEN 'integer' WHEN t = 'DOUBLE' THEN 'decimal' WHEN t = 'VARCHAR' THEN 'string' WHEN t = 'BOOLEAN' THEN 'boolean' ELSE 'list' END AS type,
+ count(*) AS files, count(*) AS rows FROM k WHERE t NOT IN ('OBJECT', 'NULL') AND k NOT LIKE '%.%' GROUP BY ALL""",
     "p4_found": _P4 + "SELECT * FROM found WHERE state IS NOT NULL",
     "p4_report": _P4 + "SELECT ref_table, ref_field, state, period, count(*) AS refs FROM found WHERE state IS NOT NULL GROUP BY ALL",
 }

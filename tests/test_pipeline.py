@@ -124,6 +124,26 @@ def test_each_kind_of_change(spark):
     ])
 
 
+def test_files_of_many_rows_have_statistics(spark):
+    bodies = ['{"a": 1, "b": null}\n{"a": 2.5}\n{"a": 7, "c": {"d": [1]}}', '[{"a": "x"}, {"a": "y"}, {"a": 1}]', "{torn", None, ""]
+    df = spark.createDataFrame([(i, "s", A, b) for i, b in enumerate(bodies)], "file_id bigint, stream_id string, written_at timestamp, body string")
+    fields = drift.read_fields(df)
+    got = {(r["file_id"], r["path"]): (r["type"], r["value"], r["n"], r["types"]) for r in fields.collect()}
+    assert got == {
+        (0, "a"): ("integer", "1", 3, {"integer": 2, "decimal": 1}), (0, "b"): (None, None, 1, {}), (0, "c.d"): ("list", "[1]", 1, {"list": 1}),
+        (1, "a"): ("string", "x", 3, {"string": 2, "integer": 1}),
+    }
+    total = {(r["path"], r["type"]): (r["files"], r["rows"]) for r in drift.drift_statistics(fields).collect()}
+    assert total == {("a", "integer"): (2, 3), ("a", "decimal"): (1, 1), ("a", "string"): (1, 2), ("c.d", "list"): (1, 1)}
+
+
+def test_words_of_many_names_tell_little():
+    weights = drift.word_weights(["mean_iou", "meanConfidence", "mean_size", "backend", "iou_max", "num_masks"])
+    assert weights["mean"] < weights["iou"] < weights["backend"]
+    assert drift.name_likeness("a.mean_iou", "b.meanIou", weights) == 1.0
+    assert drift.name_likeness("mean_iou", "mean_size", weights) < drift.name_likeness("mean_iou", "iou_max", weights)
+
+
 def test_unlike_fields_are_no_rename(spark):
     found = changes(spark, ['{"mean_mask_best_iou": 0.7, "k": 1}', '{"total_selected_masks": 700, "k": 1.0}'])
     assert rows(found) == [(1, "added", "", "total_selected_masks"), (1, "removed", "mean_mask_best_iou", ""), (1, "retyped", "k", "k")]
