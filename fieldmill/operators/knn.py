@@ -1,15 +1,18 @@
-"""Exact nearest neighbours of positions, by grid cells that double until every answer is proven."""
+"""Exact nearest neighbours of positions, by grid cells that double until every answer is proven; the last few queries are asked in full."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldmill.session import cut
 
-_KNOWN: dict[tuple, str] = {}
+#: Queries left over that are compared with all references, in batches, instead of in another round of wider cells.
+FEW = 4096
 
 
 def squared(a: list[str], b: list[str]) -> Column:
@@ -18,27 +21,69 @@ def squared(a: list[str], b: list[str]) -> Column:
 
 
 def _cell_width(refs: DataFrame, q: list[str], extent: float, k: int, rows: int = 20_000) -> float:
-    """The widest halving of the extent at which no cell should hold more than about 4 k points, by a bounded sample of hashed ids."""
+    """The widest halving of the extent at which no cell should hold more than about 4 k points, by a bounded sample of hashed ids.
+
+    The densest places decide, so points far away make the cells no wider."""
     total = refs.count()
     share = min(1 << 20, int(1.05 * rows / max(total, 1) * (1 << 20)) + 1)
     table = refs.filter(F.pmod(F.xxhash64("dst"), F.lit(1 << 20)) < share).select(F.xxhash64("grp").alias("g"), *q).limit(rows).toArrow()
     data = np.stack([table.column(c).to_numpy() for c in q], axis=1)
     group = table.column("g").to_numpy()
     scale = total / max(len(data), 1)
-    for i in range(1, 21):
-        width = max(extent, 1e-9) / 2**i
+    width = max(extent, 1e-9)
+    while width > max(extent * 1e-15, 1e-12):
+        width /= 2
         cells = np.concatenate([group[:, None], np.floor(data / width).astype(np.int64)], axis=1)
         if not len(cells) or np.unique(cells, axis=0, return_counts=True)[1].max() * scale <= max(4 * k, 32):
             break
     return width
 
 
+def _in_full(left: DataFrame, right: DataFrame, p: list[str], q: list[str], k: int, exclude_self: bool, schema: str) -> DataFrame:
+    """The k nearest references of at most ``FEW`` queries: broadcast, and compared with every batch of the references of their group."""
+    asked = left.select("grp", "src", *p).toArrow()
+    groups: dict[object, tuple[np.ndarray, pa.Array]] = {}
+    names = asked.column("grp").to_pylist()
+    for g in set(names):
+        at = np.flatnonzero([x == g for x in names])
+        part = asked.take(pa.array(at))
+        groups[g] = (np.stack([part.column(c).to_numpy() for c in p], axis=1), part.column("src").combine_chunks())
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coded = batch.column(0).dictionary_encode()
+            codes = coded.indices.to_numpy(zero_copy_only=False)
+            for c, g in enumerate(coded.dictionary.to_pylist()):
+                if g not in groups:
+                    continue
+                at, src = groups[g]
+                mine = np.flatnonzero(codes == c)
+                for part in (mine[i : i + 1024] for i in range(0, len(mine), 1024)):
+                    take = pa.array(part)
+                    dst = batch.column(1).take(take)
+                    gaps = [at[:, None, i] - batch.column(2 + i).take(take).to_numpy(zero_copy_only=False)[None, :] for i in range(len(q))]
+                    d2 = gaps[0] * gaps[0]
+                    for gap in gaps[1:]:
+                        d2 = d2 + gap * gap
+                    near = k + 1 if exclude_self else k
+                    bound = np.partition(d2, near - 1, axis=1)[:, near - 1 : near] if d2.shape[1] > near else np.inf
+                    i, j = np.nonzero(d2 <= bound)
+                    a, b = src.take(pa.array(i)), dst.take(pa.array(j))
+                    yield pa.RecordBatch.from_arrays([pa.array([g] * len(i), batch.schema.field(0).type), a, b, pa.array(d2[i, j])], ["grp", "src", "dst", "d2"])
+
+    met = right.select("grp", "dst", *q).mapInArrow(run, schema)
+    met = met.filter("src <> dst") if exclude_self else met
+    rank = F.row_number().over(Window.partitionBy("src").orderBy("d2", "dst"))
+    return cut(met.withColumn("rank", rank).filter(F.col("rank") <= k), "knn")
+
+
 def knn_join(queries: DataFrame, refs: DataFrame, k: int, key: str, axes: list[str], group: str, exclude_self: bool = True) -> DataFrame:
-    """``grp``, ``src``, ``dst``, ``rank``, ``dist``: the ``k`` nearest ``refs`` of each query in its group (ties: smaller id), exactly.
+    """``grp``, ``src``, ``dst``, ``rank``, ``dist``: the ``k`` nearest ``refs`` of each query in its group (ties: smaller id first), exactly.
 
     Self is excluded by id (then queries must be among the refs), so a duplicate of a point is its neighbour at distance 0. Fewer than k in a group: all of them. Null ids,
-    groups or coordinates take no part. Each round joins queries with the 3^d cells around theirs; a query whose k-th distance is within
-    the cell width can't have a nearer one outside and is settled, the others go on with cells twice (then four times) as wide.
+    groups or coordinates take no part; coordinates must be finite. Each round joins queries with the 3^d cells around theirs; a query
+    whose k-th distance is within the cell width can't have a nearer one outside and is settled, the others go on with cells twice (then
+    four times) as wide, until at most ``FEW`` are left, which are compared with all references of their group.
     """
     p, q = [f"p{i}" for i in range(len(axes))], [f"q{i}" for i in range(len(axes))]
     whole = " and ".join(f"{c} is not null" for c in [key, group, *axes])
@@ -47,15 +92,21 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, key: str, axes: list[s
     left, right = cut(left, "knn"), cut(right, "knn")
     spans = left.select(*p).union(right.select(*q)).agg(*(F.max(c) - F.min(c) for c in p)).first()
     if spans[0] is None:
-        return left.select("grp", "src", F.col("src").alias("dst"), F.lit(0).alias("rank"), F.lit(0.0).alias("dist")).limit(0)
+        return left.select("grp", "src", F.col("src").alias("dst"), F.lit(0).cast("bigint").alias("rank"), F.lit(0.0).alias("dist")).limit(0)
     extent = max(spans)
-    everyone = cut(right.groupBy("grp").agg((F.count("*") - int(exclude_self)).alias("others")), "knn")
+    everyone = right.groupBy("grp").agg((F.count("*") - int(exclude_self)).alias("others"))
     # Of points at one place only the k + 1 smallest ids can be anyone's neighbours, so a place with very many stays a small cell.
     same = F.row_number().over(Window.partitionBy("grp", *q).orderBy("dst"))
+    everyone = cut(everyone, "knn")
     right = cut(right.withColumn("same", same).filter(F.col("same") <= k + 1).drop("same"), "knn")
+    kinds = dict(left.dtypes) | dict(right.dtypes)
+    schema = f"grp {kinds['grp']}, src {kinds['src']}, dst {kinds['dst']}, d2 double"
     width, step, done = _cell_width(right, q, extent, k), 2, []
     cells = [f"c{i}" for i in range(len(axes))]
     while True:
+        if left.count() <= FEW:
+            done.append(_in_full(left, right, p, q, k, exclude_self, schema))
+            break
         around = left
         for c, a in zip(cells, p):
             middle = F.floor(F.col(a) / width)
@@ -74,30 +125,13 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, key: str, axes: list[s
         settled = found.filter(proven).select("src")
         done.append(best.join(settled, "src", "left_semi").select(best.columns))
         left = cut(left.join(settled, "src", "left_anti"), "knn")
-        if left.isEmpty():
-            break
         width, step = width * step, 4
-    out = done[0]
+    out = done[0].select("grp", "src", "dst", "rank", "d2")
     for part in done[1:]:
-        out = out.union(part)
+        out = out.union(part.select("grp", "src", "dst", "rank", "d2"))
     return out.select("grp", "src", "dst", F.col("rank").cast("bigint").alias("rank"), F.sqrt("d2").alias("dist"))
 
 
-def known_knn(name: tuple, make) -> DataFrame:
-    """A neighbour table kept by its parameters for the life of the session: computed once, then read from the shared folder."""
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.getActiveSession()
-    key = (spark.sparkContext.applicationId, *name)
-    if key not in _KNOWN:
-        from fieldmill.session import scratch_path
-
-        path = scratch_path(spark, "known")
-        make().write.parquet(path)
-        _KNOWN[key] = path
-    return spark.read.parquet(_KNOWN[key])
-
-
 def morton(axes: list[Column], bits: int = 10) -> Column:
     """Morton code of coordinates in 0..1: their bits, interleaved, the first axis lowest."""
     top = (1 << bits) - 1
@@ -112,5 +146,3 @@ def morton(axes: list[Column], bits: int = 10) -> Column:
 def mean_square_distance(knn: DataFrame, k: int = 3) -> DataFrame:
     """Mean squared distance of each point to its ``k`` nearest others."""
     return knn.filter(F.col("rank") <= k).groupBy("src").agg(F.avg(F.col("dist") * F.col("dist")).alias("d2"))
-
-

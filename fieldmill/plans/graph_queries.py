@@ -12,7 +12,7 @@ from fieldmill.session import load
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-K = 8
+K = 16
 
 _F = "q AS (SELECT DISTINCT gid, scene_id, f_dc::DOUBLE[] AS v FROM gaussians WHERE isfinite(x) AND isfinite(y) AND isfinite(z)), u AS (SELECT gid, scene_id, v, list_transform(v, lambda e: e / greatest(sqrt(list_dot_product(v, v)), 1e-6)) AS u FROM q)"
 _D2 = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)"
@@ -43,7 +43,7 @@ def query(name: str, sql: str | None = None):
 
 def near(s, d):
     p = B.points(s, d)
-    return kn.known_knn((d, K, "scene"), lambda: kn.knn_join(p, p, K, "gid", ["x", "y", "z"], "scene_id"))
+    return kn.knn_join(p, p, K, "gid", ["x", "y", "z"], "scene_id")
 
 
 def features(s, d):

@@ -24,7 +24,9 @@ def cloud(spark, n=120, seed=0):
     return x, spark.createDataFrame([(i, i % 2, *map(float, v)) for i, v in enumerate(x)] + [(n, None, 0.0, 0.0, 0.0), (n + 1, 0, None, 0.0, 0.0)], "gid bigint, s int, x double, y double, z double")
 
 
-def test_knn_equals_brute_force(spark):
+@pytest.mark.parametrize("few", [4096, 0, 20])
+def test_knn_equals_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(kn, "FEW", few)
     x, df = cloud(spark)
     got = {}
     for r in kn.knn_join(df, df, 4, "gid", ["x", "y", "z"], "s").collect():
@@ -36,6 +38,20 @@ def test_knn_equals_brute_force(spark):
     assert kn.knn_join(df.limit(0), df.limit(0), 3, "gid", ["x", "y", "z"], "s").count() == 0
 
 
+def test_far_points_do_not_widen_the_cells(spark, monkeypatch):
+    monkeypatch.setattr(kn, "FEW", 50)
+    r = np.random.default_rng(3)
+    x = np.concatenate([r.uniform(0, 1, (1500, 2)), [[1e9, 0], [-1e9, 5]]])
+    df = spark.createDataFrame([(i, 0, *map(float, v)) for i, v in enumerate(x)], "gid bigint, s int, x double, y double")
+    assert kn._cell_width(df.select(F.col("gid").alias("dst"), F.col("s").alias("grp"), "x", "y"), ["x", "y"], 2e9, 4) < 0.3
+    got = {}
+    for v in kn.knn_join(df, df, 4, "gid", ["x", "y"], "s").collect():
+        got.setdefault(v["src"], []).append((v["rank"], v["dst"]))
+    for i in (*range(0, 1500, 50), 1500, 1501):
+        d = ((x - x[i]) ** 2).sum(axis=1)
+        assert [b for _, b in sorted(got[i])] == [j for _, j in sorted((d[j], j) for j in range(len(x)) if j != i)[:4]]
+
+
 def test_fewer_points_than_neighbours(spark):
     df = spark.createDataFrame([(1, 0, 0.0), (2, 0, 3.0), (3, 1, 0.0)], "gid bigint, s int, x double")
     assert sorted((r["src"], r["dst"]) for r in kn.knn_join(df, df, 5, "gid", ["x"], "s").collect()) == [(1, 2), (2, 1)]
