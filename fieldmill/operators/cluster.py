@@ -6,6 +6,9 @@ sample (nearest centres, propagation, merging) runs over all rows.
 
 from __future__ import annotations
 
+import heapq
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -340,44 +343,69 @@ def _components(graph: Graph) -> np.ndarray:
         label = new
 
 
-def propose_cut(w: np.ndarray | Graph, min_size: int, limit: float) -> tuple[float, np.ndarray] | None:
-    """(score, left side) of the best split of a weight matrix or graph, or None: components first, else the second eigenvector at its quartiles and 0."""
-    graph = n, i, j, w = _graph(w)
-    if n < max(2 * min_size, 4):
+def sweep_scores(graph: Graph, value: np.ndarray, thresholds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Normalised cut and left size of each cut ``value <= threshold``: the weights are summed along the nodes in the order of ``value``
+    once, and every cut is a difference of these running totals. A side without weight makes the score infinite."""
+    n, i, j, w = graph
+    place = np.empty(n, np.int64)
+    place[np.argsort(value, kind="stable")] = np.arange(n)
+    size = np.searchsorted(np.sort(value), thresholds, side="right")
+
+    def upto(where: np.ndarray) -> np.ndarray:
+        return np.append(0.0, np.cumsum(np.bincount(where, weights=w, minlength=n)))[size]
+
+    left = upto(place[i])
+    across = left - upto(np.maximum(place[i], place[j]))
+    right = w.sum() - left
+    with np.errstate(divide="ignore", invalid="ignore"):
+        score = np.where((left > 1e-8) & (right > 1e-8), across / left + across / right, np.inf)
+    return score, size
+
+
+def best_split(graph: Graph, least: int, limit: float) -> tuple[float, np.ndarray] | None:
+    """(score, which nodes are left) of the best split into two sides of ``least`` nodes or more with a score up to ``limit``; None: there
+    is none. An unconnected graph is split at score 0, its largest component from the rest; else cuts of the second eigenvector at its
+    quartiles and at 0 are tried."""
+    n = graph[0]
+    if n < max(4, 2 * least):
         return None
-    label = _components(graph)
-    names, sizes = np.unique(label, return_counts=True)
-    if len(names) > 1:
-        left = label == names[sizes.argmax()]
-        return (0.0, left) if min(left.sum(), n - left.sum()) >= min_size else None
+    root, size = np.unique(_components(graph), return_inverse=True, return_counts=True)[1:]
+    if len(size) > 1:
+        left = root == size.argmax()
+        return (0.0, left) if least <= left.sum() <= n - least else None
     vector = _fiedler(graph)
     if vector is None:
         return None
-    best = None
-    for threshold in np.unique([*np.quantile(vector, [0.25, 0.5, 0.75]), 0.0]):
-        left = vector <= threshold
-        if min(left.sum(), n - left.sum()) < min_size:
-            continue
-        a, b, across = w[left[i]].sum(), w[~left[i]].sum(), w[left[i] & ~left[j]].sum()
-        if a > 1e-8 and b > 1e-8 and (best is None or across / a + across / b < best[0]):
-            best = (across / a + across / b, left)
-    return best if best and best[0] <= limit else None
+    tried = np.unique(np.append(np.quantile(vector, (0.25, 0.5, 0.75)), 0.0))
+    score, size = sweep_scores(graph, vector, tried)
+    score[(size < least) | (n - size < least)] = np.inf
+    k = int(score.argmin())
+    return (float(score[k]), vector <= tried[k]) if score[k] <= limit else None
 
 
 def recursive_cut(w: np.ndarray | Graph, max_clusters: int = 24, min_size: int = 128, limit: float = 0.12) -> np.ndarray:
-    """Labels by repeatedly taking the best proposed cut; larger clusters get smaller labels. Proposals are kept until their cluster is cut."""
+    """Labels by splitting, again and again, the cluster whose best split has the least score; larger clusters get smaller labels."""
     graph = _graph(w)
-    clusters: list[tuple[np.ndarray, tuple | None]] = [(np.arange(graph[0]), propose_cut(graph, min_size, limit))]
-    while len(clusters) < max_clusters:
-        open_ones = [(p[0], i) for i, (_, p) in enumerate(clusters) if p]
-        if not open_ones:
-            break
-        nodes, (_, left) = clusters.pop(min(open_ones)[1])
-        for part in (nodes[left], nodes[~left]):
-            clusters.append((part, propose_cut(_part(graph, part), min_size, limit)))
+    final: list[np.ndarray] = []
+    queue: list[tuple[float, int, np.ndarray, np.ndarray]] = []  # score, age, nodes, which are left
+    age = itertools.count()
+
+    def enter(nodes: np.ndarray) -> None:
+        split = best_split(_part(graph, nodes), min_size, limit)
+        if split:
+            heapq.heappush(queue, (split[0], next(age), nodes, split[1]))
+        else:
+            final.append(nodes)
+
+    enter(np.arange(graph[0]))
+    while queue and len(queue) + len(final) < max_clusters:
+        _, _, nodes, left = heapq.heappop(queue)
+        enter(nodes[left])
+        enter(nodes[~left])
+    clusters = final + [entry[2] for entry in queue]
     labels = np.full(graph[0], -1)
-    for i, (nodes, _) in enumerate(sorted(clusters, key=lambda c: (-len(c[0]), c[0][0] if len(c[0]) else -1))):
-        labels[nodes] = i
+    for label, nodes in enumerate(sorted((c for c in clusters if len(c)), key=lambda c: (-len(c), c[0]))):
+        labels[nodes] = label
     return labels
 
 

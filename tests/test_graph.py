@@ -92,7 +92,21 @@ def test_cuts_separate_planted_blocks():
     labels = cl.recursive_cut(w, max_clusters=8, min_size=5, limit=0.2)
     assert [len(set(labels[i * 20 : i * 20 + 20])) for i in range(3)] == [1, 1, 1] and len(set(labels)) == 3
     apart = np.kron(np.eye(2), np.ones((10, 10)))
-    assert cl.propose_cut(apart, 5, 0.1)[0] == 0.0 and cl.propose_cut(apart, 11, 0.1) is None
+    assert cl.best_split(cl._graph(apart), 5, 0.1)[0] == 0.0 and cl.best_split(cl._graph(apart), 11, 0.1) is None
+
+
+def test_swept_scores_equal_their_definition():
+    r = np.random.default_rng(5)
+    w = r.uniform(0, 1, (40, 40)) * (r.uniform(0, 1, (40, 40)) < 0.2)
+    w = np.maximum(w, w.T)
+    value = np.round(r.normal(size=40), 1)  # with ties
+    cuts = np.array([-9.0, -0.5, 0.0, 0.3, 9.0])
+    score, size = cl.sweep_scores(cl._graph(w), value, cuts)
+    for c, got, n in zip(cuts, score, size):
+        a = value <= c
+        left, right, across = w[a].sum(), w[~a].sum(), w[np.ix_(a, ~a)].sum()
+        want = across / left + across / right if min(left, right) > 1e-8 else np.inf
+        assert n == a.sum() and (got == want or abs(got - want) < 1e-9)
 
 
 def test_sparse_cuts_equal_dense_ones():
