@@ -49,7 +49,7 @@ class Rotation:
 def learn_rotation(x: np.ndarray, bits: int, quantise: bool = True, rounds: int = 25, seed: int = 7, width: float = 0.0) -> Rotation:
     """Principal axes of a sample, turned (iterative quantisation) so that signs lose little; cuts at the medians.
 
-    With a ``width`` a cut is moved, between the 30th and 70th percentile, to where the fewest values lie within it.
+    With a ``width`` a cut is moved, between the 43rd and 57th percentile, to where the fewest values lie within it.
     """
     dim = x.shape[1]
     mean = x.mean(axis=0) if len(x) else np.zeros(dim)
@@ -67,7 +67,7 @@ def learn_rotation(x: np.ndarray, bits: int, quantise: bool = True, rounds: int
     cuts = np.median(z @ axes, axis=0) if len(x) else np.zeros(bits)
     if width and len(x):
         for j, y in enumerate(np.sort(z @ axes, axis=0).T):
-            places = np.quantile(y, np.linspace(0.3, 0.7, 81))
+            places = np.quantile(y, np.linspace(0.43, 0.57, 81))
             places = places[np.argsort(np.abs(np.arange(81) - 40), kind="stable")]  # of equals the one nearest to the median
             cuts[j] = places[np.argmin(np.searchsorted(y, places + width) - np.searchsorted(y, places - width))]
     return Rotation(mean, axes, cuts)
