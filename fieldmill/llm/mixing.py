@@ -213,7 +213,7 @@ def mix_sources(
     pieces = pack_blocks(sized, id_col, block_tokens, seed, totals)
     slots = deal_slots(plan, spark, shard_slots, block_tokens, seed)
     used = F.least(F.col("n_tokens"), F.col("take") - F.col("at"))
-    records = slots.join(pieces, ["source", "block"]).withColumn("n_tokens", used).filter("n_tokens > 0")
+    records = slots.join(pieces.hint("merge"), ["source", "block"]).withColumn("n_tokens", used).filter("n_tokens > 0")
     names = [f.split()[0] for f in PLAN.split(", ")]
     return records.select("mix_id", "shard", "slot", "source", id_col, "first_token", "n_tokens", "round"), spark.createDataFrame([tuple(r[c] for c in names) for r in plan], PLAN)
 
