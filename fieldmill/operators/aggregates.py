@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldmill.operators.ranks import numbered, running_total
+
 
 def mean_or_zero(x: Column) -> Column:
     """Mean of the known values; 0.0 of none."""
@@ -47,13 +49,14 @@ def winner(df: DataFrame, keys: list[str], ties: list[str], per: list[str] | Non
 def ecdf(df: DataFrame, value: str, out: str = "cdf", per: list[str] | None = None) -> DataFrame:
     """Empirical distribution of each value: min(1, count(<= v) / max(n - 1, 1)).
 
-    Counts are made on distinct values, whose running totals are few; rows get them by a join, so no task sorts the table.
+    Counts are made on distinct values, whose running totals go over ranges of values; rows get them by a join.
     """
     by = per or []
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy(value))
-    total = F.sum("_n").over(Window.partitionBy(*by))
-    table = counts.withColumn(out, F.least(F.lit(1.0), upto / F.greatest(total - 1, F.lit(1)))).drop("_n")
+    upto = running_total(counts, by, [value], F.col("_n"), "_upto")
+    total = counts.groupBy(*by).agg(F.sum("_n").alias("_all"))
+    table = upto.join(total, by) if by else upto.crossJoin(F.broadcast(total))  # without groups: one row
+    table = table.withColumn(out, F.least(F.lit(1.0), F.col("_upto") / F.greatest(F.col("_all") - 1, F.lit(1)))).select(*by, value, out)
     return df.join(table, [*by, value], "left")
 
 
@@ -104,10 +107,15 @@ def bounding(df: DataFrame, axes: list[str], by: list[str], factor: float = 1.1)
 
 
 def ema(df: DataFrame, by: list[str], order: list[str], value: str, keep: float = 0.6) -> DataFrame:
-    """Exponential moving average of each group's values in order, started at 0: the last one. A group is folded as one array."""
-    series = F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("_v"))))
-    folded = F.aggregate(series, F.lit(0.0), lambda acc, x: acc * keep + x["_v"] * (1 - keep))
-    return df.filter(F.col(value).isNotNull()).groupBy(*by).agg(folded.alias("ema"))
+    """Exponential moving average of each group's known values in order, started at 0: the last one.
+
+    It is the sum of the values, each weighted by ``keep`` to the power of how many come after it, so a group is never held whole.
+    """
+    known_rows = df.filter(F.col(value).isNotNull()).select(*by, *order, F.col(value).cast("double").alias("_v"))
+    placed = numbered(known_rows, by, order, "_i")
+    sizes = known_rows.groupBy(*by).agg(F.count("*").alias("_n"))
+    weight = F.pow(F.lit(keep), (F.col("_n") - F.col("_i")).cast("double")) * (1 - keep)
+    return placed.join(sizes, by).groupBy(*by).agg(F.sum(F.col("_v") * weight).alias("ema"))
 
 
 def psnr(mse: Column) -> Column:
@@ -127,13 +135,18 @@ def stratified_sample(df: DataFrame, label: str, key: str, total: int, seed: str
     quota = quota.withColumn("room", F.col("base") < F.col("n")).withColumn("left", F.lit(total) - F.sum("base").over(whole))
     rank = F.row_number().over(Window.partitionBy("room").orderBy(F.desc(F.col("exact") - F.floor("exact")), label))
     take = F.when(F.col("all") <= total, F.col("n")).otherwise(F.col("base") + F.when(F.col("room") & (rank <= F.col("left")), 1).otherwise(0))
-    place = F.row_number().over(Window.partitionBy(label).orderBy(F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))), key))
-    return df.join(quota.withColumn("take", take).select(label, "take"), label).withColumn("_place", place).filter("_place <= take").drop("_place", "take")
+    hashed = df.withColumn("_hash", F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))))
+    place = F.row_number().over(Window.partitionBy(label).orderBy("_hash", key))
+    near = hashed.join(F.broadcast(quota.withColumn("take", take).select(label, "take", "n")), label)
+    # Rows whose hash is far beyond their label's share can't be taken and aren't sorted, so a label costs what is taken of it.
+    share = F.conv(F.substring("_hash", 1, 8), 16, 10).cast("double") / 2**32
+    near = near.filter((F.col("take") >= F.col("n")) | (share * F.col("n") <= F.col("take") + 10 * F.sqrt("take") + 100))
+    return near.withColumn("_place", place).filter("_place <= take").drop("_place", "take", "_hash", "n")
 
 
 def running_offsets(df: DataFrame, by: list[str], order: list[str], value: str, out: str) -> DataFrame:
     """Inclusive running total of ``value`` in each group."""
-    return df.withColumn(out, F.sum(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    return running_total(df, by, order, F.col(value), out)
 
 
 def wide_scales(df: DataFrame, by: list[str], scale: str, metrics: list[str], scales: list[float]) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldmill.operators.ranks import numbered
+
 
 def keep_or_all(df: DataFrame, hit: Column, by: list[str] | None = None) -> DataFrame:
     """Rows where ``hit`` holds; where it holds for no row (of a group ``by``), all rows. A null ``hit`` is no hit."""
@@ -81,21 +83,19 @@ def any_substring(text: Column, needles: list[str]) -> Column:
 
 def every_nth(df: DataFrame, group: list[str], order: list[str], stride: int, most: int | None = None) -> DataFrame:
     """Rows 0, stride, 2 stride, ... of each group's order, at most ``most`` of them."""
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1
-    out = df.withColumn("_rank", rank).filter(F.col("_rank") % stride == 0)
+    out = numbered(df, group, order, "_rank").withColumn("_rank", F.col("_rank") - 1).filter(F.col("_rank") % stride == 0)
     return (out.filter(F.col("_rank") < most * stride) if most else out).drop("_rank")
 
 
 def holdout_split(df: DataFrame, group: list[str], order: list[str], hold: int) -> DataFrame:
     """Adds ``split``: 'test' for every ``hold``-th row of a group's order, else 'train'; 0 holds nothing out."""
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1
-    return df.withColumn("split", F.when(F.lit(hold > 0) & (rank % max(hold, 1) == 0), "test").otherwise("train"))
+    held = F.lit(hold > 0) & ((F.col("_rank") - 1) % max(hold, 1) == 0)
+    return numbered(df, group, order, "_rank").withColumn("split", F.when(held, "test").otherwise("train")).drop("_rank")
 
 
 def systematic_sample(df: DataFrame, group: list[str], order: list[str], tenths: int) -> DataFrame:
     """Rows whose place in the group's order, modulo 10, is under ``tenths`` (a rate of tenths/10)."""
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1
-    return df.withColumn("_rank", rank).filter(F.col("_rank") % 10 < tenths).drop("_rank")
+    return numbered(df, group, order, "_rank").filter((F.col("_rank") - 1) % 10 < tenths).drop("_rank")
 
 
 def merge_update(base: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fieldmill.operators.ranks import numbered
+
 
 def dense_labels(df: DataFrame, label: str, out: str = "dense", keep_negative: bool = True) -> DataFrame:
     """``out``: labels renumbered 0.. in their order; negative labels become -1 (or, without ``keep_negative``, count as labels).
@@ -14,7 +15,7 @@ def dense_labels(df: DataFrame, label: str, out: str = "dense", keep_negative: b
     """
     known = df.select(label).filter(F.col(label).isNotNull()).distinct()
     known = known.filter(F.col(label) >= 0) if keep_negative else known
-    ranks = known.withColumn("_rank", (F.row_number().over(W.orderBy(label)) - 1).cast("bigint"))
+    ranks = numbered(known, [], [label], "_rank").withColumn("_rank", F.col("_rank") - 1)
     found = F.when(F.col(label).isNotNull(), F.coalesce("_rank", F.lit(-1)))
     return df.join(ranks, label, "left").withColumn(out, found).drop("_rank")
 
@@ -68,7 +69,7 @@ def grid_cell(df: DataFrame, axes: list[str], stride: float) -> DataFrame:
     placed = df.join(F.broadcast(low))
     cells = [f"_c_{a}" for a in axes]
     placed = placed.withColumns({c: F.ceil((F.col(a) - F.col(f"_low_{a}")) / stride) for c, a in zip(cells, axes)})
-    ranks = placed.select(*cells).distinct().withColumn("cell", (F.row_number().over(W.orderBy(*cells)) - 1).cast("bigint"))
+    ranks = numbered(placed.select(*cells).distinct(), [], cells, "cell").withColumn("cell", F.col("cell") - 1)
     return placed.join(ranks, cells).select(*df.columns, "cell")
 
 

@@ -187,10 +187,9 @@ _S = _G + """, s0 AS (SELECT gid, scene_id, (x - avg(x) OVER (PARTITION BY scene
 
 
 def _splats(s, d):
-    from pyspark.sql import Window
-
     g = full(s, d)
-    middle = F.avg("x").over(Window.partitionBy("scene_id"))
+    g = g.join(g.groupBy("scene_id").agg(F.avg("x").alias("middle")), "scene_id")
+    middle = F.col("middle")
     p = g.select("gid", "scene_id", ((F.col("x") - middle) * 0.02).alias("x"), "y", (F.col("z") + 1.5).alias("depth"), F.lit(0.02).alias("s"), ge.sigmoid(F.coalesce("opacity", F.lit(0.0))).alias("alpha"), F.col("f_dc")[0].alias("c"))
     return ge.screen_splats(p, 64, 64, 60.0)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fieldmill.operators import aggregates as ag
+from fieldmill.operators.ranks import numbered
 from fieldmill.plans import base as B
 from fieldmill.session import load
 
@@ -239,14 +240,14 @@ def w15(s, d):
     p = B.points(s, d)
     m = p.groupBy("scene_id").agg(F.median("x").alias("mx"), F.median("y").alias("my"), F.count("*").alias("n"))
     d2 = F.round(F.pow(F.col("x") - F.col("mx"), F.lit(2)) + F.pow(F.col("y") - F.col("my"), F.lit(2)), 9)
-    k = p.join(m, "scene_id").withColumn("d2", d2).withColumn("i", F.row_number().over(Window.partitionBy("scene_id").orderBy("d2", "gid")))
+    k = numbered(p.join(m, "scene_id").withColumn("d2", d2), ["scene_id"], ["d2", "gid"], "i")
     return k.filter(F.col("i") <= F.ceil(0.95 * F.col("n"))).groupBy("scene_id").agg(F.bool_and(F.col("x").between(0, 12)).alias("inside"))
 
 
 @query("w18_suffix_order", C + "SELECT uid, row_number() OVER (PARTITION BY scene_id ORDER BY try_cast(regexp_extract(split_part(image_name, '.', 1), '(\\d+)$', 1) AS INT) NULLS FIRST, uid) AS place FROM c")
 def w18(s, d):
     number = F.regexp_extract(F.substring_index("image_name", ".", 1), r"(\d+)$", 1).try_cast("int")
-    return B.cameras(s, d).withColumn("k", number).select("uid", F.row_number().over(Window.partitionBy("scene_id").orderBy(F.asc_nulls_first("k"), "uid")).cast("bigint").alias("place"))
+    return numbered(B.cameras(s, d).withColumn("k", number), ["scene_id"], [F.asc_nulls_first("k"), "uid"], "place").select("uid", "place")
 
 
 @query("w19_medians", M + "SELECT scene_id, median(area) AS middle, quantile_disc(area, 0.5) AS low_middle FROM m GROUP BY scene_id")

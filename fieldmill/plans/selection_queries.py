@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldmill.operators import filters as fl
 from fieldmill.operators import labels as lb
+from fieldmill.operators.ranks import numbered
 from fieldmill.plans import base as B
 from fieldmill.session import load
 
@@ -240,10 +241,8 @@ def u8(s, d):
 
 @query("u9_camera_list", C + ", q AS (SELECT uid, scene_id, CASE WHEN (row_number() OVER (PARTITION BY scene_id ORDER BY image_name, uid) - 1) % 8 = 0 THEN 0 ELSE 1 END AS train FROM c) SELECT uid, scene_id, row_number() OVER (PARTITION BY scene_id ORDER BY train, uid) - 1 AS id FROM q")
 def u9(s, d):
-    from pyspark.sql import Window
-
     split = fl.holdout_split(B.cameras(s, d), ["scene_id"], ["image_name", "uid"], 8)
-    return split.select("uid", "scene_id", (F.row_number().over(Window.partitionBy("scene_id").orderBy("split", "uid")) - 1).cast("bigint").alias("id"))
+    return numbered(split, ["scene_id"], ["split", "uid"], "id").select("uid", "scene_id", (F.col("id") - 1).alias("id"))
 
 
 # Labels

@@ -254,3 +254,19 @@ def test_too_many_centres_are_refused(spark):
 def test_similarity_of_an_image_with_itself(spark):
     pixels = spark.createDataFrame([("i", y, x, float(x * y % 5) / 5, float(x * y % 5) / 5) for y in range(9) for x in range(9)], "k string, y int, x int, a double, b double")
     assert abs(ge.ssim(pixels, ["k"]).first()["ssim"] - 1) < 1e-9
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_running_totals_over_ranges_equal_a_plain_sum(spark, parts):
+    from fieldmill.operators.ranks import numbered, running_total
+
+    r = np.random.default_rng(parts)
+    made = [(i, None if r.random() < 0.2 else ("hot" if r.random() < 0.5 else f"g{r.integers(9)}"), float(r.integers(30)), None if r.random() < 0.1 else int(r.integers(9))) for i in range(700)]
+    df = spark.createDataFrame(made, "id bigint, grp string, t double, v int").repartition(parts)
+    got = {x["id"]: (x["total"], x["place"]) for x in running_total(numbered(df, ["grp"], [F.desc("t"), "id"], "place"), ["grp"], ["t", "id"], F.col("v"), "total").collect()}
+    for i, g, t, _ in made:
+        upto = [v for a, b, c, v in made if b == g and (c, a) <= (t, i) and v is not None]
+        place = sum(b == g and (-c, a) <= (-t, i) for a, b, c, _ in made)
+        assert got[i] == (sum(upto) if upto else None, place)
+    assert numbered(df.limit(0), [], ["id"], "n").count() == 0
+    assert sorted(x["n"] for x in numbered(df, [], ["id"], "n").collect()) == list(range(1, 701))
