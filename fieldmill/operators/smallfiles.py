@@ -21,12 +21,12 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from fieldmill.session import partitions, scratch_path
+from fieldmill.session import scratch_path
+from fieldmill.sources.files import file_system
 
 #: Bytes of a row group in runs and stores: the unit that a merge holds of each file it reads.
 GROUP_BYTES = 1 << 20
@@ -125,11 +125,6 @@ def extract_records(files: DataFrame, body: str, keys: dict[str, str], keep: tup
     return files.select(*keep, source).mapInArrow(run, schema)
 
 
-def _file_system(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path or URI, as seen by a worker (a path without a scheme is a local one)."""
-    return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path)) if re.match(r"[a-z0-9]+:/", path) else (fs.LocalFileSystem(), path)
-
-
 def _token(row: tuple) -> tuple:
     """A key as a comparable tuple: nulls first."""
     return tuple((v is not None, v) for v in row)
@@ -181,7 +176,7 @@ class _Writer:
     """Sorted tables in, Parquet files out: a new file whenever the bytes written reach the target or the value of ``split`` changes."""
 
     def __init__(self, folder: str, order: list[str], target: int, split: str | None = None, mark_bytes: int = 0):
-        self.fs, self.folder = _file_system(folder)
+        self.fs, self.folder = file_system(folder)
         self.uri, self.order, self.target, self.split, self.mark_bytes = folder, order, target, split, mark_bytes
         self.unit = min(GROUP_BYTES, target, mark_bytes or target)
         self.reports: list[dict] = []
@@ -294,7 +289,7 @@ def _touching(source: pq.ParquetFile, order: list[str], low: tuple | None, high:
 
 def _pieces(path: str, order: list[str], low: tuple | None, high: tuple | None, schema: pa.Schema) -> Iterator[pa.Table]:
     """The rows of a sorted file with keys in [low, high), one row group at a time."""
-    system, place = _file_system(path)
+    system, place = file_system(path)
     with system.open_input_file(place) as handle:
         source = pq.ParquetFile(handle)
         for g in _touching(source, order, low, high):

@@ -66,7 +66,7 @@ _RAW = "g AS (SELECT DISTINCT gid, x, y, z, opacity, f_dc FROM gaussians WHERE i
 def _local(s, label: str) -> str:
     from fieldmill.session import scratch_path
 
-    return scratch_path(s, label).removeprefix("file://")
+    return scratch_path(s, label)
 
 
 def _scene_ply(s, d) -> str:
@@ -142,7 +142,7 @@ def k17(s, d):
     return cut(B.points(s, d).select("gid", "x"), "capture")
 
 
-@query("s30_hull_points", "SELECT 1000 AS n, true AS inside")
+@query("s30_hull_points", "SELECT 100000 AS n, true AS inside")
 def s30(s, d):
     from fieldmill.sources.colmap import hull_points
 
@@ -153,7 +153,7 @@ def s30(s, d):
         inside = inside & F.coalesce(F.col(c).between(box[f"low_{c}"], box[f"high_{c}"]), F.lit(False))
     for c in ("red", "green", "blue"):
         inside = inside & F.coalesce(F.col(c).between(0, 255), F.lit(False))
-    return hull_points(s, p, 1000).agg(F.count("*").cast("int").alias("n"), F.bool_and(inside).alias("inside"))
+    return hull_points(s, p, 100_000).agg(F.count("*").cast("int").alias("n"), F.bool_and(inside).alias("inside"))
 
 
 @query("g20_jaccard_clusters")

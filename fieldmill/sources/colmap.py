@@ -7,9 +7,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldmill.operators.ranks import numbered
+from fieldmill.sources.files import write_files
+
 # Camera models by number, with the number of their parameters.
 MODELS = {
     0: ("SIMPLE_PINHOLE", 3), 1: ("PINHOLE", 4), 2: ("SIMPLE_RADIAL", 4), 3: ("RADIAL", 5), 4: ("OPENCV", 8), 5: ("OPENCV_FISHEYE", 8),
@@ -75,6 +78,23 @@ def _binary(spark: SparkSession, path: str, parse: Callable[[bytes], Iterator[tu
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
 
 
+def parse_header(data: bytes, form: str) -> tuple:
+    """The values of a little-endian ``form`` at the beginning of a file (the low-level reader of all the binary ones)."""
+    return _take(data, 0, form)[0]
+
+
+def read_counts(spark: SparkSession, path: str) -> DataFrame:
+    """``file``, ``records``: the record count that stands at the head of each binary file."""
+
+    def run(batches):
+        for batch in batches:
+            counts = [parse_header(x, "Q")[0] for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["file", "records"])
+
+    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", "([^/]+/[^/]+)$", 1).alias("file"), "content")
+    return files.mapInArrow(run, "file string, records bigint")
+
+
 def read_cameras_binary(spark: SparkSession, path: str) -> DataFrame:
     return _binary(spark, path, parse_cameras, CAMERAS)
 
@@ -145,14 +165,86 @@ def read_dense(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, "file string, y int, x int, c int, value float")
 
 
-def write_cameras_binary(rows: list[tuple], path: str) -> None:
-    """A small table of (camera_id, model, width, height, params) as a binary file."""
+def _packed(df: DataFrame, by: str, name: str, pack: Callable[[list[dict]], bytes]) -> DataFrame:
+    """One row a group (a reconstruction): its file name and the packed content. A file is one task's work, as the format counts first."""
+
+    def whole(table: pa.Table) -> pa.Table:
+        return pa.table({"name": pa.array([f"{table.column(by)[0].as_py()}/{name}"]), "content": pa.array([pack(table.to_pylist())], pa.binary())})
+
+    return df.groupBy(by).applyInArrow(whole, "name string, content binary")
+
+
+def pack_cameras(rows: list[dict]) -> bytes:
     numbers = {name: (i, n) for i, (name, n) in MODELS.items()}
-    with open(path, "wb") as f:
-        f.write(struct.pack("<Q", len(rows)))
-        for camera, model, width, height, params in rows:
-            i, n = numbers[model]
-            f.write(struct.pack(f"<iiQQ{n}d", camera, i, width, height, *params))
+    out = [struct.pack("<Q", len(rows))]
+    for r in rows:
+        i, n = numbers[r["model"]]
+        out.append(struct.pack(f"<iiQQ{n}d", r["camera_id"], i, r["width"], r["height"], *r["params"]))
+    return b"".join(out)
+
+
+def pack_images(rows: list[dict]) -> bytes:
+    out = [struct.pack("<Q", len(rows))]
+    for r in rows:
+        flat = [v for p in r["points"] for v in (p["x"], p["y"], p["point3d_id"])]
+        out.append(struct.pack("<i7di", r["image_id"], *r["qvec"], *r["tvec"], r["camera_id"]) + r["name"].encode() + b"\0")
+        out.append(struct.pack("<Q" + "ddq" * len(r["points"]), len(r["points"]), *flat))
+    return b"".join(out)
+
+
+def pack_points(rows: list[dict]) -> bytes:
+    return struct.pack("<Q", len(rows)) + b"".join(struct.pack("<QdddBBBdQ", r["id"], *r["xyz"], *r["rgb"], r["error"], 0) for r in rows)
+
+
+def pack_dense(a: np.ndarray) -> bytes:
+    """An array (height, width, channels) as ``parse_dense`` reads it."""
+    height, width, channels = a.shape
+    return f"{width}&{height}&{channels}&".encode() + a.astype("<f4").transpose(1, 0, 2).tobytes(order="F")
+
+
+def write_cameras_binary(df: DataFrame, folder: str, by: str) -> int:
+    """Cameras (camera_id, model, width, height, params) of each group ``by`` as ``<group>/cameras.bin``."""
+    return write_files(_packed(df, by, "cameras.bin", pack_cameras), folder)
+
+
+def write_images_binary(df: DataFrame, folder: str, by: str) -> int:
+    return write_files(_packed(df, by, "images.bin", pack_images), folder)
+
+
+def write_points_binary(df: DataFrame, folder: str, by: str) -> int:
+    return write_files(_packed(df, by, "points3D.bin", pack_points), folder)
+
+
+def write_text(df: DataFrame, folder: str, by: str, name: str, order: str, line: Column, head: str = "# written by a table") -> int:
+    """A text file a group: ``head``, then ``line`` of each row in the order of ``order``."""
+    lines = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l"))))
+    body = F.concat(F.lit(head + "\n"), F.array_join(F.transform("lines", lambda x: x["l"]), "\n"), F.lit("\n"))
+    files = df.groupBy(by).agg(lines.alias("lines")).select(F.concat(F.col(by).cast("string"), F.lit(f"/{name}")).alias("name"), F.encode(body, "utf-8").alias("content"))
+    return write_files(files, folder)
+
+
+def camera_line() -> Column:
+    return F.concat_ws(" ", "camera_id", "model", "width", "height", F.array_join(F.transform("params", lambda p: p.cast("string")), " "))
+
+
+def image_line() -> Column:
+    """Two lines: the pose and name, then the points seen."""
+    numbers = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), " ")
+    points = F.array_join(F.transform("points", lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"), p["point3d_id"].cast("string"))), " ")
+    return F.concat(F.concat_ws(" ", F.col("image_id").cast("string"), numbers("qvec"), numbers("tvec"), F.col("camera_id").cast("string"), "name"), F.lit("\n"), points)
+
+
+def point_line() -> Column:
+    numbers = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), " ")
+    return F.concat_ws(" ", F.col("id").cast("string"), numbers("xyz"), numbers("rgb"), F.col("error").cast("string"))
+
+
+def transforms_document(frames: DataFrame, by: str, angle: str | None = None) -> DataFrame:
+    """``name``, ``content``: a transforms file a group, frames (ordinal, file_path, w, h, fl_x ...) in order, with a shared angle if one is named."""
+    cells = [c for c in frames.columns if c not in (by, "ordinal", angle)]
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", F.struct(*cells).alias("f")))), lambda x: x["f"])
+    doc = frames.groupBy(by).agg(listed.alias("frames"), *([F.first(angle).alias("camera_angle_x")] if angle else []))
+    return doc.select(F.concat(F.col(by).cast("string"), F.lit("/transforms.json")).alias("name"), F.encode(F.to_json(F.struct(*[c for c in doc.columns if c != by])), "utf-8").alias("content"))
 
 
 def assemble(images: DataFrame, cameras: DataFrame) -> DataFrame:
@@ -185,4 +277,4 @@ def hull_points(spark: SparkSession, cameras: DataFrame, rows: int, seed: int =
 def natural_order(df: DataFrame, name: str) -> DataFrame:
     """``place``: rows by the number at the end of a name's stem, then by name."""
     number = F.regexp_extract(F.substring_index(name, ".", 1), r"(\d+)$", 1).try_cast("bigint")
-    return df.withColumn("place", F.row_number().over(Window.orderBy(F.asc_nulls_first(number), name)))
+    return numbered(df.withColumn("_suffix", number), [], [F.asc_nulls_first("_suffix"), name], "place").drop("_suffix")

@@ -1,19 +1,21 @@
 """PLY files as a Spark data source: ``spark.read.format("ply")`` reads the scalar properties of one element, in row ranges; writing gives
-one binary file a partition. Register with ``register(spark)``. Paths are those of a file system that all executors mount."""
+binary files of bounded size. Register with ``register(spark)``. Paths are those of any file system that Arrow knows."""
 
 from __future__ import annotations
 
-import os
+import io
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyarrow import fs
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+
+from fieldmill.sources.files import file_system
 
 # Type names of the format, with their numpy and Spark types.
 TYPES = {
@@ -32,12 +34,17 @@ class Header:
     size: int
 
 
+def _open(path: str) -> io.BufferedReader:
+    system, place = file_system(path)
+    return io.BufferedReader(system.open_input_file(place), 1 << 20)
+
+
 def read_header(path: str) -> Header:
     order, elements, size = "", [], 0
-    with open(path, "rb") as f:
+    with _open(path) as f:
         if f.readline().strip() != b"ply":
             raise ValueError(f"{path} is no PLY file")
-        for raw in f:
+        while raw := f.readline():
             words = raw.decode("ascii", "replace").split()
             if not words:
                 continue
@@ -67,8 +74,12 @@ class PlyReader(DataSourceReader):
 
     def __init__(self, options: dict) -> None:
         self.element, self.rows = options.get("element", "vertex"), int(options.get("rows", 1_000_000))
-        place = Path(options["path"])
-        self.files = [(str(f), read_header(str(f))) for f in (sorted(place.glob("*.ply")) if place.is_dir() else [place])]
+        system, place = file_system(options["path"])
+        names = [options["path"]]
+        if system.get_file_info(place).type == fs.FileType.Directory:
+            listed = system.get_file_info(fs.FileSelector(place))
+            names = sorted(f"{options['path'].rstrip('/')}/{x.base_name}" for x in listed if x.base_name.endswith(".ply") and x.base_name[0] not in "._")
+        self.files = [(f, read_header(f)) for f in names]
         if not self.files:
             raise ValueError(f"no PLY file in {place}")
         self.fields = next((p for n, _, p in self.files[0][1].elements if n == self.element), [])
@@ -92,7 +103,7 @@ class PlyReader(DataSourceReader):
         header = dict(self.files)[part.path]
         kinds = np.dtype([(n, header.order + TYPES[t][0]) for n, t, _ in self.fields])
         before = [(c, p) for n, c, p in header.elements[: [n for n, _, _ in header.elements].index(self.element)]]
-        with open(part.path, "rb") as f:
+        with _open(part.path) as f:
             if header.order:
                 skip = sum(c * sum(np.dtype(TYPES[t][0]).itemsize for _, t, _ in p) for c, p in before)
                 f.seek(header.size + skip + part.start * kinds.itemsize)
@@ -108,36 +119,68 @@ class PlyReader(DataSourceReader):
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(part.first, part.first + len(data))), *arrays], ["row", *(n for n, _, _ in self.fields)])
 
 
-class PlyWriter(DataSourceWriter):
-    """Each partition writes a temporary file; the commit gives the files their names, an abort removes them."""
+#: Bytes of data at which a writing task begins another file.
+FILE_BYTES = 64 << 20
+
+
+class PlyWriter(DataSourceArrowWriter):
+    """Each task writes its batches to drafts of bounded size; the commit takes away the files of before and names the drafts, an abort
+    removes them. So a failed job leaves the old table as it was."""
 
-    def __init__(self, path: str, fields: list[tuple[str, str]]) -> None:
-        self.path, self.fields = path, fields
+    def __init__(self, path: str, fields: list[tuple[str, str]], overwrite: bool) -> None:
+        self.path, self.fields, self.overwrite = path, fields, overwrite
 
-    def write(self, rows: Iterator) -> WriterCommitMessage:
-        kinds = [(n, "<" + TYPES[NAMES[t]][0]) for n, t in self.fields]
-        os.makedirs(self.path, exist_ok=True)
-        data = np.array([tuple(r) for r in rows], dtype=kinds)
-        name = os.path.join(self.path, f".{uuid.uuid4().hex}.tmp")
-        with open(name, "wb") as f:
-            lines = ["ply", "format binary_little_endian 1.0", f"element vertex {len(data)}", *(f"property {NAMES[t]} {n}" for n, t in self.fields), "end_header"]
-            f.write(("\n".join(lines) + "\n").encode())
-            f.write(data.tobytes())
+    def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        kinds = np.dtype([(n, "<" + TYPES[NAMES[t]][0]) for n, t in self.fields])
+        system, folder = file_system(self.path)
+        system.create_dir(folder, recursive=True)
         message = WriterCommitMessage()
-        message.name, message.rows = name, len(data)
+        message.drafts = []
+        held: list[np.ndarray] = []
+
+        def flush() -> None:
+            count = sum(len(x) for x in held)
+            lines = ["ply", "format binary_little_endian 1.0", f"element vertex {count}", *(f"property {NAMES[t]} {n}" for n, t in self.fields), "end_header"]
+            draft = f"{folder}/.{uuid.uuid4().hex}.tmp"
+            with system.open_output_stream(draft) as sink:
+                sink.write(("\n".join(lines) + "\n").encode())
+                for x in held:
+                    sink.write(x.tobytes())
+            message.drafts.append((draft, count))
+            held.clear()
+
+        for batch in batches:
+            data = np.empty(len(batch), dtype=kinds)
+            for i, (n, _) in enumerate(self.fields):
+                column = batch.column(i)
+                data[n] = (column.fill_null(float("nan")) if pa.types.is_floating(column.type) else column).to_numpy(zero_copy_only=False)
+            held.append(data)
+            if sum(x.nbytes for x in held) >= FILE_BYTES:
+                flush()
+        if held or not message.drafts:
+            flush()
         return message
 
     def commit(self, messages: list) -> None:
-        kept = [m for m in messages if m is not None]
-        full = [m for m in kept if m.rows] or kept[:1]
-        for i, m in enumerate(full):
-            os.replace(m.name, os.path.join(self.path, f"part-{i:05d}.ply"))
-        self.abort([m for m in kept if m not in full])
+        system, folder = file_system(self.path)
+        drafts = [d for m in messages if m is not None for d in m.drafts]
+        kept = [d for d in drafts if d[1]] or drafts[:1]
+        if self.overwrite:
+            for old in system.get_file_info(fs.FileSelector(folder)):
+                if old.base_name.startswith("part-") and old.base_name.endswith(".ply"):
+                    system.delete_file(old.path)
+        for i, (draft, _) in enumerate(kept):
+            system.move(draft, f"{folder}/part-{i:06d}.ply")
+        for draft, _ in drafts:
+            if (draft, 0) in drafts and system.get_file_info(draft).type == fs.FileType.File:
+                system.delete_file(draft)
 
     def abort(self, messages: list) -> None:
+        system, _ = file_system(self.path)
         for m in messages:
-            if m is not None:
-                Path(m.name).unlink(missing_ok=True)
+            for draft, _ in m.drafts if m is not None else ():
+                if system.get_file_info(draft).type == fs.FileType.File:
+                    system.delete_file(draft)
 
 
 class PlySource(DataSource):
@@ -158,10 +201,7 @@ class PlySource(DataSource):
         fields = [(f.name, f.dataType.simpleString()) for f in schema.fields]
         if bad := [t for _, t in fields if t not in NAMES]:
             raise ValueError(f"PLY has no {bad[0]}")
-        if overwrite and os.path.isdir(self.options["path"]):
-            for old in Path(self.options["path"]).glob("part-*.ply"):
-                old.unlink()
-        return PlyWriter(self.options["path"], fields)
+        return PlyWriter(self.options["path"], fields, overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -229,7 +269,7 @@ def wide_export(points: DataFrame, features: DataFrame, labels: DataFrame, width
 def read_faces(path: str) -> tuple[np.ndarray, np.ndarray]:
     """Vertices (V, 3) and triangles (F, 3) of a mesh file on the driver; meshes are small side inputs. Other polygons are an error."""
     h = read_header(path)
-    with open(path, "rb") as f:
+    with _open(path) as f:
         f.seek(h.size)
         if not h.order:
             rows = [[float(v) for v in line.split()] for line in f.read().splitlines() if line.strip()]
@@ -249,3 +289,55 @@ def read_faces(path: str) -> tuple[np.ndarray, np.ndarray]:
     if len(faces) and (faces.min() < 0 or faces.max() >= len(v)):
         raise ValueError("a face names no vertex")
     return v, faces
+
+
+def pack_mesh(vertices: np.ndarray, faces: np.ndarray) -> bytes:
+    """A binary mesh file of triangles."""
+    head = ["ply", "format binary_little_endian 1.0", f"element vertex {len(vertices)}", *(f"property float {c}" for c in "xyz"), f"element face {len(faces)}", "property list uchar int vertex_indices", "end_header"]
+    rows = np.empty(len(faces), dtype=[("n", "u1"), ("v", "<i4", 3)])
+    rows["n"], rows["v"] = 3, faces
+    return ("\n".join(head) + "\n").encode() + np.ascontiguousarray(vertices, dtype="<f4").tobytes() + rows.tobytes()
+
+
+def read_meshes(spark: SparkSession, path: str) -> DataFrame:
+    """``file``, ``a``, ``b``, ``c`` and the corner coordinates of ``a`` (x, y, z) of every triangle of the mesh files at ``path``, one task a file."""
+
+    def run(batches):
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                v, f = read_faces(name)
+                base = pa.array([name.rpartition("/")[2]] * len(f), pa.string())
+                corner = v[f[:, 0]] if len(f) else np.zeros((0, 3))
+                yield pa.RecordBatch.from_arrays([base, *(pa.array(f[:, i]) for i in range(3)), *(pa.array(corner[:, i].astype(np.float64)) for i in range(3))], ["file", "a", "b", "c", "x", "y", "z"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ply").load(path).select("path")
+    return files.mapInArrow(run, "file string, a bigint, b bigint, c bigint, x double, y double, z double")
+
+
+def write_pixels(df: DataFrame, folder: str, by: str, height: int, width: int) -> int:
+    """One grey image file (binary PGM) a group: ``value`` 0..255 at ``y``, ``x``; other pixels are 0."""
+    from fieldmill.sources.files import write_files
+
+    def whole(table: pa.Table) -> pa.Table:
+        image = np.zeros((height, width), np.uint8)
+        image[table.column("y").to_numpy(), table.column("x").to_numpy()] = table.column("value").to_numpy()
+        name = f"{table.column(by)[0].as_py()}.pgm"
+        return pa.table({"name": pa.array([name]), "content": pa.array([f"P5 {width} {height} 255\n".encode() + image.tobytes()], pa.binary())})
+
+    return write_files(df.select(by, "y", "x", "value").groupBy(by).applyInArrow(whole, "name string, content binary"), folder)
+
+
+def read_pixels(spark: SparkSession, folder: str) -> DataFrame:
+    """``file``, ``y``, ``x``, ``value`` of the pixels of grey image files that aren't 0."""
+
+    def run(batches):
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                head, _, body = content.partition(b"\n")
+                width, height = (int(v) for v in head.split()[1:3])
+                image = np.frombuffer(body, np.uint8).reshape(height, width)
+                y, x = np.nonzero(image)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(y), pa.string()), pa.array(y), pa.array(x), pa.array(image[y, x].astype(np.int64))], ["file", "y", "x", "value"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pgm").load(folder).select(F.regexp_extract("path", r"([^/]+)\.pgm$", 1).alias("file"), "content")
+    return files.mapInArrow(run, "file string, y bigint, x bigint, value bigint")
