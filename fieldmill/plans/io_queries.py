@@ -106,25 +106,6 @@ def s2(s, d):
     return ply.feature_table(ply.read_ply(s, path), 32).select(F.col("f")[0].alias("f0"), F.col("f")[31].alias("f31")).distinct()
 
 
-@query("k6_partitioned_export", f"WITH {B.POINTS} SELECT label, count(*) AS n FROM p GROUP BY label")
-def k6(s, d):
-    from fieldmill.session import scratch_path
-    from fieldmill.sources.logs import write_partitioned
-
-    path = scratch_path(s, "parts")
-    write_partitioned(B.points(s, d).select("gid", "x", "label"), path, "label")
-    return s.read.parquet(path).groupBy(F.col("label").cast("bigint").alias("label")).agg(F.count("*").alias("n"))
-
-
-@query("k9_scale_csv", f"WITH {B.MASKS} SELECT mask_key, area FROM m")
-def k9(s, d):
-    from fieldmill.session import scratch_path
-
-    path = scratch_path(s, "csv")
-    B.masks(s, d).select("mask_key", "area", "scale").write.option("header", True).csv(path)
-    return s.read.schema("mask_key bigint, area bigint, scale double").option("header", True).csv(path).select("mask_key", "area")
-
-
 @query("k11_status_log", "SELECT event_type AS status, count(*) AS n FROM events GROUP BY 1")
 def k11(s, d):
     from fieldmill.session import scratch_path

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES: tuple[str, ...] = ("fieldmill.plans.pipeline_queries", "fieldmill.plans.selection_queries", "fieldmill.plans.mask_queries", "fieldmill.plans.report_queries", "fieldmill.plans.graph_queries", "fieldmill.plans.geometry_queries", "fieldmill.plans.io_queries")
+MODULES: tuple[str, ...] = ("fieldmill.plans.pipeline_queries", "fieldmill.plans.selection_queries", "fieldmill.plans.mask_queries", "fieldmill.plans.report_queries", "fieldmill.plans.graph_queries", "fieldmill.plans.geometry_queries", "fieldmill.plans.io_queries", "fieldmill.plans.file_queries")
 
 
 def collect(modules: tuple[str, ...] = MODULES) -> tuple[dict[str, Query], dict[str, str]]:

@@ -382,27 +382,6 @@ def j21(s, d):
     return _by_scale(s, d).filter(F.abs(F.col("scale") - 0.5) < 1e-6).select("label", F.round("iou", 6).alias("iou"))
 
 
-@query("s18_latest_version", "SELECT stream_id, max(written_at) AS latest FROM result_files GROUP BY stream_id")
-def s18(s, d):
-    return load(s, d, "result_files").groupBy("stream_id").agg(F.max("written_at").alias("latest"))
-
-
-@query("s21_first_candidate", "SELECT DISTINCT uid, coalesce(min(features_path), min(masks_path), min(mask_scales_path)) AS path FROM cameras GROUP BY uid")
-def s21(s, d):
-    roots = ("features_path", "masks_path", "mask_scales_path")
-    return load(s, d, "cameras").groupBy("uid").agg(F.coalesce(*(F.min(c) for c in roots)).alias("path"))
-
-
-@query("s24_json_scan", "SELECT file_id, min(body->>'cluster_method') AS cluster_method FROM result_files GROUP BY file_id")
-def s24(s, d):
-    return load(s, d, "result_files").groupBy("file_id").agg(F.min(F.get_json_object("body", "$.cluster_method")).alias("cluster_method"))
-
-
-@query("s25_path_key", "SELECT split_part(stream_id, '/', 1) AS scene, count(DISTINCT file_id) AS files FROM result_files GROUP BY 1")
-def s25(s, d):
-    return load(s, d, "result_files").groupBy(F.split_part("stream_id", F.lit("/"), F.lit(1)).alias("scene")).agg(F.count_distinct("file_id").alias("files"))
-
-
 @query("s26_external_labels", P + "SELECT p.gid, CASE WHEN abs(q.x - p.x) <= 1e-5 THEN q.label ELSE -1 END AS label FROM p JOIN p q USING (gid)")
 def s26(s, d):
     p = B.points(s, d)
