@@ -70,11 +70,11 @@ def a3(s, d):
     return B.runs(s, d).groupBy("scene_id").agg(F.sum("masks").cast("bigint").alias("masks"), F.round(iou, 6).alias("iou"))
 
 
-@query("a4_cluster_sizes", P + ", c AS (SELECT scene_id, label, count(*) AS n, avg(conf) AS r FROM p WHERE label >= 0 GROUP BY ALL) SELECT scene_id, min(n) AS low, median(n) AS mid, max(n) AS high, round(avg(r), 6) AS mean, round(sum(r * n) / greatest(sum(n), 1), 6) AS weighted FROM c GROUP BY scene_id")
+@query("a4_cluster_sizes", P + ", c AS (SELECT scene_id, label, count(*) AS n, avg(conf) AS r FROM p WHERE label >= 0 GROUP BY ALL) SELECT scene_id, min(n) AS low, median(n) AS mid, max(n) AS high, round(round(avg(r), 12), 6) AS mean, round(sum(r * n) / greatest(sum(n), 1), 6) AS weighted FROM c GROUP BY scene_id")
 def a4(s, d):
     c = B.points(s, d).filter("label >= 0").groupBy("scene_id", "label").agg(F.count("*").alias("n"), F.avg("conf").alias("r"))
     return c.groupBy("scene_id").agg(
-        F.min("n").alias("low"), F.median("n").alias("mid"), F.max("n").alias("high"), F.round(F.avg("r"), 6).alias("mean"),
+        F.min("n").alias("low"), F.median("n").alias("mid"), F.max("n").alias("high"), F.round(F.round(F.avg("r"), 12), 6).alias("mean"),  # ties don't hang on the order of sums
         F.round(F.sum(F.col("r") * F.col("n")) / F.greatest(F.sum("n"), F.lit(1)), 6).alias("weighted"),
     )
 
