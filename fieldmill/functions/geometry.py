@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Real spherical-harmonic constants of degrees 0 to 2.
+# Real spherical-harmonic constants of degrees 0 to 4.
 SH0 = 0.28209479177387814
 SH1 = 0.4886025119029199
 SH2 = (1.0925484305920792, -1.0925484305920792, 0.31539156525252005, -1.0925484305920792, 0.5462742152960396)
 
 
+SH3 = (-0.5900435899266435, 2.890611442640554, -0.4570457994644658, 0.3731763325901154, -0.4570457994644658, 1.445305721320277, -0.5900435899266435)
+SH4 = (2.5033429417967046, -1.7701307697799304, 0.9461746957575601, -0.6690465435572892, 0.10578554691520431, -0.6690465435572892, 0.47308734787878004, -1.7701307697799304, 0.6258357354491761)
+
+
 def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
@@ -88,18 +92,116 @@ def pixel_to_point(row: Column, col: Column, depth: Column, focal: Column, cx: C
 
 
 def sh_colour(coefficients: list[Column], direction: list[Column], degree: int) -> Column:
-    """Spherical-harmonic value of degree 0 to 2 in a unit direction."""
+    """Spherical-harmonic value of degree 0 to 4 in a unit direction; ``coefficients`` has at least (degree + 1)^2. Other degrees are an error."""
+    if degree not in range(5) or len(coefficients) < (degree + 1) ** 2:
+        raise ValueError(f"degree {degree} with {len(coefficients)} coefficients")
     x, y, z = direction
+    xx, yy, zz = x * x, y * y, z * z
     out = SH0 * coefficients[0]
     if degree > 0:
         out = out - SH1 * y * coefficients[1] + SH1 * z * coefficients[2] - SH1 * x * coefficients[3]
     if degree > 1:
-        basis = [x * y, y * z, 2 * z * z - x * x - y * y, x * z, x * x - y * y]
+        basis = [x * y, y * z, 2 * zz - xx - yy, x * z, xx - yy]
         for constant, b, c in zip(SH2, basis, coefficients[4:9]):
             out = out + constant * b * c
+    if degree > 2:
+        level = 4 * zz - xx - yy
+        basis = [y * (3 * xx - yy), x * y * z, y * level, z * (2 * zz - 3 * xx - 3 * yy), x * level, z * (xx - yy), x * (xx - 3 * yy)]
+        for constant, b, c in zip(SH3, basis, coefficients[9:16]):
+            out = out + constant * b * c
+    if degree > 3:
+        basis = [
+            x * y * (xx - yy), y * z * (3 * xx - yy), x * y * (7 * zz - 1), y * z * (7 * zz - 3), zz * (35 * zz - 30) + 3,
+            x * z * (7 * zz - 3), (xx - yy) * (7 * zz - 1), x * z * (xx - 3 * yy), xx * (xx - 3 * yy) - yy * (3 * xx - yy),
+        ]
+        for constant, b, c in zip(SH4, basis, coefficients[16:25]):
+            out = out + constant * b * c
     return out
 
 
+def matrix_quaternion(m: list[list[Column]]) -> list[Column]:
+    """The unit quaternion (w, x, y, z), w not negative, of a rotation matrix: from the largest of its four components, so none is divided by
+    something small."""
+    trace = m[0][0] + m[1][1] + m[2][2]
+    four = [1 + trace, 1 + 2 * m[0][0] - trace, 1 + 2 * m[1][1] - trace, 1 + 2 * m[2][2] - trace]  # each is 4 times a component squared
+    sums = {(0, 1): m[2][1] - m[1][2], (0, 2): m[0][2] - m[2][0], (0, 3): m[1][0] - m[0][1], (1, 2): m[0][1] + m[1][0], (1, 3): m[0][2] + m[2][0], (2, 3): m[1][2] + m[2][1]}
+    best = F.greatest(*four)
+    out = []
+    for i in range(4):
+        value = F.lit(None).cast("double")
+        for k in reversed(range(4)):
+            size = 2 * F.sqrt(four[k])
+            value = F.when(four[k] == best, size / 4 if i == k else sums[min(i, k), max(i, k)] / size).otherwise(value)
+        out.append(value)
+    sign = F.when(out[0] < 0, -1.0).otherwise(1.0)
+    return [v * sign for v in out]
+
+
+def transform_splats(df: DataFrame, matrix: list[list[float]], offset: list[float], xyz: tuple[str, str, str] = ("x", "y", "z"), rot: str = "rot", scale: str = "scale") -> DataFrame:
+    """Splats under the affine map ``matrix`` * p + ``offset``: positions mapped, rotations and (log) scales such that each splat's covariance
+    is the mapped one (singular values of matrix * rotation * scales; largest axes first).
+
+    Two scales stay two: the flat third axis takes part and is left out again. Rows with a null position, rotation or scale have null results
+    there. Other columns stay. One batched decomposition an Arrow batch.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    a, b = np.array(matrix, dtype=np.float64), np.array(offset, dtype=np.float64)
+    cells = [F.when(F.col(rot).isNotNull(), F.array(*unit_quaternion(F.col(rot).cast("array<double>")))).alias("_q")]
+    third = F.when(F.size(scale) == 2, third_scale(F.col(scale))).otherwise(F.get(scale, F.lit(2)))
+    cells.append(F.when(F.size(scale).isin(2, 3), F.array(F.col(scale)[0], F.col(scale)[1], third).cast("array<double>")).alias("_s"))
+    kept = [c for c in df.columns if c not in (*xyz, rot, scale)]
+    source = df.select(*kept, *(F.col(c).cast("double").alias(c) for c in xyz), *cells, F.size(scale).alias("_n"))
+    types = {f.name: f.dataType.simpleString() for f in source.schema.fields}
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in kept), *(f"`{c}` double" for c in xyz), f"`{rot}` array<double>", f"`{scale}` array<double>"])
+
+    def run(batches):
+        for batch in batches:
+            n, k = len(batch), len(kept)
+            p = np.stack([batch.column(k + i).to_numpy(zero_copy_only=False) for i in range(3)], axis=1).astype(np.float64)
+            quaternions, scales, sizes = (batch.column(k + i).to_pylist() for i in (3, 4, 5))
+            good = [i for i in range(n) if quaternions[i] is not None and scales[i] is not None and None not in quaternions[i] and None not in scales[i]]
+            q, s = np.array([quaternions[i] for i in good]).reshape(-1, 4), np.exp(np.array([scales[i] for i in good]).reshape(-1, 3))
+            w, x, y, z = q.T
+            r = np.stack([
+                np.stack([1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y)], axis=1),
+                np.stack([2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x)], axis=1),
+                np.stack([2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y)], axis=1),
+            ], axis=1)
+            u, d, _ = np.linalg.svd(a @ (r * s[:, None, :]))
+            u[:, :, 2] *= np.sign(np.linalg.det(u))[:, None]  # a proper rotation
+            new_q, new_s = [None] * n, [None] * n
+            for i, turn, size in zip(good, _quaternions(u).tolist(), np.log(np.maximum(d, 1e-300)).tolist()):
+                new_q[i], new_s[i] = turn, size[: sizes[i]]
+            moved = p @ a.T + b
+            arrays = [pa.array(moved[:, i], from_pandas=True) for i in range(3)] + [pa.array(v, pa.list_(pa.float64())) for v in (new_q, new_s)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(k)), *arrays], [*kept, *xyz, rot, scale])
+
+    return source.mapInArrow(run, schema)
+
+
+def _quaternions(m):
+    """``matrix_quaternion`` for an array (n, 3, 3)."""
+    import numpy as np
+
+    t = np.trace(m, axis1=1, axis2=2)
+    four = np.stack([1 + t, *(1 + 2 * m[:, i, i] - t for i in range(3))], axis=1)
+    odd = np.stack([m[:, 2, 1] - m[:, 1, 2], m[:, 0, 2] - m[:, 2, 0], m[:, 1, 0] - m[:, 0, 1]], axis=1)
+    even = m + m.transpose(0, 2, 1)
+    outer = np.zeros((len(m), 4, 4))  # four times the products of the components
+    outer[:, range(4), range(4)] = four
+    outer[:, 0, 1:] = outer[:, 1:, 0] = odd
+    for i in range(3):
+        for j in range(3):
+            if i != j:
+                outer[:, 1 + i, 1 + j] = even[:, i, j]
+    k = four.argmax(axis=1)
+    at = np.arange(len(m))
+    q = outer[at, k] / (2 * np.sqrt(four[at, k]))[:, None]
+    return q * np.where(q[:, :1] < 0, -1, 1)
+
+
 def position_encoding(x: Column, bands: int) -> Column:
     """x, then sin and cos of x times the powers of two."""
     waves = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.array(F.sin(x * F.pow(F.lit(2.0), k)), F.cos(x * F.pow(F.lit(2.0), k)))))

@@ -82,6 +82,57 @@ def x14(s, d):
     return g.select("gid", F.round(value, 6).alias("v"))
 
 
+_SH = "WITH g AS (SELECT DISTINCT gid, f_dc::DOUBLE[] AS f, f_rest::DOUBLE[] AS r FROM gaussians WHERE f_rest IS NOT NULL), c AS (SELECT gid, list_concat([f[1]], r) AS k FROM g) "
+# The direction is (0.64, 0.6, 0.48); each term is a constant times its polynomial there.
+_X, _Y, _Z = 0.64, 0.6, 0.48
+_TERMS = {
+    3: [(0.28209479177387814, 1), (-0.4886025119029199, _Y), (0.4886025119029199, _Z), (-0.4886025119029199, _X), (1.0925484305920792, _X * _Y), (-1.0925484305920792, _Y * _Z), (0.31539156525252005, 2 * _Z**2 - _X**2 - _Y**2), (-1.0925484305920792, _X * _Z), (0.5462742152960396, _X**2 - _Y**2),
+        (-0.5900435899266435, 3 * _X**2 * _Y - _Y**3), (2.890611442640554, _X * _Y * _Z), (-0.4570457994644658, _Y * (4 * _Z**2 - _X**2 - _Y**2)), (0.3731763325901154, 2 * _Z**3 - 3 * _Z * (_X**2 + _Y**2)), (-0.4570457994644658, _X * (4 * _Z**2 - _X**2 - _Y**2)), (1.445305721320277, _Z * (_X**2 - _Y**2)), (-0.5900435899266435, _X**3 - 3 * _X * _Y**2)],
+    4: [(2.5033429417967046, _X**3 * _Y - _X * _Y**3), (-1.7701307697799304, _Z * (3 * _X**2 * _Y - _Y**3)), (0.9461746957575601, _X * _Y * (7 * _Z**2 - 1)), (-0.6690465435572892, _Y * (7 * _Z**3 - 3 * _Z)), (0.10578554691520431, 35 * _Z**4 - 30 * _Z**2 + 3), (-0.6690465435572892, _X * (7 * _Z**3 - 3 * _Z)), (0.47308734787878004, (_X**2 - _Y**2) * (7 * _Z**2 - 1)), (-1.7701307697799304, _Z * (_X**3 - 3 * _X * _Y**2)), (0.6258357354491761, _X**4 - 6 * _X**2 * _Y**2 + _Y**4)],
+}
+
+
+def _sh_sql(degree: int) -> str:
+    terms = _TERMS[3] + (_TERMS[4] if degree == 4 else [])
+    return _SH + "SELECT gid, round(" + " + ".join(f"({c!r}) * ({p!r}) * k[{i + 1}]" for i, (c, p) in enumerate(terms)) + ", 6) AS v FROM c"
+
+
+def _sh(s, d, degree: int):
+    g = load(s, d, "gaussians").filter("f_rest is not null").select("gid", F.concat(F.slice("f_dc", 1, 1), "f_rest").cast("array<double>").alias("k")).distinct()
+    value = ge.sh_colour([F.col("k")[i] for i in range(25)], [F.lit(_X), F.lit(_Y), F.lit(_Z)], degree)
+    return g.select("gid", F.round(value, 6).alias("v"))
+
+
+@query("x14_sh_degree3", _sh_sql(3))
+def x14c(s, d):
+    return _sh(s, d, 3)
+
+
+@query("x14_sh_degree4", _sh_sql(4))
+def x14d(s, d):
+    return _sh(s, d, 4)
+
+
+@query("x11_matrix_quaternion", _G + ", " + _R + "SELECT gid, " + ", ".join(f"round(CASE WHEN w < 0 THEN -{c} ELSE {c} END, 6) AS q{i}" for i, c in enumerate("wabc")) + " FROM q")
+def x11m(s, d):
+    m = ge.rotation_matrix(ge.unit_quaternion(F.col("rot")))
+    flat = full(s, d).select("gid", *(m[i][j].alias(f"m{i}{j}") for i in range(3) for j in range(3)))
+    q = ge.matrix_quaternion([[F.col(f"m{i}{j}") for j in range(3)] for i in range(3)])
+    return flat.select("gid", *(F.round(v, 6).alias(f"q{i}") for i, v in enumerate(q)))
+
+
+_MAP = [[0.8, -0.6, 0.1], [0.9, 1.2, 0.0], [0.0, 0.3, 0.5]]
+
+
+@query("x17_affine_splats", _G + ", " + _R + ", m AS (SELECT gid, [1 - 2 * (b * b + c * c), 2 * (a * b - w * c), 2 * (a * c + w * b)] AS r0, [2 * (a * b + w * c), 1 - 2 * (a * a + c * c), 2 * (b * c - w * a)] AS r1, [2 * (a * c - w * b), 2 * (b * c + w * a), 1 - 2 * (a * a + b * b)] AS r2, [s0, s1, s2] AS s FROM q WHERE s2 IS NOT NULL), "
+ "t AS (SELECT gid, [ (0.8 * r0[k] - 0.6 * r1[k] + 0.1 * r2[k]) * s[k] FOR k IN [1, 2, 3]] AS t0, [(0.9 * r0[k] + 1.2 * r1[k]) * s[k] FOR k IN [1, 2, 3]] AS t1 FROM m) "
+ "SELECT gid, round(0.8 * x - 0.6 * y + 0.1 * z + 1, 5) AS x, round(list_dot_product(t0, t0), 6) AS xx, round(list_dot_product(t0, t1), 6) AS xy FROM t JOIN g USING (gid) WHERE len(scale) = 3")
+def x17s(s, d):
+    moved = ge.transform_splats(full(s, d).filter(F.size("scale") == 3).select("gid", "x", "y", "z", "rot", "scale"), _MAP, [1.0, 0.0, -2.0])
+    cov = ge.covariance6(F.col("rot"), F.transform("scale", F.exp))
+    return moved.select("gid", F.round("x", 5).alias("x"), F.round(cov[0], 6).alias("xx"), F.round(cov[1], 6).alias("xy"))
+
+
 @query("x16_unproject", _C + "SELECT uid, round((10 - width / 2) * 2 / (width / (2 * tan(fovx / 2))), 6) AS x, round((20 - height / 2) * 2 / (width / (2 * tan(fovx / 2))), 6) AS y FROM c")
 def x16(s, d):
     focal = ge.fov_to_focal(F.col("fovx"), F.col("width"))
