@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -165,6 +166,42 @@ def long_scales(df: DataFrame, by: list[str], metrics: list[str], scales: list[f
     return out.filter(reduce(lambda a, b: a | b, (F.col(m).isNotNull() for m in metrics)))
 
 
+def scale_prefixes(columns: list[str]) -> list[tuple[str, float]]:
+    """The prefixes ``scale_<whole>p<part>`` that column names begin with, and their scales, in the order of these."""
+    found = {m[1] for c in columns if (m := re.match(r"(scale_\d+p\d+)_", c))}
+    return sorted(((p, float(p.removeprefix("scale_").replace("p", "."))) for p in found), key=lambda x: x[1])
+
+
+def level_slices(lengths: DataFrame, by: list[str], level: str, n: str) -> DataFrame:
+    """``first``, ``stop``: where the rows of each level lie in the arrays that hold all levels of a group one after the other."""
+    upto = running_total(lengths, by, [level], F.col(n), "stop")
+    return upto.select(*by, level, (F.col("stop") - F.col(n)).alias("first"), "stop")
+
+
+def zip_check(left: DataFrame, right: DataFrame, by: list[str], order: str, values: list[str], tolerance: float = 1e-5) -> DataFrame:
+    """Two tables compared row by row in their order: the greatest difference of any of ``values`` in each group, and whether they are the same
+    (as many rows, none farther apart than ``tolerance``). Groups that one side lacks are not the same."""
+    a, b = (numbered(df.select(*by, order, *values), by, [order], "_i") for df in (left, right))
+    b = b.select(*by, "_i", *(F.col(v).alias(f"_{v}") for v in values), F.lit(True).alias("_there"))
+    gap = F.greatest(*(F.abs(F.col(v) - F.col(f"_{v}")) for v in values)) if len(values) > 1 else F.abs(F.col(values[0]) - F.col(f"_{values[0]}"))
+    both = a.withColumn("_here", F.lit(True)).join(b, [*by, "_i"], "full_outer")
+    most = F.max(gap)
+    paired = F.bool_and(F.col("_here").isNotNull() & F.col("_there").isNotNull())
+    return both.groupBy(*by).agg(most.alias("gap"), (paired & (F.coalesce(most, F.lit(0.0)) <= tolerance)).alias("same"))
+
+
+def external_labels(points: DataFrame, outside: DataFrame, key: str, axes: list[str], tolerance: float = 1e-5) -> DataFrame:
+    """``key``, ``label``, ``state`` of each point: the label of the outside table, if it has the key and (where it gives coordinates) lies no
+    farther off than ``tolerance`` on any axis ('moved' otherwise); -1 for those and for points it lacks ('absent')."""
+    other = outside.select(key, F.col("label").alias("_label"), *(F.col(a).alias(f"_{a}") for a in axes), F.lit(True).alias("_there"))
+    far = F.lit(False)
+    for a in axes:
+        far = far | F.coalesce(F.abs(F.col(a) - F.col(f"_{a}")) > tolerance, F.lit(False))
+    state = F.when(F.col("_there").isNull(), "absent").when(far, "moved").otherwise("taken")
+    joined = points.join(other, key, "left").withColumn("state", state)
+    return joined.select(key, F.when(F.col("state") == "taken", F.coalesce("_label", F.lit(-1))).otherwise(-1).cast("bigint").alias("label"), "state")
+
+
 def markdown(df: DataFrame, columns: list[str]) -> DataFrame:
     """One line of a Markdown table a row: floats with four digits, nulls empty."""
     cells = [F.coalesce(F.format_string("%.4f", F.col(c)) if dict(df.dtypes)[c] in ("double", "float") else F.col(c).cast("string"), F.lit("")) for c in columns]

@@ -19,6 +19,32 @@ def keep_or_all(df: DataFrame, hit: Column, by: list[str] | None = None) -> Data
     return joined.filter("_hit = 1 or coalesce(_any, 0) = 0").select(*df.columns)
 
 
+class SelectionStack:
+    """Successive selections of one table: each narrows the one before (where it hits nothing, all rows stay), the last one or all of them can
+    be taken back. Nothing runs before ``rows`` is used; every version is a plan over the same table."""
+
+    def __init__(self, df: DataFrame):
+        self.versions = [df]
+
+    def select(self, hit: Column) -> SelectionStack:
+        self.versions.append(keep_or_all(self.versions[-1], hit))
+        return self
+
+    def undo(self) -> SelectionStack:
+        """Takes the last selection back; without any there is nothing to undo."""
+        if len(self.versions) > 1:
+            self.versions.pop()
+        return self
+
+    def clear(self) -> SelectionStack:
+        del self.versions[1:]
+        return self
+
+    @property
+    def rows(self) -> DataFrame:
+        return self.versions[-1]
+
+
 def prune_mask(opacity: Column, radius: Column, scales: Column, min_opacity: float, max_radius: float, extent: float) -> Column:
     """True for points to drop: faint, large on screen, or larger than a tenth of the scene."""
     return (opacity < min_opacity) | (radius > max_radius) | (F.array_max(scales) > 0.1 * extent)

@@ -192,6 +192,22 @@ def multi_resolution(smoothed: list[tuple[DataFrame, float]]) -> DataFrame:
     return out
 
 
+def subset_smoothing(points: DataFrame, features: DataFrame, key: str, group: str, axes: list[str], vec: str, plan: list[tuple[float, int, float]], seed: str = "e") -> DataFrame:
+    """``src``, ``smoothed``: weighted sum, over ``plan`` (share, k, weight), of the mean unit feature of each point's ``k`` nearest points in a
+    random subset of that share (by a hash of the key, the same at every run; 1 and more is all). A point in the subset is its own nearest.
+    """
+    from fieldmill.operators.knn import knn_join
+
+    f = features.select(F.col(key).alias("dst"), normalise(vec).alias("u"))
+    place = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))), 1, 8), 16, 10).cast("double") / 2**32
+    parts = []
+    for share, k, weight in plan:
+        near = knn_join(points, points.filter(place < share), k, key, axes, group, exclude_self=False)
+        mean = group_means(near.select("src", "dst").join(f, "dst"), ["src"], "u", unit=False)
+        parts.append((mean.withColumnRenamed("centre", "smoothed"), weight))
+    return multi_resolution(parts)
+
+
 def jaccard_pairs(df: DataFrame, item: str, member: str) -> DataFrame:
     """``a`` < ``b``, ``distance``: Jaccard distance of items that share a member, by an inverted index; all other pairs are at 1."""
     rows = df.select(item, member).distinct()
@@ -203,6 +219,15 @@ def jaccard_pairs(df: DataFrame, item: str, member: str) -> DataFrame:
 
 
 def label_codes(labels: DataFrame, label: str, width: int = 32) -> DataFrame:
-    """``code``: +-1 values of a label from bits of its hash, the same at every run."""
+    """``code``: +-1 values of a label from bits of its hash, the same at every run (see ``decode_labels``)."""
     bit = lambda i: F.pmod(F.xxhash64(F.col(label), i), F.lit(2)).cast("double") * 2 - 1
     return labels.select(label, F.transform(F.sequence(F.lit(0), F.lit(width - 1)), bit).alias("code"))
+
+
+def decode_labels(coded: DataFrame, key: str, vec: str, labels: DataFrame, label: str, width: int = 32) -> DataFrame:
+    """``key``, ``label``: the label whose code is most like the vector (least label of equals); -1 for vectors no longer than 1e-6."""
+    from fieldmill.operators.vectors import nearest_centre, norm
+
+    there = coded.filter(norm(vec) > 1e-6)
+    found = nearest_centre(there, key, vec, label_codes(labels, label, width), label, "code").select(key, F.col("label"))
+    return coded.select(key).join(found, key, "left").select(key, F.coalesce("label", F.lit(-1)).cast("bigint").alias("label"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldmill.operators.ranks import numbered
+from fieldmill.session import cut, partitions
 
 
 def dense_labels(df: DataFrame, label: str, out: str = "dense", keep_negative: bool = True) -> DataFrame:
@@ -81,6 +85,60 @@ def histogram(df: DataFrame, label: str) -> DataFrame:
     return every.join(counts, label, "left").select(label, F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
+def take_snapshot(df: DataFrame, key: str, columns: list[str], chosen: Column | None = None) -> DataFrame:
+    """A version of the ``columns`` of the chosen rows (all, if none are named), written so that later edits don't reach it."""
+    kept = df.filter(chosen) if chosen is not None else df
+    return cut(kept.select(key, *columns), "snapshot")
+
+
+def restore_snapshot(df: DataFrame, snapshot: DataFrame, key: str) -> DataFrame:
+    """``df`` with the snapshot's columns as they were, nulls included, for the keys that it holds; other rows and columns stay."""
+    columns = [c for c in snapshot.columns if c != key]
+    old = snapshot.select(key, F.struct(*columns).alias("_old"))
+    joined = df.join(old, key, "left")
+    return joined.select(*(F.when(F.col("_old").isNotNull(), F.col(f"_old.{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns))
+
+
+def restore_rows(df: DataFrame, snapshot: DataFrame, key: str) -> DataFrame:
+    """The whole structure of a snapshot of all columns: rows deleted since come back, rows added since go."""
+    return snapshot.select(*df.columns)
+
+
+def replay_history(events: DataFrame, session: str, order: list[str], kind: str, action: str, keep: int = 20) -> DataFrame:
+    """``session``, ``undo``, ``redo``: the stacks after all events of a session, in ``order``. 'push' puts ``action`` on the undo stack, which
+    holds the last ``keep``, and clears the redo stack; 'undo' and 'redo' move the top entry to the other stack, if there is one.
+
+    Each step needs the one before, so a session is followed by one task; its events stream through in order, only the stacks are held.
+    """
+    plain = events.select(F.col(session).alias("s"), F.col(kind).alias("k"), F.col(action).alias("a"), *(F.col(o).alias(f"o{i}") for i, o in enumerate(order)))
+    types = {f.name: f.dataType.simpleString() for f in plain.schema.fields}
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], key_type), pa.array([undo], pa.list_(action_type)), pa.array([redo], pa.list_(action_type))], ["session", "undo", "redo"])
+
+        begun, now, undo, redo = False, None, [], []
+        for batch in batches:
+            key_type, action_type = batch.schema.field(0).type, batch.schema.field(2).type
+            for s, k, a in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if not begun or s != now:
+                    if begun:
+                        yield done()
+                    begun, now, undo, redo = True, s, [], []
+                if k == "push":
+                    undo, redo = [*undo, a][-keep:], []
+                elif k in ("undo", "redo"):
+                    source, target = (undo, redo) if k == "undo" else (redo, undo)
+                    if source:
+                        target.append(source.pop())
+                        undo = undo[-keep:]
+        if begun:
+            yield done()
+
+    sorted_events = plain.repartition(partitions(events.sparkSession), "s").sortWithinPartitions("s", *(f"o{i}" for i in range(len(order))))
+    return sorted_events.mapInArrow(run, f"session {types['s']}, undo array<{types['a']}>, redo array<{types['a']}>")
+
+
 def push_history(entries: DataFrame, keep: int = 20) -> DataFrame:
     """The last ``keep`` entries of an undo history (seq, action)."""
     return entries.orderBy(F.desc("seq")).limit(keep)

@@ -91,7 +91,7 @@ def lloyd(df: DataFrame, key: str, vec: str, start: DataFrame, steps: int = 12)
     labels, matrix = collect_centres(start, "label", "centre")
     for _ in range(steps):
         assigned = score_centres(df, key, vec, labels, matrix).select(key, "label")
-        means = group_means(df.join(assigned, key), ["label"], vec).select("label", "centre").collect()
+        means = group_means(df.select(key, vec).join(assigned, key), ["label"], vec).select("label", "centre").collect()
         for r in means:
             matrix[labels.index(r["label"])] = r["centre"]
     return df.sparkSession.createDataFrame([(k, [float(x) for x in v]) for k, v in zip(labels, matrix)], "label bigint, centre array<double>")

@@ -281,23 +281,46 @@ def z14(s, d):
     return s.range(8).select(F.col("id").alias("i"), (sign(0) * 0.5 + 1).alias("x"), (sign(1) * 0.25).alias("y"), (sign(2) * 0.125).alias("z"))
 
 
-@query("a24_ssim")
+@query("a24_ssim", _S + """, kw AS (SELECT i, exp(-(i * i) / 4.5) AS w FROM range(-5, 6) t(i)), kk AS (SELECT a.i AS dy, b.i AS dx, a.w * b.w / (SELECT sum(w) * sum(w) FROM kw) AS w FROM kw a, kw b),
+ im AS MATERIALIZED (SELECT scene_id, qy, qx, c AS a, c * 0.9 AS b FROM b2), nr AS (SELECT scene_id, qy + dy AS qy, qx + dx AS qx, sum(w * a) AS ma, sum(w * b) AS mb, sum(w * a * a) AS aa, sum(w * b * b) AS bb, sum(w * a * b) AS ab FROM im, kk GROUP BY ALL)
+ SELECT scene_id, round(avg((2 * ma * mb + 1e-4) * (2 * (ab - ma * mb) + 9e-4) / ((ma * ma + mb * mb + 1e-4) * (aa - ma * ma + bb - mb * mb + 9e-4))), 6) AS ssim FROM nr JOIN im USING (scene_id, qy, qx) GROUP BY scene_id""")
 def a24(s, d):
     out = ge.blend(ge.shade(_splats(s, d), 64, 64), ["scene_id", "y", "x"], ["depth", "gid"], ["c"])
     return ge.ssim(out.select("scene_id", "y", "x", F.col("c").alias("a"), (F.col("c") * 0.9).alias("b")), ["scene_id"]).select("scene_id", F.round("ssim", 6).alias("ssim"))
 
 
-@query("a19_pca")
+def axes_sql(rows: str, dim: int, axes: int, squarings: int = 14) -> str:
+    """CTEs that end in ``ax`` (k, i, a): the leading axes of the vectors ``rows`` (key, i, x), by squaring the covariance until its first
+    axis is all that is left, and taking that away. Each axis points so that its largest component is positive."""
+    out = [f"rw AS ({rows})", "mu AS MATERIALIZED (SELECT i, avg(x) AS m FROM rw GROUP BY i)", "cn AS MATERIALIZED (SELECT key, i, x - m AS x FROM rw JOIN mu USING (i))",
+           "c0 AS MATERIALIZED (SELECT a.i AS i, b.i AS j, sum(a.x * b.x) / (SELECT count(DISTINCT key) FROM rw) AS v FROM cn a JOIN cn b USING (key) GROUP BY ALL)"]
+    for k in range(axes):
+        now = f"c{k}"
+        for t in range(squarings):
+            out.append(f"s{k}_{t} AS MATERIALIZED (SELECT a.i AS i, b.j AS j, sum(a.v * b.v) AS v FROM (SELECT i, j, v / (SELECT sum(v) FROM {now} WHERE i = j) AS v FROM {now}) a JOIN (SELECT i, j, v / (SELECT sum(v) FROM {now} WHERE i = j) AS v FROM {now}) b ON a.j = b.i GROUP BY ALL)")
+            now = f"s{k}_{t}"
+        out.append(f"t{k} AS MATERIALIZED (SELECT i, v / (SELECT sqrt(sum(v * v)) FROM {now} WHERE j = (SELECT max_by(i, v) FROM {now} WHERE i = j)) AS a FROM {now} WHERE j = (SELECT max_by(i, v) FROM {now} WHERE i = j))")
+        out.append(f"a{k} AS MATERIALIZED (SELECT i, a * sign((SELECT max_by(a, abs(a)) FROM t{k})) AS a FROM t{k})")
+        out.append(f"l{k} AS MATERIALIZED (SELECT sum(x.a * v * y.a) AS l FROM c{k} JOIN a{k} x ON x.i = c{k}.i JOIN a{k} y ON y.i = c{k}.j)")
+        out.append(f"c{k + 1} AS MATERIALIZED (SELECT c.i, c.j, v - l * x.a * y.a AS v FROM c{k} c JOIN a{k} x ON x.i = c.i JOIN a{k} y ON y.i = c.j, l{k})")
+    out.append("ax AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {k} AS k, i, a FROM a{k}" for k in range(axes)) + ")")
+    return ", ".join(out)
+
+
+_PCA = "WITH " + axes_sql("SELECT vec_id AS key, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings", 64, 3) + ", pc AS (SELECT key AS gid, " + ", ".join(f"sum(x * a) FILTER (k = {k}) AS pc{k}" for k in range(3)) + " FROM cn JOIN ax USING (i) GROUP BY key) "
+
+
+@query("a19_pca", _PCA + "SELECT gid, " + ", ".join(f"round(pc{k}, 5) AS pc{k}" for k in range(3)) + " FROM pc")
 def a19(s, d):
     v = B.vectors(s, d)
     mean, axes = vc.principal_axes(v, "e", 64, 3)
     parts = [vc.dot(F.transform("e", lambda x: x), F.array(*map(F.lit, a.tolist()))) - float(a @ mean) for a in axes]
-    return v.select("gid", *(F.round(p, 6).alias(f"pc{i}") for i, p in enumerate(parts)))
+    return v.select("gid", *(F.round(p, 5).alias(f"pc{i}") for i, p in enumerate(parts)))
 
 
-@query("a20_oriented_box")
+@query("a20_oriented_box", f"WITH {B.POINTS}, " + axes_sql("SELECT gid AS key, unnest([1, 2, 3]) AS i, unnest([x, y, z]) AS x FROM p WHERE label = 2", 3, 3) + ", lo AS (SELECT key, k, sum(x * a) AS v FROM cn JOIN ax USING (i) GROUP BY ALL) SELECT " + ", ".join(f"round(quantile_cont(abs(v), 0.98) FILTER (k = {k}) * 1.05, 5) AS extent{k}" for k in range(3)) + " FROM lo")
 def a20(s, d):
     p = B.points(s, d).filter("label = 2").withColumn("v", F.array("x", "y", "z"))
     mean, axes = vc.principal_axes(p, "v", 3, 3)
     local = [sum((F.col(c) - float(m)) * float(a) for c, m, a in zip("xyz", mean, axis)) for axis in axes]
-    return p.agg(*(F.round(F.percentile(F.abs(v), F.lit(0.98)) * 1.05, 6).alias(f"extent{i}") for i, v in enumerate(local)))
+    return p.agg(*(F.round(F.percentile(F.abs(v), F.lit(0.98)) * 1.05, 5).alias(f"extent{i}") for i, v in enumerate(local)))

@@ -8,7 +8,7 @@ from fieldmill.operators import graph as g
 from fieldmill.operators import knn as kn
 from fieldmill.operators import vectors as vc
 from fieldmill.plans import base as B
-from fieldmill.session import load
+from fieldmill.session import cut, load
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -351,9 +351,22 @@ def x3(s, d):
     return pairs.select("src", "dst", F.round(F.exp((cosine - 1) / 0.2), 6).alias("w"), F.round(cosine, 6).alias("cosine"))
 
 
-@query("e4_multi_resolution", ", x AS (SELECT k, src, i, avg(v) AS v FROM (SELECT k, e.src, generate_subscripts(u, 1) AS i, unnest(u) AS v FROM (SELECT 2 AS k, src, dst FROM kn WHERE rank <= 2 UNION ALL SELECT 2, gid, gid FROM p UNION ALL SELECT 6, src, dst FROM kn WHERE rank <= 6 UNION ALL SELECT 6, gid, gid FROM p) e JOIN u ON u.gid = e.dst) GROUP BY ALL) SELECT src, i - 1 AS i, round(sum(v * CASE k WHEN 2 THEN 0.7 ELSE 0.3 END), 6) AS v FROM x GROUP BY ALL")
+_SHARES = [(0.1, 4, 0.5), (0.5, 4, 0.3), (1.5, 16, 0.2)]
+
+
+@query("e4_multi_resolution", ", " + ", ".join(
+    f"n{t} AS (SELECT src, dst FROM (SELECT a.gid AS src, b.gid AS dst, {_D2} AS d2 FROM p a JOIN p b ON a.scene_id = b.scene_id AND ('0x' || substr(md5('e' || b.gid::VARCHAR), 1, 8))::BIGINT / 4294967296.0 < {share}) QUALIFY row_number() OVER (PARTITION BY src ORDER BY d2, dst) <= {k}), "
+    f"x{t} AS (SELECT src, i, {w} * avg(v) AS v FROM (SELECT src, generate_subscripts(u, 1) AS i, unnest(u) AS v FROM n{t} JOIN u ON u.gid = dst) GROUP BY ALL)" for t, (share, k, w) in enumerate(_SHARES)
+) + " SELECT src, i - 1 AS i, round(x0.v + x1.v + x2.v, 6) AS v FROM x0 JOIN x1 USING (src, i) JOIN x2 USING (src, i)")
 def e4(s, d):
-    n, f = near(s, d), features(s, d)
+    """Subsets of a tenth, of half and (one and a half) of all points, with 4, 4 and 16 neighbours."""
+    out = g.subset_smoothing(B.points(s, d), features(s, d), "gid", "scene_id", ["x", "y", "z"], "v", _SHARES)
+    return out.select("src", F.posexplode("smoothed").alias("i", "v")).select("src", F.col("i").cast("bigint").alias("i"), F.round("v", 6).alias("v"))
+
+
+@query("e4_weighted_smoothing", ", x AS (SELECT k, src, i, avg(v) AS v FROM (SELECT k, e.src, generate_subscripts(u, 1) AS i, unnest(u) AS v FROM (SELECT 2 AS k, src, dst FROM kn WHERE rank <= 2 UNION ALL SELECT 2, gid, gid FROM p UNION ALL SELECT 6, src, dst FROM kn WHERE rank <= 6 UNION ALL SELECT 6, gid, gid FROM p) e JOIN u ON u.gid = e.dst) GROUP BY ALL) SELECT src, i - 1 AS i, round(sum(v * CASE k WHEN 2 THEN 0.7 ELSE 0.3 END), 6) AS v FROM x GROUP BY ALL")
+def e4w(s, d):
+    n, f = cut(near(s, d), "near"), features(s, d)
     out = g.multi_resolution([(g.smooth(n, f, "gid", "v", 2), 0.7), (g.smooth(n, f, "gid", "v", 6), 0.3)])
     return out.select("src", F.posexplode("smoothed").alias("i", "v")).select("src", F.col("i").cast("bigint").alias("i"), F.round("v", 6).alias("v"))
 
@@ -409,11 +422,24 @@ def x9(s, d):
     return load(s, d, "nation").select(F.explode(F.transform(templates, lambda t: F.replace(t, F.lit("{}"), F.col("n_name")))).alias("text"))
 
 
-@vquery("l8_codes", "SELECT DISTINCT label, label AS decoded FROM v")
+@vquery("x9_prompt_vectors", ", t AS (SELECT n_nationkey AS prompt, n_nationkey * 2 + k AS gid, k FROM nation, range(2) r(k)), u AS (SELECT prompt, list_transform(e, lambda x: x * (k + 1)) AS e FROM t JOIN v USING (gid)), n AS (SELECT prompt, list_transform(e, lambda x: x / greatest(sqrt(list_dot_product(e, e)), 1e-6)) AS e FROM u), m AS (SELECT prompt, i, avg(x) AS m FROM (SELECT prompt, generate_subscripts(e, 1) AS i, unnest(e) AS x FROM n) GROUP BY ALL), c AS (SELECT prompt, list(m ORDER BY i) AS c FROM m GROUP BY 1) SELECT prompt, round(c[1] / greatest(sqrt(list_dot_product(c, c)), 1e-6), 6) AS first, round(c[64] / greatest(sqrt(list_dot_product(c, c)), 1e-6), 6) AS last FROM c")
+def x9v(s, d):
+    """The vector of each prompt: its templates' vectors (of any length) made unit, averaged and made unit again."""
+    t = load(s, d, "nation").select(F.col("n_nationkey").alias("prompt"), F.explode(F.array(F.lit(0), F.lit(1))).alias("k")).withColumn("gid", (F.col("prompt") * 2 + F.col("k")).cast("bigint"))
+    vectors = t.join(B.vectors(s, d), "gid").withColumn("e", F.transform("e", lambda x: x * (F.col("k") + 1))).withColumn("u", vc.normalise("e"))
+    return vc.group_means(vectors, ["prompt"], "u").select("prompt", F.round(F.col("centre")[0], 6).alias("first"), F.round(F.col("centre")[63], 6).alias("last"))
+
+
+@vquery("l8_codes", "SELECT gid, CASE WHEN gid % 50 = 0 THEN -1 ELSE label END AS decoded FROM v")
 def l8(s, d):
-    labels = B.vectors(s, d).select("label").distinct()
-    coded = g.label_codes(labels, "label")
-    return vc.nearest_centre(coded.withColumnRenamed("label", "k"), "k", "code", coded, "label", "code").select(F.col("k").alias("label"), F.col("label").alias("decoded"))
+    """Codes mixed with the next label's, some of them emptied."""
+    v = B.vectors(s, d).select("gid", "label")
+    labels = v.select("label").distinct()
+    codes = g.label_codes(labels, "label")
+    other = codes.select(F.col("label").alias("next"), F.col("code").alias("more"))
+    mixed = v.withColumn("next", (F.col("label") + 1) % 10).join(codes, "label").join(other, "next", "left")
+    value = F.transform(F.zip_with("code", F.coalesce("more", "code"), lambda a, b: a * 0.8 + b * 0.3), lambda x: F.when(F.col("gid") % 50 == 0, 0.0).otherwise(x))
+    return g.decode_labels(mixed.select("gid", value.alias("e")), "gid", "e", labels, "label").withColumnRenamed("label", "decoded")
 
 
 @vquery("x28_palette", "SELECT gid, label * 25 AS red FROM v")
@@ -423,7 +449,58 @@ def x28(s, d):
     return v.join(colours, "label", "left").select("gid", F.coalesce("red", F.lit(0)).alias("red"))
 
 
-@vquery("g19_cluster_map", ", a1 AS (SELECT gid, ce.label AS k FROM v, ce QUALIFY row_number() OVER (PARTITION BY gid ORDER BY round(list_dot_product(e, c), 9) DESC, ce.label) = 1) SELECT gid, k * 25 AS colour FROM a1")
-def g19(s, d):
+def _lloyd_sql(steps: int) -> str:
+    """``ce`` after so many rounds, as ``k<steps>`` (label, c)."""
+    out, now = "", "ce"
+    for t in range(steps):
+        out += f", w{t} AS MATERIALIZED (SELECT gid, e, z.label AS k FROM v, {now} z QUALIFY row_number() OVER (PARTITION BY gid ORDER BY round(list_dot_product(e, c), 9) DESC, z.label) = 1)"
+        out += f", m{t} AS (SELECT k, list(m ORDER BY i) AS c FROM (SELECT k, i, avg(x) AS m FROM (SELECT k, generate_subscripts(e, 1) AS i, unnest(e) AS x FROM w{t}) GROUP BY ALL) GROUP BY k)"
+        out += f", k{t + 1} AS MATERIALIZED (SELECT z.label, coalesce(list_transform(m.c, lambda x: x / greatest(sqrt(list_dot_product(m.c, m.c)), 1e-6)), z.c) AS c FROM {now} z LEFT JOIN m{t} m ON m.k = z.label)"
+        now = f"k{t + 1}"
+    return out
+
+
+_LLOYD = _lloyd_sql(12)
+
+
+def _means(s, d):
     v = B.vectors(s, d)
-    return vc.nearest_centre(v, "gid", "e", vc.group_means(v, ["label"], "e"), "label", "centre").select("gid", (F.col("label") * 25).alias("colour"))
+    return vc.lloyd(v, "gid", "e", vc.group_means(v, ["label"], "e"), 12)
+
+
+@vquery("g18_kmeans", _LLOYD + " SELECT label, generate_subscripts(c, 1) - 1 AS i, round(unnest(c), 6) AS v FROM k12")
+def g18k(s, d):
+    return _means(s, d).select("label", F.posexplode("centre").alias("i", "v")).select("label", F.col("i").cast("bigint").alias("i"), F.round("v", 6).alias("v"))
+
+
+@vquery("g19_cluster_map", _LLOYD + " SELECT gid, k12.label * 25 AS colour FROM v, k12 QUALIFY row_number() OVER (PARTITION BY gid ORDER BY round(list_dot_product(e, c), 9) DESC, k12.label) = 1")
+def g19(s, d):
+    return vc.nearest_centre(B.vectors(s, d), "gid", "e", _means(s, d), "label", "centre").select("gid", (F.col("label") * 25).alias("colour"))
+
+
+@query("g11_split", "SELECT DISTINCT scene_id AS grp, true AS agrees FROM p")
+def g11(s, d):
+    """The best split of each scene's affinity graph: its score is that of the cut aggregated over the edges, its sides are large enough."""
+    import numpy as np
+    import pyarrow as pa
+
+    from fieldmill.operators import cluster as cl
+
+    p = B.points(s, d).select("gid", F.col("scene_id").alias("grp"))
+    edges = cut(g.affinity_edges(near(s, d), features(s, d), "gid", "v"), "edges")
+
+    def split(nodes: pa.Table, links: pa.Table) -> pa.Table:
+        ids = np.sort(nodes.column("gid").to_numpy())
+        i, j = (np.searchsorted(ids, links.column(c).to_numpy()) for c in ("src", "dst"))
+        found = cl.best_split((len(ids), i, j, links.column("w").to_numpy()), 8, 2.0)
+        n = len(ids) if found else 0
+        side = found[1] if found else np.zeros(0, bool)
+        return pa.table({"grp": pa.array(nodes.column("grp").to_pylist()[:n], pa.int32()), "gid": pa.array(ids[:n]), "side": pa.array(side), "claimed": pa.array(np.full(n, found[0] if found else 0.0))})
+
+    links = edges.join(p.select(F.col("gid").alias("src"), F.col("grp").alias("scene")), "src")
+    sides = cut(p.groupBy("grp").cogroup(links.groupBy("scene")).applyInArrow(split, "grp int, gid bigint, side boolean, claimed double"), "sides")
+    scores = g.cut_score(edges, sides, "gid", "side")
+    claims = sides.groupBy("grp").agg(F.first("claimed").alias("claimed"), F.least(F.count(F.when(F.col("side"), 1)), F.count(F.when(~F.col("side"), 1))).alias("least"))
+    both = p.select("grp").distinct().join(claims, "grp", "left").join(scores, "grp", "left")
+    agrees = F.col("claimed").isNull() | ((F.abs(F.col("claimed") - F.coalesce("score", F.lit(0.0))) < 1e-6) & (F.col("least") >= 8))
+    return both.select("grp", agrees.alias("agrees"))

@@ -24,11 +24,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("k5_wide_export", f"WITH {B.POINTS}, f AS (SELECT DISTINCT gid, f FROM features WHERE len(f) = 32) SELECT gid, x, f[1] AS affinity_f_0, f[2] AS affinity_f_1, label::INT AS cluster_idx FROM p JOIN f USING (gid)")
+@query("k5_wide_export", f"WITH {B.POINTS}, f AS (SELECT DISTINCT gid, f FROM features WHERE len(f) = 32) SELECT gid, x, " + ", ".join(f"f[{i + 1}] AS affinity_f_{i}" for i in range(32)) + ", label::INT AS cluster_idx FROM p JOIN f USING (gid)")
 def k5(s, d):
     p = B.points(s, d)
     f = load(s, d, "features").filter(F.size("f") == 32).select("gid", "f").distinct()
-    return ply.wide_export(p.select("gid", "x"), f, p.select("gid", "label"), 2)
+    return ply.wide_export(p.select("gid", "x"), f, p.select("gid", "label"), 32)
 
 
 @query("st1_status_counts", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")

@@ -36,7 +36,7 @@ def query(name: str, sql: str | None = None):
     def add(f):
         QUERIES[name] = f
         if sql:
-            SQL[name] = _PIX + sql
+            SQL[name] = (_PIX.replace("WITH q", "WITH RECURSIVE q", 1) if name == "w7_greedy" else _PIX) + sql
         return f
 
     return add
@@ -131,7 +131,7 @@ def x27d(s, d):
     return mk.dilate(pixels(s, d), SIDE, SIDE)
 
 
-@query("x27_majority", "SELECT view_id, mask_id, y, x FROM nb JOIN pix USING (view_id, mask_id, y, x) WHERE n >= 5")
+@query("x27_majority", ", w AS (SELECT view_id, mask_id, y + a.s AS y, x + b.s AS x, count(*) AS n, bool_or(a.s = 0 AND b.s = 0) AS own FROM pix, st a, st b GROUP BY ALL) SELECT view_id, mask_id, y, x FROM w WHERE n >= 5 AND own")
 def x27m(s, d):
     return mk.majority(pixels(s, d))
 
@@ -151,7 +151,11 @@ def a25(s, d):
     return mk.pixel_weights(pixels(s, d)).select("view_id", "y", "x", F.round("weight", 6).alias("weight"))
 
 
-@query("w7_greedy")
+@query("w7_greedy", """, rk AS (SELECT view_id, mask_id, row_number() OVER (PARTITION BY view_id ORDER BY area DESC, mask_id) AS r FROM ar),
+ fo AS (SELECT view_id, mask_id, list(b) AS foes FROM (SELECT view_id, a AS mask_id, b FROM pr WHERE iou > 0.2 UNION SELECT view_id, b, a FROM pr WHERE iou > 0.2) GROUP BY ALL),
+ rf AS MATERIALIZED (SELECT rk.*, coalesce(foes, []) AS foes FROM rk LEFT JOIN fo USING (view_id, mask_id)),
+ k(view_id, r, kept) AS (SELECT DISTINCT view_id, 0::BIGINT, []::BIGINT[] FROM ar UNION ALL SELECT k.view_id, rf.r, CASE WHEN list_has_any(kept, foes) THEN kept ELSE list_append(kept, mask_id) END FROM k JOIN rf ON rf.view_id = k.view_id AND rf.r = k.r + 1)
+ SELECT view_id, unnest(kept) AS mask_id FROM (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY view_id ORDER BY r DESC) = 1)""")
 def w7(s, d):
     pix = pixels(s, d)
     areas = pix.groupBy("view_id", "mask_id").agg((-F.count("*")).alias("order"))

@@ -117,9 +117,9 @@ def a14(s, d):
     return vote(p, ["scene_id", "cell"], "label", "conf").select("scene_id", "cell", "label", F.round("share", 6).alias("share"))
 
 
-@query("a16_class_scores", V + ", z AS (SELECT label, list_transform(range(1, 5), lambda i: e[i]) AS e FROM v), u AS (SELECT label, generate_subscripts(e, 1) AS cls, unnest(e) AS v FROM z), m AS (SELECT cls, avg(v) AS a, stddev_samp(v) AS sd FROM u GROUP BY cls), c AS (SELECT label, cls, avg((v - a) / sd) AS s FROM u JOIN m USING (cls) GROUP BY ALL) SELECT label, cls, round(s, 6) AS score FROM c QUALIFY row_number() OVER (PARTITION BY label ORDER BY round(s, 9) DESC, cls) = 1")
+@query("a16_class_scores", V + ", z AS (SELECT label, e FROM v), u AS (SELECT label, generate_subscripts(e, 1) AS cls, unnest(e) AS v FROM z), m AS (SELECT cls, avg(v) AS a, stddev_samp(v) AS sd FROM u GROUP BY cls), c AS (SELECT label, cls, avg((v - a) / sd) AS s FROM u JOIN m USING (cls) GROUP BY ALL) SELECT label, cls, round(s, 6) AS score FROM c QUALIFY row_number() OVER (PARTITION BY label ORDER BY round(s, 9) DESC, cls) = 1")
 def a16(s, d):
-    u = B.vectors(s, d).select("label", F.posexplode(F.slice("e", 1, 4)).alias("cls", "v")).withColumn("cls", (F.col("cls") + 1).cast("bigint"))
+    u = B.vectors(s, d).select("label", F.posexplode("e").alias("cls", "v")).withColumn("cls", (F.col("cls") + 1).cast("bigint"))
     m = u.groupBy("cls").agg(F.avg("v").alias("a"), F.stddev_samp("v").alias("sd"))
     c = u.join(m, "cls").groupBy("label", "cls").agg(F.avg((F.col("v") - F.col("a")) / F.col("sd")).alias("s"))
     return ag.winner(c.withColumn("r", F.round("s", 9)), ["r"], ["cls"], ["label"]).select("label", "cls", F.round("s", 6).alias("score"))
@@ -171,7 +171,25 @@ def w1(s, d):
     return ag.ecdf(B.masks(s, d), "scale").select("mask_key", F.round("cdf", 6).alias("cdf"))
 
 
-@query("w2_probit")
+def _horner(cs, x: str) -> str:
+    out = repr(cs[0])
+    for c in cs[1:]:
+        out = f"({out} * {x} + {c!r})"
+    return out
+
+
+# Coefficients of Acklam's approximation of the normal quantile.
+_PROBIT = (
+    (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239),
+    (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0),
+    (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783),
+    (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0),
+)
+
+
+@query("w2_probit", M + ", c AS (SELECT mask_key, least(greatest(least(1, count(*) OVER (PARTITION BY scene_id ORDER BY scale RANGE UNBOUNDED PRECEDING) / greatest(count(*) OVER (PARTITION BY scene_id) - 1, 1)), 1e-4), 1 - 1e-4) AS p FROM m), "
+ "q AS (SELECT *, p - 0.5 AS q, (p - 0.5) * (p - 0.5) AS r, sqrt(-2 * ln(CASE WHEN p < 0.5 THEN p ELSE 1 - p END)) AS t FROM c) SELECT mask_key, round(CASE WHEN p < 0.02425 THEN "
+ + f"{_horner(_PROBIT[2], 't')} / {_horner(_PROBIT[3], 't')} WHEN p > 1 - 0.02425 THEN -{_horner(_PROBIT[2], 't')} / {_horner(_PROBIT[3], 't')} ELSE {_horner(_PROBIT[0], 'r')} * q / {_horner(_PROBIT[1], 'r')} END, 6) AS z FROM q")
 def w2(s, d):
     return ag.ecdf(B.masks(s, d), "scale", per=["scene_id"]).select("mask_key", F.round(ag.probit_of(F.col("cdf")), 6).alias("z"))
 
@@ -282,6 +300,11 @@ def pv4(s, d):
     return ag.long_scales(_wide(s, d), ["label"], ["iou", "conf"], _ALL)
 
 
+@query("pv2_prefixes", _SCALES + "SELECT DISTINCT 'scale_' || replace(printf('%.2f', scale), '.', 'p') AS prefix, scale::DOUBLE AS scale FROM q WHERE scale IS NOT NULL")
+def pv2(s, d):
+    return s.createDataFrame(ag.scale_prefixes(_wide(s, d).columns), "prefix string, scale double")
+
+
 @query("pv3_scale_columns", _SCALES + f"SELECT label, scale_0p50_iou, scale_0p50_conf FROM (SELECT label, {_PIV} FROM q GROUP BY label)")
 def pv3(s, d):
     wide = _wide(s, d)
@@ -368,13 +391,16 @@ def j10(s, d):
     return B.points(s, d).join(load(s, d, "scene_catalog").filter("gaussian_backend = '2dgs'"), "scene_id", "left_anti").select("gid")
 
 
-@query("j19_zip_check", P + ", a AS (SELECT scene_id, x, row_number() OVER (PARTITION BY scene_id ORDER BY gid) AS i FROM p) SELECT scene_id, max(abs(x - x)) AS gap, max(abs(x - x)) <= 1e-5 AS same FROM a GROUP BY scene_id")
+@query("j19_zip_check", P + """, a AS (SELECT scene_id, x, y, row_number() OVER (PARTITION BY scene_id ORDER BY gid) AS i FROM p),
+ b AS (SELECT scene_id, x + CASE WHEN gid % 97 = 0 THEN 0.001 ELSE 0.000001 END AS x, y, row_number() OVER (PARTITION BY scene_id ORDER BY gid) AS i FROM p WHERE scene_id % 7 <> 3 OR gid <> (SELECT max(gid) FROM p q WHERE q.scene_id = p.scene_id)),
+ j AS (SELECT coalesce(a.scene_id, b.scene_id) AS scene_id, greatest(abs(a.x - b.x), abs(a.y - b.y)) AS g, a.i IS NOT NULL AND b.i IS NOT NULL AS paired FROM a FULL JOIN b ON a.scene_id = b.scene_id AND a.i = b.i)
+ SELECT scene_id, round(max(g), 9) AS gap, bool_and(paired) AND max(g) <= 1e-5 AS same FROM j GROUP BY scene_id""")
 def j19(s, d):
-    a = B.points(s, d).select("scene_id", "gid", "x")
-    i = F.row_number().over(Window.partitionBy("scene_id").orderBy("gid"))
-    left, right = a.withColumn("i", i).select("scene_id", "i", "x"), a.withColumn("i", i).select("scene_id", "i", F.col("x").alias("y"))
-    gap = F.max(F.abs(F.col("x") - F.col("y")))
-    return left.join(right, ["scene_id", "i"]).groupBy("scene_id").agg(gap.alias("gap"), (gap <= 1e-5).alias("same"))
+    """Positions against a second table: some moved beyond the tolerance, and in some scenes the last row is missing."""
+    a = B.points(s, d).select("scene_id", "gid", "x", "y")
+    last = a.groupBy("scene_id").agg(F.max("gid").alias("gid")).filter("scene_id % 7 = 3")
+    b = a.join(last, ["scene_id", "gid"], "left_anti").withColumn("x", F.col("x") + F.when(F.col("gid") % 97 == 0, 0.001).otherwise(0.000001))
+    return ag.zip_check(a, b, ["scene_id"], "gid", ["x", "y"]).withColumn("gap", F.round("gap", 9))
 
 
 @query("j21_target_scale", _SCALES + "SELECT label, round(iou, 6) AS iou FROM q WHERE abs(scale - 0.5) < 1e-6")
@@ -382,14 +408,22 @@ def j21(s, d):
     return _by_scale(s, d).filter(F.abs(F.col("scale") - 0.5) < 1e-6).select("label", F.round("iou", 6).alias("iou"))
 
 
-@query("s26_external_labels", P + "SELECT p.gid, CASE WHEN abs(q.x - p.x) <= 1e-5 THEN q.label ELSE -1 END AS label FROM p JOIN p q USING (gid)")
+@query("s26_external_labels", P + "SELECT gid, CASE WHEN gid % 11 = 0 OR gid % 7 = 0 THEN -1 ELSE gid % 5 END AS label, CASE WHEN gid % 11 = 0 THEN 'absent' WHEN gid % 7 = 0 THEN 'moved' ELSE 'taken' END AS state FROM p")
 def s26(s, d):
+    """An outside table that lacks every eleventh point, has others elsewhere, and numbers labels its own way."""
     p = B.points(s, d)
-    outside = p.select("gid", F.col("x").alias("ox"), F.col("label").alias("ol"))
-    return p.join(outside, "gid").select("gid", F.when(F.abs(F.col("ox") - F.col("x")) <= 1e-5, F.col("ol")).otherwise(-1).alias("label"))
+    moved = F.when(F.col("gid") % 7 == 0, F.col("y") + 1).otherwise(F.col("y") + 1e-7)
+    outside = p.filter("gid % 11 <> 0").select("gid", (F.col("gid") % 5).alias("label"), "x", moved.alias("y"), F.lit(None).cast("double").alias("z"))
+    return ag.external_labels(p, outside, "gid", ["x", "y", "z"])
 
 
-@query("s32_level_offsets", "SELECT scene_id, mask_id, sum(n) OVER (PARTITION BY scene_id ORDER BY mask_id)::BIGINT - n AS first FROM (SELECT scene_id, mask_id, count(DISTINCT mask_key) AS n FROM masks GROUP BY ALL)")
+@query("s32_level_offsets", """WITH n AS (SELECT view_id, mask_id % 4 AS level, count(DISTINCT mask_key) AS n FROM masks WHERE view_id IS NOT NULL GROUP BY ALL), o AS (SELECT *, sum(n) OVER (PARTITION BY view_id ORDER BY level)::BIGINT AS stop FROM n),
+ a AS (SELECT view_id, list(mask_key ORDER BY mask_id % 4, mask_key) AS rows FROM (SELECT DISTINCT view_id, mask_id, mask_key FROM masks WHERE view_id IS NOT NULL) GROUP BY view_id)
+ SELECT view_id, level, stop - n AS first, stop, list_slice(rows, (stop - n + 1)::BIGINT, stop::BIGINT) AS keys FROM o JOIN a USING (view_id)""")
 def s32(s, d):
-    n = load(s, d, "masks").groupBy("scene_id", "mask_id").agg(F.count_distinct("mask_key").alias("n"))
-    return ag.running_offsets(n, ["scene_id"], ["mask_id"], "n", "u").select("scene_id", "mask_id", (F.col("u") - F.col("n")).alias("first"))
+    """All levels of a view in one array, split again by the levels' lengths."""
+    m = load(s, d, "masks").filter("view_id is not null").select("view_id", (F.col("mask_id") % 4).alias("level"), "mask_key").distinct()
+    rows = m.groupBy("view_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("level", "mask_key"))), lambda x: x["mask_key"]).alias("rows"))
+    slices = ag.level_slices(m.groupBy("view_id", "level").agg(F.count("*").alias("n")), ["view_id"], "level", "n")
+    part = F.slice("rows", (F.col("first") + 1).cast("int"), (F.col("stop") - F.col("first")).cast("int"))
+    return slices.join(rows, "view_id").select("view_id", "level", "first", "stop", part.alias("keys"))

@@ -39,12 +39,17 @@ def f1b(s, d):
 
 @query("f2_undo", P + "SELECT gid FROM p WHERE label >= 0")
 def f2(s, d):
-    # A stack of two selections, the last of which is taken back.
-    stack = [F.col("label") >= 0, F.col("conf") >= 0.5]
-    out = B.points(s, d)
-    for test in stack[:-1]:
-        out = fl.keep_or_all(out, test)
-    return out.select("gid")
+    return fl.SelectionStack(B.points(s, d)).select(F.col("label") >= 0).select(F.col("conf") >= 0.5).undo().rows.select("gid")
+
+
+@query("f2_undo_all", P + "SELECT 'two' AS step, gid FROM p WHERE label >= 0 AND conf >= 0.5 UNION ALL SELECT 'three', gid FROM p WHERE label >= 0 AND conf >= 0.5 UNION ALL SELECT 'none', gid FROM p")
+def f2a(s, d):
+    """A third selection hits nothing, so it keeps all of the second; then everything is taken back (once more than there are selections)."""
+    stack = fl.SelectionStack(B.points(s, d)).select(F.col("label") >= 0).select(F.col("conf") >= 0.5)
+    two = stack.rows
+    three = stack.select(F.col("conf") > 9).rows
+    none = stack.clear().undo().rows
+    return two.select(F.lit("two").alias("step"), "gid").union(three.select(F.lit("three"), "gid")).union(none.select(F.lit("none"), "gid"))
 
 
 @query("f3_prune", P + "SELECT gid FROM p WHERE NOT coalesce(conf < 0.25, false)")
@@ -348,15 +353,37 @@ def z7(s, d):
     return B.points(s, d).filter("label >= 0").groupBy("label").agg(F.count(F.when(seen, 1)).alias("visible"), F.count("*").alias("exported"))
 
 
-@query("z8_restore", P + "SELECT gid, x FROM p")
+@query("z8_restore", P + "SELECT gid, CASE WHEN label = 2 THEN x + 1 WHEN label = 3 THEN x + 1 ELSE x END AS x, opacity FROM p")
 def z8(s, d):
-    before = B.points(s, d).select("gid", "x")
-    edited = before.withColumn("x", F.col("x") + 1)
-    return fl.merge_update(edited, before, "gid", ["x"])
+    """A snapshot of one label's positions; three labels are moved and all opacities of one emptied; the snapshot is restored."""
+    before = B.points(s, d).select("gid", "label", "x", "opacity")
+    version = lb.take_snapshot(before, "gid", ["x", "opacity"], F.col("label") == 1)
+    edited = before.withColumn("x", F.when(F.col("label").between(1, 3), F.col("x") + 1).otherwise(F.col("x")))
+    edited = edited.withColumn("opacity", F.when(F.col("label") == 1, F.lit(None)).otherwise(F.col("opacity")))
+    return lb.restore_snapshot(edited, version, "gid").select("gid", "x", "opacity")
+
+
+@query("z8_restore_rows", P + "SELECT gid, label FROM p")
+def z8r(s, d):
+    before = B.points(s, d).select("gid", "label")
+    version = lb.take_snapshot(before, "gid", ["label"])
+    edited = lb.copy_selection(before.filter("label <> 3"), F.col("label") == 1, "label")
+    return lb.restore_rows(edited, version, "gid")
+
+
+@query("z9_history", """WITH RECURSIVE e AS (SELECT user_id, event_id, CASE event_type WHEN 'error' THEN 'undo' WHEN 'signup' THEN 'redo' ELSE 'push' END AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+ h(user_id, i, u, r) AS (SELECT DISTINCT user_id, 0::BIGINT, []::BIGINT[], []::BIGINT[] FROM events UNION ALL
+ SELECT h.user_id, e.i, CASE WHEN k = 'push' THEN list_append(u, event_id)[-20:] WHEN k = 'undo' THEN u[:len(u) - 1] WHEN len(r) > 0 THEN list_append(u, r[-1])[-20:] ELSE u END,
+ CASE WHEN k = 'push' THEN [] WHEN k = 'undo' AND len(u) > 0 THEN list_append(r, u[-1]) WHEN k = 'undo' THEN r ELSE r[:len(r) - 1] END FROM h JOIN e ON e.user_id = h.user_id AND e.i = h.i + 1)
+ SELECT user_id, u AS undo, r AS redo FROM h QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1""")
+def z9(s, d):
+    kind = F.when(F.col("event_type") == "error", "undo").when(F.col("event_type") == "signup", "redo").otherwise("push")
+    steps = load(s, d, "events").withColumn("kind", kind)
+    return lb.replay_history(steps, "user_id", ["ts", "event_id"], "kind", "event_id").withColumnRenamed("session", "user_id")
 
 
-@query("z9_history", "SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 20")
-def z9(s, d):
+@query("z9_last_entries", "SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 20")
+def z9l(s, d):
     return lb.push_history(load(s, d, "events").select(F.col("event_id").alias("seq"), "event_type")).withColumnRenamed("seq", "event_id")
 
 
