@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmill.session import cut
+from fieldmill.session import cut, discard
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -28,7 +28,8 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
         large = both.join(_least(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = large.join(_least(large), "u")
         hooked = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        stars = cut(hooked.union(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "edges")
+        old, stars = stars, cut(hooked.union(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "edges")
+        discard(old)
         now = tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break

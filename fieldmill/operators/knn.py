@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldmill.session import cut
+from fieldmill.session import cut, discard
 
 #: Queries left over that are compared with all references, in batches, instead of in another round of wider cells.
 FEW = 4096
@@ -124,7 +124,8 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, key: str, axes: list[s
         proven = (F.col("n") == k) & (F.col("far") <= width * width) | (F.col("n") >= F.col("others"))
         settled = found.filter(proven).select("src")
         done.append(best.join(settled, "src", "left_semi").select(best.columns))
-        left = cut(left.join(settled, "src", "left_anti"), "knn")
+        old, left = left, cut(left.join(settled, "src", "left_anti"), "knn")
+        discard(old)
         width, step = width * step, 4
     out = done[0].select("grp", "src", "dst", "rank", "d2")
     for part in done[1:]:

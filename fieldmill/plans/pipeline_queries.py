@@ -68,15 +68,15 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
         ("cameras", "image_name", references.reference_states(named, "uid", ["scene_id", "stem"], "created_at", stems, ["scene_id", "stem"], "arrived_at", "deleted_at")),
         ("masks", "uid", references.reference_states(masks, "mask_key", ["uid"], "created_at", cameras, ["uid"], "arrived_at")),
     ]
-    places = files.withColumn("place", references.below_root(F.col("path")))
-    for field in ("features_path", "masks_path", "mask_scales_path"):
-        led = cameras.withColumn("place", references.below_root(F.col(field)))
-        found.append(("cameras", field, references.reference_states(led, "uid", ["place"], "created_at", places, ["place"], "arrived_at", "deleted_at")))
+    # The three path fields lead to the same files: their references are stacked and joined once.
+    fields = ("features_path", "masks_path", "mask_scales_path")
+    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), references.below_root(F.col(c)).alias("place")) for c in fields))).alias("cell")
+    led = cameras.select("uid", "created_at", cells).filter("cell.place is not null").select(F.struct("cell.field", "uid").alias("ref"), "cell.place", "created_at")
+    places = files.select(references.below_root(F.col("path")).alias("place"), "arrived_at", "deleted_at")
+    paths = references.reference_states(led, "ref", ["place"], "created_at", places, ["place"], "arrived_at", "deleted_at")
+    paths = paths.select(F.lit("cameras").alias("ref_table"), F.col("ref_id.field").alias("ref_field"), F.col("ref_id.uid").alias("ref_id"), "state", "period")
     parts = [f.select(F.lit(t).alias("ref_table"), F.lit(c).alias("ref_field"), "ref_id", "state", "period") for t, c, f in found]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return out
+    return parts[0].union(parts[1]).union(paths)
 
 
 def p4_report(spark: SparkSession, root: str) -> DataFrame:

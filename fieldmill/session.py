@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -50,9 +52,44 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Folders of this process's applications below the shared folder, removed when it ends.
+_FOLDERS: dict[str, str] = {}
+
+
+def _remove_folders() -> None:
+    from fieldmill.sources.files import file_system
+
+    for folder in _FOLDERS.values():
+        try:
+            system, place = file_system(folder)
+            system.delete_dir(place)
+        except (OSError, ValueError):
+            pass  # never made, or on a file system that only the cluster reaches
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """The application's own folder below the shared one. It goes when the driver's process ends; ``clear_scratch`` takes it away earlier."""
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        if not _FOLDERS:
+            atexit.register(_remove_folders)
+        _FOLDERS[app] = f"{shared_dir(spark)}/fieldmill-{app}"
+    return _FOLDERS[app]
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes all tables that ``cut`` and the queries have written so far: for long sessions, once their results are stored."""
+    _delete(spark, scratch_folder(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder, for a table that is written and read back."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the application's folder, for a table that is written and read back."""
+    return f"{scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
@@ -60,7 +97,16 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table behind a ``cut`` that no later step reads."""
+    path = getattr(df, "_scratch", None)
+    if path:
+        _delete(df.sparkSession, path)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -72,7 +118,9 @@ def ship(spark: SparkSession) -> SparkSession:
     context = spark.sparkContext
     if not getattr(context, "_fieldmill_shipped", False):
         root = Path(__file__).resolve().parent
-        target = Path(tempfile.mkdtemp(prefix="fieldmill-ship-")) / "fieldmill.zip"
+        folder = tempfile.mkdtemp(prefix="fieldmill-ship-")  # on the driver only; Spark sends the file
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        target = Path(folder) / "fieldmill.zip"
         with zipfile.ZipFile(target, "w") as z:
             for path in sorted(root.rglob("*.py")):
                 z.write(path, Path("fieldmill") / path.relative_to(root))
