@@ -107,19 +107,30 @@ _WINDOWS = """d AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(tex
  o AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS n FROM h), g AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM o),
  r AS (SELECT doc_id, min(i)::INT AS span_start, (max(i) + 200)::INT AS span_end FROM g GROUP BY doc_id, g)"""
 
+_CLUSTERS = f"""WITH RECURSIVE {_UNIT}, c(node, root) AS (SELECT gid, gid FROM u UNION SELECT s.b, c.root FROM c JOIN s ON s.a = c.node),
+ g AS (SELECT node, min(root) AS root FROM c GROUP BY node),
+ q AS (SELECT DISTINCT run_id, suite_id, num_clusters AS n, cluster_confidence_mean AS k FROM ablation_runs WHERE num_clusters IS NOT NULL AND isfinite(cluster_confidence_mean)),
+ l AS (SELECT a.run_id AS a, b.run_id AS b FROM q a JOIN q b ON a.suite_id = b.suite_id AND abs(a.n - b.n) <= 3 AND abs(a.k - b.k) <= 0.02 + 1e-9),
+ t(node, root) AS (SELECT run_id, run_id FROM q UNION SELECT l.b, t.root FROM t JOIN l ON l.a = t.node), h AS (SELECT node, min(root) AS root FROM t GROUP BY node)"""
+
 SQL: dict[str, str] = {
+    "p5_found": f"""{_CLUSTERS}
+ SELECT 'gaussian' AS entity, root AS root_id, node AS member_id FROM (SELECT *, count(*) OVER (PARTITION BY root) AS z FROM g) WHERE z >= 5 AND node <> root
+ UNION ALL SELECT 'run', root, node FROM (SELECT *, count(*) OVER (PARTITION BY root) AS z FROM h) WHERE z >= 3 AND node <> root""",
+    "p5_clusters": f"""{_CLUSTERS}, gz AS (SELECT root, node, count(*) OVER (PARTITION BY root) AS z FROM g QUALIFY z >= 5), hz AS (SELECT root, node, count(*) OVER (PARTITION BY root) AS z FROM h QUALIFY z >= 3),
+ gc AS (SELECT root, list(x ORDER BY i) AS c FROM (SELECT root, i, sum(x) AS x FROM (SELECT root, generate_subscripts(u.u, 1) AS i, unnest(u.u) AS x FROM gz JOIN u ON gid = node) GROUP BY ALL) GROUP BY root),
+ gs AS (SELECT root, node, z, row_number() OVER (PARTITION BY root ORDER BY round(list_dot_product(u.u, c), 6) DESC, node) AS k FROM gz JOIN u ON gid = node JOIN gc USING (root)),
+ hm AS (SELECT root, node, z, n / 3.0::DOUBLE AS x, k / 0.02 AS y, avg(n / 3.0::DOUBLE) OVER (PARTITION BY root) AS mx, avg(k / 0.02) OVER (PARTITION BY root) AS my FROM hz JOIN q ON run_id = node),
+ hs AS (SELECT root, node, z, row_number() OVER (PARTITION BY root ORDER BY round((x - mx) * (x - mx) + (y - my) * (y - my), 9), node) AS k FROM hm)
+ SELECT 'gaussian' AS entity, root AS root_id, z AS size, list(node ORDER BY k) FILTER (k <= 3) AS typical FROM gs GROUP BY ALL UNION ALL SELECT 'run', root, z, list(node ORDER BY k) FILTER (k <= 3) FROM hs GROUP BY ALL""",
+    "p8_passages": f"""WITH {_WINDOWS}, c AS (SELECT doc_id, span_start, substring(text, span_start + 1, span_end - span_start) AS passage FROM r JOIN d USING (doc_id)), f AS (SELECT passage, doc_id, min(span_start) AS s FROM c GROUP BY ALL)
+ SELECT md5(passage) AS digest, length(passage) AS n_chars, count(*) AS records, min(doc_id) AS first_record, min_by(s, doc_id) AS first_start, passage FROM f GROUP BY passage""",
+
     "p2_found": f"""WITH {_UNIT}, n AS (SELECT 'feature' AS space, a, b FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5),
  p AS (SELECT DISTINCT gid, scene_id, x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z FROM gaussians WHERE isfinite(x) AND isfinite(y) AND isfinite(z)),
  e AS (SELECT a.gid AS a, b.gid AS b, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)), 6) AS d FROM p a JOIN p b ON a.scene_id = b.scene_id AND a.gid <> b.gid),
  m AS (SELECT 'xyz' AS space, a, b FROM e WHERE d <= 0.12 QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) <= 5)
  SELECT DISTINCT space, least(a, b) AS gid_a, greatest(a, b) AS gid_b FROM (FROM n UNION ALL FROM m)""",
-    "p5_found": f"""WITH RECURSIVE {_UNIT}, c(node, root) AS (SELECT gid, gid FROM u UNION SELECT s.b, c.root FROM c JOIN s ON s.a = c.node),
- g AS (SELECT node, min(root) AS root FROM c GROUP BY node),
- q AS (SELECT DISTINCT run_id, suite_id, num_clusters AS n, cluster_confidence_mean AS k FROM ablation_runs WHERE num_clusters IS NOT NULL AND isfinite(cluster_confidence_mean)),
- l AS (SELECT a.run_id AS a, b.run_id AS b FROM q a JOIN q b ON a.suite_id = b.suite_id AND abs(a.n - b.n) <= 3 AND abs(a.k - b.k) <= 0.02 + 1e-9),
- t(node, root) AS (SELECT run_id, run_id FROM q UNION SELECT l.b, t.root FROM t JOIN l ON l.a = t.node), h AS (SELECT node, min(root) AS root FROM t GROUP BY node)
- SELECT 'gaussian' AS entity, root AS root_id, node AS member_id FROM (SELECT *, count(*) OVER (PARTITION BY root) AS z FROM g) WHERE z >= 5 AND node <> root
- UNION ALL SELECT 'run', root, node FROM (SELECT *, count(*) OVER (PARTITION BY root) AS z FROM h) WHERE z >= 3 AND node <> root""",
     "p6_decoded": "SELECT doc_id, md5(coalesce(text, '')) AS digest, length(coalesce(text, '')) AS n_chars FROM documents",
     "p7_kept": r"""WITH t AS (SELECT mix_id, nullif(regexp_replace(lower(trim(source)), '[\s\-_]+', '_', 'g'), '') AS source, sum(weight) AS w FROM mix_targets WHERE weight > 0 GROUP BY ALL),
  d AS (SELECT DISTINCT regexp_replace(lower(trim(source)), '[\s\-_]+', '_', 'g') AS source FROM documents WHERE length(text) > 0)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldmill.session import cut, partitions
+from fieldmill.session import cut, discard, partitions
 
 #: Bytes of contexts that one task sorts.
 _TASK_BYTES = 16 << 20
@@ -229,6 +229,7 @@ def shared_intervals(
     contexts = _contexts(runs.join(keys, "h", "left_semi"), df, id_col, text_col, min_len)
     whole = contexts.withColumns({"lo": F.lit(0), "hi": F.lit(min_len - gram + 1), "digest": F.unhex(F.md5("context"))})
     contexts = cut(whole.select("doc", "start", "h", "anchor", "context", "lo", "hi", "digest"), "contexts")
+    discard(runs)
     tasks = max(partitions(spark), -(-contexts.count() * 3 * min_len // _TASK_BYTES))
     contexts = _light(contexts, min_len, split_above)
     placed = contexts.groupBy("h", "lo", "hi", "anchor", "digest").agg(F.first("context").alias("context"), F.min("doc").alias("a"), F.max("doc").alias("b"))
