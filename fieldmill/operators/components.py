@@ -1,12 +1,52 @@
-"""Connected components by alternating large-star and small-star rounds."""
+"""Connected components: contraction inside partitions, alternating with large-star and small-star rounds."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldmill.session import cut, discard
 
+#: Edges that one task contracts to the end: two ids each, so some 16 MB. More go through rounds.
+ONE_TASK = 1_000_000
+
+
+def roots_of(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes that the edges (u, v) name, and the least node of each one's component among these edges."""
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    up = np.arange(len(nodes))
+    while len(a):
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        np.minimum.at(up, high, low)
+        while not np.array_equal(up, up[up]):
+            up = up[up]
+        a, b = up[a], up[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+    return nodes, nodes[up]
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """The edges of each partition as stars (u, v): every node with the least one of its component there. A partition is one scan or shuffle
+    split, so it fits a task."""
+    kinds = dict(edges.dtypes)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if len(b)]
+        if held:
+            table = pa.Table.from_batches(held)
+            u, v = (table.column(i).combine_chunks() for i in (0, 1))
+            nodes, root = roots_of(u.to_numpy(zero_copy_only=False), v.to_numpy(zero_copy_only=False))
+            apart = nodes != root
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[apart], u.type), pa.array(root[apart], u.type)], ["u", "v"])
+
+    return edges.select("u", "v").mapInArrow(run, f"u {kinds['u']}, v {kinds['u']}")
+
 
 def _least(pairs: DataFrame) -> DataFrame:
     """Of undirected ``pairs`` (u, v): each node u with the least of itself and its neighbours. Partial aggregates, so a hub is no hot key."""
@@ -16,24 +56,30 @@ def _least(pairs: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int = 60) -> DataFrame:
     """``node``, ``component`` (its least node) of every node that ``edges`` name; direction and repetition of edges don't matter.
 
-    Edges with a null end are ignored, a self-loop makes its node a component of its own, an empty table gives no rows. Each round is a
-    few joins on the remaining star edges, written to the shared folder, so lineage stays short and a lost executor costs one round.
+    Edges with a null end are ignored, a self-loop makes its node a component of its own, an empty table gives no rows. Every partition of
+    edges is contracted to stars first, without a shuffle. Up to ``ONE_TASK`` edges are then one task's work; else each round is a few joins
+    on the remaining star edges, written to the shared folder, so lineage stays short and a lost executor costs one round.
     """
     named = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a is not null and b is not null")
-    nodes = named.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    stars = cut(named.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    named = cut(named.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "edges")
+    nodes = named.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    stars = cut(_contracted(named.filter("u <> v")), "edges")
     before = None
     for _ in range(max_rounds):
+        now = tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now[0] <= ONE_TASK:
+            old, stars = stars, cut(_contracted(stars.coalesce(1)), "edges")
+            discard(old)
+            break
+        if now == before:
+            break
+        before = now
         both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(_least(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = large.join(_least(large), "u")
         hooked = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         old, stars = stars, cut(hooked.union(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "edges")
         discard(old)
-        now = tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
     else:
         raise RuntimeError("the components did not settle")
     return nodes.join(stars.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select(

@@ -133,6 +133,28 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, key: str, axes: list[s
     return out.select("grp", "src", "dst", F.col("rank").cast("bigint").alias("rank"), F.sqrt("d2").alias("dist"))
 
 
+class NeighbourTables:
+    """The neighbours of one set of points for several k: the widest table made so far serves every smaller k by its ranks.
+
+    It belongs to the caller, who made it for just these points and lets go of it with ``release``; nothing is shared between queries.
+    """
+
+    def __init__(self, points: DataFrame, key: str, axes: list[str], group: str):
+        self.points, self.key, self.axes, self.group = points, key, axes, group
+        self.k, self.table = 0, None
+
+    def of(self, k: int) -> DataFrame:
+        if k > self.k:
+            self.release()
+            self.k, self.table = k, cut(knn_join(self.points, self.points, k, self.key, self.axes, self.group), "near")
+        return self.table.filter(F.col("rank") <= k)
+
+    def release(self) -> None:
+        if self.table is not None:
+            discard(self.table)
+        self.k, self.table = 0, None
+
+
 def morton(axes: list[Column], bits: int = 10) -> Column:
     """Morton code of coordinates in 0..1: their bits, interleaved, the first axis lowest."""
     top = (1 << bits) - 1

@@ -179,6 +179,15 @@ def g16(s, d):
     return g.refine_labels(p, near(s, d), "gid", "v", min_size=12).select("gid", "label", F.round("conf", 6).alias("conf"))
 
 
+@query("e5_neighbour_tables", "SELECT 3 AS k, src, dst FROM kn WHERE rank <= 3 UNION ALL SELECT 12, src, dst FROM kn WHERE rank <= 12 UNION ALL SELECT 5, src, dst FROM kn WHERE rank <= 5")
+def e5(s, d):
+    """The connectivity, scale and smoothing neighbours of the same points: one join for the widest of those asked for."""
+    known = kn.NeighbourTables(B.points(s, d), "gid", ["x", "y", "z"], "scene_id")
+    known.of(12)
+    parts = [known.of(k).select(F.lit(k).alias("k"), "src", "dst") for k in (3, 12, 5)]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 @query("e1_mean_square", "SELECT src, round(avg(dist * dist), 6) AS d2 FROM kn WHERE rank <= 3 GROUP BY src")
 def e1(s, d):
     return kn.mean_square_distance(near(s, d)).select("src", F.round("d2", 6).alias("d2"))

@@ -57,7 +57,11 @@ def test_fewer_points_than_neighbours(spark):
     assert sorted((r["src"], r["dst"]) for r in kn.knn_join(df, df, 5, "gid", ["x"], "s").collect()) == [(1, 2), (2, 1)]
 
 
-def test_components_whatever_the_direction(spark):
+@pytest.mark.parametrize("one_task", [1_000_000, 0])
+def test_components_whatever_the_direction(spark, monkeypatch, one_task):
+    from fieldmill.operators import components
+
+    monkeypatch.setattr(components, "ONE_TASK", one_task)
     r = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in r.integers(0, 60, (45, 2))] + [(100 + i, 101 + i) for i in range(30)] + [(7, None)]
     root = {v: v for e in edges for v in e if None not in e}
@@ -71,7 +75,7 @@ def test_components_whatever_the_direction(spark):
         if b is not None:
             a, b = find(a), find(b)
             root[max(a, b)] = min(a, b)
-    df = spark.createDataFrame(edges, "u bigint, v bigint")
+    df = spark.createDataFrame(edges, "u bigint, v bigint").repartition(5)
     assert {x["node"]: x["component"] for x in connected_components(df, "u", "v").collect()} == {v: find(v) for v in root}
     assert connected_components(df.limit(0), "u", "v").count() == 0
 
