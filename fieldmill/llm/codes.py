@@ -152,11 +152,11 @@ class GridIndex:
     """The cells of points (coordinates in units of the reach, beside their group): the numbers of a cell on each axis are its code, of
     which a point also probes the values that ``probe`` reaches lead to. From half a reach on, two points within a reach share a cell; from a
     whole one on, the cell that a point lies in has all points within its reach. Cells with more rows than wanted, by exact counts, are divided into cells of twice the probe in the same way; what is still too large is worked off in pairs of
-    blocks."""
+    blocks, or (``apart``) left to the caller as ``dense`` cells."""
 
     def __init__(self, cells: float, probe: float = 0.5):
         self.cells, self.probe = cells, probe
-        self.fine = np.zeros(0, np.int64)
+        self.fine = self.dense = np.zeros(0, np.int64)
         self.pairs: dict[int, int] = {}
 
     def _around(self, y: np.ndarray, cells: float) -> tuple[np.ndarray, np.ndarray]:
@@ -182,13 +182,16 @@ class GridIndex:
             rows, keys = np.concatenate([rows[~hit], rows[hit][at]]), np.concatenate([keys[~hit], mix(keys[hit][at], *codes.T, 7)])
         return (rows, keys) if ids is None else in_blocks(rows, keys, ids, self.pairs)
 
-    def refine(self, df: DataFrame, read: Callable[[pa.RecordBatch], tuple], hot_rows: int, copies: Callable[[], None]) -> None:
+    def refine(self, df: DataFrame, read: Callable[[pa.RecordBatch], tuple], hot_rows: int, copies: Callable[[], None], apart: bool = False) -> None:
         hot = hot_buckets(df, read, self.places, hot_rows)
         if hot:
             copies()
             self.fine = np.array(sorted(hot_buckets(df, read, self.places, hot_rows)), dtype=np.int64)
             hot = hot_buckets(df, read, self.places, hot_rows)
-            self.pairs = {k: int(np.ceil(n / (hot_rows / 2))) for k, n in hot.items()}
+            if apart:
+                self.dense = np.array(sorted(hot), dtype=np.int64)
+            else:
+                self.pairs = {k: int(np.ceil(n / (hot_rows / 2))) for k, n in hot.items()}
 
 
 class BucketIndex:

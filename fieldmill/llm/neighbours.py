@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldmill.llm import codes as C
+from fieldmill.operators.knn import knn_join
 from fieldmill.session import cut
 
 _INDEX = "key bigint, id bigint, v binary, rep bigint"
@@ -196,7 +197,7 @@ def position_neighbours(
 
     Usable are finite numbers on all axes; others, and rows whose id or group is null, have no neighbours. Rows repeated under an id
     count once. The code of a position is that of its cell (``cells`` radii wide, one where the rows are dense) on each rotated axis, and
-    the probes are all cells within half a radius.
+    the probes are all cells within half a radius. Cells of one radius with more than ``hot_rows`` rows are left to the adaptive exact join.
     """
     total = df.count()
     dim = len(axes)
@@ -220,14 +221,24 @@ def position_neighbours(
         ids, values, group, kept, _, _ = reader.read(batch)
         return ids[kept], (scaled(values[kept]), group[kept])
 
-    index.refine(narrow, points, hot_rows, lambda: reader.look(narrow, hot_rows // 4))
+    index.refine(narrow, points, hot_rows, lambda: reader.look(narrow, hot_rows // 4), apart=True)
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, values, group, kept, rest, rep = reader.read(batch)
             if len(ids):
                 rows, keys = index.places((scaled(values[kept]), group[kept]), ids[kept])
-                yield _index_batch(ids, values, kept, rest, rep, rows, keys)
+                sparse = ~C.find(keys, index.dense)[0]
+                yield _index_batch(ids, values, kept, rest, rep, rows[sparse], keys[sparse])
+
+    def crowded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, values, group, kept, _, _ = reader.read(batch)
+            rows, keys = index.places((scaled(values[kept]), group[kept]))
+            hit = C.find(keys, index.dense)[0]
+            at = kept[rows[hit]]
+            xyz = [pa.array(values[at, i].astype(np.float64)) for i in range(dim)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[hit]), pa.array(ids[at]), *xyz], ["cell", "id", *(f"x{i}" for i in range(dim))])
 
     def kernel(key: int, ids: np.ndarray, values: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         x = values.astype(np.float64)
@@ -245,6 +256,13 @@ def position_neighbours(
 
     built = narrow.mapInArrow(build, _INDEX)
     found = C.by_bucket(built, kernel, "<f4", dim, ["a", "b", "cost"], _TYPES, _FOUND, C.task_count(df, 2 * total, 4 * dim + 24))
+    if len(index.dense):
+        # Cells that stay crowded at the reach of the search: their points' neighbours are far nearer, which the adaptive join makes use of.
+        rows = narrow.mapInArrow(crowded, ", ".join(["cell bigint, id bigint", *(f"x{i} double" for i in range(dim))]))
+        rows = cut(rows.dropDuplicates(["cell", "id"]).withColumn("point", F.struct("cell", "id")), "crowded")
+        near = knn_join(rows, rows, k + 8, "point", [f"x{i}" for i in range(dim)], "cell")  # more than k, as costs are rounded
+        cost = F.rint(F.col("dist") * 1e6).cast("int").alias("cost")
+        found = found.union(near.select(F.col("src.id").alias("a"), F.col("dst.id").alias("b"), cost).filter(F.col("cost") <= limit))
     return _finish(found, k).select("a", "b", (F.col("cost") / F.lit(1e6)).alias("distance"))
 
 
