@@ -481,6 +481,37 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return found.drop("_number")
 
 
+def vacuum(spark: SparkSession, path: str) -> int:
+    """Deletes the data files of a store that its latest manifest doesn't list (replaced ones, and those of lost attempts), and older
+    manifests; how many files went. Readers of older versions and running consolidations must be done."""
+    system, place = _hadoop(spark, path)
+    version, rows = store_files(spark, path)
+    kept = {r["path"].rpartition("/")[2] for r in rows} | {f"_empty-{version}", "_manifest"}
+    gone = 0
+    for status in system.listStatus(place) if system.exists(place) else ():
+        if status.getPath().getName() not in kept:
+            gone += system.delete(status.getPath(), True)
+    _, manifests = _hadoop(spark, f"{path}/_manifest")
+    for status in system.listStatus(manifests) if system.exists(manifests) else ():
+        if status.getPath().getName() != f"v={version}":
+            system.delete(status.getPath(), True)
+    return gone
+
+
+def tiny_files(spark: SparkSession, path: str) -> DataFrame:
+    """Files on disk as a table (path, n_bytes, body, arrived_at) for ``extract_records``; a scan packs many of them into one task. Bodies that
+    aren't UTF-8 have their bad bytes replaced."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    listed = found.select("path", F.col("length").alias("n_bytes"), F.col("content").alias("body"), F.col("modificationTime").alias("arrived_at"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x.decode("utf-8", "replace") for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), batch.column(3)], ["path", "n_bytes", "body", "arrived_at"])
+
+    return listed.mapInArrow(run, "path string, n_bytes bigint, body string, arrived_at timestamp")
+
+
 def consolidate_files(
     files: DataFrame, body: str = "body", kind: str = "kind", keys: dict[str, str] | None = None,
     arrival: str = "arrived_at", path: str | None = None, target_bytes: int = 128 << 20, **options: int,

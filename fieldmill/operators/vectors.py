@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +44,18 @@ def vote(df: DataFrame, by: list[str], label: str, weight: str) -> DataFrame:
     return totals.withColumn("_k", rank).withColumn("share", share).filter("_k = 1").drop("_k", "_s")
 
 
+def whole_vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values (in double) of the vectors of a batch that have ``dim`` known numbers."""
+    fits = pc.fill_null(pc.equal(pc.list_value_length(column), dim), False)
+    at = np.flatnonzero(fits.to_numpy(zero_copy_only=False))
+    flat = column.take(pa.array(at)).flatten()
+    values = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    if flat.null_count:
+        known = ~flat.is_null().to_numpy(zero_copy_only=False).reshape(-1, dim).any(axis=1)
+        at, values = at[known], values[known]
+    return at, values
+
+
 def collect_centres(centres: DataFrame, label: str, vec: str) -> tuple[list, np.ndarray]:
     """A bounded set of centres on the driver, in the order of their labels; more than ``MOST_CENTRES`` are an error."""
     rows = centres.select(label, vec).orderBy(label).limit(MOST_CENTRES + 1).collect()
@@ -62,11 +75,12 @@ def score_centres(df: DataFrame, key: str, vec: str, labels: list, matrix: np.nd
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 4096) for i in range(0, len(batch), 4096)):
-                vectors = part.column(1).to_pylist()
-                at = [i for i, v in enumerate(vectors) if v is not None and len(v) == matrix.shape[1] and None not in v]
-                if not at or not len(labels):
+                if not len(labels):
+                    continue
+                at, vectors = whole_vectors(part.column(1), matrix.shape[1])
+                if not len(at):
                     continue
-                scores = np.array([vectors[i] for i in at]) @ matrix.T
+                scores = vectors @ matrix.T
                 order = np.argsort(-np.round(scores, 9), axis=1, kind="stable")[:, :most]
                 width = order.shape[1]
                 yield pa.RecordBatch.from_arrays(
@@ -103,8 +117,7 @@ def covariance(df: DataFrame, vec: str, dim: int) -> tuple[np.ndarray, np.ndarra
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, one, two = 0, np.zeros(dim), np.zeros((dim, dim))
         for batch in batches:
-            rows = [v for v in batch.column(0).to_pylist() if v is not None and len(v) == dim and None not in v]
-            x = np.array(rows, dtype=np.float64).reshape(-1, dim)
+            x = whole_vectors(batch.column(0), dim)[1]
             x = x[np.isfinite(x).all(axis=1)]
             n, one, two = n + len(x), one + x.sum(axis=0), two + x.T @ x
         flat = np.concatenate([one, two.ravel()]).tolist()

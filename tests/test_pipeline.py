@@ -98,6 +98,18 @@ def test_a_store_takes_more_records_and_updates_its_ranges(spark, tmp_path):
     assert all(a[1] <= b[0] for a, b in zip(keys, keys[1:]))
     smallfiles.consolidate(df.limit(0), ["k"], path)
     assert smallfiles.read_store(spark, path).count() == 5101
+    assert smallfiles.vacuum(spark, path) >= 1 and smallfiles.read_store(spark, path).count() == 5101
+    assert smallfiles.vacuum(spark, path) == 0
+
+
+def test_tiny_files_on_disk(spark, tmp_path):
+    for i in range(40):
+        (tmp_path / "in" / f"d{i % 3}").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / f"d{i % 3}" / f"{i}.json").write_bytes(b'{"uid":%d,"idx":0,"s":"\xff"}\n{"uid":%d,"idx":1}' % (i, i // 2))
+    files = smallfiles.tiny_files(spark, f"file://{tmp_path}/in").withColumn("kind", F.regexp_extract("path", "/(d[0-9])/", 1))
+    path, parts = smallfiles.consolidate_files(files, path=f"file://{tmp_path}/out")
+    assert smallfiles.read_store(spark, path).count() == 80 - sum(1 for i in range(40) for j in range(i) if i // 2 == j // 2 and i % 3 == j % 3)
+    assert parts.count() == 3 and all(r["first_key"]["kind"] == r["last_key"]["kind"] for r in parts.collect())
 
 
 def test_consolidation_of_odd_tables(spark, tmp_path):
