@@ -113,7 +113,8 @@ def _ranked(a: np.ndarray, b: np.ndarray, cost: np.ndarray, ids: np.ndarray, lim
 def _finish(found: DataFrame, k: int) -> DataFrame:
     """The k best of each row over all buckets, copies given the neighbours of their kept one: a, b, cost."""
     found = cut(found, "found")
-    best = found.filter("cost is not null").groupBy("a").agg(
+    tasks = C.task_count(found, found.count(), 40)
+    best = found.filter("cost is not null").repartition(tasks, "a").groupBy("a").agg(
         F.slice(F.array_sort(F.collect_set(F.struct("cost", "b"))), 1, k).alias("best")
     )
     copies = found.filter("cost is null").groupBy("a").agg(F.min("b").alias("rep"))
@@ -303,6 +304,7 @@ def neighbour_recall(df: DataFrame, found: DataFrame, id_col: str, vec_col: str,
     return total.select("queries", "pairs", "hits", F.when(F.col("pairs") > 0, F.col("hits") / F.col("pairs")).otherwise(1.0).alias("recall"))
 
 
-def as_pairs(neighbours: DataFrame) -> DataFrame:
-    """Unordered pairs gid_a < gid_b in which one is among the other's best."""
-    return neighbours.select(F.least("a", "b").alias("gid_a"), F.greatest("a", "b").alias("gid_b")).distinct()
+def as_pairs(neighbours: DataFrame, rows: int = 0, k: int = 5) -> DataFrame:
+    """Unordered pairs gid_a < gid_b in which one is among the other's best. ``rows``: of the searched table, for the number of tasks."""
+    pairs = neighbours.select(F.least("a", "b").alias("gid_a"), F.greatest("a", "b").alias("gid_b"))
+    return pairs.repartition(C.task_count(neighbours, rows * k, 24), "gid_a").distinct()

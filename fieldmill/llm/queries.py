@@ -14,8 +14,9 @@ from fieldmill.session import load
 
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
-    feature = as_pairs(cosine_neighbours(load(spark, root, "features"), "gid", "f", dim=32, k=5, min_sim=0.96))
-    place = as_pairs(position_neighbours(load(spark, root, "gaussians"), "gid", "scene_id", ["x", "y", "z"], k=5, radius=0.12))
+    features, gaussians = load(spark, root, "features"), load(spark, root, "gaussians")
+    feature = as_pairs(cosine_neighbours(features, "gid", "f", dim=32, k=5, min_sim=0.96), features.count())
+    place = as_pairs(position_neighbours(gaussians, "gid", "scene_id", ["x", "y", "z"], k=5, radius=0.12), gaussians.count())
     return feature.select(F.lit("feature").alias("space"), "*").union(place.select(F.lit("xyz").alias("space"), "*"))
 
 
