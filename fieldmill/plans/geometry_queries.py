@@ -318,6 +318,17 @@ def a19(s, d):
     return v.select("gid", *(F.round(p, 5).alias(f"pc{i}") for i, p in enumerate(parts)))
 
 
+@query("g19_feature_map", _PCA + "SELECT gid, " + ", ".join(f"round((pc{k} - min(pc{k}) OVER ()) / greatest(max(pc{k}) OVER () - min(pc{k}) OVER (), 1e-8), 4) AS {c}" for k, c in enumerate(("red", "green", "blue"))) + " FROM pc")
+def g19f(s, d):
+    """Colours of feature vectors: their three principal components, each scaled to 0..1."""
+    v = B.vectors(s, d)
+    mean, axes = vc.principal_axes(v, "e", 64, 3)
+    parts = v.select("gid", *((vc.dot("e", F.array(*map(F.lit, a.tolist()))) - float(a @ mean)).alias(c) for a, c in zip(axes, ("red", "green", "blue"))))
+    span = parts.agg(*(f(c).alias(f"{n}_{c}") for c in ("red", "green", "blue") for n, f in (("low", F.min), ("high", F.max))))  # one row
+    scaled = [F.round((F.col(c) - F.col(f"low_{c}")) / F.greatest(F.col(f"high_{c}") - F.col(f"low_{c}"), F.lit(1e-8)), 4).alias(c) for c in ("red", "green", "blue")]
+    return parts.join(F.broadcast(span)).select("gid", *scaled)
+
+
 @query("a20_oriented_box", f"WITH {B.POINTS}, " + axes_sql("SELECT gid AS key, unnest([1, 2, 3]) AS i, unnest([x, y, z]) AS x FROM p WHERE label = 2", 3, 3) + ", lo AS (SELECT key, k, sum(x * a) AS v FROM cn JOIN ax USING (i) GROUP BY ALL) SELECT " + ", ".join(f"round(quantile_cont(abs(v), 0.98) FILTER (k = {k}) * 1.05, 5) AS extent{k}" for k in range(3)) + " FROM lo")
 def a20(s, d):
     p = B.points(s, d).filter("label = 2").withColumn("v", F.array("x", "y", "z"))

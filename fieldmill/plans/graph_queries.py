@@ -513,3 +513,30 @@ def g11(s, d):
     both = p.select("grp").distinct().join(claims, "grp", "left").join(scores, "grp", "left")
     agrees = F.col("claimed").isNull() | ((F.abs(F.col("claimed") - F.coalesce("score", F.lit(0.0))) < 1e-6) & (F.col("least") >= 8))
     return both.select("grp", agrees.alias("agrees"))
+
+
+@query("g12_recursive_cut", "SELECT scene_id AS grp, count(*) AS nodes, true AS sound FROM p GROUP BY scene_id")
+def g12(s, d):
+    """Recursive cuts of each scene's affinity graph: every node has a label, larger clusters have smaller ones, none but a whole graph is
+    smaller than asked."""
+    import numpy as np
+    import pyarrow as pa
+
+    from fieldmill.operators import cluster as cl
+
+    p = B.points(s, d).select("gid", F.col("scene_id").alias("grp"))
+    edges = g.affinity_edges(near(s, d), features(s, d), "gid", "v").join(p.select(F.col("gid").alias("src"), F.col("grp").alias("scene")), "src")
+
+    def cuts(nodes: pa.Table, links: pa.Table) -> pa.Table:
+        ids = np.sort(nodes.column("gid").to_numpy())
+        i, j = (np.searchsorted(ids, links.column(c).to_numpy()) for c in ("src", "dst"))
+        order = np.lexsort((j, i))
+        labels = cl.recursive_cut((len(ids), i[order], j[order], links.column("w").to_numpy()[order]), 6, 8, 0.8)
+        return pa.table({"grp": nodes.column("grp"), "gid": pa.array(ids), "label": pa.array(labels, pa.int64())})
+
+    labelled = p.groupBy("grp").cogroup(edges.groupBy("scene")).applyInArrow(cuts, "grp int, gid bigint, label bigint")
+    sizes = labelled.groupBy("grp", "label").agg(F.count("*").alias("n"))
+    listed = sizes.groupBy("grp").agg(F.sum("n").alias("nodes"), F.array_sort(F.collect_list(F.struct("label", "n"))).alias("z"))
+    falling = F.forall(F.sequence(F.lit(1), F.size("z")), lambda i: (i == 1) | (F.get("z", i - 1)["n"] <= F.get("z", i - 2)["n"]))
+    sound = (F.col("z")[0]["label"] == 0) & falling & ((F.size("z") == 1) | (F.element_at("z", -1)["n"] >= 8))
+    return listed.select("grp", "nodes", sound.alias("sound"))
