@@ -141,38 +141,81 @@ def _contexts(runs: DataFrame, df: DataFrame, id_col: str, text_col: str, min_le
     )
 
 
-def _deep_nodes(rows: list[tuple], min_len: int) -> Iterator[tuple[bytes, int, int]]:
-    """Shared intervals of the contexts of one prefix key; rows: digest, anchor, context, least record, greatest record, from, to."""
-    spans: dict[bytes, list[int]] = {}
-    lengths = range(min(r[5] for r in rows), max(r[6] for r in rows))
+def common_prefix(a: str, b: str, known: int = 0) -> int:
+    """Length of the longest common prefix of two texts that agree on ``known`` characters, by halving."""
+    low, high = known, min(len(a), len(b))
+    if a[:high] == b[:high]:
+        return high
+    while high - low > 1:
+        middle = (low + high) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle
+    return low
+
+
+def deep_nodes(suffixes: list[str], min_len: int) -> Iterator[tuple[int, int, int]]:
+    """(depth, first leaf, last leaf) of the internal nodes of at least ``min_len`` characters of the suffix tree whose leaves are the sorted
+    ``suffixes``, children before their parents. A node's depth is what all suffixes below it have in common: a repeat that no further
+    character to the right prolongs."""
+    stack: list[tuple[int, int]] = []  # (depth, first leaf) of the open nodes, the deepest last
+    for k in range(1, len(suffixes) + 1):
+        depth = 0
+        if k < len(suffixes) and suffixes[k - 1][:min_len] == suffixes[k][:min_len]:
+            depth = common_prefix(suffixes[k - 1], suffixes[k], min_len)
+        first = k - 1
+        while stack and stack[-1][0] > depth:
+            deep, first = stack.pop()
+            yield deep, first, k - 1
+        if depth >= min_len and (not stack or stack[-1][0] < depth):
+            stack.append((depth, first))
+
+
+def _shared_intervals_of(rows: list[tuple], min_len: int) -> Iterator[tuple[bytes, int, int]]:
+    """Shared intervals of the contexts under one prefix key; rows: digest, anchor, context, least record, greatest record, from, to.
+
+    The subtree's leaves are the suffixes of the contexts; each one is shared up to the depth of the deepest node above it that has leaves
+    of two records.
+    """
+    found: dict[bytes, list[tuple[int, int]]] = {}
+    for digest, _, context, least, greatest, _, _ in rows:
+        if least < greatest:  # the context itself stands in two records
+            found.setdefault(digest, []).append((0, len(context)))
+    lengths = range(min(r[5] for r in rows), max(r[6] for r in rows)) if len(rows) > 1 else range(0)
     step = max(1, 100_000 // len(rows))
     for low in range(lengths.start, lengths.stop, step):
         # Suffixes whose key reaches from low to low + step characters before the anchor: a subtree that fits in memory.
         leaves = []
         for i, (_, anchor, context, _, _, a, b) in enumerate(rows):
             for ahead in range(max(low, a, anchor - (len(context) - min_len)), min(low + step, b, anchor + 1)):
-                at = anchor - ahead
-                leaves.append((context[at : at + min_len], i, at))
+                leaves.append((context[anchor - ahead :], i, anchor - ahead))
         leaves.sort()
-        i = 0
-        while i < len(leaves):
-            label, j = leaves[i][0], i + 1
-            while j < len(leaves) and leaves[j][0] == label:
-                j += 1
-            below = leaves[i:j]
-            if min(rows[x[1]][3] for x in below) < max(rows[x[1]][4] for x in below):
-                for _, k, at in below:
-                    spans.setdefault(rows[k][0], []).append(at)
-            i = j
-    for digest, places in spans.items():
-        places.sort()
-        start = last = places[0]
-        for at in places[1:]:
-            if at > last + 1:
-                yield digest, start, last + min_len
-                start = at
-            last = at
-        yield digest, start, last + min_len
+        covered: list[tuple[int, int]] = []  # disjoint runs of leaves below shared nodes met so far
+        for depth, first, last in deep_nodes([x[0] for x in leaves], min_len):
+            below = leaves[first : last + 1]
+            if min(rows[x[1]][3] for x in below) == max(rows[x[1]][4] for x in below):
+                continue
+            inner = []
+            while covered and covered[-1][0] >= first:
+                inner.append(covered.pop())
+            done = first
+            for start, stop in reversed(inner):
+                for _, k, at in leaves[done:start]:
+                    found.setdefault(rows[k][0], []).append((at, at + depth))
+                done = stop + 1
+            for _, k, at in leaves[done : last + 1]:
+                found.setdefault(rows[k][0], []).append((at, at + depth))
+            covered.append((first, last))
+    for digest, spans in found.items():
+        spans.sort()
+        start, end = spans[0]
+        for a, b in spans[1:]:
+            if a > end:
+                yield digest, start, end
+                start, end = a, b
+            end = max(end, b)
+        yield digest, start, end
 
 
 def _extended(contexts: DataFrame, min_len: int) -> DataFrame:
@@ -239,7 +282,7 @@ def shared_intervals(
     def subtrees(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
             if len(rows) > 1 or rows[0][3] < rows[0][4]:
-                found = list(_deep_nodes(rows, min_len))
+                found = list(_shared_intervals_of(rows, min_len))
                 if found:
                     d, s, e = zip(*found)
                     yield pa.RecordBatch.from_arrays([pa.array(d, pa.binary()), pa.array(s, pa.int32()), pa.array(e, pa.int32())], ["digest", "s", "e"])

@@ -25,6 +25,24 @@ def brute(docs, n):
     return out
 
 
+def test_deep_nodes_equal_brute_force():
+    r = random.Random(5)
+    for _ in range(60):
+        suffixes = sorted("".join(r.choice("ab") for _ in range(r.randint(4, 12))) for _ in range(r.randint(1, 14)))
+        want = set()
+        for i in range(len(suffixes)):
+            for j in range(i + 1, len(suffixes)):
+                depth = min(spans.common_prefix(suffixes[k - 1], suffixes[k]) for k in range(i + 1, j + 1))
+                left = i == 0 or spans.common_prefix(suffixes[i - 1], suffixes[i]) < depth
+                right = j == len(suffixes) - 1 or spans.common_prefix(suffixes[j], suffixes[j + 1]) < depth
+                if depth >= 4 and left and right:
+                    want.add((depth, i, j))
+        got = list(spans.deep_nodes(suffixes, 4))
+        assert set(got) == want and len(got) == len(want)
+        place = {x: k for k, x in enumerate(got)}
+        assert all(place[a] < place[b] for a in got for b in got if a != b and b[1] <= a[1] and a[2] <= b[2])
+
+
 def found(spark, docs, **options):
     df = spark.createDataFrame([(d, t, "z") for d, t in docs], "doc_id bigint, text string, h string").repartition(3)
     return {tuple(r) for r in spans.shared_intervals(df, "doc_id", "text", **options).collect()}
