@@ -356,15 +356,18 @@ def _merge(spark: SparkSession, groups: list[list], cuts: list[tuple], order: li
     arrow = to_arrow_schema(schema)
     width = len(unique or order)
     # A key that counts once may not be cut in two.
-    edges = [None, *dict.fromkeys(c[:width] for c in cuts), None]
+    inner = list(dict.fromkeys(c[:width] for c in cuts))
+    bounds = [_token(c) for c in inner]
+    packed = [None, *map(_pack, inner), None]
     tasks = []
     for files in groups:
-        spans = sorted(((_token(_unpack(f["first"])), _token(_unpack(f["last"])), f["path"], f["first"]) for f in files), key=lambda s: s[:3])
-        for low, high in zip(edges, edges[1:]):
-            a, b = low and _token(low), high and _token(high)
-            mine = [(p, k) for f, la, p, k in spans if (a is None or la[: len(a)] >= a) and (b is None or f[: len(b)] < b)]
-            if mine:
-                tasks.append((len(tasks), low and _pack(low), high and _pack(high), [p for p, _ in mine], [k for _, k in mine]))
+        touching: dict[int, list] = {}  # range: its files; a file is looked up, not compared with every range
+        for f in sorted(files, key=lambda f: (_token(_unpack(f["first"])), f["path"])):
+            first, last = (bisect.bisect_right(bounds, _token(_unpack(f[c])[:width])) for c in ("first", "last"))
+            for r in range(first, last + 1):
+                touching.setdefault(r, []).append(f)
+        for r, mine in sorted(touching.items()):
+            tasks.append((len(tasks), packed[r], packed[r + 1], [f["path"] for f in mine], [f["first"] for f in mine]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = _Writer(folder, order, target, split, mark_bytes)
