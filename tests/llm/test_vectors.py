@@ -45,11 +45,12 @@ def test_neighbours_reach_the_recall(spark, options):
     assert len(got - want) <= 0.02 * len(want)
 
 
-def test_a_third_of_all_rows_are_copies(spark):
+@pytest.mark.parametrize("hot", [16_384, 40])
+def test_a_third_of_all_rows_are_copies(spark, hot):
     x = planted(2, 20, 6)
     x = np.concatenate([x, np.repeat(x[:1], 60, axis=0)])
     ids = list(range(100, 100 + len(x)))
-    got = {tuple(r) for r in neighbours.as_pairs(neighbours.cosine_neighbours(table(spark, x, ids), "gid", "f", 8)).collect()}
+    got = {tuple(r) for r in neighbours.as_pairs(neighbours.cosine_neighbours(table(spark, x, ids), "gid", "f", 8, hot_rows=hot)).collect()}
     want = brute(x, ids, 5, 0.96)
     assert len(got ^ want) <= 0.02 * len(want)
 
