@@ -360,8 +360,8 @@ def heavy_contents(df: DataFrame, read: Callable[[pa.RecordBatch], tuple[np.ndar
     return np.array([c for c, _ in rows], dtype=np.int64), np.array([i for _, i in rows], dtype=np.int64).reshape(-1, keep)
 
 
-#: Bytes of an index that one task works off.
-TASK_BYTES = 16 << 20
+#: Bytes of an index that one task works off: about a second of comparing.
+TASK_BYTES = 10 << 20
 
 
 def task_count(df: DataFrame, rows: int, row_bytes: int) -> int:
