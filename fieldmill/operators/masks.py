@@ -80,36 +80,42 @@ def exclusive_claims(pix: DataFrame, order: str) -> DataFrame:
 
 
 def neighbours(pix: DataFrame, reach: int = 1) -> DataFrame:
-    """Each pixel once for every place within ``reach`` (a square): the places, with the pixel's mask."""
+    """Each pixel once for every place within ``reach`` (a square): the places, with the pixel's mask, and whether it is the pixel's own."""
     steps = F.sequence(F.lit(-reach), F.lit(reach))
     return pix.withColumn("_dy", F.explode(steps)).withColumn("_dx", F.explode(steps)).select(
-        *KEY, (F.col("y") + F.col("_dy")).alias("y"), (F.col("x") + F.col("_dx")).alias("x")
+        *KEY, (F.col("y") + F.col("_dy")).alias("y"), (F.col("x") + F.col("_dx")).alias("x"), ((F.col("_dy") == 0) & (F.col("_dx") == 0)).alias("own")
     )
 
 
+def counted_neighbours(pix: DataFrame, reach: int = 1) -> DataFrame:
+    """``n``: how many pixels of a mask lie within ``reach`` of each place that has any, and whether the place is one (``own``). One exchange,
+    of partial counts."""
+    return neighbours(pix.distinct(), reach).groupBy(*KEY, "y", "x").agg(F.count("*").alias("n"), F.bool_or("own").alias("own"))
+
+
 def _in_frame(height: int, width: int):
     return F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1)
 
 
 def dilate(pix: DataFrame, height: int, width: int, reach: int = 1) -> DataFrame:
-    return neighbours(pix, reach).filter(_in_frame(height, width)).distinct()
+    return neighbours(pix, reach).filter(_in_frame(height, width)).drop("own").distinct()
 
 
 def erode(pix: DataFrame, reach: int = 1) -> DataFrame:
     """Pixels whose whole neighbourhood is in the mask; beyond the frame is outside."""
     full = (2 * reach + 1) ** 2
-    return neighbours(pix.distinct(), reach).groupBy(*KEY, "y", "x").agg(F.count("*").alias("n")).filter(F.col("n") == full).drop("n")
+    return counted_neighbours(pix, reach).filter(F.col("n") == full).drop("n", "own")
 
 
 def majority(pix: DataFrame, least: int = 5, reach: int = 1) -> DataFrame:
     """Pixels of the mask with at least ``least`` mask pixels in their neighbourhood (itself included)."""
-    near = neighbours(pix.distinct(), reach).groupBy(*KEY, "y", "x").agg(F.count("*").alias("n")).filter(F.col("n") >= least).drop("n")
-    return near.join(pix.distinct(), [*KEY, "y", "x"], "left_semi")
+    return counted_neighbours(pix, reach).filter((F.col("n") >= least) & F.col("own")).drop("n", "own")
 
 
 def boundary_band(pix: DataFrame, height: int, width: int, reach: int = 1) -> DataFrame:
     """Pixels in the dilated mask but not in the eroded one."""
-    return dilate(pix, height, width, reach).join(erode(pix, reach), [*KEY, "y", "x"], "left_anti")
+    full = (2 * reach + 1) ** 2
+    return counted_neighbours(pix, reach).filter(_in_frame(height, width) & (F.col("n") < full)).drop("n", "own")
 
 
 def exclusive_growth(pix: DataFrame, height: int, width: int, reach: int = 1) -> DataFrame:
