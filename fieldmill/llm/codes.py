@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -194,6 +195,25 @@ class GridIndex:
                 self.pairs = {k: int(np.ceil(n / (hot_rows / 2))) for k, n in hot.items()}
 
 
+def outer_band(y: np.ndarray, group: np.ndarray, depth: int) -> np.ndarray:
+    """Places of the points (in two coordinates) that, for some pair of directions, fewer than ``depth`` points of their group exceed in both.
+
+    Whatever lies beyond an edge or corner of a group's points meets at least as many of these as of all of them, up to ``depth``."""
+    out = np.zeros(len(y), bool)
+    for sx in (1, -1):
+        for sy in (1, -1):
+            order = np.lexsort((-sy * y[:, 1], -sx * y[:, 0], group))
+            now, best = None, []
+            for i in order.tolist():
+                if group[i] != now:
+                    now, best = group[i], []
+                value = sy * y[i, 1]
+                if len(best) < depth or value > best[0]:
+                    out[i] = True
+                    heapq.heappush(best, value) if len(best) < depth else heapq.heapreplace(best, value)
+    return np.flatnonzero(out)
+
+
 class BucketIndex:
     """The bucket keys of vectors: those that ``base`` gives, and finer ones for the buckets that exact counts show to be too large.
 

@@ -174,13 +174,66 @@ def vector_clusters(
     return _merged(links.select("id", "root", F.coalesce("core", F.lit(True)).alias("core")), min_size)
 
 
+class Cliques:
+    """Squares, one reach wide, of crowded cells in two coordinates: whatever lies in one is mutually similar, so a square with enough points is
+    one cluster of core points, by a count and a least id alone. Only its outer band (of each Arrow batch) has to be compared with others:
+    a point outside is similar to as many of the band as of the square, up to the number that makes a core point."""
+
+    def __init__(self, min_core: int):
+        self.min_core = min_core
+        self.keys, self.roots, self.dense = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    @staticmethod
+    def _square(points: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        y, group = points
+        return C.mix(group, *np.floor(y).astype(np.int64).T, 9) if len(y) else np.zeros(0, np.int64)
+
+    def look(self, df: DataFrame, read: Callable, index: C.GridIndex) -> None:
+        """Counts the squares that meet a crowded cell; the driver holds those with enough points, at most nine a crowded cell."""
+        self.dense = index.dense
+        dense, square = index.dense, self._square
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids, points = read(batch)
+                rows, keys = index.places(points)
+                crowded = np.zeros(len(ids), bool)
+                crowded[rows[C.find(keys, dense)[0]]] = True
+                at = np.flatnonzero(crowded)
+                k, back = np.unique(square(points)[at], return_inverse=True)
+                low = np.full(len(k), np.iinfo(np.int64).max)
+                np.minimum.at(low, back, ids[at])
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(np.bincount(back, minlength=len(k)), pa.int64()), pa.array(low, pa.int64())], ["k", "n", "low"])
+
+        found = df.mapInArrow(run, "k bigint, n bigint, low bigint").groupBy("k").agg(F.sum("n").alias("n"), F.min("low").alias("low"))
+        rows = sorted((r["k"], r["low"]) for r in found.filter(F.col("n") >= self.min_core).collect())
+        self.keys, self.roots = (np.array(x, dtype=np.int64) for x in zip(*rows)) if rows else (self.keys, self.roots)
+
+    def thinned(self, points: tuple[np.ndarray, np.ndarray], rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Rows and keys without the inner points of cliques in crowded cells; then the places of all clique points there and their roots."""
+        crowded = C.find(keys, self.dense)[0]
+        mine = np.zeros(len(points[0]), bool)
+        mine[rows[crowded]] = True
+        at = np.flatnonzero(mine)
+        square = self._square(points)[at]
+        hit, k = C.find(square, self.keys)
+        at, square = at[hit], square[hit]
+        inner = np.zeros(len(points[0]), bool)
+        inner[at] = True
+        inner[at[C.outer_band(points[0][at], square, self.min_core)]] = False
+        keep = ~(crowded & inner[rows])
+        return rows[keep], keys[keep], at, self.roots[k]
+
+
 def box_clusters(
     df: DataFrame, id_col: str, group_col: str, columns: list[str], reach: list[float], min_size: int = 3, min_core: int = 3,
     cells: float = 4.0, hot_rows: int = 16_384,
 ) -> DataFrame:
     """As ``vector_clusters`` for a few numbers within a group: two records are similar if they differ by at most ``reach`` in each column.
 
-    Cells are ``cells`` reaches wide (two, where rows are dense) and overlap by a reach on each side, so a point's neighbours all lie in its cell.
+    Cells are ``cells`` reaches wide (two, where rows are dense) and overlap by a reach on each side, so a point's neighbours all lie in its
+    cell. Of cells that stay crowded, in two columns, squares of mutually similar records are clusters without being compared in pairs; in
+    cells that are crowded even so, every pair meets, but a point counts as core by its similar ones in one pair of blocks.
     Rows with a null or NaN column, id or group are in no cluster.
     """
     dim = len(columns)
@@ -203,13 +256,25 @@ def box_clusters(
         ids, values, group, kept, _, _ = reader.read(batch)
         return ids[kept], (values[kept] / slack, group[kept])
 
-    index.refine(narrow, points, hot_rows, lambda: reader.look(narrow, hot_rows // 4))
+    thin = Cliques(min_core) if dim == 2 else None
+    index.refine(narrow, points, hot_rows, lambda: reader.look(narrow, hot_rows // 4), apart=thin is not None)
+    if thin is not None and len(index.dense):
+        thin.look(narrow, points, index)
+        remaining = lambda p: thin.thinned(p, *index.places(p))[:2]
+        index.pairs = {k: int(np.ceil(n / (hot_rows / 2))) for k, n in C.hot_buckets(narrow, points, remaining, hot_rows).items()}
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, values, group, kept, rest, rep = reader.read(batch)
             if len(ids):
-                r, keys = index.places((values[kept] / slack, group[kept]), ids[kept])
+                place = (values[kept] / slack, group[kept])
+                if thin is None or not len(index.dense):
+                    r, keys = index.places(place, ids[kept])
+                else:
+                    r, keys, at, root = thin.thinned(place, *index.places(place))
+                    r, keys = C.in_blocks(r, keys, ids[kept], index.pairs)
+                    own = ids[kept[at]] != root  # all of a clique are linked to its least id, in the index or not
+                    rest, rep = np.concatenate([rest, kept[at[own]]]), np.concatenate([rep, root[own]])
                 yield _index_batch(ids, values, kept, rest, rep, r, keys)
 
     def kernel(key: int, ids: np.ndarray, values: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:

@@ -113,6 +113,34 @@ def test_boxes_equal_linked_components(spark, hot):
     assert density.box_clusters(df.limit(0), "run_id", "suite_id", ["n", "c"], [3, 0.02]).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_crowded_boxes_equal_brute_force(spark, seed):
+    r = np.random.default_rng(20 + seed)
+    # Most rows in one suite, dense blobs at several distances, loose points between them.
+    centres = np.array([[10, 0.1], [13.5, 0.1], [10, 0.125], [16.8, 0.131], [30, 0.5]])
+    x = np.concatenate([c + r.normal(size=(200, 2)) * [0.5, 0.003] for c in centres] + [np.stack([r.uniform(5, 35, 60), r.uniform(0, 0.6, 60)], axis=1)])
+    suite = [0 if r.random() < 0.9 else 1 for _ in x]
+    df = spark.createDataFrame([(i, g, float(v[0]), float(v[1])) for i, (g, v) in enumerate(zip(suite, x))], "run_id bigint, suite_id bigint, n double, c double").repartition(2)
+    near = np.equal.outer(suite, suite) & (abs(x[:, None, 0] - x[None, :, 0]) <= 3 + 1e-9) & (abs(x[:, None, 1] - x[None, :, 1]) <= 0.02 + 1e-9)
+    want = {(min(m), i) for m in dbscan(near, 4).values() for i in m if i != min(m) and len(m) >= 4}
+    for hot in (350, 16_384):
+        got = density.box_clusters(df, "run_id", "suite_id", ["n", "c"], [3, 0.02], min_size=4, min_core=4, hot_rows=hot)
+        assert {tuple(v) for v in got.select("root_id", "member_id").collect()} == want
+
+
+def test_outer_bands_keep_counts_beyond_edges():
+    r = np.random.default_rng(31)
+    y, group = np.round(r.uniform(0, 1, (400, 2)), 2), r.integers(0, 3, 400)
+    band = codes.outer_band(y, group, 3)
+    assert len(band) < 250
+    kept = np.zeros(400, bool)
+    kept[band] = True
+    for _ in range(300):
+        (a, b), g, sx, sy = r.uniform(0, 1, 2), r.integers(3), *r.choice([1, -1], 2)
+        beyond = (group == g) & (sx * y[:, 0] >= sx * a) & ((sy * y[:, 1] >= sy * b) | (r.random() < 0.3))
+        assert min((beyond & kept).sum(), 3) == min(beyond.sum(), 3)
+
+
 def test_descriptions(spark):
     x = planted(8, 4, 6)
     df = table(spark, x)
