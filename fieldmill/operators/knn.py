@@ -20,23 +20,48 @@ def squared(a: list[str], b: list[str]) -> Column:
     return sum((g * g for g in gaps[1:]), gaps[0] * gaps[0])
 
 
-def _cell_width(refs: DataFrame, q: list[str], extent: float, k: int, rows: int = 20_000) -> float:
-    """The widest halving of the extent at which no cell should hold more than about 4 k points, by a bounded sample of hashed ids.
-
-    The densest places decide, so points far away make the cells no wider."""
-    total = refs.count()
+def _cell_keys(group: np.ndarray, x: np.ndarray, level: int) -> np.ndarray:
+    """A 64-bit key of each point's group and cell of width 2 ** ``level``."""
+    key = group.astype(np.int64).view(np.uint64)
+    for column in np.floor(x / 2.0**level).astype(np.int64).view(np.uint64).T:
+        key = (key ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        key = key ^ (key >> np.uint64(29))
+    return key
+
+
+def _with_levels(left: DataFrame, right: DataFrame, p: list[str], q: list[str], extent: float, k: int, rows: int = 20_000) -> DataFrame:
+    """``left`` with ``lev``: cells of width 2 ** lev around a query should hold about k / 2 references, by the density of a bounded sample of
+    hashed ids around it. So dense places get narrow cells and sparse ones wide, and points far away change nothing elsewhere."""
+    total = right.count()
     share = min(1 << 20, int(1.05 * rows / max(total, 1) * (1 << 20)) + 1)
-    table = refs.filter(F.pmod(F.xxhash64("dst"), F.lit(1 << 20)) < share).select(F.xxhash64("grp").alias("g"), *q).limit(rows).toArrow()
+    table = right.filter(F.pmod(F.xxhash64("dst"), F.lit(1 << 20)) < share).select(F.xxhash64("grp").alias("g"), *q).limit(rows).toArrow()
     data = np.stack([table.column(c).to_numpy() for c in q], axis=1)
-    group = table.column("g").to_numpy()
-    scale = total / max(len(data), 1)
-    width = max(extent, 1e-9)
-    while width > max(extent * 1e-15, 1e-12):
-        width /= 2
-        cells = np.concatenate([group[:, None], np.floor(data / width).astype(np.int64)], axis=1)
-        if not len(cells) or np.unique(cells, axis=0, return_counts=True)[1].max() * scale <= max(4 * k, 32):
+    group, dim = table.column("g").to_numpy(), len(q)
+    top = int(np.ceil(np.log2(max(extent, 1e-9))))
+    wanted = max(1.0, k / 2) / max(1.0, total / max(len(data), 1))  # sampled points in a cell that holds about k / 2
+    known: list[tuple[int, np.ndarray, np.ndarray]] = []
+    for level in range(top, top - 50, -1):
+        keys, counts = np.unique(_cell_keys(group, data, level), return_counts=True)
+        enough = counts >= 4
+        if not enough.any():
             break
-    return width
+        known.append((level, keys[enough], counts[enough]))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.stack([batch.column(2 + i).to_numpy(zero_copy_only=False) for i in range(dim)], axis=1)
+            g = batch.column(2 + dim).to_numpy(zero_copy_only=False)
+            lev = np.full(len(x), float(top))
+            for level, keys, counts in known:  # the finest cell with enough sampled points tells the density
+                at = np.minimum(np.searchsorted(keys, mine := _cell_keys(g, x, level)), len(keys) - 1)
+                hit = keys[at] == mine
+                lev[hit] = level - np.log2(counts[at[hit]] / wanted) / dim
+            out = np.clip(np.rint(lev), top - 50, top).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(2 + dim)), pa.array(out)], ["grp", "src", *p, "lev"])
+
+    kinds = dict(left.dtypes)
+    schema = ", ".join([f"grp {kinds['grp']}, src {kinds['src']}", *(f"{c} double" for c in p), "lev int"])
+    return left.select("grp", "src", *p, F.xxhash64("grp").alias("_g")).mapInArrow(run, schema)
 
 
 def _in_full(left: DataFrame, right: DataFrame, p: list[str], q: list[str], k: int, exclude_self: bool, schema: str) -> DataFrame:
@@ -80,10 +105,11 @@ def _in_full(left: DataFrame, right: DataFrame, p: list[str], q: list[str], k: i
 def knn_join(queries: DataFrame, refs: DataFrame, k: int, key: str, axes: list[str], group: str, exclude_self: bool = True) -> DataFrame:
     """``grp``, ``src``, ``dst``, ``rank``, ``dist``: the ``k`` nearest ``refs`` of each query in its group (ties: smaller id first), exactly.
 
-    Self is excluded by id (then queries must be among the refs), so a duplicate of a point is its neighbour at distance 0. Fewer than k in a group: all of them. Null ids,
-    groups or coordinates take no part; coordinates must be finite. Each round joins queries with the 3^d cells around theirs; a query
-    whose k-th distance is within the cell width can't have a nearer one outside and is settled, the others go on with cells twice (then
-    four times) as wide, until at most ``FEW`` are left, which are compared with all references of their group.
+    Self is excluded by id (then queries must be among the refs), so a duplicate of a point is its neighbour at distance 0. Fewer than k in a
+    group: all of them. Null ids, groups or coordinates take no part; coordinates must be finite. Each round joins queries with the 3^d cells
+    around theirs, of a width that suits the density there; a query whose k-th distance is within the cell width can't have a nearer one
+    outside and is settled, the others go on with cells twice (then four times) as wide, until at most ``FEW`` are left, which are compared
+    with all references of their group.
     """
     p, q = [f"p{i}" for i in range(len(axes))], [f"q{i}" for i in range(len(axes))]
     whole = " and ".join(f"{c} is not null" for c in [key, group, *axes])
@@ -101,32 +127,38 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, key: str, axes: list[s
     right = cut(right.withColumn("same", same).filter(F.col("same") <= k + 1).drop("same"), "knn")
     kinds = dict(left.dtypes) | dict(right.dtypes)
     schema = f"grp {kinds['grp']}, src {kinds['src']}, dst {kinds['dst']}, d2 double"
-    width, step, done = _cell_width(right, q, extent, k), 2, []
+    widest, step, done = int(np.ceil(np.log2(max(extent, 1e-9)))) + 1, 1, []
+    old, left = left, cut(_with_levels(left, right, p, q, extent, k), "knn")
+    discard(old)
     cells = [f"c{i}" for i in range(len(axes))]
+    width = F.pow(F.lit(2.0), F.col("lev"))
     while True:
-        if left.count() <= FEW:
+        levels = {r["lev"]: r["n"] for r in left.groupBy("lev").agg(F.count("*").alias("n")).collect()}
+        if sum(levels.values()) <= FEW:
             done.append(_in_full(left, right, p, q, k, exclude_self, schema))
             break
         around = left
         for c, a in zip(cells, p):
             middle = F.floor(F.col(a) / width)
             around = around.withColumn(c, F.explode(F.sequence(middle - 1, middle + 1)))
-        placed = right.withColumns({c: F.floor(F.col(a) / width) for c, a in zip(cells, q)})
-        met = around.join(placed, ["grp", *cells])
+        placed = right.withColumn("lev", F.explode(F.array(*(F.lit(v) for v in sorted(levels)))))
+        placed = placed.withColumns({c: F.floor(F.col(a) / width) for c, a in zip(cells, q)})
+        met = around.join(placed, ["grp", "lev", *cells])
         met = met.filter("src <> dst") if exclude_self else met
-        met = met.select("grp", "src", "dst", squared(p, q).alias("d2"))
-        rank = F.row_number().over(Window.partitionBy("src").orderBy("d2", "dst"))
-        best = cut(met.withColumn("rank", rank).filter(F.col("rank") <= k), "knn")
-        if width > extent:
-            done.append(best)
-            break
-        found = best.groupBy("grp", "src").agg(F.count("*").alias("n"), F.max("d2").alias("far")).join(everyone, "grp")
-        proven = (F.col("n") == k) & (F.col("far") <= width * width) | (F.col("n") >= F.col("others"))
-        settled = found.filter(proven).select("src")
-        done.append(best.join(settled, "src", "left_semi").select(best.columns))
-        old, left = left, cut(left.join(settled, "src", "left_anti"), "knn")
+        # What lies farther off than the cells are wide proves nothing, so it isn't ranked.
+        met = met.select("grp", "src", "lev", "dst", squared(p, q).alias("d2")).filter((F.col("d2") <= width * width) | (F.col("lev") >= widest))
+        each = Window.partitionBy("src")
+        ranked = met.withColumn("rank", F.row_number().over(each.orderBy("d2", "dst"))).withColumn("n", F.count("*").over(each))
+        # (Not a plain comparison: a limit before the exchange would sort all candidates once more and drop few.)
+        best = ranked.filter(F.col("rank") * 2 <= 2 * k).join(everyone, "grp")
+        proven = (F.col("n") >= F.least(F.lit(k), F.col("others"))) | (F.col("lev") >= widest)  # beyond the widest cells there is nothing
+        best = cut(best.filter(proven).select("grp", "src", "dst", "rank", "d2"), "knn")
+        done.append(best)
+        settled = best.filter(F.col("rank") == 1).select("src")
+        rest = left.join(settled, "src", "left_anti").filter(F.col("lev") < widest)
+        old, left = left, cut(rest.withColumn("lev", F.least(F.col("lev") + step, F.lit(widest))), "knn")
         discard(old)
-        width, step = width * step, 4
+        step = 2
     out = done[0].select("grp", "src", "dst", "rank", "d2")
     for part in done[1:]:
         out = out.union(part.select("grp", "src", "dst", "rank", "d2"))

@@ -43,7 +43,10 @@ def test_far_points_do_not_widen_the_cells(spark, monkeypatch):
     r = np.random.default_rng(3)
     x = np.concatenate([r.uniform(0, 1, (1500, 2)), [[1e9, 0], [-1e9, 5]]])
     df = spark.createDataFrame([(i, 0, *map(float, v)) for i, v in enumerate(x)], "gid bigint, s int, x double, y double")
-    assert kn._cell_width(df.select(F.col("gid").alias("dst"), F.col("s").alias("grp"), "x", "y"), ["x", "y"], 2e9, 4) < 0.3
+    left = df.select(F.col("s").alias("grp"), F.col("gid").alias("src"), F.col("x").alias("p0"), F.col("y").alias("p1"))
+    right = df.select(F.col("s").alias("grp"), F.col("gid").alias("dst"), F.col("x").alias("q0"), F.col("y").alias("q1"))
+    levels = {v["src"]: v["lev"] for v in kn._with_levels(left, right, ["p0", "p1"], ["q0", "q1"], 2e9, 4).collect()}
+    assert max(levels[i] for i in range(1500)) < -2 and levels[1500] > 20
     got = {}
     for v in kn.knn_join(df, df, 4, "gid", ["x", "y"], "s").collect():
         got.setdefault(v["src"], []).append((v["rank"], v["dst"]))
