@@ -277,3 +277,24 @@ def test_running_totals_over_ranges_equal_a_plain_sum(spark, parts):
         assert got[i] == (sum(upto) if upto else None, place)
     assert numbered(df.limit(0), [], ["id"], "n").count() == 0
     assert sorted(x["n"] for x in numbered(df, [], ["id"], "n").collect()) == list(range(1, 701))
+
+
+def test_knn_joins_nothing(spark, monkeypatch):
+    # Rows exploded to cells pass for small tables, which the driver would broadcast; blocks are searched without any join.
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def refused(*_, **__):
+        raise AssertionError("a join")
+
+    monkeypatch.setattr(kn, "FEW", 20)
+    monkeypatch.setattr(DataFrame, "join", refused)
+    r = np.random.default_rng(11)
+    x = np.round(r.normal(size=(900, 3)) * [9, 3, 1])  # many ties, many points at one place
+    x[:40] = 0
+    df = spark.createDataFrame([(i, i % 2, *map(float, v)) for i, v in enumerate(x)], "gid bigint, s int, x double, y double, z double")
+    got = {}
+    for v in kn.knn_join(df, df, 5, "gid", ["x", "y", "z"], "s").collect():
+        got.setdefault(v["src"], []).append((v["rank"], v["dst"]))
+    for i in range(len(x)):
+        d = ((x - x[i]) ** 2).sum(axis=1)
+        assert [b for _, b in sorted(got[i])] == [j for _, j in sorted((d[j], j) for j in range(len(x)) if j != i and j % 2 == i % 2)[:5]]
