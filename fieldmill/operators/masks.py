@@ -42,10 +42,12 @@ def square_boxes(boxes: DataFrame, pad: float, size: int) -> DataFrame:
 def mask_pairs(pix: DataFrame) -> DataFrame:
     """Overlapping masks a < b of a view: pixels in common, both areas, IoU. Masks meet on shared pixels only, never all with all."""
     areas = pix.groupBy(*KEY).agg(F.count("*").alias("area"))
-    a = pix.select("view_id", "y", "x", F.col("mask_id").alias("a"))
-    b = pix.select("view_id", "y", "x", F.col("mask_id").alias("b"))
-    common = a.join(b, ["view_id", "y", "x"]).filter("a < b").groupBy("view_id", "a", "b").agg(F.count("*").alias("common"))
-    sized = common.join(areas.select("view_id", F.col("mask_id").alias("a"), F.col("area").alias("area_a")), ["view_id", "a"])
+    # A list a pixel instead of a join of pixels with pixels: Spark takes exploded pixels for as few bytes as the masks they come from, and
+    # would broadcast them. The joins with areas are merges for the same reason.
+    each = pix.groupBy("view_id", "y", "x").agg(F.collect_list("mask_id").alias("_masks")).filter(F.size("_masks") > 1)
+    both = each.select("view_id", "_masks", F.explode("_masks").alias("a")).select("view_id", "a", F.explode("_masks").alias("b"))
+    common = both.filter("a < b").groupBy("view_id", "a", "b").agg(F.count("*").alias("common")).hint("merge")
+    sized = common.join(areas.select("view_id", F.col("mask_id").alias("a"), F.col("area").alias("area_a")), ["view_id", "a"]).hint("merge")
     sized = sized.join(areas.select("view_id", F.col("mask_id").alias("b"), F.col("area").alias("area_b")), ["view_id", "b"])
     return sized.withColumn("iou", F.col("common") / (F.col("area_a") + F.col("area_b") - F.col("common")))
 

@@ -298,3 +298,13 @@ def test_knn_joins_nothing(spark, monkeypatch):
     for i in range(len(x)):
         d = ((x - x[i]) ** 2).sum(axis=1)
         assert [b for _, b in sorted(got[i])] == [j for _, j in sorted((d[j], j) for j in range(len(x)) if j != i and j % 2 == i % 2)[:5]]
+
+
+@pytest.mark.parametrize("of", ["pairs"])
+def test_pixels_are_not_broadcast(spark, data, of):
+    from fieldmill.plans import mask_queries as mq
+
+    found = mk.mask_pairs(mq.pixels(spark, data)) if of == "pairs" else mk.best_overlap(mq.pixels(spark, data), mq._labels(spark, data))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    pixels = [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "y#" in line]
+    assert not pixels and (of == "overlap" or "BroadcastHashJoin" not in plan)
