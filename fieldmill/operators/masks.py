@@ -68,7 +68,8 @@ def best_overlap(pix: DataFrame, labels: DataFrame, label: str = "label") -> Dat
     labelled = labels.filter(F.col(label) >= 0)
     areas = pix.groupBy(*KEY).agg(F.count("*").alias("area"))
     sizes = labelled.groupBy("view_id", label).agg(F.count("*").alias("size"))
-    common = pix.join(labelled, ["view_id", "y", "x"]).groupBy(*KEY, label).agg(F.count("*").alias("common"))
+    # Both sides are pixels, which Spark takes for smaller than they are (see mask_pairs): a merge, never a broadcast.
+    common = pix.join(labelled.hint("merge"), ["view_id", "y", "x"]).groupBy(*KEY, label).agg(F.count("*").alias("common"))
     joined = common.join(areas, KEY).join(sizes, ["view_id", label])
     iou = F.col("common") / F.greatest(F.col("area") + F.col("size") - F.col("common"), F.lit(1))
     scored = joined.select(*KEY, label, iou.alias("iou"), (F.col("common") / F.col("size")).alias("precision"), (F.col("common") / F.col("area")).alias("recall"))

@@ -300,7 +300,7 @@ def test_knn_joins_nothing(spark, monkeypatch):
         assert [b for _, b in sorted(got[i])] == [j for _, j in sorted((d[j], j) for j in range(len(x)) if j != i and j % 2 == i % 2)[:5]]
 
 
-@pytest.mark.parametrize("of", ["pairs"])
+@pytest.mark.parametrize("of", ["pairs", "overlap"])
 def test_pixels_are_not_broadcast(spark, data, of):
     from fieldmill.plans import mask_queries as mq
 
