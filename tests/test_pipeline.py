@@ -180,6 +180,19 @@ def test_typed_table_and_failed_casts(spark):
     assert rows(drift.failed_casts(values, numbers).select("file_id", "field", "value", "wanted")) == [(1, "v", "bad", "double")]
 
 
+def test_every_row_of_a_file_is_in_the_table_or_reported(spark):
+    bodies = ['{"v": 1.5}\n{"v": "bad"}\n{"v": 3.5, "a.b": 1, "a": {"b": "odd"}}', '[{"v": 4.5}, {"v": null}]', "{torn"]
+    made = [(i, "s", "eval", T(2025, 1, 1 + i), A, b) for i, b in enumerate(bodies)]
+    df = drift.single_files(spark.createDataFrame(made, "file_id bigint, stream_id string, kind string, written_at timestamp, arrived_at timestamp, body string"))
+    fields = drift.read_fields(df)
+    values, types = drift.typed_values(fields, drift.schema_changes(fields))
+    wanted = {"b": "bigint", "v": "double"}
+    assert set(types) == {"b", "v"} and types["v"] == "double"
+    table = {(r["file_id"], r["row"]): r["v"] for r in drift.consistent_table(df, values, wanted).collect()}
+    assert table == {(0, 0): 1.5, (0, 1): None, (0, 2): 3.5, (1, 0): 4.5, (1, 1): None, (2, None): None}
+    assert rows(drift.failed_casts(values, wanted).select("file_id", "row", "field", "value")) == [(0, 1, "v", "bad"), (0, 2, "b", "odd")]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_row_before_over_buckets_equals_a_plain_scan(spark, seed):
     import random
