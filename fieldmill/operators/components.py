@@ -75,13 +75,15 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
             break
         before = now
         both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_least(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = large.join(_least(large), "u")
+        large = both.join(_least(both).hint("merge"), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = large.join(_least(large).hint("merge"), "u")
         hooked = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         old, stars = stars, cut(hooked.union(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "edges")
         discard(old)
     else:
         raise RuntimeError("the components did not settle")
-    return nodes.join(stars.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select(
+    # Stars are as many as nodes, in a file of a few bytes each, which Spark would send through the driver: a merge, never a broadcast.
+    named_stars = stars.select(F.col("u").alias("node"), F.col("v").alias("component")).hint("merge")
+    return nodes.join(named_stars, "node", "left").select(
         "node", F.coalesce("component", "node").alias("component")
     )

@@ -175,7 +175,7 @@ def g14(s, d):
  bt AS (SELECT *, row_number() OVER w AS k, coalesce(lead(score) OVER w, 0) AS second FROM sc WINDOW w AS (PARTITION BY component ORDER BY score DESC, target)), bb AS (SELECT * FROM bt WHERE k = 1 AND score >= 0.15 AND score - second >= 0.05)
  SELECT gid, CASE WHEN residue THEN coalesce(target, -1) ELSE label END AS label, round(CASE WHEN residue THEN coalesce(score, 0) ELSE conf END, 6) AS conf FROM rr LEFT JOIN bb USING (component)""")
 def g16(s, d):
-    p = B.points(s, d).join(features(s, d).select("gid", "v"), "gid").withColumnRenamed("scene_id", "grp")
+    p = g.meet(B.points(s, d), features(s, d).select("gid", "v"), "gid").withColumnRenamed("scene_id", "grp")
     return g.refine_labels(p, near(s, d), "gid", "v", min_size=12).select("gid", "label", F.round("conf", 6).alias("conf"))
 
 

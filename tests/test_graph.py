@@ -308,3 +308,18 @@ def test_pixels_are_not_broadcast(spark, data, of):
     plan = found._jdf.queryExecution().executedPlan().toString()
     pixels = [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "y#" in line]
     assert not pixels and (of == "overlap" or "BroadcastHashJoin" not in plan)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_components_and_refinement_are_not_broadcast(spark, data):
+    # Stars and labelled points are as many as the points, in files small enough for Spark to send them through the driver.
+    from fieldmill.plans import graph_queries as gq
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 400, 2)], "a bigint, b bigint")
+    assert "BroadcastHashJoin" not in _plan(connected_components(edges, "a", "b"))
+    plan = _plan(gq.QUERIES["g16_refine"](spark, data))
+    # What a scene, or a label in it, has one row for may be sent; what has a row for each point or component may not.
+    assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "[grp#" not in line]
