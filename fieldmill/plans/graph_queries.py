@@ -41,9 +41,10 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def near(s, d):
+def near(s, d, k=K):
+    """The ``k`` nearest of each point: the first ranks of a wider table, so a query that reads only those asks for no more."""
     p = B.points(s, d)
-    return kn.knn_join(p, p, K, "gid", ["x", "y", "z"], "scene_id")
+    return kn.knn_join(p, p, k, "gid", ["x", "y", "z"], "scene_id")
 
 
 def features(s, d):
@@ -190,7 +191,7 @@ def e5(s, d):
 
 @query("e1_mean_square", "SELECT src, round(avg(dist * dist), 6) AS d2 FROM kn WHERE rank <= 3 GROUP BY src")
 def e1(s, d):
-    return kn.mean_square_distance(near(s, d)).select("src", F.round("d2", 6).alias("d2"))
+    return kn.mean_square_distance(near(s, d, 3)).select("src", F.round("d2", 6).alias("d2"))
 
 
 _SM = ", e AS (SELECT src, dst FROM kn WHERE rank <= 4 UNION ALL SELECT gid, gid FROM p), x AS (SELECT e.src, generate_subscripts(u, 1) AS i, unnest(u) AS v FROM e JOIN u ON u.gid = e.dst), sm AS (SELECT src, i, avg(v) AS v FROM x GROUP BY ALL)"

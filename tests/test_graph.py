@@ -323,3 +323,17 @@ def test_components_and_refinement_are_not_broadcast(spark, data):
     plan = _plan(gq.QUERIES["g16_refine"](spark, data))
     # What a scene, or a label in it, has one row for may be sent; what has a row for each point or component may not.
     assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "[grp#" not in line]
+
+
+#: Queries that read only the first ranks of their neighbours, and how many.
+FIRST_RANKS = {"e1_mean_square": 3}
+
+
+@pytest.mark.parametrize("name", FIRST_RANKS)
+def test_no_more_neighbours_than_read(spark, data, monkeypatch, name):
+    from fieldmill.plans import graph_queries as gq
+
+    asked, join = [], kn.knn_join
+    monkeypatch.setattr(kn, "knn_join", lambda a, b, k, *rest, **more: asked.append(k) or join(a, b, k, *rest, **more))
+    gq.QUERIES[name](spark, data)
+    assert asked == [FIRST_RANKS[name]]
