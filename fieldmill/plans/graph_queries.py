@@ -199,7 +199,7 @@ _SM = ", e AS (SELECT src, dst FROM kn WHERE rank <= 4 UNION ALL SELECT gid, gid
 
 @query("e2_smooth", _SM + "SELECT src, i - 1 AS i, round(v, 6) AS v FROM sm")
 def e2(s, d):
-    out = g.smooth(near(s, d), features(s, d), "gid", "v", 4)
+    out = g.smooth(near(s, d, 4), features(s, d), "gid", "v", 4)
     return out.select("src", F.posexplode("smoothed").alias("i", "v")).select("src", F.col("i").cast("bigint").alias("i"), F.round("v", 6).alias("v"))
 
 

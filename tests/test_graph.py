@@ -326,7 +326,7 @@ def test_components_and_refinement_are_not_broadcast(spark, data):
 
 
 #: Queries that read only the first ranks of their neighbours, and how many.
-FIRST_RANKS = {"e1_mean_square": 3}
+FIRST_RANKS = {"e1_mean_square": 3, "e2_smooth": 4}
 
 
 @pytest.mark.parametrize("name", FIRST_RANKS)
