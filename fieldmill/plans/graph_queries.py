@@ -384,7 +384,7 @@ def e4w(s, d):
 @query("f24_initial_splats", ", e AS (SELECT src, avg(dist * dist) AS d2 FROM kn WHERE rank <= 3 GROUP BY 1) SELECT gid, round(ln(sqrt(greatest(coalesce(d2, 1e-7), 1e-7))), 6) AS scale, round((gid % 256 / 255.0 - 0.5) / 0.28209479177387814, 6) AS red FROM p LEFT JOIN e ON e.src = gid")
 def f24(s, d):
     p = B.points(s, d).withColumn("red", F.col("gid") % 256)
-    out = g.initial_splats(p, near(s, d), "gid", ["red", "red", "red"])
+    out = g.initial_splats(p, near(s, d, 3), "gid", ["red", "red", "red"])
     return out.select("gid", F.round(F.col("scale")[0], 6).alias("scale"), F.round(F.col("f_dc")[0], 6).alias("red"))
 
 
