@@ -205,7 +205,7 @@ def e2(s, d):
 
 @query("e3_smooth_part", _SM + ", o AS (SELECT gid AS src, generate_subscripts(u, 1) AS i, unnest(u) AS v FROM u) SELECT src, i - 1 AS i, round(CASE WHEN i <= 2 THEN sm.v ELSE o.v END, 6) AS v FROM sm JOIN o USING (src, i)")
 def e3(s, d):
-    out = g.smooth_part(near(s, d), features(s, d), "gid", "v", 4, 2)
+    out = g.smooth_part(near(s, d, 4), features(s, d), "gid", "v", 4, 2)
     return out.select("src", F.posexplode("smoothed").alias("i", "v")).select("src", F.col("i").cast("bigint").alias("i"), F.round("v", 6).alias("v"))
 
 
