@@ -376,7 +376,7 @@ def e4(s, d):
 
 @query("e4_weighted_smoothing", ", x AS (SELECT k, src, i, avg(v) AS v FROM (SELECT k, e.src, generate_subscripts(u, 1) AS i, unnest(u) AS v FROM (SELECT 2 AS k, src, dst FROM kn WHERE rank <= 2 UNION ALL SELECT 2, gid, gid FROM p UNION ALL SELECT 6, src, dst FROM kn WHERE rank <= 6 UNION ALL SELECT 6, gid, gid FROM p) e JOIN u ON u.gid = e.dst) GROUP BY ALL) SELECT src, i - 1 AS i, round(sum(v * CASE k WHEN 2 THEN 0.7 ELSE 0.3 END), 6) AS v FROM x GROUP BY ALL")
 def e4w(s, d):
-    n, f = cut(near(s, d), "near"), features(s, d)
+    n, f = cut(near(s, d, 6), "near"), features(s, d)
     out = g.multi_resolution([(g.smooth(n, f, "gid", "v", 2), 0.7), (g.smooth(n, f, "gid", "v", 6), 0.3)])
     return out.select("src", F.posexplode("smoothed").alias("i", "v")).select("src", F.col("i").cast("bigint").alias("i"), F.round("v", 6).alias("v"))
 

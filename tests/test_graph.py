@@ -326,7 +326,7 @@ def test_components_and_refinement_are_not_broadcast(spark, data):
 
 
 #: Queries that read only the first ranks of their neighbours, and how many.
-FIRST_RANKS = {"e1_mean_square": 3, "e2_smooth": 4, "f24_initial_splats": 3, "e3_smooth_part": 4}
+FIRST_RANKS = {"e1_mean_square": 3, "e2_smooth": 4, "f24_initial_splats": 3, "e3_smooth_part": 4, "e4_weighted_smoothing": 6}
 
 
 @pytest.mark.parametrize("name", FIRST_RANKS)
