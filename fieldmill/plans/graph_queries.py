@@ -85,7 +85,8 @@ def g2(s, d):
 @query("g3_colour_weight", "SELECT kn.src, kn.dst, round(exp(-1.5 * list_distance(a.v, b.v) * list_distance(a.v, b.v) / 0.125), 6) AS w FROM kn JOIN q a ON a.gid = kn.src JOIN q b ON b.gid = kn.dst")
 def g3(s, d):
     f = features(s, d)
-    pairs = near(s, d).join(f.select(F.col("gid").alias("src"), F.col("v").alias("a")), "src").join(f.select(F.col("gid").alias("dst"), F.col("v").alias("b")), "dst")
+    pairs = g.meet(near(s, d).select("src", "dst"), f.select(F.col("gid").alias("src"), F.col("v").alias("a")), "src")
+    pairs = g.meet(pairs, f.select(F.col("gid").alias("dst"), F.col("v").alias("b")), "dst")
     return pairs.select("src", "dst", F.round(g.colour_weight(F.col("a"), F.col("b"), 1.5, 0.25), 6).alias("w"))
 
 

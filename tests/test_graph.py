@@ -337,3 +337,11 @@ def test_no_more_neighbours_than_read(spark, data, monkeypatch, name):
     monkeypatch.setattr(kn, "knn_join", lambda a, b, k, *rest, **more: asked.append(k) or join(a, b, k, *rest, **more))
     gq.QUERIES[name](spark, data)
     assert asked == [FIRST_RANKS[name]]
+
+
+@pytest.mark.parametrize("name", ["g3_colour_weight"])
+def test_points_are_not_broadcast(spark, data, name):
+    from fieldmill.plans import graph_queries as gq
+
+    plan = _plan(gq.QUERIES[name](spark, data))
+    assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "[grp#" not in line]
