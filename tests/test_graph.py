@@ -339,7 +339,7 @@ def test_no_more_neighbours_than_read(spark, data, monkeypatch, name):
     assert asked == [FIRST_RANKS[name]]
 
 
-@pytest.mark.parametrize("name", ["g3_colour_weight", "g9_residue"])
+@pytest.mark.parametrize("name", ["g3_colour_weight", "g7_adaptive_edges", "g9_residue"])
 def test_points_are_not_broadcast(spark, data, name):
     from fieldmill.plans import graph_queries as gq
 
