@@ -508,7 +508,7 @@ def g11(s, d):
         side = found[1] if found else np.zeros(0, bool)
         return pa.table({"grp": pa.array(nodes.column("grp").to_pylist()[:n], pa.int32()), "gid": pa.array(ids[:n]), "side": pa.array(side), "claimed": pa.array(np.full(n, found[0] if found else 0.0))})
 
-    links = edges.join(p.select(F.col("gid").alias("src"), F.col("grp").alias("scene")), "src")
+    links = g.meet(edges, p.select(F.col("gid").alias("src"), F.col("grp").alias("scene")), "src")
     sides = cut(p.groupBy("grp").cogroup(links.groupBy("scene")).applyInArrow(split, "grp int, gid bigint, side boolean, claimed double"), "sides")
     scores = g.cut_score(edges, sides, "gid", "side")
     claims = sides.groupBy("grp").agg(F.first("claimed").alias("claimed"), F.least(F.count(F.when(F.col("side"), 1)), F.count(F.when(~F.col("side"), 1))).alias("least"))
