@@ -419,7 +419,8 @@ def cut_clusters(points: DataFrame, key: str, group: str, axes: list[str], vec:
     known = cut(points.select(F.col(key).cast("bigint").alias(key), F.col(group).cast("bigint").alias("grp"), *axes, vc.normalise(vec).alias("u")), "points")
     sample = cut(group_sample(known, key, "grp", sample_rows), "sample")
     near = cut(kn.knn_join(sample, sample, k, key, axes, "grp"), "near")
-    edges = g.affinity_edges(near, sample, key, "u").join(sample.select(F.col(key).alias("src"), "grp"), "src")
+    edges = g.affinity_edges(near, sample, key, "u")
+    edges = g.meet(edges, sample.select(F.col(key).alias("src"), "grp"), "src")
 
     def cuts(nodes: pa.Table, links: pa.Table) -> pa.Table:
         ids = np.sort(nodes.column(key).to_numpy())
@@ -433,9 +434,9 @@ def cut_clusters(points: DataFrame, key: str, group: str, axes: list[str], vec:
     nodes = sample.select("grp", key).repartition(tasks, "grp").groupBy("grp")
     links = edges.select("grp", "src", "dst", "w").repartition(tasks, "grp").groupBy("grp")
     named = cut(nodes.cogroup(links).applyInArrow(cuts, f"grp bigint, `{key}` bigint, label bigint"), "cuts")
-    merged = merge_small_within(sample.join(named.select(key, "label"), key), key, "grp", "u", "label", min_size)
-    refs = cut(sample.join(merged.select(key, "label"), key), "refs")
+    merged = merge_small_within(g.meet(sample, named.select(key, "label"), key), key, "grp", "u", "label", min_size)
+    refs = cut(g.meet(sample, merged.select(key, "label"), key), "refs")
     near = cut(kn.knn_join(known, refs, k, key, axes, "grp", exclude_self=False), "near")
     votes = cut(g.propagate(near, known, refs, key, "u", "label").withColumnRenamed("src", key).select(key, "label", "share"), "votes")
-    final = merge_small_within(known.join(votes.select(key, "label"), key), key, "grp", "u", "label", min_size)
-    return final.join(votes.select(key, F.col("share").alias("conf")), key).select(key, "label", "conf")
+    final = merge_small_within(g.meet(known, votes.select(key, "label"), key), key, "grp", "u", "label", min_size)
+    return g.meet(final, votes.select(key, F.col("share").alias("conf")), key).select(key, "label", "conf")
