@@ -412,7 +412,8 @@ def z1(s, d):
     local = [F.abs(sum(o * float(a) for o, a in zip(offset, axis))) for axis in axes]
     extent = chosen.agg(*(F.percentile(v, F.lit(0.98)) for v in local)).first()
     clipped = fl.keep_or_all(chosen, fl.inside_box(offset, axes.tolist(), [float(e or 0) for e in extent]))
-    edges = g.adaptive_edges(near(s, d)).join(clipped.select(F.col("gid").alias("a")), "a").join(clipped.select(F.col("gid").alias("b")), "b")
+    clipped = cut(clipped, "clipped")
+    edges = g.meet(g.meet(g.adaptive_edges(near(s, d)), clipped.select(F.col("gid").alias("a")), "a"), clipped.select(F.col("gid").alias("b")), "b")
     shown = g.split_residue(g.components_of(clipped, "gid", edges.select("a", "b")), "scene_id", 3).filter("visible")
     return ag.stratified_sample(shown.select("gid", "label"), "label", "gid", 500)
 
