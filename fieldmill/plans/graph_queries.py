@@ -393,10 +393,10 @@ def f24(s, d):
 def z13(s, d):
     from fieldmill.operators.labels import fingerprints
 
-    parts = _parts(s, d)
-    seeds = B.points(s, d).groupBy("scene_id").agg(F.min("gid").alias("seed"))
-    chosen = parts.join(seeds.select(F.col("seed").alias("gid"), "seed"), "gid").select("component", "seed")
-    return fingerprints(parts.join(chosen, "component"), ["seed"], "gid")
+    parts = cut(_parts(s, d), "parts")  # read twice
+    first = F.min(F.struct("gid", "component")).alias("first")
+    chosen = parts.groupBy("scene_id").agg(first).select("scene_id", "first.component", F.col("first.gid").alias("seed"))
+    return fingerprints(g.meet(parts, chosen, ["scene_id", "component"]), ["seed"], "gid")
 
 
 @query("z1_active_group")

@@ -1,5 +1,7 @@
 """Neighbours, components, clustering and geometry against brute force and planted answers."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -360,3 +362,25 @@ def test_points_are_not_broadcast_on_the_way(spark, data, monkeypatch, name):
     plans.append(_plan(collect()[0][name](spark, data)))
     keys = ("[src#", "[dst#", "[gid#", "[a#", "[b#")
     assert len(plans) > 1 and not [line for plan in plans for line in plan.splitlines() if "BroadcastHashJoin" in line and any(k in line for k in keys)]
+
+
+def test_seed_parts_are_not_broadcast(spark, data, monkeypatch):
+    # Components are written once and merged with one row a scene; neither a plan on the way nor the last one sends a table through the driver.
+    from fieldmill.plans import graph_queries as gq
+
+    plans = []
+    monkeypatch.setattr(gq, "cut", lambda df, label="cut", write=gq.cut: plans.append(_plan(df)) or write(df, label))
+    plans.append(_plan(gq.QUERIES["z13_seed_part"](spark, data)))
+    assert len(plans) == 2 and "SortMergeJoin" in plans[1]
+    assert not [line for plan in plans for line in plan.splitlines() if "BroadcastHashJoin" in line and "[grp#" not in line]
+
+
+def test_seed_part_of_each_scene(spark, data, monkeypatch):
+    # Two scenes, each with the component of its least id, and others that must not come along.
+    from fieldmill.plans import graph_queries as gq
+
+    rows = [(1, 7, 1), (2, 7, 1), (3, 7, 3), (4, 8, 4), (5, 8, 5), (6, 8, 4), (9, 8, 4), (1, 7, 1)]
+    monkeypatch.setattr(gq, "_parts", lambda s, d: s.createDataFrame(rows, "gid bigint, scene_id int, component bigint"))
+    got = {r["seed"]: (r["members"], r["fingerprint"]) for r in gq.QUERIES["z13_seed_part"](spark, data).collect()}
+    sums = {1: "1,2", 4: "4,6,9"}
+    assert got == {k: (m.count(",") + 1, f"{m.count(',') + 1}:{hashlib.sha256(m.encode()).hexdigest()}") for k, m in sums.items()}
