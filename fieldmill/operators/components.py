@@ -14,6 +14,9 @@ from fieldmill.session import cut, discard
 #: Edges that one task contracts to the end: two ids each, so some 16 MB. More go through rounds.
 ONE_TASK = 1_000_000
 
+#: Edges that are contracted at once: some 50 MB with what that takes.
+AT_ONCE = 1 << 19
+
 
 def roots_of(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Nodes that the edges (u, v) name, and the least node of each one's component among these edges."""
@@ -31,19 +34,49 @@ def roots_of(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes, nodes[up]
 
 
+def stars_of(batches: Iterable[pa.RecordBatch], most: int | None = None) -> tuple[np.ndarray, np.ndarray] | None:
+    """All edges of the ``batches`` (two columns of ids) as stars: nodes with the least one of their component, where that is another.
+
+    Edges are contracted ``most`` at a time, or as many as there are stars so far if these are more, so what is held follows the nodes, not the edges.
+    """
+    most = most or AT_ONCE
+    stars, held, n = None, [], 0
+
+    def contract() -> None:
+        nonlocal stars, held, n
+        ends = [np.concatenate([*([] if stars is None else [stars[i]]), *(b.column(i).to_numpy(zero_copy_only=False) for b in held)]) for i in (0, 1)]
+        nodes, root = roots_of(*ends)
+        apart = nodes != root
+        stars, held, n = (nodes[apart], root[apart]), [], 0
+
+    for whole in batches:
+        for start in range(0, len(whole), most):
+            held.append(whole.slice(start, most))
+            n += len(held[-1])
+            if n >= max(most, 0 if stars is None else len(stars[0])):
+                contract()
+    if held:
+        contract()
+    return stars
+
+
 def _contracted(edges: DataFrame) -> DataFrame:
-    """The edges of each partition as stars (u, v): every node with the least one of its component there. A partition is one scan or shuffle
-    split, so it fits a task."""
+    """The edges of each partition as stars (u, v): every node with the least one of its component there. The nodes of a partition, one scan or
+    shuffle split, fit a task."""
     kinds = dict(edges.dtypes)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if len(b)]
-        if held:
-            table = pa.Table.from_batches(held)
-            u, v = (table.column(i).combine_chunks() for i in (0, 1))
-            nodes, root = roots_of(u.to_numpy(zero_copy_only=False), v.to_numpy(zero_copy_only=False))
-            apart = nodes != root
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[apart], u.type), pa.array(root[apart], u.type)], ["u", "v"])
+        kind = None
+
+        def seen() -> Iterator[pa.RecordBatch]:
+            nonlocal kind
+            for batch in batches:
+                kind = batch.schema.field(0).type
+                yield batch
+
+        stars = stars_of(seen())
+        if stars is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x in stars], ["u", "v"])
 
     return edges.select("u", "v").mapInArrow(run, f"u {kinds['u']}, v {kinds['u']}")
 

@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from fieldmill.operators import knn as kn
 from fieldmill.operators import labels as lb
 from fieldmill.operators import masks as mk
 from fieldmill.operators import vectors as vc
+from fieldmill.operators import components as co
 from fieldmill.operators.components import connected_components
 
 
@@ -384,3 +386,19 @@ def test_seed_part_of_each_scene(spark, data, monkeypatch):
     got = {r["seed"]: (r["members"], r["fingerprint"]) for r in gq.QUERIES["z13_seed_part"](spark, data).collect()}
     sums = {1: "1,2", 4: "4,6,9"}
     assert got == {k: (m.count(",") + 1, f"{m.count(',') + 1}:{hashlib.sha256(m.encode()).hexdigest()}") for k, m in sums.items()}
+
+
+@pytest.mark.parametrize("most", [1, 7, 64, 10_000])
+def test_edges_are_contracted_piece_by_piece(monkeypatch, most):
+    # What one contraction holds follows the nodes, however many edges the task reads, and the stars are those of all edges at once.
+    r = np.random.default_rng(most)
+    u, v = np.sort(r.integers(0, 300, size=(2, 4000)), axis=0)[::-1]
+    v = np.maximum(v, u // 25 * 25)  # twelve components
+    sizes, find = [], co.roots_of
+    monkeypatch.setattr(co, "roots_of", lambda a, b: sizes.append(len(a)) or find(a, b))
+    batches = [pa.RecordBatch.from_arrays([pa.array(u[i : i + 900]), pa.array(v[i : i + 900])], ["u", "v"]) for i in range(0, 4000, 900)]
+    nodes, root = co.stars_of(iter(batches), most)
+    want, least = find(u, v)
+    assert dict(zip(nodes, root)) == {n: m for n, m in zip(want, least) if n != m} and len(set(least)) > 10
+    assert max(sizes) <= 2 * (300 + most)
+    assert co.stars_of(iter([]), most) is None
